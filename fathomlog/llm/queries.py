@@ -32,6 +32,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, separator=0)
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathomlog.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=200)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathomlog.llm.simhash import near_groups
 
@@ -56,6 +62,7 @@ def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
         "op3_packing": op3_packing,
+        "op4_suffix_array": op4_suffix_array,
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
         "op10_word_bpe": op10_word_bpe,
