@@ -52,6 +52,18 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathomlog.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathomlog.llm.html_extract import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathomlog.llm.word_bpe import encode_digests
 
@@ -65,12 +77,22 @@ def queries() -> dict:
         "op4_suffix_array": op4_suffix_array,
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_topk": op7_topk,
+        "op9_html": op9_html,
         "op10_word_bpe": op10_word_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_topk": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                       WHERE vec_id IS NOT NULL AND len(embedding) > 0
+                         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+                  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+            r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
         "op6_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
