@@ -26,6 +26,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathomlog.llm import quality
+    from fathomlog.llm.training import remainder
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, remainder(F.col("doc_id"), 3) != 1)
+    return _scored(quality.score(docs, model), remainder(F.col("doc_id"), 3) == 1)
+
+
+def _scored(scores: DataFrame, held_out) -> DataFrame:
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathomlog.llm.packing import pack_documents
 
@@ -58,6 +71,15 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fathomlog.llm import toxicity
+    from fathomlog.llm.training import remainder
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    net = toxicity.train(docs, labels, remainder(F.col("doc_id"), 5) != 0)
+    return _scored(toxicity.score(docs, net), remainder(F.col("doc_id"), 5) == 0)
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fathomlog.llm.html_extract import extract
 
@@ -73,11 +95,13 @@ def op10_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
+        "op2_quality": op2_quality,
         "op3_packing": op3_packing,
         "op4_suffix_array": op4_suffix_array,
         "op5_simhash": op5_simhash,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_topk": op7_topk,
+        "op8_toxicity": op8_toxicity,
         "op9_html": op9_html,
         "op10_word_bpe": op10_word_bpe,
     }
