@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import broadcast_if_small, materialize
+from fathomlog.llm.common import materialize, unpack, with_packed_text
 
 LENGTH = 200
 KGRAM = 50
@@ -175,6 +175,35 @@ def candidate_slices(docs: DataFrame, length: int, kgram: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, th long, fp long, h long, s0 long, ns int")
 
 
+def fetched_slices(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(fp, h, ns, bytes, shard, shards) of the slices that ``wanted`` (rid, rth, wanted) lists by document."""
+    packed = with_packed_text(docs, "text")
+    joined = packed.join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select("text", "wanted")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("fp", "h", "ns", "bytes", "shard", "shards")
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+        rows, size = [], 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        for batch in batches:
+            for text, listed in zip(batch.column("text"), batch.column("wanted"), strict=True):
+                raw = unpack(text.as_py())
+                for w in listed.as_py():
+                    cut = raw[w["s0"] : w["s0"] + w["ns"] + length - 1]
+                    rows.append((w["fp"], w["h"], w["ns"], cut, w["h"] % w["shards"], w["shards"]))
+                    size += len(cut)
+                if size > SHARD_BYTES:
+                    yield made()
+                    rows, size = [], 0
+        if rows:
+            yield made()
+
+    return joined.mapInArrow(run, "fp long, h long, ns int, bytes binary, shard int, shards int")
+
+
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Sorted suffixes of ``text`` (symbols under 512).
 
@@ -278,6 +307,11 @@ def shard_verdicts(slices: DataFrame, length: int) -> DataFrame:
     """
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        # Repeated rows list their slices again, next to the first.
+        fp, h = table.column("fp").to_numpy(), table.column("h").to_numpy()
+        once = np.ones(len(fp), bool)
+        once[1:] = (fp[1:] != fp[:-1]) | (h[1:] != h[:-1])
+        table = table.filter(pa.array(once))
         fp, h = table.column("fp").to_numpy(), table.column("h").to_numpy()
         shards, shard = table.column("shards").to_numpy(), table.column("shard").to_numpy()
         raw = table.column("bytes").to_pylist()
@@ -286,7 +320,6 @@ def shard_verdicts(slices: DataFrame, length: int) -> DataFrame:
             return
         own = np.searchsorted(bounds, position, "right") - 1
         _, first, inverse, count = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
-        # A slice may be listed twice (repeated rows): equal places of equal slices are one.
         twice = position[count[inverse] > 1]
         if len(twice):
             twice = np.sort(twice)
@@ -363,21 +396,20 @@ def repeated_windows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(id, th, spans): for every document with repeats, the runs (first, stop) of windows that occur elsewhere."""
     docs = _documents(df, id_col, text_col)
     every = materialize(candidate_slices(docs, length, kgram))
+    # Aggregates are written before they are joined: only a join of plain shuffles has its hot keys split.
     anchors = every.groupBy("fp").agg(F.count("*").alias("c"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("c > 1")
-    shared = materialize(every.join(anchors.select("fp", (F.col("lo") != F.col("hi")).alias("several")), "fp"))
+    anchors = materialize(anchors.select("fp", (F.col("lo") != F.col("hi")).alias("several")))
+    shared = materialize(every.join(anchors, "fp"))
     plain = shared.where("not several").select("id", "th", F.col("s0").alias("first"), F.expr("s0 + ns").alias("stop"))
 
     mixed = shared.where("several")
     kinds = mixed.groupBy("fp", "h").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "s0", "ns")).alias("r"))
-    sizes = kinds.groupBy("fp").agg(F.count("*").alias("different"), F.min("n").alias("least"))
-    kinds = materialize(kinds.join(sizes, "fp").select("fp", "h", "n", "r.*", "different", "least"))
+    kinds = materialize(kinds.select("fp", "h", "n", "r.*"))
+    sizes = materialize(kinds.groupBy("fp").agg(F.count("*").alias("different"), F.min("n").alias("least")))
     shards = F.ceil(F.col("different") / F.lit(SHARD_SLICES)).cast("int")
-    wanted = kinds.where("least = 1").select(F.col("id").alias("rid"), F.col("th").alias("rth"), "fp", "h", "s0", "ns", shards.alias("shards"))
-    fetched = docs.join(broadcast_if_small(wanted, 64), F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth"))).select(
-        "fp", "h", "ns", F.expr(f"substring(cast(text as binary), cast(s0 as int) + 1, ns + {length - 1})").alias("bytes"),
-        "shards", F.expr("cast(pmod(h, shards) as int)").alias("shard"),
-    )
-    dealt = fetched.dropDuplicates(["fp", "h"]).repartition("fp", "shard").sortWithinPartitions("fp", "shard", "h")
+    wanted = kinds.join(sizes.where("least = 1").select("fp", shards.alias("shards")), "fp")
+    wanted = wanted.groupBy(F.col("id").alias("rid"), F.col("th").alias("rth")).agg(F.collect_list(F.struct("fp", "h", "ns", "s0", "shards")).alias("wanted"))
+    dealt = fetched_slices(docs, wanted, length).repartition("fp", "shard").sortWithinPartitions("fp", "shard", "h")
     verdicts = materialize(shard_verdicts(dealt, length))
     windows = verdicts.where("kind = 'window'")
     spread = windows.select("fp", "h", "a", "b", "shard", "range", "w1", "w2")
@@ -387,7 +419,7 @@ def repeated_windows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         .union(kinds.where("n > 1").select("fp", "h", F.lit(0).alias("a"), F.col("ns").alias("b")))
     )
     found = materialize(found.distinct())
-    placed = mixed.join(broadcast_if_small(found, 40), ["fp", "h"]).select("id", "th", F.expr("s0 + a").alias("first"), F.expr("s0 + b").alias("stop"))
+    placed = mixed.join(found, ["fp", "h"]).select("id", "th", F.expr("s0 + a").alias("first"), F.expr("s0 + b").alias("stop"))
     return materialize(plain.union(placed).groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("first", "stop"))).alias("spans")))
 
 
@@ -411,10 +443,10 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     spans = repeated_windows(df, id_col=id_col, text_col=text_col, length=length, kgram=kgram)
     looked = spans.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.transform("spans", lambda x: x["first"]).alias("__first"), F.transform("spans", lambda x: x["stop"]).alias("__stop"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = df if keep_text else df.select(id_col, text_col)
-    joined = source.join(broadcast_if_small(looked, 64), source[id_col].eqNullSafe(looked["__id"]) & (F.xxhash64(text) == looked["__th"]), "left").drop("__id", "__th")
-
+    hashed = source.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    packed = with_packed_text(hashed, text_col)
+    joined = packed.join(looked, packed[id_col].eqNullSafe(looked["__id"]) & (packed["__own"] == looked["__th"]), "left").drop("__id", "__th", "__own")
     names = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +454,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             rows: list[tuple] = []
             firsts, stops = batch.column("__first").to_pylist(), batch.column("__stop").to_pylist()
             for value, first, stop in zip(batch.column(text_col).to_pylist(), firsts, stops, strict=True):
-                raw = (value or "").encode()
+                raw = unpack(value) if value is not None else b""
                 gone = covered(list(zip(first, stop, strict=True)), length) if first else []
                 kept, at = [], 0
                 for a, b in gone:
