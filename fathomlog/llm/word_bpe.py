@@ -1,11 +1,15 @@
 """BPE encoding and decoding over a table of distinct words.
 
 Texts are split at ASCII white space inside Spark tasks; a task's chunk of
-documents becomes a local dictionary of distinct words plus each document's word
-positions in it. The chunks' dictionaries meet in one table of distinct words,
-each of which is encoded once and decoded through a join of its ids with the
-id-to-piece table (bounded by the vocabulary). Words go back to their chunk by
-slot, and ids and pieces back into documents by position.
+documents becomes a list of distinct words plus each document's word positions in it.
+The chunks' words are dealt by hash into the parts of one word table, where a word is
+encoded once however many chunks hold it. Its ids return to the chunks, and are joined
+back into documents by position; ids become pieces by a join with the id-to-piece table,
+which the vocabulary bounds and every task holds.
+
+What moves is packed: a chunk's words of one part travel as one compressed column, most
+frequent first, and positions as compressed integers that are small for frequent words.
+A row per word would take about eight times the disk.
 
 The split is exact for this kind of tokenizer: its pre-tokenizer drops white
 space and never joins across it, and normalisation composes nothing with it.
@@ -21,6 +25,7 @@ import hashlib
 import os
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +33,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from fathomlog.llm.common import materialize, slices, with_text
+from fathomlog.llm.common import materialize, pack, slices, unpack, with_text
 
 #: Text held by one chunk, whose dictionary is shared by its documents.
-CHUNK_TEXT = 24 << 20
+CHUNK_TEXT = 32 << 20
+#: How hard the traffic is compressed.
+LEVEL = 9
 #: Words whose pieces a worker remembers between batches.
 REMEMBERED = 1 << 20
 #: Letters that need no normalisation: already lower case, composed, and \p{L} in any Unicode version.
@@ -145,109 +153,148 @@ def gather(starts: np.ndarray, flat: np.ndarray, positions: np.ndarray) -> np.nd
     return flat[np.repeat(starts[positions] - ends + lengths, lengths) + np.arange(ends[-1])]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A chunk's documents (chunk, id, positions) and its words (chunk, slot, word), told apart by ``kind``."""
-    for batch in slices(batches, "text", CHUNK_TEXT):
-        offsets, positions, words = split_words(batch.column("text"))
-        chunk = uuid.uuid4().hex[:16]
-        n, k = batch.num_rows, len(words)
-        raw = positions.astype("<i4").tobytes()
-        docs = [raw[4 * a : 4 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "kind": pa.array(["doc"] * n),
-                "chunk": pa.array([chunk] * n),
-                "id": batch.column("id"),
-                "slot": pa.nulls(n, pa.int32()),
-                "word": pa.nulls(n, pa.string()),
-                "positions": pa.array(docs, pa.binary()),
-            }
-        )
-        yield pa.RecordBatch.from_pydict(
-            {
-                "kind": pa.array(["word"] * k),
-                "chunk": pa.array([chunk] * k),
-                "id": pa.nulls(k, batch.column("id").type),
-                "slot": pa.array(np.arange(k, dtype=np.int32)),
-                "word": words.cast(pa.string()),
-                "positions": pa.nulls(k, pa.binary()),
-            }
-        )
-
-
-def piece_table(spark, path: str) -> DataFrame:
-    """(id, piece): as many rows as the tokenizer has pieces."""
-    from tokenizers import Tokenizer
+def _numbers(values: np.ndarray) -> bytes:
+    """Packed integers, 7 bits to a byte: small ones, which frequent words have, take one."""
+    values = values.astype(np.uint64)
+    sizes = 1 + sum((values >= np.uint64(1 << shift)).astype(np.int64) for shift in (7, 14, 21, 28))
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    for k in range(5):
+        here = sizes > k
+        if not here.any():
+            break
+        low = (values[here] >> np.uint64(7 * k)).astype(np.int64) & 127
+        out[starts[here] + k] = low | np.where(sizes[here] > k + 1, 128, 0)
+    return pack(out.tobytes(), LEVEL)
 
-    vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
-    table = pa.table({"id": pa.array(list(vocab.values()), pa.int32()), "piece": list(vocab)})
-    return spark.createDataFrame(table)
+
+def _opened(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(unpack(packed), np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    out = np.zeros(len(ends), np.int64)
+    for k in range(5):
+        here = starts + k <= ends
+        if not here.any():
+            break
+        out[here] |= (raw[starts[here] + k].astype(np.int64) & 127) << (7 * k)
+    return out
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) for a DataFrame of distinct words."""
+_SPLIT = "chunk string, part int, words binary, ids array<{}>, counts array<int>, positions binary"
+
+
+def _chunks(parts: int, kind: pa.DataType):
+    """Splits documents: per chunk a row of positions, and one of words for each part of the table.
+
+    Slot ``i * parts + part`` is the i-th most frequent word of a part in its chunk.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", CHUNK_TEXT):
+            offsets, positions, dictionary = split_words(batch.column("text"))
+            words = dictionary.to_pylist()
+            order = np.argsort(-np.bincount(positions, minlength=len(words)), kind="stable")
+            part = np.fromiter((zlib.crc32(w.encode()) % parts for w in words), np.int64, len(words))[order]
+            by_part = np.argsort(part, kind="stable")
+            starts = np.searchsorted(part[by_part], np.arange(parts + 1))
+            slot = np.empty(len(words), np.int64)
+            slot[order[by_part]] = (np.arange(len(words)) - starts[part[by_part]]) * parts + part[by_part]
+            listed = [words[i] for i in order[by_part].tolist()]
+            chunk = uuid.uuid4().hex
+            rows = [(chunk, None, None, batch.column("id").to_pylist(), np.diff(offsets).tolist(), _numbers(slot[positions]))]
+            for p in range(parts):
+                if own := listed[starts[p] : starts[p + 1]]:
+                    rows.append((chunk, p, pack("\n".join(own).encode(), LEVEL), None, None, None))
+            kinds = (pa.string(), pa.int32(), pa.binary(), pa.list_(kind), pa.list_(pa.int32()), pa.binary())
+            names = ("chunk", "part", "words", "ids", "counts", "positions")
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return run
+
+
+def encode_parts(words: DataFrame, path: str) -> DataFrame:
+    """(of, part, lengths, flat): the ids of each chunk's words, dealt so that a word is always in one part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = word_encoder(path)
         for batch in batches:
-            ids = word_encoder(path)(batch.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            for at in range(batch.num_rows):
+                own = batch.slice(at, 1)
+                starts, flat = ragged(encode(unpack(own.column("words")[0].as_py()).decode().split("\n")))
+                packed = [pa.array([_numbers(x)], pa.binary()) for x in (np.diff(starts), flat)]
+                yield pa.RecordBatch.from_arrays([own.column("chunk"), own.column("part"), *packed], ["of", "part", "lengths", "flat"])
 
-    return words.mapInArrow(run, "word string, ids array<int>")
+    return words.mapInArrow(run, "of string, part int, lengths binary, flat binary")
 
 
-def decode_words(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(word, ids, pieces): a word's pieces in order, by joining ids to pieces."""
-    looked = (
-        encoded.select("word", F.posexplode("ids").alias("at", "id"))
-        .join(F.broadcast(pieces), "id")  # bounded by the vocabulary
-        .groupBy("word")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "id", "piece"))).alias("p"))
-    )
-    return looked.select("word", F.col("p.id").alias("ids"), F.col("p.piece").alias("pieces"))
+def pieces_of(path: str) -> list[str]:
+    """The id-to-piece table."""
+    from tokenizers import Tokenizer
+
+    vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+    out = [""] * (max(vocab.values()) + 1)
+    for piece, i in vocab.items():
+        out[i] = piece
+    return out
 
 
 def encode_documents(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids binary, decoded): ids as little-endian 32-bit integers; decoded: the pieces with one space between."""
-    return _assembled(df, path, id_col, text_col, "ids binary, decoded string", lambda ids, text: (ids.astype("<u4").tobytes(), text()))
+    """(id, ids array<int>, decoded): decoded is the pieces with one space between, as of a tokenizer without decoder."""
+    make = lambda ids, decoded: (ids, decoded)
+    return _assembled(df, path, id_col, text_col, {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}, make, as_text=False)
 
 
 def encode_digests(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): as ``encode_documents``, of which only digests leave the tasks."""
-    return _assembled(df, path, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", None)
+    make = lambda n, ids, decoded: (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    columns = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    return _assembled(df, path, id_col, text_col, columns, make, as_text=True)
 
 
-def _assembled(df: DataFrame, path: str, id_col: str, text_col: str, out: str, make) -> DataFrame:
+def _assembled(df: DataFrame, path: str, id_col: str, text_col: str, columns: dict, make, *, as_text: bool) -> DataFrame:
+    """Split, encode and join back; ``make`` turns a document's ids and decoded text into ``columns``."""
     spark = df.sparkSession
-    kind = df.schema[id_col].dataType.simpleString()
+    kind = df.schema[id_col].dataType
+    name = kind.simpleString()
+    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = with_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-    split = materialize(docs.mapInArrow(_chunks, f"kind string, chunk string, id {kind}, slot int, word string, positions binary"), "kind")
-    words = split.where("kind = 'word' and word <> ''").select("chunk", "slot", "word")
-    table = decode_words(encode_words(words.select("word").distinct(), path), piece_table(spark, path))
-    slots = words.join(table, "word").select("chunk", "slot", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), F.array_join("pieces", " ").alias("pieces"))
-    texts = split.where("kind = 'doc'").select(F.col("chunk").alias("of"), "id", "positions")
-    names = [x.split()[0] for x in out.split(", ")]
-
-    def join_back(docs: pa.Table, slots: pa.Table) -> pa.Table:
-        at = slots.column("slot").to_numpy()
-        size = int(at.max()) + 1 if len(at) else 0
-        ids, pieces = [""] * size, [""] * size
-        for i, x, y in zip(at.tolist(), slots.column("ids").to_pylist(), slots.column("pieces").to_pylist(), strict=True):
-            ids[i], pieces[i] = x, y
-        counts = np.fromiter((x.count(" ") + 1 for x in ids), np.int64, size)
-        rows = []
-        for raw in docs.column("positions").to_pylist():
-            places = np.frombuffer(raw, "<i4")
-            listed = places.tolist()
-            joined = " ".join([ids[i] for i in listed])
-            if make is None:
-                text = " ".join([pieces[i] for i in listed])
-                rows.append((int(counts[places].sum()), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-            else:
-                rows.append(make(np.array(joined.split(), np.int64), lambda: " ".join([pieces[i] for i in listed])))  # noqa: B023
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-        types = {"ids": pa.binary(), "n_tokens": pa.int64()}
-        return pa.table({"id": docs.column("id")} | {n: pa.array(c, types.get(n, pa.string())) for n, c in zip(names, columns, strict=True)})
-
+    split = materialize(docs.mapInArrow(_chunks(parts, to_arrow_type(kind)), _SPLIT.format(name)))
+    words = split.where("part is not null").select("chunk", "part", "words").repartition("part")
+    texts = split.where("part is null").select("chunk", "ids", "counts", "positions")
+    encoded = encode_parts(words, path)
+    table = spark.sparkContext.broadcast(pieces_of(path))  # as many entries as the vocabulary
+
+    def join_back(texts: pa.Table, encoded: pa.Table) -> pa.Table:
+        pieces = table.value
+        held: list[tuple[int, np.ndarray, np.ndarray]] = [
+            (p, _opened(n), _opened(f))
+            for p, n, f in zip(encoded.column("part").to_pylist(), encoded.column("lengths").to_pylist(), encoded.column("flat").to_pylist(), strict=True)
+        ]
+        size = max(((len(n) - 1) * parts + p + 1 for p, n, _ in held), default=0)
+        lengths, ids, decoded = np.zeros(size, np.int64), [""] * size, [""] * size
+        for p, n, flat in held:
+            ends = np.cumsum(n).tolist()
+            listed, start = flat.tolist(), 0
+            lengths[p::parts][: len(n)] = n
+            for i, end in enumerate(ends):
+                own, start = listed[start:end], end
+                ids[i * parts + p] = " ".join(map(str, own))
+                decoded[i * parts + p] = " ".join([pieces[k] for k in own])
+        keys, rows = [], []
+        for own, counts, packed in zip(texts.column("ids").to_pylist(), texts.column("counts").to_pylist(), texts.column("positions").to_pylist(), strict=True):
+            places, at = _opened(packed), 0
+            for key, count in zip(own, counts, strict=True):
+                here = places[at : at + count]
+                at += count
+                listed = here[lengths[here] > 0].tolist()  # a word of control characters may have no ids
+                text = " ".join([ids[i] for i in listed])
+                back = " ".join([decoded[i] for i in listed])
+                keys.append(key)
+                rows.append(make(int(lengths[here].sum()), text, back) if as_text else make(list(map(int, text.split())), back))
+        out = list(zip(*rows, strict=True)) if rows else [[] for _ in columns]
+        return pa.table({"id": pa.array(keys, to_arrow_type(kind))} | {n: pa.array(v, t) for (n, (_, t)), v in zip(columns.items(), out, strict=True)})
+
+    schema = f"id {name}, " + ", ".join(f"{n} {t}" for n, (t, _) in columns.items())
     # A chunk holds CHUNK_TEXT of text at most (or one document), so a group's size is bounded.
-    made = texts.groupBy("of").cogroup(slots.groupBy("chunk")).applyInArrow(join_back, f"id {kind}, {out}")
-    return made.withColumnRenamed("id", id_col)
+    return texts.groupBy("chunk").cogroup(encoded.groupBy("of")).applyInArrow(join_back, schema).withColumnRenamed("id", id_col)
