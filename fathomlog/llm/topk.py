@@ -64,7 +64,7 @@ class SortedLists:
             kth = np.partition(scores, -k)[-k] if len(scores) >= k else -np.inf
             fits = np.flatnonzero(bounds[i] < kth)
             depth = int(self.depths[fits[0]]) + 1 if len(fits) else n
-            if depth * np.count_nonzero(query) > WORTH * n:
+            if not query.any() or depth * np.count_nonzero(query) > WORTH * n:
                 whole.append(i)
                 continue
             if depth > FIRST:
