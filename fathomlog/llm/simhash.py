@@ -56,15 +56,16 @@ def fingerprint(text: str, words: int, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp): fp as a signed 64-bit integer."""
+    """(id, text_hash, fp): a row is told apart by its id and its text's hash; fp is a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(fps.view(np.int64))], ["id", "text_hash", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return with_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").mapInArrow(run, f"id {kind}, fp long")
+    rows = with_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
+    return rows.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"id {kind}, text_hash long, fp long")
 
 
 def _grid(fp: str) -> str:
@@ -100,7 +101,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp, component_id): the smallest id reachable over links of 2 bits or fewer."""
+    """(id, text_hash, fp, component_id): the smallest id reachable over links of 2 bits or fewer."""
     rows = materialize(fingerprints(df, id_col=id_col, text_col=text_col, words=words))
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")))
     roots = connected_components(links(distinct.select("fp")))
@@ -109,12 +110,13 @@ def near_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     # Only fingerprints of more than one row are looked up; others are their own component.
     shared = materialize(own.select("fp", "root").join(least.where("n > 1").select("root", "component_id"), "root").select("fp", "component_id"))
     return rows.join(broadcast_if_small(shared, 24), "fp", "left").select(
-        F.col("id").alias(id_col), "fp", F.when(F.col("component_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+        F.col("id").alias(id_col), "text_hash", "fp", F.when(F.col("component_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """``df`` with one row of each component, that of the smallest id; all columns as they were."""
+    """``df`` with one document of each component, that of the smallest id; all columns as they were."""
     gone = near_groups(df, id_col=id_col, text_col=text_col, words=words).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
-    gone = materialize(gone.select(F.col(id_col).alias("__id")).distinct())
-    return df.join(broadcast_if_small(gone, 16), df[id_col].eqNullSafe(gone["__id"]), "left_anti")
+    gone = materialize(gone.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return df.join(broadcast_if_small(gone, 32), df[id_col].eqNullSafe(gone["__id"]) & (own == gone["__hash"]), "left_anti")
