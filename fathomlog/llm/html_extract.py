@@ -80,7 +80,7 @@ def _skips(name: str, rest: str, in_article: bool) -> str:
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(tag, text, link) of what may be article: a tag name (closing ones with /) or a stretch of text."""
+    """(tag, text, link) of what may be article: a tag name (closing ones with /, those within an article with @) or a stretch of text."""
     skipping, depth, why = "", 0, ""
     links = 0
     article = 0
@@ -101,7 +101,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             if depth == 0 or opens or ends_p or (name in ("body", "html") and closing):
                 skipping = ""
                 if not (opens or ends_p):
-                    yield ("/" if closing else "") + name, "", False
+                    yield ("/" if closing else "") + name + ("@" if article else ""), "", False
                     continue
             else:
                 continue
@@ -111,7 +111,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             links = 0 if closing else 1
         if not closing and name not in VOID and (why := _skips(name, m["rest"], article > 0)):
             skipping, depth = name, 1
-        yield ("/" if closing else "") + name, "", False
+        # Tags within an article are weighed apart: there they rarely lead out of it.
+        inner = "@" if article and name not in ("article", "main") else ""
+        yield ("/" if closing else "") + name + inner, "", False
 
 
 @lru_cache(1)
@@ -127,7 +129,7 @@ def weights() -> dict[str, float]:
         odds = math.log((inside[name] + 0.5) / (outside[name] + 0.5))
         out[name] = max(0.1, min(1.0, odds)) if name.endswith("word") else min(-0.05, max(-6.0, odds))
     out["link word"] = min(out["link word"], 0.3)
-    out["other"] = -0.5
+    out["other"], out["other@"] = -0.5, -0.05
     return out
 
 
@@ -142,7 +144,8 @@ def main_text(page: str) -> str:
     best_to = -1
     for i, (tag, text, link) in enumerate(tokens(page)):
         if tag:
-            total += score_of.get(tag, other)
+            total += score_of.get(tag, score_of["other@"] if tag.endswith("@") else other)
+            tag = tag.rstrip("@")
             if tag.lstrip("/") in BLOCKS:
                 if blocks[-1]:
                     blocks.append([])

@@ -18,6 +18,8 @@ TEMPLATES = (
     "<td><a>$w $w</a><br><a>$w $w</a></td></tr></table></body>",
     "<body><div><a>$w</a></div><div><a>$w</a></div><section>[[<h1>$w</h1><p>$s</p><blockquote>$s $s</blockquote><p>$s</p>]]</section>"
     "<div><div><a>$w $w $w</a></div><div><a>$w $w</a></div></div><form><input><button>$w</button></form></body>",
+    "<body><nav><a>$w</a></nav><main><article>[[<header><h1>$w</h1></header><div><p>$s</p><figure><figcaption>$s</figcaption></figure><h2>$w</h2><p>$s <a>$w</a></p>"
+    "<section><h3>$w</h3><ul><li><a>$w</a> $w</li><li>$w</li></ul></section><table><tr><td>$w</td><td>$w</td></tr></table></div>]]</article></main><footer>$w</footer></body>",
     "<body><nav><a>$w</a><a>$w</a></nav><article>[[<h1>$w $w $w $w</h1><p>$s</p>]]</article><footer>$w $w $w</footer></body>",
 )
 SENTENCE = "of the and words that a writer puts in one plain sentence"
