@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomlog.functions.canonical_json import canonical
+
 
 @dataclass(frozen=True)
 class ScopeClass:
@@ -124,3 +126,30 @@ def deny_all(requests: DataFrame) -> DataFrame:
 
 def empty_index(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "key string, parent string")
+
+
+def assignment_id(user_id: str, role: str, scope: dict) -> str:
+    """The aggregate id of an assignment: canonical text of what it says."""
+    return canonical({"user_id": user_id, "role": role, "scope": scope})
+
+
+def check_seed(seed: dict, known: set[str]) -> list[str]:
+    """What is wrong with a permission seed {roles, grants}: roles listed twice, grants of unknown roles or permissions."""
+    roles, grants = seed.get("roles") or [], seed.get("grants") or {}
+    out = [f"role {r} is listed twice" for r in sorted({r for r in roles if roles.count(r) > 1})]
+    out += [f"grants for the unknown role {r}" for r in sorted(set(grants) - set(roles))]
+    out += [f"unknown permission {p} for {r}" for r in sorted(grants) for p in grants[r] if p not in known]
+    return out
+
+
+def watch(changes: DataFrame, sessions: DataFrame) -> DataFrame:
+    """(session_id, action) for changes of assignments and grants: losing one closes a session, gaining one makes its data stale.
+
+    changes: (event_type, user_id, role), user null for changes of a role's grants. sessions: (session_id, user_id, role).
+    A change that can't be told apart closes too.
+    """
+    s = sessions.withColumnsRenamed({"user_id": "s_user", "role": "s_role"})
+    touched = s.join(changes, (F.col("s_role") == F.col("role")) & (F.col("user_id").isNull() | (F.col("user_id") == F.col("s_user"))))
+    gains = F.col("event_type").isin("role_assigned", "permission_granted")
+    action = F.when(F.bool_and(gains), "stale").otherwise("close")
+    return touched.groupBy("session_id").agg(action.alias("action"))

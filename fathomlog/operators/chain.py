@@ -59,7 +59,7 @@ def storage_link_break(log: DataFrame, *, chain: list[str] | None = None) -> Dat
     wrong_hash = F.when(first, F.col("previous_ingest_hash").isNotNull()).when(
         F.col("b_next").isNotNull(), ~F.col("previous_ingest_hash").eqNullSafe(F.col("b_hash"))
     ).otherwise(False)
-    detail = F.when(wrong_place, "position").otherwise("previous_hash")
+    detail = F.when(wrong_place, "ingest_sequence_number").otherwise("previous_ingest_hash")
     return _found(joined.where(wrong_place | wrong_hash), "storage_link_break", detail)
 
 
@@ -107,7 +107,7 @@ def parent_invalid(log: DataFrame) -> DataFrame:
     parents = log.select("*", F.explode("causal.parents").alias("__parent"))
     joined = parents.join(held, F.col("__parent.event_id") == F.col("p_id"))
     why = (
-        F.when(~F.col("p_hash").eqNullSafe(F.col("__parent.event_hash")), "other_hash")
+        F.when(~F.col("p_hash").eqNullSafe(F.col("__parent.event_hash")), "held_under_other_hash")
         .when(F.col("p_agg") != F.col("aggregate_id"), "other_aggregate")
         .when(F.col("p_causal.kind") == "annotation", "annotation")
         .when(~F.col("p_causal.eligible"), "ineligible")

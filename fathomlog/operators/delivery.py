@@ -155,3 +155,92 @@ def channel_wide_sent(items: DataFrame, generation: int) -> DataFrame:
     """(event_id) in pending or wedged items, or sent under this generation: not to be queued again."""
     open_or_sent = F.col("final_status").isNull() | (F.col("final_status") == "wedged") | ((F.col("final_status") == "sent") & (F.col("delivery_generation") == generation))
     return items.where(open_or_sent).select(F.explode("events").alias("e")).select("e.event_id").distinct()
+
+
+# What a receiver's answer means, and what follows from requests about schedules and holds.
+
+
+def read_answers(answers: DataFrame) -> DataFrame:
+    """``answers`` with ``reading``.
+
+    Columns: recorded_receiver and responding (databases), own_number and own_hash (what the sender has recorded of the
+    receiver), number and hash (what the receiver answered), fence_number and fence_hash (what is being sent),
+    attempted (the sender attempted or sent that delivery), resendable, marked_sent (something was marked sent at that number).
+    """
+    other = F.col("recorded_receiver").isNotNull() & (F.col("recorded_receiver") != F.col("responding"))
+    ahead, behind = F.col("number") > F.col("own_number"), F.col("number") < F.col("own_number")
+    fenced = F.col("fence_number").eqNullSafe(F.col("number")) & F.col("fence_hash").eqNullSafe(F.col("hash"))
+    reading = (
+        F.when(other, "unexplained")
+        .when(ahead & F.col("attempted") & fenced, "acknowledged")
+        .when(ahead & F.col("attempted"), "adopted")
+        .when((F.col("number") == F.col("own_number")) & F.col("hash").eqNullSafe(F.col("own_hash")), "in_step")
+        .when(behind & F.col("resendable"), "receiver_behind")
+        .when(ahead & ~F.col("marked_sent"), "sender_regressed")
+        .otherwise("unexplained")
+    )
+    return answers.withColumn("reading", reading)
+
+
+def start_change(held, when, wedged: bool = False, pending_upper=None) -> tuple[str, tuple | None]:
+    """What setting a start date does: (``first`` | ``gap`` | ``unchanged``, the replay's [start, upper)).
+
+    A start is never moved later, nor earlier while the queue is wedged; a gap still to be replayed keeps the larger bound.
+    """
+    if held is None:
+        return "first", (when, None)
+    if when == held:
+        return "unchanged", None
+    if when > held:
+        raise ValueError("a start date can't move later")
+    if wedged:
+        raise ValueError("the queue is wedged")
+    return "gap", (when, max(held, pending_upper) if pending_upper else held)
+
+
+def end_change(end, now) -> str:
+    return "closed" if end <= now else "scheduled"
+
+
+def release_hold(state: str | None, held_id: str | None, asked_id: str) -> str:
+    """What asking for a key's release does: ``stale`` (another hold is there, or none), ``releasing_already`` or ``releasing``."""
+    if state is None or held_id != asked_id:
+        return "stale"
+    return "releasing_already" if state == "releasing" else "releasing"
+
+
+def due_for_release(held: DataFrame, lists: DataFrame, fill_position: int, *, replay_pending: bool = False) -> DataFrame:
+    """(key, sequence_number, event_id): the front of each releasing key's list, if the fill has come that far.
+
+    held: (key, state); lists: (key, sequence_number, event_id).
+    """
+    front = lists.join(held.where("state = 'releasing'").select("key"), "key", "left_semi")
+    front = front.groupBy("key").agg(F.min(F.struct("sequence_number", "event_id")).alias("e")).select("key", "e.*")
+    return front.where((F.col("sequence_number") <= fill_position) & F.lit(not replay_pending))
+
+
+def route_held(admitted: DataFrame, lists: DataFrame, held: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """Events of held keys go to their lists, each once; the others are left to be queued."""
+    listed = admitted.join(held.select(key), key, "left_semi").select(key, "sequence_number", "event_id")
+    return admitted.join(held.select(key), key, "left_anti"), lists.union(listed).dropDuplicates([key, "event_id"])
+
+
+def delivery_status(schedules: DataFrame, items: DataFrame, heartbeats: DataFrame) -> DataFrame:
+    """One row per destination: its schedule, what waits, its head, and when its drainer was last heard of."""
+    waits = items.where("final_status is null").groupBy("destination_id").agg(F.count("*").alias("pending"))
+    heads = queue_heads(items).select("destination_id", F.col("sequence_in_queue").alias("head"), F.col("final_status").alias("head_status"))
+    out = schedules.join(waits, "destination_id", "left").join(heads, "destination_id", "left").join(heartbeats, "destination_id", "left")
+    return out.withColumn("pending", F.coalesce("pending", F.lit(0)))
+
+
+def deliver(stream: DataFrame, send, path: str, *, size: int = 500):
+    """A streaming query that hands each micro-batch to a sink, in the order of positions, ``size`` events to a delivery.
+
+    send(events, epoch) takes a DataFrame of one micro-batch with its ``batch`` column, and must take a batch
+    that comes again (after a failure) as the one it knows.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        send(batches(batch, size), epoch)
+
+    return stream.writeStream.option("checkpointLocation", path).foreachBatch(run).trigger(availableNow=True).start()

@@ -2,14 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomlog.functions.canonical_json import content_hash
 
 # Who detects, and what a finding's evidence holds by kind.
 ROLES = ("ingest", "restore", "sender", "walk", "fold")
-CHAIN_KINDS = ("hash_mismatch", "sequence_missing", "storage_link_break", "predecessor_break", "position_reused", "fork_unrecorded", "parent_invalid", "parents_not_stamped", "fold_failed")
+EVIDENCE = {
+    "undeclared_event_type": ("event_id", "entry_type", "event_type", "origin_database_id"),
+    "fork_unrecorded": ("database_id", "previous_event_hash"),
+    "position_reused": ("database_id", "origin_sequence_number"),
+    "hash_mismatch": ("event_id", "carried_hash", "recomputed_hash"),
+    "predecessor_break": ("database_id", "event_hash", "previous_event_hash"),
+    "identity_mismatch": ("event_id", "held_hash", "record"),
+    "event_malformed": ("reason", "record"),
+    "delivery_hash_mismatch": ("channel", "delivery_number", "carried_hash", "recomputed_hash"),
+    "own_event_ingested": ("event_id", "sealed_hash", "record"),
+    "foreign_event": ("channel", "delivery_number", "event_id", "sealed_hash"),
+    "channel_unexplained": ("channel", "sender_record", "receiver_record", "recorded_receiver_database_id", "responding_receiver_database_id"),
+    "sender_regressed": ("channel", "sender_record", "receiver_record", "recorded_receiver_database_id", "responding_receiver_database_id"),
+    "restore_unverified": ("channel", "delivery_number", "event_id", "check"),
+    "succession_ahead": ("channel", "receiver_record", "succession_record"),
+    "storage_link_break": ("local_sequence_number", "event_id", "field", "expected", "actual"),
+    "sequence_missing": ("local_sequence_number",),
+    "parent_invalid": ("local_sequence_number", "event_id", "parent", "reason"),
+    "parents_not_stamped": ("local_sequence_number", "event_id", "expected", "actual"),
+    "fold_failed": ("view", "definition_fingerprint", "event_id", "sealed_hash", "reason"),
+}
+CLOSED = {
+    ("event_malformed", "reason"): ("record_malformed", "unstorable_character", "reserved_type_undeclared", "audit_identity_invalid"),
+    ("restore_unverified", "check"): ("delivery_link", "delivery_hash", "originator", "receiver_entry"),
+    ("storage_link_break", "field"): ("ingest_sequence_number", "previous_ingest_hash"),
+    ("parent_invalid", "reason"): ("other_aggregate", "annotation", "ineligible", "held_under_other_hash"),
+    ("fold_failed", "reason"): ("promoter_failed", "row_key_failed", "row_data_failed", "derived_field_failed", "row_write_failed"),
+}
 #: Kinds that mark by an origin's position rather than by the event they name.
 THRESHOLD_KINDS = ("position_reused", "fork_unrecorded")
 
@@ -21,6 +48,30 @@ def finding_id(database_id: str, role: str, kind: str, evidence: dict) -> str:
     return content_hash({"database_id": database_id, "role": role, "kind": kind, "evidence": evidence})
 
 
+def valid_evidence(kind: str = "kind", evidence: str = "evidence") -> Column:
+    """Whether a finding's evidence (JSON) has exactly its kind's keys, and only known values where they are closed."""
+    keys = F.array_sort(F.json_object_keys(evidence))
+    ok = F.lit(False)
+    for name, fields in EVIDENCE.items():
+        own = keys == F.array(*(F.lit(f) for f in sorted(fields)))
+        for (of, field), values in CLOSED.items():
+            if of == name:
+                own &= F.coalesce(F.get_json_object(evidence, f"$.{field}").isin(*values), F.lit(False))
+        ok = F.when(F.col(kind) == name, own).otherwise(ok)
+    return F.coalesce(ok, F.lit(False))
+
+
+def fold_findings(failures: DataFrame, log: DataFrame, view: str, fingerprint: str) -> DataFrame:
+    """(kind, evidence) of what a fold skipped; a failure on a finding about a failed fold makes none.
+
+    failures: (sequence_number, reason); log: with entry_type, data, event_id and sealed_hash.
+    """
+    skipped = failures.where("reason is not null").select("sequence_number", "reason").join(log, "sequence_number")
+    about_fold = (F.col("entry_type") == "system.security_finding") & (F.get_json_object("data", "$.kind") == "fold_failed")
+    evidence = F.to_json(F.struct(F.lit(view).alias("view"), F.lit(fingerprint).alias("definition_fingerprint"), F.col("event_id").cast("string").alias("event_id"), "sealed_hash", "reason"))
+    return skipped.where(~F.coalesce(about_fold, F.lit(False))).select(F.lit("fold_failed").alias("kind"), evidence.alias("evidence"))
+
+
 def new_findings(found: DataFrame, held: DataFrame) -> DataFrame:
     """Findings whose id isn't held yet, each once."""
     return found.dropDuplicates(["finding_id"]).join(held.select("finding_id"), "finding_id", "left_anti")

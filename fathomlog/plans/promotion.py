@@ -23,7 +23,7 @@ class Rename:
         if self.source not in data:
             return data
         if self.target in data:
-            raise FoldFailure("promoter", f"{self.target} is there already")
+            raise FoldFailure("promoter_failed", f"{self.target} is there already")
         return {(self.target if k == self.source else k): v for k, v in data.items()}
 
 
@@ -84,7 +84,7 @@ class Promotions:
             elif at[0] == end[0] or (majors and at < majors[0]):
                 at = (at[0], at[1] + 1)
             else:
-                raise FoldFailure("promoter", f"no step leads on from {at} to {end}")
+                raise FoldFailure("promoter_failed", f"no step leads on from {at} to {end}")
         return out
 
     def promote(self, view: str, entry_type: str, start: Version, end: Version, data: dict, row: dict | None = None) -> dict:

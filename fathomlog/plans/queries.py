@@ -377,7 +377,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {_LINES} SELECT 'storage_link_break' AS kind, event_id, 'previous_hash' AS detail FROM (SELECT *, lag(event_hash) OVER (PARTITION BY origin_db ORDER BY sequence_number) AS b,
+@query(f"""WITH {_LINES} SELECT 'storage_link_break' AS kind, event_id, 'previous_ingest_hash' AS detail FROM (SELECT *, lag(event_hash) OVER (PARTITION BY origin_db ORDER BY sequence_number) AS b,
     lag(sequence_number) OVER (PARTITION BY origin_db ORDER BY sequence_number) AS p FROM lines)
     WHERE (sequence_number = 1 AND previous_ingest_hash IS NOT NULL) OR (sequence_number > 1 AND p = sequence_number - 1 AND previous_ingest_hash IS DISTINCT FROM b)""")
 def chain_links(spark, sf_dir):
@@ -434,7 +434,7 @@ def chain_parents_stamped(spark, sf_dir):
 
 
 @query(f"""WITH {_CAUSAL} SELECT CAST(d.event_id AS VARCHAR) AS event_id, CAST(p.event_id AS VARCHAR) || ':' ||
-    CASE WHEN d.event_id % 37 = 0 THEN 'other_hash' WHEN p.user_id <> d.user_id THEN 'other_aggregate' WHEN p.event_id % 31 = 0 THEN 'annotation' ELSE 'ineligible' END AS detail
+    CASE WHEN d.event_id % 37 = 0 THEN 'held_under_other_hash' WHEN p.user_id <> d.user_id THEN 'other_aggregate' WHEN p.event_id % 31 = 0 THEN 'annotation' ELSE 'ineligible' END AS detail
     FROM d JOIN log p ON p.event_id = CASE WHEN d.event_id % 41 = 0 THEN d.event_id - 1 ELSE d.due END
     WHERE d.event_id % 37 = 0 OR p.user_id <> d.user_id OR p.event_id % 31 = 0 OR p.event_type <> 'purchase'""")
 def chain_parent_invalid(spark, sf_dir):

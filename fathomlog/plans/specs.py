@@ -75,7 +75,7 @@ def _resolve(event: dict, path: str, item: Any = MISSING) -> str:
     else:
         found = at_path(event["data"], path.removeprefix("data."))
     if found is MISSING or found is None:
-        raise FoldFailure("row_key", f"{path} leads to nothing")
+        raise FoldFailure("row_key_failed", f"{path} leads to nothing")
     return str(found).lower() if isinstance(found, bool) else str(found)
 
 
@@ -102,7 +102,7 @@ class ListedKeys:
         if items is None:
             return []
         if not isinstance(items, list) or not all(isinstance(x, dict) for x in items):
-            raise FoldFailure("row_key", f"{self.list_field} is no list of objects")
+            raise FoldFailure("row_key_failed", f"{self.list_field} is no list of objects")
         return [Composite(self.paths)(event, item) for item in items]
 
 
@@ -122,7 +122,7 @@ class PayloadField:
     def __call__(self, event: dict) -> dict:
         value = event["data"].get(self.name, {})
         if not isinstance(value, dict):
-            raise FoldFailure("row_data", f"{self.name} is no object")
+            raise FoldFailure("row_data_failed", f"{self.name} is no object")
         return dict(value)
 
 
@@ -152,7 +152,7 @@ class ListLength:
         if value is None:
             return {}
         if not isinstance(value, list):
-            raise FoldFailure("row_data", f"{self.source} is no list")
+            raise FoldFailure("row_data_failed", f"{self.source} is no list")
         return {self.name: len(value)}
 
 

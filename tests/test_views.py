@@ -150,7 +150,7 @@ def test_failures_skip_the_event_for_the_view(spark):
     log = [event(1, "i1", "added", {"k": "a", "v": 1}, "item"), event(2, "i1", "added", {"v": 1}, "item"), event(3, "i1", "added", {"k": "b", "v": 1}, "item")]
     got = folds.fold(spark.createDataFrame(log, LOG), ITEMS).collect()
     assert sorted(r.row_key for r in got if r.row_json) == ["a", "b"]
-    assert [(r.sequence_number, r.reason, r.source_aggregate_id) for r in got if r.reason] == [(2, "row_key", "i1")]
+    assert [(r.sequence_number, r.reason, r.source_aggregate_id) for r in got if r.reason] == [(2, "row_key_failed", "i1")]
 
 
 def steps():
