@@ -31,13 +31,15 @@ from fathomlog.llm.word_bpe import gather, ragged, split_words, word_encoder
 
 SALTS = 64
 CHUNK_TEXT = 16 << 20
+#: Parts of words whose ids a worker remembers from batch to batch.
+REMEMBERED = 1 << 19
 
 
 def pieces(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, separator: int = 0) -> DataFrame:
     """(id, piece, start, length, ids_crc32) of every document's ids with the separator after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(path)
+        encode = word_encoder(path, REMEMBERED)
         for batch in slices(batches, "text", CHUNK_TEXT):
             offsets, positions, words = split_words(batch.column("text"))
             starts, flat = ragged(encode(words.to_pylist()))

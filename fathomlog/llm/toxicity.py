@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A text is read in overlapping windows of words. A word's input is an embedding of the
-word and the mean of embeddings of its character trigrams; two gated recurrent units
+word, the mean of embeddings of its first characters (stems of three to six), and that of
+its character trigrams; two gated recurrent units
 read a window forwards and backwards, attention pools their states, and a logistic
 output scores the window. A document's score is that of its worst window; every window
 of the whole text is scored.
@@ -12,8 +13,8 @@ and applies the gates for all windows at once.
 
 Training (numpy, Adam, backpropagation through time) sees documents as bags of windows:
 the worst window of a toxic document and the worst and random ones of a clean one, chosen
-anew each round. Embeddings of words start with the word's log-odds in the sample; words that
-are rare there are known by their trigrams alone.
+anew each round. Embeddings of words and stems start with their log-odds in the sample; those
+that are rare there have none, and the word's trigrams alone speak for it.
 
 Defined results: a null text is empty; a text without words gets the score of a window
 without words; repeated rows get the same score; without labelled rows of both classes
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 
 from fathomlog.llm.common import slices, with_text
 from fathomlog.llm.training import labelled_sample
-from fathomlog.llm.word_bpe import split_words
+from fathomlog.llm.word_bpe import gather, ragged, split_words
 
 WINDOW, STRIDE = 32, 24
-#: Words of the sample that have an embedding of their own: the most frequent ones, in this share of documents at least.
+#: Lengths of stems, and numbers of a stem's embedding.
+STEMS, STEM_DIM = (3, 4, 5, 6), 4
+#: Words (and stems) of the sample that have an embedding of their own: the most frequent ones, in this share of documents at least.
 VOCABULARY, RARE, WORD_DIM = 20_000, 0.01, 6
 #: Pull of the embeddings towards zero, and optimizer steps in a round, at least.
 DECAY, STEPS = 3e-4, 40
@@ -84,28 +87,33 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Parameters by name, all float32; ``share`` stands in for a model that could not be fitted."""
 
-    def __init__(self, vocabulary: list[str] = (), seed: int = 3):
+    def __init__(self, vocabulary: list[str] = (), stems: list[str] = (), seed: int = 3):
         rng = np.random.default_rng(seed)
         made = lambda *shape, s=0.3: rng.normal(0, s, shape).astype(np.float32)
-        d, h = WORD_DIM + GRAM_DIM, HIDDEN
+        d, h = WORD_DIM + GRAM_DIM + STEM_DIM, HIDDEN
+        self.stems = {w: i + 1 for i, w in enumerate(stems)}
         self.rows = {w: i + 1 for i, w in enumerate(vocabulary)}  # row 0 is for all other words, and stays zero
         self.p = {"word": made(len(self.rows) + 1, WORD_DIM, s=0.05), "gram": made(GRAMS, GRAM_DIM, s=0.1), "attend": made(2 * h), "out": made(2 * h), "bias": np.full(1, -1.0, np.float32)}
-        self.p["word"][0] = 0
+        self.p["stem"] = made(len(self.stems) + 1, STEM_DIM, s=0.05)
+        self.p["word"][0] = self.p["stem"][0] = 0
         for side in "fb":
             self.p |= {f"w{side}": made(d, 3 * h), f"u{side}": made(h, 3 * h), f"c{side}": np.zeros(3 * h, np.float32)}
         self.share: float | None = None
 
-    def word_inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(embedding row, trigram buckets, trigram offsets) of distinct words."""
+    def word_inputs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(embedding row, trigram buckets, trigram offsets, stem rows) of distinct words."""
         known = bare(words)
-        return np.fromiter((self.rows.get(w, 0) for w in known), np.int64, len(known)), *trigrams(known)
+        get = self.stems.get
+        stems = np.column_stack([np.fromiter((get(w[:k], 0) if len(w) >= k else 0 for w in known), np.int64, len(known)) for k in STEMS])
+        return np.fromiter((self.rows.get(w, 0) for w in known), np.int64, len(known)), *trigrams(known), stems
 
-    def embed(self, row: np.ndarray, grams: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def embed(self, row: np.ndarray, grams: np.ndarray, at: np.ndarray, stems: np.ndarray) -> np.ndarray:
         """Inputs of distinct words, with a row of zeros (no word) before them."""
-        x = np.zeros((len(row) + 1, WORD_DIM + GRAM_DIM), np.float32)
+        x = np.zeros((len(row) + 1, WORD_DIM + GRAM_DIM + STEM_DIM), np.float32)
         if len(row):
             x[1:, :WORD_DIM] = self.p["word"][row]
-            x[1:, WORD_DIM:] = np.add.reduceat(self.p["gram"][grams], at[:-1], axis=0) / np.diff(at)[:, None]
+            x[1:, -STEM_DIM:] = self.p["stem"][stems].sum(axis=1) / np.maximum((stems > 0).sum(axis=1), 1)[:, None]
+            x[1:, WORD_DIM:-STEM_DIM] = np.add.reduceat(self.p["gram"][grams], at[:-1], axis=0) / np.diff(at)[:, None]
         return x
 
     def tables(self, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -141,7 +149,7 @@ class Network:
 
     def gradients(self, words: tuple, places: np.ndarray, target: np.ndarray, importance: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean logistic loss over windows, by backpropagation through time."""
-        row, grams, at = words
+        row, grams, at, stems = words
         x = self.embed(*words)
         logits, states, attention, pooled, kept, real = self.forward(self.tables(x), places, keep=True)
         error = ((_sigmoid(logits) - target) * importance / len(target)).astype(np.float32)
@@ -174,7 +182,12 @@ class Network:
         out["word"], out["gram"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["gram"])
         np.add.at(out["word"], row, d_x[:, :WORD_DIM])
         out["word"][0] = 0
-        np.add.at(out["gram"], grams, np.repeat(d_x[:, WORD_DIM:] / np.diff(at)[:, None], np.diff(at), axis=0))
+        d_stem = d_x[:, -STEM_DIM:] / np.maximum((stems > 0).sum(axis=1), 1)[:, None]
+        out["stem"] = np.zeros_like(self.p["stem"])
+        for k in range(len(STEMS)):
+            np.add.at(out["stem"], stems[:, k], d_stem)
+        out["stem"][0] = 0
+        np.add.at(out["gram"], grams, np.repeat(d_x[:, WORD_DIM:-STEM_DIM] / np.diff(at)[:, None], np.diff(at), axis=0))
         return out
 
     def score_windows(self, x: np.ndarray, positions: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -210,6 +223,22 @@ def place_rows(padded: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.
     return np.where(step < length, padded[start + step], 0)
 
 
+def _log_odds(row: np.ndarray, positions: np.ndarray, names: list[list[str]], target: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """What the words (given by their names) of enough documents are called, and the log-odds of those documents being toxic."""
+    number: dict[str, int] = {}
+    listed = [[number.setdefault(n, len(number)) for n in own] for own in names]
+    starts, flat = ragged(listed)
+    counts = starts[positions + 1] - starts[positions]
+    pairs = np.unique(np.repeat(row, counts) * max(1, len(number)) + gather(starts, flat, positions))
+    of, name = np.divmod(pairs, max(1, len(number)))
+    toxic, clean = (np.bincount(name, weights=target[of] == v, minlength=len(number)) for v in (1, 0))
+    frequent = np.argsort(-(toxic + clean), kind="stable")[:VOCABULARY]
+    frequent = frequent[(toxic + clean)[frequent] >= max(4, RARE * len(target))]
+    odds = np.log((toxic + 0.5) / (target.sum() + 1)) - np.log((clean + 0.5) / ((1 - target).sum() + 1))
+    called = list(number)
+    return [called[i] for i in frequent], np.clip(odds, -3, 3)[frequent]
+
+
 def fit(texts: list[str], target: np.ndarray, *, rounds: int = 5, rate: float = 0.01, seed: int = 3) -> Network:
     """Train on documents; each round picks windows with the model as it is."""
     share = float(target.mean()) if len(target) else 0.5
@@ -220,19 +249,11 @@ def fit(texts: list[str], target: np.ndarray, *, rounds: int = 5, rate: float =
     rng = np.random.default_rng(seed)
     offsets, positions, words = split_words(pa.array(texts, pa.string()))
     known = bare(words.to_pylist())
-    number = {w: i for i, w in enumerate(dict.fromkeys(known))}
-    which = np.fromiter((number[w] for w in known), np.int64, len(known))
     row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    pairs = np.unique(row * len(number) + which[positions])
-    of, word = np.divmod(pairs, len(number))
-    toxic, clean = (np.bincount(word, weights=target[of] == v, minlength=len(number)) for v in (1, 0))
-    frequent = np.argsort(-(toxic + clean), kind="stable")[:VOCABULARY]
-    frequent = frequent[(toxic + clean)[frequent] >= max(4, RARE * len(texts))]
-    names = list(number)
-    net = Network([names[i] for i in frequent], seed)
-    # Log-odds of a word's documents being toxic, as its embedding's first number.
-    odds = np.log((toxic + 0.5) / (target.sum() + 1)) - np.log((clean + 0.5) / ((1 - target).sum() + 1))
-    net.p["word"][1:, 0] = np.clip(odds, -3, 3)[frequent]
+    frequent, odds = _log_odds(row, positions, [[w] for w in known], target)
+    stems, stem_odds = _log_odds(row, positions, [[w[:k] for k in STEMS if len(w) >= k] for w in known], target)
+    net = Network(frequent, stems, seed)
+    net.p["word"][1:, 0], net.p["stem"][1:, 0] = odds, stem_odds
     inputs = net.word_inputs(words.to_pylist())
     document, start, length = windows(offsets)
     # A fifth of the texts, copies together, is not learned from: the best round by it is kept.
@@ -242,7 +263,7 @@ def fit(texts: list[str], target: np.ndarray, *, rounds: int = 5, rate: float =
     least, kept = np.inf, net.p
     padded = _padded(positions)
     peak = np.zeros(len(start), np.float32)
-    first = np.concatenate(([0], net.p["word"][inputs[0], 0]))
+    first = np.concatenate(([0], np.maximum(net.p["word"][inputs[0], 0], net.p["stem"][inputs[3], 0].max(axis=1, initial=0))))
     for at in range(0, len(start), _WINDOWS_AT_ONCE):
         some = slice(at, at + _WINDOWS_AT_ONCE)
         peak[some] = first[place_rows(padded, start[some], length[some])].max(axis=0)
@@ -277,9 +298,9 @@ def fit(texts: list[str], target: np.ndarray, *, rounds: int = 5, rate: float =
             grams = inputs[1][np.repeat(inputs[2][used] - own[:-1], counts) + np.arange(own[-1])]
             y = target[document[part]].astype(np.float32)
             weight = np.where(y == 1, min(4.0, 0.5 / max(share, 0.01)), 1.0).astype(np.float32)
-            grads = net.gradients((inputs[0][used], grams, own), local, y, weight)
+            grads = net.gradients((inputs[0][used], grams, own, inputs[3][used]), local, y, weight)
             step += 1
-            for k in ("word", "gram"):
+            for k in ("word", "gram", "stem"):
                 grads[k] += DECAY * net.p[k]
             for k, g in grads.items():
                 m, v = moments[k]

@@ -39,10 +39,12 @@ from fathomlog.llm.common import materialize, pack, slices, unpack, with_text
 
 #: Text held by one chunk, whose dictionary is shared by its documents.
 CHUNK_TEXT = 32 << 20
+#: Integers that are packed at once.
+_AT_ONCE = 1 << 20
 #: How hard the traffic is compressed.
 LEVEL = 9
 #: Words whose pieces a worker remembers between batches.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 17
 #: Letters that need no normalisation: already lower case, composed, and \p{L} in any Unicode version.
 LETTERS = "a-zß-öø-ÿ"
 #: The pre-tokenizer's contractions.
@@ -59,7 +61,8 @@ class WordEncoder:
     of a tokenizer without that mark, is encoded on its own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
+        self.remembered = remembered or REMEMBERED
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         from tokenizers import Tokenizer
 
@@ -72,7 +75,7 @@ class WordEncoder:
         self.parts: dict[str, list[int]] = {}
 
     def _learn(self, parts: list[str]) -> None:
-        if len(self.parts) + len(parts) > REMEMBERED:
+        if len(self.parts) + len(parts) > self.remembered:
             self.parts.clear()
         for at in range(0, len(parts), 2000):
             some = parts[at : at + 2000]
@@ -95,7 +98,7 @@ class WordEncoder:
             cut.append(_PARTS.findall(low) if "<|" not in word and _PLAIN.fullmatch(low) else None)
         known = self.parts
         new = list({part for parts in cut if parts for part in parts if part not in known})
-        if len(new) + len(known) > REMEMBERED:  # what this call needs is learnt anew
+        if len(new) + len(known) > self.remembered:  # what this call needs is learnt anew
             known.clear()
             new = list({part for parts in cut if parts for part in parts})
         self._learn(new)
@@ -110,14 +113,14 @@ class WordEncoder:
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int | None], WordEncoder] = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, remembered: int | None = None) -> WordEncoder:
     """The worker's own encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, remembered) not in _ENCODERS:
+        _ENCODERS[path, remembered] = WordEncoder(path, remembered)
+    return _ENCODERS[path, remembered]
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -155,29 +158,31 @@ def gather(starts: np.ndarray, flat: np.ndarray, positions: np.ndarray) -> np.nd
 
 def _numbers(values: np.ndarray) -> bytes:
     """Packed integers, 7 bits to a byte: small ones, which frequent words have, take one."""
-    values = values.astype(np.uint64)
-    sizes = 1 + sum((values >= np.uint64(1 << shift)).astype(np.int64) for shift in (7, 14, 21, 28))
-    starts = np.cumsum(sizes) - sizes
-    out = np.zeros(int(sizes.sum()), np.uint8)
-    for k in range(5):
-        here = sizes > k
-        if not here.any():
-            break
-        low = (values[here] >> np.uint64(7 * k)).astype(np.int64) & 127
-        out[starts[here] + k] = low | np.where(sizes[here] > k + 1, 128, 0)
-    return pack(out.tobytes(), LEVEL)
+    parts = []
+    for at in range(0, len(values), _AT_ONCE):
+        some = values[at : at + _AT_ONCE].astype(np.uint32)
+        sizes = np.ones(len(some), np.int64)
+        for shift in (7, 14, 21, 28):
+            sizes += some >= np.uint32(1 << shift)
+        starts = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), np.uint8)
+        for k in range(int(sizes.max())):
+            here = sizes > k
+            out[starts[here] + k] = (some[here] >> np.uint32(7 * k)) & np.uint32(127) | np.where(sizes[here] > k + 1, np.uint32(128), np.uint32(0))
+        parts.append(out.tobytes())
+    return pack(b"".join(parts), LEVEL)
 
 
 def _opened(packed: bytes) -> np.ndarray:
     raw = np.frombuffer(unpack(packed), np.uint8)
-    ends = np.flatnonzero(raw < 128)
-    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-    out = np.zeros(len(ends), np.int64)
+    ends = np.flatnonzero(raw < 128).astype(np.int32 if len(raw) < 1 << 31 else np.int64)
+    starts = np.concatenate((ends[:0], [0], ends[:-1] + 1)).astype(ends.dtype) if len(ends) else ends
+    out = np.zeros(len(ends), np.int32)
     for k in range(5):
-        here = starts + k <= ends
-        if not here.any():
+        here = np.flatnonzero(starts + k <= ends)
+        if not len(here):
             break
-        out[here] |= (raw[starts[here] + k].astype(np.int64) & 127) << (7 * k)
+        out[here] |= (raw[starts[here] + k].astype(np.int32) & 127) << (7 * k)
     return out
 
 
@@ -202,7 +207,7 @@ def _chunks(parts: int, kind: pa.DataType):
             slot[order[by_part]] = (np.arange(len(words)) - starts[part[by_part]]) * parts + part[by_part]
             listed = [words[i] for i in order[by_part].tolist()]
             chunk = uuid.uuid4().hex
-            rows = [(chunk, None, None, batch.column("id").to_pylist(), np.diff(offsets).tolist(), _numbers(slot[positions]))]
+            rows = [(chunk, None, None, batch.column("id").to_pylist(), np.diff(offsets).tolist(), _numbers(slot.astype(np.int32)[positions]))]
             for p in range(parts):
                 if own := listed[starts[p] : starts[p + 1]]:
                     rows.append((chunk, p, pack("\n".join(own).encode(), LEVEL), None, None, None))
