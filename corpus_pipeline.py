@@ -26,8 +26,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles), the document with the smallest doc_id."""
-    return simhash.keep_one(docs, words=5)
+    """Of each group of near copies (0.8 or more of five-word shingles alike), the document with the smallest doc_id."""
+    return simhash.keep_one(docs, words=5, similarity=0.8)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

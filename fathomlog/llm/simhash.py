@@ -16,6 +16,16 @@ its size, and no link is lost.
 
 Copies collapse first: everything after the fingerprints works on distinct ones.
 
+Two bits are a narrow net: documents that share 0.8 of their shingles differ in 4 to 14
+bits, where neither counts nor bits tell them from strangers. ``keep_one`` therefore takes
+what fingerprints leave and looks for documents of that similarity (of the sets of their
+shingles, intersection over union) with candidates from ``BANDS`` bands of ``ROWS`` min-hashes,
+which share one but for 7 in a million such pairs; every candidate is verified on the
+shingles of both texts. A bucket of candidates isn't compared pair by pair, but with
+some leaders at a time: who is similar to a smaller leader leaves the bucket, a leader
+has met all of it and leaves too, and the others meet twice as many leaders next. So all
+that stay in the end have met each other, and a group of copies costs a few rows each.
+
 Defined results: a null text is empty; a text without words has fingerprint zero,
 linked like any other; a null id takes part but never names a component unless
 it has no other; repeated rows each get a row; an empty table gives an empty result.
@@ -37,16 +47,30 @@ from fathomlog.llm.components import connected_components
 SEGMENTS = 16
 #: Cells of more members are resolved by single-bit neighbours in place of pairs.
 DENSE = 48
+#: Bands of min-hashes and min-hashes in one; leaders of a bucket in the first round.
+BANDS, ROWS, LEADERS = 30, 5, 8
 
+_rng = np.random.default_rng(11)
+_FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _rng.integers(0, 2**63, BANDS * ROWS, np.uint64)
+_MIXERS = _rng.integers(1, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
-def fingerprint(text: str, words: int, seed: int = 42) -> int:
-    """One text's fingerprint, unsigned."""
+
+def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of a text's shingles, repeats included."""
     got = text.encode().lower().split()
-    if not got:
-        return 0
     k = min(words, len(got))
-    shingles = got if k == 1 else map(b" ".join, zip(*(got[i:] for i in range(k))))
-    h = np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in shingles), np.uint64)
+    shingles = got if k < 2 else map(b" ".join, zip(*(got[i:] for i in range(k))))
+    return np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in shingles), np.uint64)
+
+
+def fingerprint(text: str, words: int, seed: int = 42) -> int:
+    """One text's fingerprint, unsigned."""
+    return fingerprint_of(shingle_hashes(text, words, seed))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes; none give zero."""
     # Counts of set bits for each of the 64 places, most significant first.
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 15):
@@ -55,17 +79,42 @@ def fingerprint(text: str, words: int, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, text_hash, fp): a row is told apart by its id and its text's hash; fp is a signed 64-bit integer."""
+def bands_of(distinct: np.ndarray) -> np.ndarray:
+    """A key for each band of min-hashes of distinct shingle hashes; none without shingles."""
+    if not len(distinct):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(distinct), 1024):
+        least = np.minimum(least, (distinct[at : at + 1024, None] * _FACTORS + _TERMS).min(axis=0))
+    keys = ((least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(29))) * _MIXERS).sum(axis=1, dtype=np.uint64)
+    return (keys ^ (keys >> np.uint64(32))).view(np.int64)
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, text): a row is told apart by its id and its text's hash."""
+    rows = with_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
+    return rows.select("id", F.xxhash64("text").alias("text_hash"), "text")
+
+
+def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, banded: bool = False) -> DataFrame:
+    """(id, text_hash, fp); fp is a signed 64-bit integer. banded: with (n, bands) of the distinct shingles, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            fps = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(fps.view(np.int64))], ["id", "text_hash", "fp"])
+            fps, sizes, bands = [], [], []
+            for text in batch.column("text").to_pylist():
+                h = shingle_hashes(text, words)
+                fps.append(fingerprint_of(h))
+                if banded:
+                    distinct = np.unique(h)
+                    sizes.append(len(distinct))
+                    bands.append(bands_of(distinct))
+            columns = [batch.column("id"), batch.column("text_hash"), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            columns += [pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))] if banded else []
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "fp", "n", "bands"][: len(columns)])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = with_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-    return rows.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"id {kind}, text_hash long, fp long")
+    return _rows(df, id_col, text_col).mapInArrow(run, f"id {kind}, text_hash long, fp long" + ", n long, bands array<long>" * banded)
 
 
 def _grid(fp: str) -> str:
@@ -102,7 +151,11 @@ def links(fps: DataFrame) -> DataFrame:
 
 def near_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, text_hash, fp, component_id): the smallest id reachable over links of 2 bits or fewer."""
-    rows = materialize(fingerprints(df, id_col=id_col, text_col=text_col, words=words))
+    return _grouped(materialize(fingerprints(df, id_col=id_col, text_col=text_col, words=words)), id_col)
+
+
+def _grouped(rows: DataFrame, id_col: str) -> DataFrame:
+    """Materialized fingerprints with their component_id, other columns as they were."""
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")))
     roots = connected_components(links(distinct.select("fp")))
     own = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -110,13 +163,78 @@ def near_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     # Only fingerprints of more than one row are looked up; others are their own component.
     shared = materialize(own.select("fp", "root").join(least.where("n > 1").select("root", "component_id"), "root").select("fp", "component_id"))
     return rows.join(broadcast_if_small(shared, 24), "fp", "left").select(
-        F.col("id").alias(id_col), "text_hash", "fp", F.when(F.col("component_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+        F.col("id").alias(id_col), *(c for c in rows.columns if c not in ("id", "component_id")), F.when(F.col("component_id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """``df`` with one document of each component, that of the smallest id; all columns as they were."""
-    gone = near_groups(df, id_col=id_col, text_col=text_col, words=words).where(~F.col(id_col).eqNullSafe(F.col("component_id")))
-    gone = materialize(gone.select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts have the similarity."""
+    nodes = pairs.select(F.col("a").alias("o")).union(pairs.select("b")).distinct()
+    nodes = nodes.select("o", F.col("o.id").alias("__id"), F.col("o.text_hash").alias("__hash"))
+    found = texts.join(broadcast_if_small(materialize(nodes), 96), F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("o"), pa.array(sets, pa.binary())], ["o", "s"])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    sets = materialize(found.select("o", "text").mapInArrow(hashed, f"o {kind}, s binary").dropDuplicates(["o"]))
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                one, other = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(both >= similarity * (len(one) + len(other) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(sets.select(F.col("o").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("o").alias("b"), F.col("s").alias("y")), "b")
+    return joined.select("a", "b", "x", "y").mapInArrow(compared, f"a {kind}, b {kind}")
+
+
+def _crowded(members: DataFrame) -> DataFrame:
+    """Members (bucket, o) of buckets that hold more than one."""
+    counts = materialize(members.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket"))
+    return materialize(members.join(counts, "bucket"))
+
+
+def similar_links(rows: DataFrame, texts: DataFrame, *, words: int, similarity: float) -> DataFrame | None:
+    """(a, b) between rows (id, text_hash, n, bands) that are similar, a being the smaller; None without any.
+
+    A row is named by (none, id, text_hash, n), in the order in which rows stay.
+    """
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "n")
+    members = _crowded(materialize(rows.select(own.alias("o"), F.explode("bands").alias("bucket")).distinct()))
+    leaders, every = LEADERS, None
+    while not members.isEmpty():
+        salt = F.pmod(F.xxhash64("o"), F.lit(leaders))
+        led = materialize(members.groupBy("bucket", salt.alias("salt")).agg(F.min("o").alias("leader")).select("bucket", "leader"))
+        near = F.least("o.n", "leader.n") >= F.lit(similarity) * F.greatest("o.n", "leader.n")
+        met = members.join(led, "bucket").where(F.col("o") != F.col("leader")).where(near)
+        pairs = materialize(met.select(F.least("o", "leader").alias("a"), F.greatest("o", "leader").alias("b")).distinct())
+        links = materialize(_verified(pairs, texts, words, similarity))
+        every = links if every is None else every.union(links)
+        below = met.where(F.col("leader") < F.col("o")).select("bucket", F.col("leader").alias("a"), F.col("o").alias("b"))
+        done = below.join(links, ["a", "b"]).select("bucket", F.col("b").alias("o")).union(led.select("bucket", "leader")).distinct()
+        members = _crowded(members.join(materialize(done), ["bucket", "o"], "left_anti"))
+        leaders *= 2
+    return every
+
+
+def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``df`` with one document of each group of near copies, that of the smallest id; all columns as they were.
+
+    Near copies are of 2 bits or fewer, or of ``similarity`` or more.
+    """
+    rows = materialize(_grouped(materialize(fingerprints(df, id_col=id_col, text_col=text_col, words=words, banded=True)), "id"))
+    stays = F.col("id").eqNullSafe(F.col("component_id"))
+    gone = rows.where(~stays).select("id", "text_hash")
+    links = similar_links(rows.where(stays), _rows(df, id_col, text_col), words=words, similarity=similarity)
+    if links is not None:
+        roots = connected_components(links)
+        gone = gone.union(roots.where(F.col("node") != F.col("root")).select("node.id", "node.text_hash"))
+    gone = materialize(gone.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return df.join(broadcast_if_small(gone, 32), df[id_col].eqNullSafe(gone["__id"]) & (own == gone["__hash"]), "left_anti")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -156,15 +157,73 @@ def test_links_of_crowded_cells_are_complete(spark, monkeypatch, dense):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def plain_shingles(text, words):
+    got = text.encode().lower().split()
+    k = min(words, len(got))
+    return {tuple(got[i : i + k]) for i in range(len(got) - k + 1)} if got else set()
+
+
+def plain_near(rows, words, similarity):
+    """Pairs of rows that share ``similarity`` of their shingles or differ in 2 bits of their fingerprints."""
+    fps, sets = [plain_fingerprint(t or "", words) for _, t in rows], [plain_shingles(t or "", words) for _, t in rows]
+    both = lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+    return {(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2 or both(a, b)}
+
+
+def plain_groups(n, pairs):
+    root = list(range(n))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(i) for i in range(n)]
+
+
 def test_keep_one(clashing):
     left = simhash.keep_one(clashing, words=5)
     assert left.columns == clashing.columns
-    rows = clean(clashing)
-    grouped = plain_components([(i, plain_fingerprint(t or "", 5)) for i, t in rows])
-    expected = [(i, t) for (i, t), (_, _, c) in zip(rows, grouped, strict=True) if i == c]
+    rows = sorted(clean(clashing), key=lambda r: (r[0] is None, r[0] or 0))
+    groups = plain_groups(len(rows), plain_near(rows, 5, 0.8))
+    # Repeated rows are one document, as are rows of one id in a group.
+    expected = [r for r, g in zip(rows, groups, strict=True) if r[0] == rows[g][0]]
     assert sorted_rows(clean(left)) == sorted_rows(expected)
 
 
+@pytest.mark.parametrize("leaders", [1, 8])
+def test_keep_one_of_large_groups(spark, monkeypatch, leaders):
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
+    r = random.Random(leaders)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    texts = []
+    # Groups around a text, a chain of ever later copies, texts that share a passage only, and strangers.
+    for size, changes in ((60, 2), (25, 4)):
+        base = [word() for _ in range(120)]
+        for _ in range(size):
+            own = list(base)
+            for _ in range(r.randrange(changes)):
+                own[r.randrange(len(own))] = word()
+            texts.append(own)
+    own = [word() for _ in range(150)]
+    for k in range(20):
+        own = list(own)
+        own[7 * k : 7 * k + 3] = [word() for _ in range(3)]
+        texts.append(own)
+    passage = [word() for _ in range(40)]
+    texts += [[word() for _ in range(15)] + passage + [word() for _ in range(15)] for _ in range(30)] + [[word() for _ in range(80)] for _ in range(30)]
+    r.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = plain_near(rows, 5, 0.8)
+    assert not [p for p in pairs if p[0] in kept and p[1] in kept]
+    groups = plain_groups(len(rows), pairs)
+    assert {groups[i] for i in kept} == set(groups) and all(g in kept for g in groups)
+    assert len(kept) < 110
+
+
 # Substrings.
 
 
