@@ -24,6 +24,7 @@ every score is the share of label 1 (0.5 without any); an empty table gives an e
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from fathomlog.llm.common import slices, with_text
 from fathomlog.llm.training import labelled_sample
-from fathomlog.llm.word_bpe import gather, ragged, split_words
+from fathomlog.llm.word_bpe import gather, split_words
 
 WINDOW, STRIDE = 32, 24
 #: Lengths of stems, and numbers of a stem's embedding.
@@ -48,7 +49,7 @@ HIDDEN = 6
 #: Labelled rows of each class that the model is fitted on, at most.
 PER_CLASS = 2000
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_WINDOWS_AT_ONCE = 4096
+_WINDOWS_AT_ONCE, _WORDS_AT_ONCE = 1024, 1 << 16
 
 
 def bare(words: list[str]) -> list[str]:
@@ -58,6 +59,9 @@ def bare(words: list[str]) -> list[str]:
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, offsets): hashes of the character trigrams of words with their ends marked."""
+    if len(words) > _WORDS_AT_ONCE:
+        parts = [trigrams(words[lo : lo + _WORDS_AT_ONCE]) for lo in range(0, len(words), _WORDS_AT_ONCE)]
+        return np.concatenate([g for g, _ in parts]), np.cumsum(np.concatenate([[0], *(np.diff(at) for _, at in parts)]))
     raw = [w.encode() for w in words]
     text = np.frombuffer(b"".join(b"\2" + w + b"\3" for w in raw) + b"\0\0", np.uint8).astype(np.int64)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 2
@@ -67,7 +71,7 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.ones(int(stops[-1]) if len(stops) else 0, bool)
     inside[stops - 1] = False
     inside[(stops - 2)[sizes > 2]] = False
-    return grams[: len(inside)][inside], np.concatenate(([0], np.cumsum(np.maximum(sizes - 2, 1))))
+    return grams[: len(inside)][inside].astype(np.int16), np.concatenate(([0], np.cumsum(np.maximum(sizes - 2, 1))))
 
 
 def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,7 +108,7 @@ class Network:
         """(embedding row, trigram buckets, trigram offsets, stem rows) of distinct words."""
         known = bare(words)
         get = self.stems.get
-        stems = np.column_stack([np.fromiter((get(w[:k], 0) if len(w) >= k else 0 for w in known), np.int64, len(known)) for k in STEMS])
+        stems = np.column_stack([np.fromiter((get(w[:k], 0) if len(w) >= k else 0 for w in known), np.int32, len(known)) for k in STEMS])
         return np.fromiter((self.rows.get(w, 0) for w in known), np.int64, len(known)), *trigrams(known), stems
 
     def embed(self, row: np.ndarray, grams: np.ndarray, at: np.ndarray, stems: np.ndarray) -> np.ndarray:
@@ -113,7 +117,9 @@ class Network:
         if len(row):
             x[1:, :WORD_DIM] = self.p["word"][row]
             x[1:, -STEM_DIM:] = self.p["stem"][stems].sum(axis=1) / np.maximum((stems > 0).sum(axis=1), 1)[:, None]
-            x[1:, WORD_DIM:-STEM_DIM] = np.add.reduceat(self.p["gram"][grams], at[:-1], axis=0) / np.diff(at)[:, None]
+            for lo in range(0, len(row), _WORDS_AT_ONCE):
+                own = at[lo : lo + _WORDS_AT_ONCE + 1]
+                x[1 + lo : len(own) + lo, WORD_DIM:-STEM_DIM] = np.add.reduceat(self.p["gram"][grams[own[0] : own[-1]]], own[:-1] - own[0], axis=0) / np.diff(own)[:, None]
         return x
 
     def tables(self, x: np.ndarray) -> dict[str, np.ndarray]:
@@ -223,15 +229,25 @@ def place_rows(padded: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.
     return np.where(step < length, padded[start + step], 0)
 
 
-def _log_odds(row: np.ndarray, positions: np.ndarray, names: list[list[str]], target: np.ndarray) -> tuple[list[str], np.ndarray]:
+def _log_odds(offsets: np.ndarray, positions: np.ndarray, names: Iterator[list[str]], target: np.ndarray) -> tuple[list[str], np.ndarray]:
     """What the words (given by their names) of enough documents are called, and the log-odds of those documents being toxic."""
     number: dict[str, int] = {}
-    listed = [[number.setdefault(n, len(number)) for n in own] for own in names]
-    starts, flat = ragged(listed)
-    counts = starts[positions + 1] - starts[positions]
-    pairs = np.unique(np.repeat(row, counts) * max(1, len(number)) + gather(starts, flat, positions))
-    of, name = np.divmod(pairs, max(1, len(number)))
-    toxic, clean = (np.bincount(name, weights=target[of] == v, minlength=len(number)) for v in (1, 0))
+    sizes, numbers = array("q"), array("q")
+    for own in names:
+        sizes.append(len(own))
+        numbers.extend([number.setdefault(n, len(number)) for n in own])
+    starts, flat = np.concatenate(([0], np.cumsum(np.asarray(sizes)))), np.asarray(numbers)
+    toxic, clean = np.zeros(len(number)), np.zeros(len(number))
+    at = 0
+    while at < len(target):  # some documents at a time
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _WORDS_AT_ONCE, "right")) - 1)
+        own = positions[offsets[at] : offsets[stop]]
+        counts = starts[own + 1] - starts[own]
+        row = np.repeat(np.repeat(np.arange(at, stop), np.diff(offsets[at : stop + 1])), counts)
+        of, name = np.divmod(np.unique(row * max(1, len(number)) + gather(starts, flat, own)), max(1, len(number)))
+        toxic += np.bincount(name[target[of] == 1], minlength=len(number))
+        clean += np.bincount(name[target[of] == 0], minlength=len(number))
+        at = stop
     frequent = np.argsort(-(toxic + clean), kind="stable")[:VOCABULARY]
     frequent = frequent[(toxic + clean)[frequent] >= max(4, RARE * len(target))]
     odds = np.log((toxic + 0.5) / (target.sum() + 1)) - np.log((clean + 0.5) / ((1 - target).sum() + 1))
@@ -249,9 +265,9 @@ def fit(texts: list[str], target: np.ndarray, *, rounds: int = 5, rate: float =
     rng = np.random.default_rng(seed)
     offsets, positions, words = split_words(pa.array(texts, pa.string()))
     known = bare(words.to_pylist())
-    row = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    frequent, odds = _log_odds(row, positions, [[w] for w in known], target)
-    stems, stem_odds = _log_odds(row, positions, [[w[:k] for k in STEMS if len(w) >= k] for w in known], target)
+    frequent, odds = _log_odds(offsets, positions, ([w] for w in known), target)
+    stems, stem_odds = _log_odds(offsets, positions, ([w[:k] for k in STEMS if len(w) >= k] for w in known), target)
+    del known
     net = Network(frequent, stems, seed)
     net.p["word"][1:, 0], net.p["stem"][1:, 0] = odds, stem_odds
     inputs = net.word_inputs(words.to_pylist())
