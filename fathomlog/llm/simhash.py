@@ -167,19 +167,22 @@ def _grouped(rows: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts have the similarity."""
-    nodes = pairs.select(F.col("a").alias("o")).union(pairs.select("b")).distinct()
-    nodes = nodes.select("o", F.col("o.id").alias("__id"), F.col("o.text_hash").alias("__hash"))
-    found = texts.join(broadcast_if_small(materialize(nodes), 96), F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
+def _shingle_sets(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(o, s): the sorted distinct shingle hashes of rows (o), as bytes."""
+    nodes = materialize(nodes.select("o", F.col("o.id").alias("__id"), F.col("o.text_hash").alias("__hash")))
+    found = texts.join(broadcast_if_small(nodes, 96), F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("o"), pa.array(sets, pa.binary())], ["o", "s"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    sets = materialize(found.select("o", "text").mapInArrow(hashed, f"o {kind}, s binary").dropDuplicates(["o"]))
+    kind = nodes.schema["o"].dataType.simpleString()
+    return materialize(found.select("o", "text").mapInArrow(hashed, f"o {kind}, s binary").dropDuplicates(["o"]))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,6 +193,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
                 keep.append(both >= similarity * (len(one) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    kind = pairs.schema["a"].dataType.simpleString()
     joined = pairs.join(sets.select(F.col("o").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("o").alias("b"), F.col("s").alias("y")), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(compared, f"a {kind}, b {kind}")
 
@@ -207,17 +211,22 @@ def similar_links(rows: DataFrame, texts: DataFrame, *, words: int, similarity:
     """
     own = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "n")
     members = _crowded(materialize(rows.select(own.alias("o"), F.explode("bands").alias("bucket")).distinct()))
-    leaders, every = LEADERS, None
+    leaders, every, tried = LEADERS, None, None
+    if not members.isEmpty():
+        sets = _shingle_sets(members.select("o").distinct(), texts, words)
     while not members.isEmpty():
         salt = F.pmod(F.xxhash64("o"), F.lit(leaders))
         led = materialize(members.groupBy("bucket", salt.alias("salt")).agg(F.min("o").alias("leader")).select("bucket", "leader"))
         near = F.least("o.n", "leader.n") >= F.lit(similarity) * F.greatest("o.n", "leader.n")
         met = members.join(led, "bucket").where(F.col("o") != F.col("leader")).where(near)
-        pairs = materialize(met.select(F.least("o", "leader").alias("a"), F.greatest("o", "leader").alias("b")).distinct())
-        links = materialize(_verified(pairs, texts, words, similarity))
+        pairs = met.select(F.least("o", "leader").alias("a"), F.greatest("o", "leader").alias("b")).distinct()
+        # Pairs that have met in another bucket before aren't compared again.
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.union(pairs)
+        links = materialize(_verified(pairs, sets, similarity))
         every = links if every is None else every.union(links)
         below = met.where(F.col("leader") < F.col("o")).select("bucket", F.col("leader").alias("a"), F.col("o").alias("b"))
-        done = below.join(links, ["a", "b"]).select("bucket", F.col("b").alias("o")).union(led.select("bucket", "leader")).distinct()
+        done = below.join(every, ["a", "b"]).select("bucket", F.col("b").alias("o")).union(led.select("bucket", "leader")).distinct()
         members = _crowded(members.join(materialize(done), ["bucket", "o"], "left_anti"))
         leaders *= 2
     return every
