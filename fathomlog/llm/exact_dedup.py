@@ -145,10 +145,18 @@ def _with_group(rows: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
 
 
 def drop_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """``df`` without the rows whose text another row keeps, all columns as they were."""
-    gone = exact_groups(df, id_col=id_col, text_col=text_col, keep=keep).where(~F.col("kept"))
-    gone = materialize(gone.select(F.col(id_col).alias("__id"), F.col("digest").alias("__digest")).distinct())
+    """``df`` with one row of each text, all columns as they were; of rows that repeat the kept id, too, any one stays."""
+    groups = exact_groups(df, id_col=id_col, text_col=text_col, keep=keep).where("group_size > 1")
+    marks = groups.groupBy(F.col(id_col).alias("__id"), F.col("digest").alias("__digest")).agg(F.first("kept").alias("__kept"), F.count("*").alias("n"))
+    marks = materialize(marks.where("not __kept or n > 1").drop("n"))
     own = digest_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return df.join(
-        broadcast_if_small(gone, 64), (df[id_col].eqNullSafe(gone["__id"])) & (own == gone["__digest"]), "left_anti"
-    )
+
+    def marked(some: DataFrame, how: str) -> DataFrame:
+        return df.join(broadcast_if_small(some, 64), df[id_col].eqNullSafe(some["__id"]) & (own == some["__digest"]), how)
+
+    left, tied = marked(marks, "left_anti"), marks.where("__kept")
+    if tied.isEmpty():
+        return left
+    # Grouped map-side: a row that is repeated over and over moves once per task.
+    once = marked(tied, "inner").dropDuplicates(["__id", "__digest"])
+    return left.union(once.drop(*marks.columns))

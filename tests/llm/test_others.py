@@ -244,3 +244,23 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert len(kept & toxic) < 0.2 * len(toxic) and len(kept - toxic) > 0.9 * (len(rows) - len(toxic))
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted_rows(whole.select("doc_id", "piece", "length", "ids_crc32").collect()) == sorted_rows(docs.select("doc_id", "piece", "length", "ids_crc32").collect())
+
+
+def test_repeated_rows_reach_the_packed_output_once(spark, tmp_path, tokenizer):
+    """A row listed twice, a row listed often, and copies without ids: long texts that a later stage would remove from every copy."""
+    import zlib
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    texts = {i: t for i, t, *_ in labelled(40, 9) if len(t) > 300}
+    (a, b, c), rest = list(texts)[:3], list(texts)[3:]
+    rows = [(i, texts[i]) for i in rest] + [(a, texts[a])] * 2 + [(b, texts[b])] * 30 + [(1000 + b, texts[b])] * 3 + [(None, texts[c])] * 4
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "toxicity":
+            docs = stage(spark, docs, str(tmp_path))
+    encode = Tokenizer.from_file(tokenizer).encode
+    expected = [(i, texts[i]) for i in (*rest, a)] + [(1000 + b, texts[b]), (None, texts[c])]
+    packed = [(i, 0, zlib.crc32(np.array([*encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes())) for i, t in expected]
+    assert sorted_rows(docs.select("doc_id", "piece", "ids_crc32").collect()) == sorted_rows(packed)
