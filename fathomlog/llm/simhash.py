@@ -17,14 +17,16 @@ its size, and no link is lost.
 Copies collapse first: everything after the fingerprints works on distinct ones.
 
 Two bits are a narrow net: documents that share 0.8 of their shingles differ in 4 to 14
-bits, where neither counts nor bits tell them from strangers. ``keep_one`` therefore takes
-what fingerprints leave and looks for documents of that similarity (of the sets of their
-shingles, intersection over union) with candidates from ``BANDS`` bands of ``ROWS`` min-hashes,
-which share one but for 7 in a million such pairs; every candidate is verified on the
-shingles of both texts. A bucket of candidates isn't compared pair by pair, but with
-some leaders at a time: who is similar to a smaller leader leaves the bucket, a leader
-has met all of it and leaves too, and the others meet twice as many leaders next. So all
-that stay in the end have met each other, and a group of copies costs a few rows each.
+bits, where neither counts nor bits tell them from strangers. ``keep_one`` therefore looks
+among all distinct texts for that similarity (of the sets of their shingles, intersection
+over union) with candidates from ``BANDS`` bands of ``ROWS`` min-hashes, which share one but
+for 7 in a million such pairs; every candidate is verified on the shingles of both texts. A
+bucket of candidates isn't compared pair by pair, but with some leaders at a time: who is
+similar to a smaller leader leaves the bucket, a leader has met all of it and leaves too,
+and the others meet twice as many leaders next. Who left without meeting others of the
+bucket meets them in the end, unless links join the two already or their gaps to the leader
+rule the pair out. So the links have the components of all similar candidates, and a group
+of copies costs a few rows each.
 
 Defined results: a null text is empty; a text without words has fingerprint zero,
 linked like any other; a null id takes part but never names a component unless
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomlog.llm.common import broadcast_if_small, materialize, slices, with_text
@@ -154,11 +156,16 @@ def near_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return _grouped(materialize(fingerprints(df, id_col=id_col, text_col=text_col, words=words)), id_col)
 
 
-def _grouped(rows: DataFrame, id_col: str) -> DataFrame:
-    """Materialized fingerprints with their component_id, other columns as they were."""
+def _classes(rows: DataFrame) -> DataFrame:
+    """(fp, low, n, root) of materialized fingerprints: their smallest id, their rows, and what names their class."""
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")))
     roots = connected_components(links(distinct.select("fp")))
-    own = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def _grouped(rows: DataFrame, id_col: str) -> DataFrame:
+    """Materialized fingerprints with their component_id, other columns as they were."""
+    own = _classes(rows)
     least = own.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("n"))
     # Only fingerprints of more than one row are looked up; others are their own component.
     shared = materialize(own.select("fp", "root").join(least.where("n > 1").select("root", "component_id"), "root").select("fp", "component_id"))
@@ -181,21 +188,22 @@ def _shingle_sets(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return materialize(found.select("o", "text").mapInArrow(hashed, f"o {kind}, s binary").dropDuplicates(["o"]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity."""
+def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, gap, similar) for pairs (a, b): how many shingles only one of them has, and whether they are similar."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            gaps, similar = [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 one, other = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(one, other, assume_unique=True))
-                keep.append(both >= similarity * (len(one) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                gaps.append(len(one) + len(other) - 2 * both)
+                similar.append(both >= similarity * (len(one) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(gaps, pa.int64()), pa.array(similar, pa.bool_())], ["a", "b", "gap", "similar"])
 
     kind = pairs.schema["a"].dataType.simpleString()
     joined = pairs.join(sets.select(F.col("o").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("o").alias("b"), F.col("s").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(compared, f"a {kind}, b {kind}")
+    return joined.select("a", "b", "x", "y").mapInArrow(compared, f"a {kind}, b {kind}, gap long, similar boolean")
 
 
 def _crowded(members: DataFrame) -> DataFrame:
@@ -204,46 +212,86 @@ def _crowded(members: DataFrame) -> DataFrame:
     return materialize(members.join(counts, "bucket"))
 
 
-def similar_links(rows: DataFrame, texts: DataFrame, *, words: int, similarity: float) -> DataFrame | None:
-    """(a, b) between rows (id, text_hash, n, bands) that are similar, a being the smaller; None without any.
+def _close(one: str, other: str, similarity: float) -> Column:
+    """Whether two sizes allow the similarity."""
+    return F.least(f"{one}.n", f"{other}.n") >= F.lit(similarity) * F.greatest(f"{one}.n", f"{other}.n")
+
 
-    A row is named by (none, id, text_hash, n), in the order in which rows stay.
+def _ordered(one: str, other: str) -> list[Column]:
+    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+
+def similar_links(nodes: DataFrame, known: DataFrame, texts: DataFrame, *, words: int, similarity: float) -> DataFrame:
+    """(a, b) between texts (o, bands), a being the smaller: with ``known`` links, they connect what all similar pairs connect.
+
+    ``o`` is (none, id, text_hash, n), in the order in which texts stay.
     """
-    own = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "n")
-    members = _crowded(materialize(rows.select(own.alias("o"), F.explode("bands").alias("bucket")).distinct()))
-    leaders, every, tried = LEADERS, None, None
-    if not members.isEmpty():
-        sets = _shingle_sets(members.select("o").distinct(), texts, words)
+    members = _crowded(materialize(nodes.select("o", F.explode(F.array_distinct("bands")).alias("bucket"))))
+    leaders, tried = LEADERS, None
+    if members.isEmpty():
+        return known
+    sets = _shingle_sets(members.select("o").distinct(), texts, words)
     while not members.isEmpty():
         salt = F.pmod(F.xxhash64("o"), F.lit(leaders))
         led = materialize(members.groupBy("bucket", salt.alias("salt")).agg(F.min("o").alias("leader")).select("bucket", "leader"))
-        near = F.least("o.n", "leader.n") >= F.lit(similarity) * F.greatest("o.n", "leader.n")
-        met = members.join(led, "bucket").where(F.col("o") != F.col("leader")).where(near)
-        pairs = met.select(F.least("o", "leader").alias("a"), F.greatest("o", "leader").alias("b")).distinct()
+        # Sizes further apart than the square of the similarity leave no text that is similar to both.
+        met = members.join(led, "bucket").where(F.col("o") != F.col("leader")).where(_close("o", "leader", similarity * similarity - 1e-9))
+        pairs = met.select(*_ordered("o", "leader")).distinct()
         # Pairs that have met in another bucket before aren't compared again.
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        links = materialize(_verified(pairs, sets, similarity))
-        every = links if every is None else every.union(links)
+        close = _close("a", "b", similarity)
+        apart = pairs.where(~close).select("a", "b", F.abs(F.col("a.n") - F.col("b.n")).alias("gap"), F.lit(False).alias("similar"))
+        now = materialize(_compared(pairs.where(close), sets, similarity).union(apart))
+        tried = now if tried is None else tried.union(now)
         below = met.where(F.col("leader") < F.col("o")).select("bucket", F.col("leader").alias("a"), F.col("o").alias("b"))
-        done = below.join(every, ["a", "b"]).select("bucket", F.col("b").alias("o")).union(led.select("bucket", "leader")).distinct()
+        done = below.join(tried.where("similar"), ["a", "b"]).select("bucket", F.col("b").alias("o")).union(led.select("bucket", "leader")).distinct()
         members = _crowded(members.join(materialize(done), ["bucket", "o"], "left_anti"))
         leaders *= 2
-    return every
+    found = known.union(tried.where("similar").select("a", "b"))
+    missed = _missed(tried, found, similarity)
+    return found if missed.isEmpty() else found.union(materialize(_compared(missed, sets, similarity)).where("similar").select("a", "b"))
+
+
+def _missed(tried: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that haven't met as one left a bucket before, and may join components of the links ``found``.
+
+    Who left was similar to a leader whom the other one met, so the gaps to that leader bound the gap of the pair from below.
+    """
+    share, slack = (1 - similarity) / (1 + similarity), 1e-6  # similar pairs have a gap of ``share`` of their sizes' sum at most
+    left = tried.where("similar").select(F.col("a").alias("leader"), F.col("b").alias("o"), "gap")
+    reach = materialize(left.groupBy("leader").agg(F.max(F.col("gap") + share * F.col("o.n")).alias("reach")))
+    met = tried.select(F.col("a").alias("leader"), F.col("b").alias("x"), F.col("gap").alias("far"))
+    met = met.union(tried.select(F.col("b").alias("leader"), F.col("a").alias("x"), F.col("gap").alias("far")))
+    met = materialize(met.join(reach, "leader").where(F.col("far") <= F.col("reach") + share * F.col("x.n") + slack).drop("reach"))
+    roots = materialize(connected_components(found))
+    own = roots.select(F.col("node").alias("leader"), F.col("root").alias("one"))
+    other = roots.select(F.col("node").alias("x"), F.col("root").alias("other"))
+    met = materialize(met.join(own, "leader").join(other, "x", "left").where("other is null or one <> other").select("leader", "x", "far"))
+    pairs = left.join(met, "leader").where(F.abs(F.col("far") - F.col("gap")) <= share * (F.col("o.n") + F.col("x.n")) + slack).where(_close("o", "x", similarity))
+    return materialize(pairs.select(*_ordered("o", "x")).distinct().join(tried, ["a", "b"], "left_anti"))
 
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``df`` with one document of each group of near copies, that of the smallest id; all columns as they were.
+    """``df`` with one text of each group of near copies, that of the smallest id; all columns as they were.
 
-    Near copies are of 2 bits or fewer, or of ``similarity`` or more.
+    Near copies are of 2 bits or fewer, or of ``similarity`` or more. Rows that repeat both the id and the text stay together.
     """
-    rows = materialize(_grouped(materialize(fingerprints(df, id_col=id_col, text_col=text_col, words=words, banded=True)), "id"))
-    stays = F.col("id").eqNullSafe(F.col("component_id"))
-    gone = rows.where(~stays).select("id", "text_hash")
-    links = similar_links(rows.where(stays), _rows(df, id_col, text_col), words=words, similarity=similarity)
-    if links is not None:
-        roots = connected_components(links)
-        gone = gone.union(roots.where(F.col("node") != F.col("root")).select("node.id", "node.text_hash"))
-    gone = materialize(gone.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    rows = materialize(fingerprints(df, id_col=id_col, text_col=text_col, words=words, banded=True))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")
+    nodes = rows.groupBy("text_hash", "fp", "n").agg(first, F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.select(F.struct("first.none", "first.id", "text_hash", "n").alias("o"), "fp", "copies", "bands"))
+    # Texts of one class of fingerprints are linked to the smallest of it.
+    classes = _classes(rows)
+    shared = materialize(classes.join(classes.groupBy("root").agg(F.sum("n").alias("rows")).where("rows > 1"), "root").select("fp", "root"))
+    classed = materialize(nodes.select("o", "fp").join(broadcast_if_small(shared, 24), "fp").select("o", "root"))
+    least = materialize(classed.groupBy("root").agg(F.min("o").alias("a")))
+    known = materialize(classed.join(broadcast_if_small(least, 64), "root").where("a <> o").select("a", F.col("o").alias("b")))
+    links = similar_links(nodes, known, _rows(df, id_col, text_col), words=words, similarity=similarity)
+    # Of a text that goes all rows go; of one that stays, those under other ids.
+    gone = connected_components(links).where(F.col("node") != F.col("root")).select("node.text_hash", F.lit(True).alias("whole"), F.col("node.id").alias("first"))
+    gone = gone.union(nodes.where("copies > 1").select("o.text_hash", F.lit(False), "o.id"))
+    gone = materialize(gone)
+    lost = rows.select("id", "text_hash").join(broadcast_if_small(gone, 32), "text_hash").where(F.col("whole") | ~F.col("id").eqNullSafe(F.col("first")))
+    lost = materialize(lost.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
     own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return df.join(broadcast_if_small(gone, 32), df[id_col].eqNullSafe(gone["__id"]) & (own == gone["__hash"]), "left_anti")
+    return df.join(broadcast_if_small(lost, 32), df[id_col].eqNullSafe(lost["__id"]) & (own == lost["__hash"]), "left_anti")

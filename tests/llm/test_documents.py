@@ -224,6 +224,41 @@ def test_keep_one_of_large_groups(spark, monkeypatch, leaders):
     assert len(kept) < 110
 
 
+def brute_force_kept(rows):
+    groups = plain_groups(len(rows), plain_near(rows, 5, 0.8))
+    return {rows[g][0] for g in groups}
+
+
+@pytest.mark.parametrize("leaders", [1, 8])
+def test_keep_one_of_groups_held_together_by_one_member(spark, monkeypatch, leaders):
+    """Stars whose copies are similar to their base only, and a text whose only link is to one that fingerprints drop."""
+    monkeypatch.setattr(simhash, "LEADERS", leaders)
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+
+    def changed(base, at):
+        return [word() if i in at else w for i, w in enumerate(base)]
+
+    texts = []
+    for size, middle in ((40, 20), (30, 29), (25, 1)):
+        base = [word() for _ in range(120)]
+        star = [changed(base, {r.randrange(0, 55), r.randrange(62, 118)}) for _ in range(size)]
+        texts += star[:middle] + [base] + star[middle:]
+    for k in range(3):
+        while True:
+            one = [word() for _ in range(200)]
+            two = changed(one, {100})
+            three = changed(two, {20, 50, 140, 170})
+            a, b, c = (plain_fingerprint(" ".join(t), 5) for t in (one, two, three))
+            if (a ^ b).bit_count() <= 2 < min((a ^ c).bit_count(), (b ^ c).bit_count()):
+                break
+        texts += [one, two, three]
+    texts += [[word() for _ in range(80)] for _ in range(5)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == brute_force_kept(rows)
+
+
 # Substrings.
 
 
