@@ -22,7 +22,7 @@ import html
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,13 +33,22 @@ from fathomlog.llm.common import slices
 from fathomlog.llm.html_pages import labelled_pages
 
 # HTML's element kinds.
-RAW = "script|style|noscript|template|textarea|title|iframe|xmp|select|svg|math|object|canvas|audio|video"
+RAW = "script|style|textarea|title"  # nothing else runs to the end of the page where its end tag is missing
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html head li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that hold no part of an article, by name, by ARIA role, and by words of class and id.
-SKIPPED = frozenset("nav aside footer form menu dialog button search fieldset label".split())
+SKIPPED = frozenset("nav aside footer form menu dialog button search fieldset label option svg template".split())
+#: Skipped, too, but never within each other: one that another follows before an end tag is empty.
+EMBEDDED = frozenset("noscript iframe xmp select canvas audio video".split())
+#: Elements that end where one of these begins.
+IMPLIED = {"li": "li", "td": "td th tr", "th": "td th tr", "tr": "tr", "dd": "dd dt", "dt": "dd dt", "option": "option", "p": " ".join(BLOCKS)}
+IMPLIED = {k: frozenset(v.split()) for k, v in IMPLIED.items()}
+LISTS = ("ul", "ol", "dl", "menu", "table")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: What holds more of the page's text than this isn't left out for words of its class and id.
+MOST, MOST_COMMENTS = 0.5, 0.9
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 MARKED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|sidebar|side-bar|menu|navbar|nav|navigation|breadcrumbs?|"
@@ -58,17 +67,25 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 
 
-def _skips(name: str, rest: str, in_article: bool) -> str:
-    """Why an element is left out: "" if it isn't."""
-    if name in SKIPPED or (name == "header" and not in_article):
+#: Words that say what an element goes with, not what it is.
+BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:has|with|no|without)[_-]+[\w-]+|(?:post|entry|article|story|content)[_-]+header)(?=$|[\s_])", re.I)
+
+
+def _skips(name: str, rest: str, in_article: bool, share: Callable[[], float] = lambda: 0.0) -> str:
+    """Why an element is left out: "" if it isn't. share: of the page's text, what the element holds."""
+    if name in SKIPPED or name in EMBEDDED or (name == "header" and not in_article):
         return name
     if rest and name not in ("html", "body", "main"):
         for key, value in _ATTRIBUTE.findall(rest):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
+                value = BESIDE.sub("", value)
+                if name in HEADINGS:
+                    continue
                 if COMMENTS.search(value):
-                    return "comments"
-                if MARKED.search(value) and not (name == "header" and in_article):
+                    if share() <= MOST_COMMENTS:
+                        return "comments"
+                elif MARKED.search(value) and not (name == "header" and in_article) and share() <= MOST:
                     return "marked"
             elif key == "role" and value.lower() in ROLES:
                 return "marked"
@@ -79,11 +96,50 @@ def _skips(name: str, rest: str, in_article: bool) -> str:
     return ""
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
-    """(tag, text, link) of what may be article: a tag name (closing ones with /, those within an article with @) or a stretch of text."""
+def _shares(page: str) -> dict[int, float]:
+    """By the place of its tag, the share of the page's text that an element with an end tag holds, or one that ends with an ancestor."""
+    held, opened, stacks = 0, [], Counter()
+    out = {}
+    for m in _TOKEN.finditer(page):
+        name = m["name"]
+        if name is None:
+            held += len((m["text"] or "").split())
+            continue
+        name = name.lower()
+        if not m["close"]:
+            if name not in VOID and not m["rest"].endswith("/"):
+                opened.append((name, m.start(), held))
+                stacks[name] += 1
+        elif stacks[name]:
+            while opened:
+                one, at, before = opened.pop()
+                stacks[one] -= 1
+                out[at] = held - before if one == name else 0
+                if one == name:
+                    break
+    return {at: n / max(1, held) for at, n in out.items()}
+
+
+def tokens(page: str, whole: bool = True) -> Iterator[tuple[str, str, bool]]:
+    """(tag, text, link) of what may be article: a tag name (closing ones with /, those within an article with @) or a stretch of text.
+
+    whole: whether ``page`` is all of a page, so that shares of its text mean something.
+    """
     skipping, depth, why = "", 0, ""
     links = 0
     article = 0
+    opened, inside = Counter(), Counter()  # elements open around what is skipped, and within it
+    shares: dict[int, float] | None = None
+    tags: dict[str, list[tuple[int, bool]]] = {}
+
+    def closed(name: str, after: int) -> bool:
+        """Whether the next tag of the name is an end tag."""
+        if name not in tags:
+            tags[name] = [(t.start(), t[0][1] == "/") for t in re.finditer(rf"</?{name}\b", page, re.I)][::-1]
+        while tags[name] and tags[name][-1][0] < after:
+            tags[name].pop()
+        return bool(tags[name]) and tags[name][-1][1]
+
     for m in _TOKEN.finditer(page):
         name, text = m["name"], m["text"]
         if name is None:
@@ -92,15 +148,28 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             continue
         name = name.lower()
         closing = bool(m["close"])
+        empty = not closing and (name in VOID or (name in ("svg", "math", "iframe") and m["rest"].endswith("/")))
+
+        def share(at: int = m.start()) -> float:
+            nonlocal shares
+            if not whole:
+                return 0.0
+            if shares is None:
+                shares = _shares(page)
+            return shares.get(at, 0.0)
+
         if skipping:
-            if name == skipping:
-                depth += -1 if closing else 1
-            # An element left open ends where the article begins, a paragraph where a block begins.
+            # An element left open ends where the article begins, where its end is implied, or with an element around it.
             opens = not closing and name in ("article", "main") and why != "comments" and not _skips(name, m["rest"], False)
-            ends_p = skipping == "p" and name in BLOCKS and name != "p"
-            if depth == 0 or opens or ends_p or (name in ("body", "html") and closing):
+            implied = not closing and name in IMPLIED.get(skipping, ()) and not any(inside[x] for x in LISTS)
+            around = closing and name != skipping and name in BLOCKS and name not in IMPLIED and not inside[name] and opened[name] > 0
+            if name == skipping and not empty and not implied:
+                depth += -1 if closing else 1
+            elif name != skipping and not empty:
+                inside[name] = max(0, inside[name] + (-1 if closing else 1))
+            if depth == 0 or opens or implied or around or (name in ("body", "html") and closing):
                 skipping = ""
-                if not (opens or ends_p):
+                if not (opens or implied or around):
                     yield ("/" if closing else "") + name + ("@" if article else ""), "", False
                     continue
             else:
@@ -109,8 +178,11 @@ def tokens(page: str) -> Iterator[tuple[str, str, bool]]:
             article = max(0, article + (-1 if closing else 1))
         elif name == "a":
             links = 0 if closing else 1
-        if not closing and name not in VOID and (why := _skips(name, m["rest"], article > 0)):
+        if not closing and not empty and (name not in EMBEDDED or closed(name, m.end())) and (why := _skips(name, m["rest"], article > 0, share)):
             skipping, depth = name, 1
+            inside.clear()
+        elif not empty:
+            opened[name] = max(0, opened[name] + (-1 if closing else 1))
         # Tags within an article are weighed apart: there they rarely lead out of it.
         inner = "@" if article and name not in ("article", "main") else ""
         yield ("/" if closing else "") + name + inner, "", False
@@ -122,7 +194,7 @@ def weights() -> dict[str, float]:
     inside, outside = Counter(), Counter()
     for before, main, after in labelled_pages():
         for part, counts in ((before, outside), (main, inside), (after, outside)):
-            for tag, text, link in tokens(part):
+            for tag, text, link in tokens(part, whole=False):
                 counts[tag or ("link word" if link else "word")] += len(text.split()) if text else 1
     out = {}
     for name in inside | outside:

@@ -102,6 +102,32 @@ def test_pages(page, text):
     assert html_extract.main_text(page or "") == text
 
 
+MORE = "further words of the same article that must not be lost"
+
+
+@pytest.mark.parametrize("between", ["<svg width=1 />", "<iframe src=x />", "<video src=x>", "<audio src=x>", "<canvas>", "<object data=x>", "<video>Old browser</video>", "<svg><svg><text>x</text></svg></svg>", "<select><option>One<option>Two</select>"])
+def test_text_after_embedded_elements_stays(between):
+    page = f"<article><p>{WORDS}</p>{between}<p>{MORE}</p></article><footer>Foot</footer>"
+    assert html_extract.main_text(page) == f"{WORDS}\n{MORE}"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{WORDS} <math><mi>x</mi></math> <object>fallback</object></p></article>", f"{WORDS} x fallback"),
+        (f"<article><p>{WORDS}</p><h2 id='discussion'>Discussion</h2><p>{MORE}</p><h2 id=related-work>Related</h2><p>{MORE}</p></article>", f"{WORDS}\nDiscussion\n{MORE}\nRelated\n{MORE}"),
+        (f"<article><div class='post-header'><h1>Title</h1></div><p>{WORDS}</p></article>", f"Title\n{WORDS}"),
+        (f"<div class='content has-sidebar'><p>{WORDS}</p><p>{MORE}</p></div>", f"{WORDS}\n{MORE}"),
+        (f"<div class='sidebar-layout sidebar'><p>{WORDS}</p><p>{MORE}</p></div><div>x</div>", f"{WORDS}\n{MORE}"),
+        (f"<article><ul><li class=ad>Buy<li>{WORDS}</ul><p>{MORE}</p></article>", f"{WORDS}\n{MORE}"),
+        (f"<article><p class=ad>Buy<p>{WORDS}</article>", WORDS),
+        (f"<article><div><div class=share>Share</article><p>{WORDS}</p>", WORDS),
+    ],
+)
+def test_article_text_is_not_taken_for_something_else(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_extract(spark):
     rows = [(i, f"u{i}", p) for i, (p, _) in enumerate(PAGES)] + [(None, None, PAGES[6][0]), (6, "u6", PAGES[6][0]), (99, "long", f"<article><p>{'word ' * 60000}</p></article>")]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int").repartition(2)
