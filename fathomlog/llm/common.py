@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -18,9 +21,11 @@ CHUNK_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a local one only where none is named."""
+    """The shared folder that the session names; a local one only where none is named and no other machine takes part."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="fathomlog-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -63,6 +68,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             yield batch.slice(start)
 
 
+def release() -> None:
+    """Hand memory that is free but held by allocators back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for ``mapInArrow``, freeing memory as its task ends: Spark keeps workers, and what each kept would add up from stage to stage."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def pack(raw: bytes, level: int = 1) -> bytes:
     """Compressed bytes that know their size."""
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
@@ -82,4 +107,4 @@ def with_packed_text(df: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([packed if n == text else batch.column(n) for n in names], names)
 
     schema = ", ".join(f"`{f.name}` {'binary' if f.name == text else f.dataType.simpleString()}" for f in df.schema)
-    return df.withColumn(text, F.col(text).cast("string")).mapInArrow(run, schema)
+    return df.withColumn(text, F.col(text).cast("string")).mapInArrow(released(run), schema)

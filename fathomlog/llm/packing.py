@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import materialize, slices, with_text
-from fathomlog.llm.word_bpe import gather, ragged, split_words, word_encoder
+from fathomlog.llm.common import materialize, released, slices, with_text
+from fathomlog.llm.word_bpe import gather, split_words, word_encoder
 
 SALTS = 64
-CHUNK_TEXT = 16 << 20
+CHUNK_TEXT = 8 << 20
 #: Parts of words whose ids a worker remembers from batch to batch.
 REMEMBERED = 1 << 19
 
@@ -42,7 +42,7 @@ def pieces(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
         encode = word_encoder(path, REMEMBERED)
         for batch in slices(batches, "text", CHUNK_TEXT):
             offsets, positions, words = split_words(batch.column("text"))
-            starts, flat = ragged(encode(words.to_pylist()))
+            starts, flat = encode.ids_of(words.to_pylist())
             stops = np.concatenate(([0], np.cumsum(starts[positions + 1] - starts[positions])))[offsets]
             ids = gather(starts, flat, positions).astype("<u4")
             rows: list[tuple] = []
@@ -59,7 +59,7 @@ def pieces(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
 
     kind = df.schema[id_col].dataType.simpleString()
     docs = with_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-    return docs.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(released(run), f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import slices, with_text
-from fathomlog.llm.training import labelled_sample
+from fathomlog.llm.common import released, slices, with_text
+from fathomlog.llm.training import fitted, sample_of
 from fathomlog.llm.word_bpe import split_words
 
 BUCKETS, RANK = 4096, 8
@@ -151,11 +151,15 @@ def fit(x: np.ndarray, y: np.ndarray, *, epochs: int = 8, rate: float = 0.02, de
 
 def train(documents: DataFrame, labels: DataFrame, allowed: Column, *, label: str = "quality", length_col: str = "n_chars", per_class: int = PER_CLASS) -> FactorisationMachine:
     """A model of ``label`` from at most ``2 * per_class`` rows that ``allowed`` (a column over ``labels``) admits."""
-    sample = labelled_sample(documents, labels, label, allowed, per_class=per_class, columns=("text", length_col))
-    texts, lengths = pa.array([r[1] for r in sample], pa.string()), pa.array([r[2] for r in sample], pa.float64())
-    parts = [features(texts[at : at + 500], lengths[at : at + 500]) for at in range(0, len(sample), 500)]
-    x = np.vstack(parts) if parts else np.zeros((0, BUCKETS + STATISTICS), np.float32)
-    return fit(x, np.array([r[0] for r in sample], np.float32))
+    sample = sample_of(documents, labels, label, allowed, per_class=per_class, columns=("text", length_col))
+
+    def learn(rows: list[tuple]) -> FactorisationMachine:
+        texts, lengths = pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())
+        parts = [features(texts[at : at + 500], lengths[at : at + 500]) for at in range(0, len(rows), 500)]
+        x = np.vstack(parts) if parts else np.zeros((0, BUCKETS + STATISTICS), np.float32)
+        return fit(x, np.array([r[0] for r in rows], np.float32))
+
+    return fitted(sample, learn)
 
 
 def score(documents: DataFrame, model: FactorisationMachine, *, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
@@ -171,4 +175,4 @@ def score(documents: DataFrame, model: FactorisationMachine, *, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores)], ["id", "score"])
 
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(length_col).cast("double").alias("length"))
-    return with_text(rows, "text").mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return with_text(rows, "text").mapInArrow(released(run), f"id {kind}, score double").withColumnRenamed("id", id_col)

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import broadcast_if_small, materialize, slices, with_text
+from fathomlog.llm.common import broadcast_if_small, materialize, released, slices, with_text
 from fathomlog.llm.components import connected_components
 
 SEGMENTS = 16
@@ -116,7 +116,7 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "fp", "n", "bands"][: len(columns)])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return _rows(df, id_col, text_col).mapInArrow(run, f"id {kind}, text_hash long, fp long" + ", n long, bands array<long>" * banded)
+    return _rows(df, id_col, text_col).mapInArrow(released(run), f"id {kind}, text_hash long, fp long" + ", n long, bands array<long>" * banded)
 
 
 def _grid(fp: str) -> str:
@@ -185,7 +185,7 @@ def _shingle_sets(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("o"), pa.array(sets, pa.binary())], ["o", "s"])
 
     kind = nodes.schema["o"].dataType.simpleString()
-    return materialize(found.select("o", "text").mapInArrow(hashed, f"o {kind}, s binary").dropDuplicates(["o"]))
+    return materialize(found.select("o", "text").mapInArrow(released(hashed), f"o {kind}, s binary").dropDuplicates(["o"]))
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -203,7 +203,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
     kind = pairs.schema["a"].dataType.simpleString()
     joined = pairs.join(sets.select(F.col("o").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("o").alias("b"), F.col("s").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(compared, f"a {kind}, b {kind}, gap long, similar boolean")
+    return joined.select("a", "b", "x", "y").mapInArrow(released(compared), f"a {kind}, b {kind}, gap long, similar boolean")
 
 
 def _crowded(members: DataFrame) -> DataFrame:

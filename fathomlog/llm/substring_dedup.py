@@ -33,16 +33,16 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import materialize, unpack, with_packed_text
+from fathomlog.llm.common import materialize, released, slices, unpack, with_packed_text
 
 LENGTH = 200
 KGRAM = 50
 #: Bytes hashed at once, and the places that a key can hold beside 40 bits of hash.
-BLOCK, PLACE_BITS = 2 << 20, 24
+BLOCK, PLACE_BITS = 1 << 20, 24
 #: Different slices of one anchor that a shard takes.
 SHARD_SLICES = 4096
 #: Bytes of slices sorted at once.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 _rng = np.random.default_rng(7)
 _BYTES = _rng.integers(1, 2**63, (2, 256), np.uint64) | np.uint64(1)
@@ -155,7 +155,7 @@ def candidate_slices(docs: DataFrame, length: int, kgram: int) -> DataFrame:
     """(id, th, fp, h, s0, ns) of every slice of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             texts = [x.encode() for x in batch.column("text").to_pylist()]
             for data, bounds, origin in _blocks(texts, length):
                 first, count, fp, h = slices_of(data, bounds, length, kgram)
@@ -172,7 +172,7 @@ def candidate_slices(docs: DataFrame, length: int, kgram: int) -> DataFrame:
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, th long, fp long, h long, s0 long, ns int")
+    return docs.mapInArrow(released(run), f"id {kind}, th long, fp long, h long, s0 long, ns int")
 
 
 def fetched_slices(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -201,7 +201,7 @@ def fetched_slices(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame
         if rows:
             yield made()
 
-    return joined.mapInArrow(run, "fp long, h long, ns int, bytes binary, shard int, shards int")
+    return joined.mapInArrow(released(run), "fp long, h long, ns int, bytes binary, shard int, shards int")
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -358,7 +358,7 @@ def shard_verdicts(slices: DataFrame, length: int) -> DataFrame:
         if size:
             yield from work(pa.Table.from_batches(held))
 
-    return slices.mapInArrow(run, _VERDICT)
+    return slices.mapInArrow(released(run), _VERDICT)
 
 
 def _verdict(kind: str, *columns: np.ndarray) -> pa.RecordBatch:
@@ -474,4 +474,4 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(run, source.schema if keep_text else f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(released(run), source.schema if keep_text else f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

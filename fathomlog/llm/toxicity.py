@@ -33,8 +33,8 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import slices, with_text
-from fathomlog.llm.training import labelled_sample
+from fathomlog.llm.common import released, slices, with_text
+from fathomlog.llm.training import fitted, sample_of
 from fathomlog.llm.word_bpe import gather, split_words
 
 WINDOW, STRIDE = 32, 24
@@ -346,8 +346,8 @@ def _set_threshold(net: Network, texts: list[str], target: np.ndarray) -> None:
 
 def train(documents: DataFrame, labels: DataFrame, allowed: Column, *, label: str = "toxic", per_class: int = PER_CLASS) -> Network:
     """A model of ``label`` from at most ``2 * per_class`` rows that ``allowed`` (a column over ``labels``) admits."""
-    sample = labelled_sample(documents, labels, label, allowed, per_class=per_class)
-    return fit([r[1] for r in sample], np.array([r[0] for r in sample], np.float32))
+    sample = sample_of(documents, labels, label, allowed, per_class=per_class)
+    return fitted(sample, lambda rows: fit([r[1] for r in rows], np.array([r[0] for r in rows], np.float32)))
 
 
 def score(documents: DataFrame, net: Network, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -360,7 +360,7 @@ def score(documents: DataFrame, net: Network, *, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(shared.value.score(batch.column("text")))], ["id", "score"])
 
     rows = with_text(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-    return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def keep_clean(documents: DataFrame, net: Network, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -372,4 +372,4 @@ def keep_clean(documents: DataFrame, net: Network, *, text_col: str = "text", th
             texts = pa.compute.fill_null(batch.column(text_col).cast(pa.string()), "")
             yield batch.filter(pa.array(shared.value.score(texts) < threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(released(run), documents.schema)

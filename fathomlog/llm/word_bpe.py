@@ -26,6 +26,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fathomlog.llm.common import materialize, pack, slices, unpack, with_text
+from fathomlog.llm.common import materialize, pack, released, slices, unpack, with_text
 
 #: Text held by one chunk, whose dictionary is shared by its documents.
 CHUNK_TEXT = 32 << 20
@@ -44,7 +45,7 @@ _AT_ONCE = 1 << 20
 #: How hard the traffic is compressed.
 LEVEL = 9
 #: Words whose pieces a worker remembers between batches.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 #: Letters that need no normalisation: already lower case, composed, and \p{L} in any Unicode version.
 LETTERS = "a-zß-öø-ÿ"
 #: The pre-tokenizer's contractions.
@@ -54,11 +55,12 @@ _PARTS = re.compile(rf"{CONTRACTIONS}|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
 
 
 class WordEncoder:
-    """Ids of words, each encoded once as long as it is remembered.
+    """Ids of words, each part of a word encoded once as long as it is remembered.
 
     Plain words are cut into the pre-tokenizer's parts, and all new parts of a call are encoded
     together: the end-of-word mark tells where one part's ids end. Any other word, and every word
-    of a tokenizer without that mark, is encoded on its own.
+    of a tokenizer without that mark, is encoded on its own. What is remembered is a number for
+    each part and one array of all ids, so that half a million parts take some 80 MB.
     """
 
     def __init__(self, path: str, remembered: int | None = None):
@@ -72,45 +74,63 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self.parts: dict[str, list[int]] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.parts) + len(parts) > self.remembered:
-            self.parts.clear()
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.stops, self.flat = array("q", [0]), array("i")
+
+    def _add(self, key: str, ids: list[int]) -> None:
+        self.known[key] = len(self.known)
+        self.flat.extend(ids)
+        self.stops.append(len(self.flat))
+
+    def _learn(self, keys: list[str]) -> None:
+        """Keys are parts of plain words, or a space and a whole word."""
+        parts = []
+        for key in keys:
+            if key[0] == " ":
+                self._add(key, self.tokenizer.encode(key[1:], add_special_tokens=False).ids)
+            else:
+                parts.append(key)
         for at in range(0, len(parts), 2000):
             some = parts[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int64)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some):
-                start = 0
-                whole = ids.tolist()
-                for part, stop in zip(some, stops.tolist(), strict=True):
-                    self.parts[part] = whole[start:stop]
-                    start = stop
+                first = len(self.flat)
+                self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
+                self.flat.frombytes(ids.tobytes())
+                self.stops.frombytes((stops + first).astype(np.int64).tobytes())
             else:
                 for part in some:
-                    self.parts[part] = self.tokenizer.encode(part, add_special_tokens=False).ids
+                    self._add(part, self.tokenizer.encode(part, add_special_tokens=False).ids)
 
-    def __call__(self, words: list[str]) -> list[list[int]]:
-        cut: list[list[str] | None] = []
-        for word in words:
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, flat): word i has flat[starts[i]:starts[i + 1]]."""
+        keys: list[str] = []
+        counts = np.ones(len(words), np.int64)
+        for i, word in enumerate(words):
             low = word.lower()
-            cut.append(_PARTS.findall(low) if "<|" not in word and _PLAIN.fullmatch(low) else None)
-        known = self.parts
-        new = list({part for parts in cut if parts for part in parts if part not in known})
-        if len(new) + len(known) > self.remembered:  # what this call needs is learnt anew
-            known.clear()
-            new = list({part for parts in cut if parts for part in parts})
-        self._learn(new)
-        out = []
-        for word, parts in zip(words, cut, strict=True):
-            if parts is None:
-                out.append(self.tokenizer.encode(word, add_special_tokens=False).ids)
-            elif len(parts) == 1:
-                out.append(self.parts[parts[0]])
+            if "<|" not in word and _PLAIN.fullmatch(low):
+                own = _PARTS.findall(low)
+                counts[i] = len(own)
+                keys += own
             else:
-                out.append([i for part in parts for i in self.parts[part]])
-        return out
+                keys.append(" " + word)
+        new = list({k for k in keys if k not in self.known})
+        if len(new) + len(self.known) > self.remembered:  # what this call needs is learnt anew
+            self.clear()
+            new = list(set(keys))
+        self._learn(new)
+        rows = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
+        starts, flat = np.frombuffer(self.stops, np.int64), np.frombuffer(self.flat, np.int32)
+        bounds = np.concatenate(([0], np.cumsum(starts[rows + 1] - starts[rows])))
+        return bounds[np.concatenate(([0], np.cumsum(counts)))], gather(starts, flat, rows)
+
+    def __call__(self, words: list[str]) -> list[list[int]]:
+        starts, flat = self.ids_of(words)
+        return [x.tolist() for x in np.split(flat, starts[1:-1])] if words else []
 
 
 _ENCODERS: dict[tuple[str, int | None], WordEncoder] = {}
@@ -139,21 +159,16 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets, positions, words
 
 
-def ragged(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, flat) of lists, starts having one entry more."""
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    starts = np.concatenate(([0], np.cumsum(lengths)))
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(starts[-1]))
-    return starts, flat
-
-
 def gather(starts: np.ndarray, flat: np.ndarray, positions: np.ndarray) -> np.ndarray:
     """The lists at ``positions`` end to end."""
     lengths = starts[positions + 1] - starts[positions]
     ends = np.cumsum(lengths)
-    if not len(ends):
-        return flat[:0]
-    return flat[np.repeat(starts[positions] - ends + lengths, lengths) + np.arange(ends[-1])]
+    if not len(ends) or not ends[-1]:
+        return flat[:0].copy()
+    kind = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+    places = np.repeat((starts[positions] - ends + lengths).astype(kind), lengths)
+    places += np.arange(ends[-1], dtype=kind)
+    return flat[places]
 
 
 def _numbers(values: np.ndarray) -> bytes:
@@ -226,11 +241,11 @@ def encode_parts(words: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(batch.num_rows):
                 own = batch.slice(at, 1)
-                starts, flat = ragged(encode(unpack(own.column("words")[0].as_py()).decode().split("\n")))
+                starts, flat = encode.ids_of(unpack(own.column("words")[0].as_py()).decode().split("\n"))
                 packed = [pa.array([_numbers(x)], pa.binary()) for x in (np.diff(starts), flat)]
                 yield pa.RecordBatch.from_arrays([own.column("chunk"), own.column("part"), *packed], ["of", "part", "lengths", "flat"])
 
-    return words.mapInArrow(run, "of string, part int, lengths binary, flat binary")
+    return words.mapInArrow(released(run), "of string, part int, lengths binary, flat binary")
 
 
 def pieces_of(path: str) -> list[str]:
@@ -264,7 +279,7 @@ def _assembled(df: DataFrame, path: str, id_col: str, text_col: str, columns: di
     name = kind.simpleString()
     parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = with_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-    split = materialize(docs.mapInArrow(_chunks(parts, to_arrow_type(kind)), _SPLIT.format(name)))
+    split = materialize(docs.mapInArrow(released(_chunks(parts, to_arrow_type(kind))), _SPLIT.format(name)))
     words = split.where("part is not null").select("chunk", "part", "words").repartition("part")
     texts = split.where("part is null").select("chunk", "ids", "counts", "positions")
     encoded = encode_parts(words, path)
