@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomlog.functions.values import clean_error
+from fathomlog.operators.chain import BLOCK
 
 # Why a command is denied.
 DENIALS = ("unknown_action", "missing_key", "parse_error", "idempotency_mismatch", "validation_error", "not_authorized", "execution_error")
@@ -17,9 +18,17 @@ DENIALS = ("unknown_action", "missing_key", "parse_error", "idempotency_mismatch
 
 def content_changes(log: DataFrame, content: Column, keys: tuple[str, ...] = ("aggregate_id", "entry_type")) -> DataFrame:
     """Events whose content differs from the event before of the same keys; repeats are what dedupe would not append."""
-    before = F.lag("__content").over(Window.partitionBy(*keys).orderBy("sequence_number"))
-    hashed = log.withColumn("__content", F.sha2(content, 256)).withColumn("__before", before)
-    return hashed.where(~F.col("__content").eqNullSafe(F.col("__before"))).drop("__content", "__before")
+    hashed = log.withColumn("__content", F.sha2(content, 256)).withColumn("__block", F.floor(F.col("sequence_number") / F.lit(BLOCK)))
+    # Within blocks of positions, so that a key's history is no single task; a block's first event looks at the blocks before.
+    own = Window.partitionBy(*keys, "__block").orderBy("sequence_number")
+    within = hashed.withColumn("__n", F.row_number().over(own)).withColumn("__before", F.lag("__content").over(own))
+    last = hashed.groupBy(*keys, "__block").agg(F.max_by("__content", "sequence_number").alias("__last"))
+    prior = last.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__block").alias("__b"), F.lag("__last").over(Window.partitionBy(*keys).orderBy("__block")).alias("__prior"))
+    on = F.col("__block") == F.col("__b")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    before = F.when(F.col("__n") == 1, F.col("__prior")).otherwise(F.col("__before"))
+    return within.join(prior, on, "left").where(~F.col("__content").eqNullSafe(before)).select(*log.columns)
 
 
 def idempotency(commands: DataFrame, held: DataFrame, now: Column) -> DataFrame:

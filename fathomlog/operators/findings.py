@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomlog.functions.canonical_json import content_hash
+from fathomlog.sources.scratch import written
 
 # Who detects, and what a finding's evidence holds by kind.
 ROLES = ("ingest", "restore", "sender", "walk", "fold")
@@ -102,11 +103,11 @@ def marks(findings: DataFrame, authors: DataFrame, lineage: DataFrame | None = N
         findings.where(~by_position).select("finding_id", "origin_db", "aggregate_id").join(members, "origin_db")
         .join(wrote.select("aggregate_id", "member"), ["aggregate_id", "member"]).select("aggregate_id", "finding_id")
     )
-    reached = (
-        findings.where(by_position).select("finding_id", F.col("origin_db").alias("member"), "threshold")
-        .join(wrote, "member").where("max_position >= threshold").select("aggregate_id", "finding_id")
-    )
-    return named.union(reached).groupBy("aggregate_id").agg(F.array_sort(F.collect_set("finding_id")).alias("finding_ids"))
+    # An origin's thresholds are one array, of which each aggregate takes what its last position reaches.
+    by_origin = findings.where(by_position).groupBy(F.col("origin_db").alias("member")).agg(F.array_sort(F.collect_set(F.struct("threshold", "finding_id"))).alias("held"))
+    reached = wrote.join(by_origin, "member").select("aggregate_id", F.expr("transform(filter(held, x -> x.threshold <= max_position), x -> x.finding_id)").alias("ids")).where("size(ids) > 0")
+    every = named.select("aggregate_id", F.array("finding_id").alias("ids")).union(reached)
+    return every.groupBy("aggregate_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("finding_ids"))
 
 
 def with_marks(view_rows: DataFrame, marked: DataFrame, key: str = "aggregate_id") -> DataFrame:
@@ -126,6 +127,6 @@ def lineage(successions: DataFrame, origin: str = "origin_db", predecessor: str
     size, before = reach.count(), -1
     while size != before:
         onward = reach.select(F.col("origin_db").alias("member"), F.col("member").alias("next"))
-        reach = reach.join(onward, "member").select("origin_db", F.col("next").alias("member")).distinct().checkpoint()
+        reach = written(reach.join(onward, "member").select("origin_db", F.col("next").alias("member")).distinct())
         before, size = size, reach.count()
     return reach

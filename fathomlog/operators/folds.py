@@ -1,8 +1,9 @@
 """Folding events into views: the step, and how Spark runs it.
 
 ``step`` is one pure function from a row and an event to the row after it. It serves
-all forms: ``fold`` groups events by row key and runs it in order (exact for every
-definition), and the streaming form keeps the row as state. ``latest_rows`` and
+all forms: ``fold`` deals events by row key, sorts them within their partitions and runs it
+over each partition once, holding one row at a time (exact for every definition), and the
+streaming form keeps the row as state. ``latest_rows`` and
 ``path_writes`` are DataFrame forms for definitions whose outcome doesn't depend on the
 row before: they shuffle and aggregate in the JVM and are the ones to use at scale.
 """
@@ -10,17 +11,18 @@ row before: they shuffle and aggregate in the JVM and are the ones to use at sca
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
-from datetime import UTC
+from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomlog.functions.timestamps import iso_of
 from fathomlog.functions.values import deep_merge
 from fathomlog.plans.promotion import Promotions
 from fathomlog.plans.specs import AggregateView, FoldFailure, TableView
+from fathomlog.sources.scratch import written
 
 #: Columns of an event that a fold reads.
 EVENT = "sequence_number event_id aggregate_id aggregate_type entry_type entry_type_version event_type data client_timestamp".split()
@@ -117,70 +119,143 @@ def event_dict(values: dict) -> dict:
 
 
 ROWS = "row_key string, row_json string, source_aggregate_id string, position long, sequence_number long, reason string, detail string"
-_NAMES = [x.split()[0] for x in ROWS.split(", ")]
+ASKED = "row_key string, kind string, row_data string, matched string, source string, sequence_number long, reason string, detail string"
+_KINDS = {"string": pa.string(), "long": pa.int64()}
+_START = datetime(1970, 1, 1, tzinfo=UTC)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_NAMES, dtype="object")
-    return out.astype({"position": "Int64", "sequence_number": "Int64"})
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
 
-def fold(log: DataFrame, view: AggregateView | TableView, promotions: Promotions | None = None, declared: dict | None = None) -> DataFrame:
-    """View rows (row_key, row_json, source_aggregate_id, position) and failures (sequence_number, reason, detail).
+def _records(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+#: Columns of an event that are passed on as they are.
+_PLAIN = [c for c in EVENT if c not in ("entry_type_version", "client_timestamp")]
+
+
+def _plain_events(log: DataFrame) -> DataFrame:
+    """The EVENT columns as texts and numbers, which cross to Python cheaply."""
+    return log.select(*_PLAIN, F.col("entry_type_version.major").alias("major"), F.col("entry_type_version.minor").alias("minor"), F.unix_micros("client_timestamp").alias("micros"))
+
+
+def _event(record: tuple) -> dict:
+    event = dict(zip(_PLAIN, record, strict=False))
+    major, minor, micros = record[len(_PLAIN) : len(_PLAIN) + 3]
+    event["data"] = json.loads(event["data"])
+    event["entry_type_version"] = None if major is None else (major, minor)
+    event["client_timestamp"] = None if micros is None else _START + timedelta(microseconds=micros)
+    return event
 
-    Rows have no reason, failures no row_json. One key's events are folded in one task; use the
-    DataFrame forms where a key may hold a large share of the log.
-    """
-    folder = Folder(view, promotions, declared)
-    events = log.where(view.interest.condition(log)).select(*EVENT)
-    dump = lambda row: json.dumps(row, ensure_ascii=False, sort_keys=True)
-    if isinstance(view, AggregateView):
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            ordered = [event_dict(e) for e in pdf.sort_values("sequence_number").to_dict("records")]
-            row, failed = folder.aggregate(None, ordered)
-            key = ordered[0]["aggregate_id"]
-            out = [(key, dump(row), key, row["sequence"], None, None, None)] if row else []
-            return _frame(out + [(key, None, key, None, *f) for f in failed])
+def _dump(value) -> str:
+    return json.dumps(value, ensure_ascii=False, sort_keys=True)
 
-        return events.groupBy("aggregate_id").applyInPandas(run, ROWS)
 
-    def spread(batches):
-        for pdf in batches:
+def asked_operations(log: DataFrame, view: TableView, promotions: Promotions | None = None, declared: dict | None = None) -> DataFrame:
+    """What each event asks of a table view's rows (row_key, kind, row_data, matched, source, sequence_number), and failures (reason, detail) without key."""
+    folder = Folder(view, promotions, declared)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for values in pdf.to_dict("records"):
-                event = event_dict(values)
+            for record in _records(batch):
+                event = _event(record)
+                source, place = event["aggregate_id"], event["sequence_number"]
                 operations, failed = folder.operations(event)
-                out += [(key, kind, json.dumps(data), values["data"], values["aggregate_id"], event["sequence_number"], None, None) for key, kind, data in operations]
-                out += [(None, None, None, None, values["aggregate_id"], s, reason, detail) for s, reason, detail in failed]
-            yield pd.DataFrame(out, columns=["row_key", "kind", "row_data", "data", "source", "sequence_number", "reason", "detail"], dtype="object")
-
-    asked = events.mapInPandas(spread, "row_key string, kind string, row_data string, data string, source string, sequence_number long, reason string, detail string")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sequence_number")
-        key, row, source = pdf["row_key"].iloc[0], None, None
-        if key is None:
-            return _frame([(None, None, r.source, None, r.sequence_number, r.reason, r.detail) for r in pdf.itertuples()])
-        for r in pdf.itertuples():
-            event = {"data": json.loads(r.data), "sequence_number": int(r.sequence_number)}
-            after = table_step(view, row, key, r.kind, json.loads(r.row_data), event)
-            if after is not row:
-                row, source = after, r.source
-        return _frame([(key, dump(row), source, row["sequence"], None, None, None)] if row else [])
+                matched = json.dumps(event["data"].get(view.match_field)) if view.match_field else None
+                out += [(key, kind, json.dumps(data, ensure_ascii=False), matched, source, place, None, None) for key, kind, data in operations]
+                out += [(None, None, None, None, source, s, reason, detail) for s, reason, detail in failed]
+            if out:
+                yield _batch(out, ASKED)
+
+    return _plain_events(log.where(view.interest.condition(log))).mapInArrow(spread, ASKED)
+
+
+def fold_operations(asked: DataFrame, view: TableView, held: DataFrame | None = None) -> DataFrame:
+    """View rows and failures from ``asked_operations``, going on from rows ``held``."""
+    if held is not None:
+        rows = held.select("row_key", F.lit("held").alias("kind"), F.col("row_json").alias("row_data"), F.lit(None).cast("string").alias("matched"), F.col("source_aggregate_id").alias("source"), F.lit(-1).cast("long").alias("sequence_number"))
+        asked = asked.unionByName(rows, allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, row, source, out = None, None, None, []
+        for batch in batches:
+            for key, kind, data, matched, own, place, reason, detail, _ in _records(batch):
+                if key is None:
+                    out.append((None, None, own, None, place, reason, detail))
+                    continue
+                if key != at:
+                    if row:
+                        out.append((at, _dump(row), source, row["sequence"], None, None, None))
+                    at, row, source = key, None, None
+                if kind == "held":
+                    row, source = json.loads(data), own
+                    continue
+                event = {"data": {view.match_field: json.loads(matched)} if matched is not None else {}, "sequence_number": place}
+                after = table_step(view, row, key, kind, json.loads(data), event)
+                if after is not row:
+                    row, source = after, own
+            if out:
+                yield _batch(out, ROWS)
+                out = []
+        if row:
+            yield _batch([(at, _dump(row), source, row["sequence"], None, None, None)], ROWS)
 
     # Failures have no key; they are dealt by position.
-    dealt = F.when(F.col("row_key").isNull(), F.pmod("sequence_number", F.lit(64)))
-    return asked.withColumn("dealt", dealt).groupBy("row_key", "dealt").applyInPandas(run, ROWS)
+    dealt = asked.withColumn("dealt", F.when(F.col("row_key").isNull(), F.pmod("sequence_number", F.lit(64))))
+    return dealt.repartition("row_key", "dealt").sortWithinPartitions("row_key", "sequence_number").mapInArrow(run, ROWS)
+
+
+def fold(log: DataFrame, view: AggregateView | TableView, promotions: Promotions | None = None, declared: dict | None = None, held: DataFrame | None = None) -> DataFrame:
+    """View rows (row_key, row_json, source_aggregate_id, position) and failures (sequence_number, reason, detail).
+
+    Rows have no reason, failures no row_json. Events are dealt by row key and sorted; a task walks its
+    partition once and holds one row, however many events a key has. held: rows of an earlier fold, of which
+    ``log`` holds the events that follow; keys that those don't touch come back as they were.
+    """
+    if isinstance(view, TableView):
+        return fold_operations(asked_operations(log, view, promotions, declared), view, held)
+    folder = Folder(view, promotions, declared)
+    events = _plain_events(log.where(view.interest.condition(log))).withColumn("held", F.lit(False))
+    if held is not None:
+        rows = held.select(F.col("row_key").alias("aggregate_id"), F.col("row_json").alias("data"), F.lit(-1).cast("long").alias("sequence_number"), F.lit(True).alias("held"))
+        events = events.withColumn("aggregate_id", F.col("aggregate_id").cast("string")).unionByName(rows, allowMissingColumns=True)
+    place, data = _PLAIN.index("aggregate_id"), _PLAIN.index("data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, row, begun, out = None, None, False, []
+        for batch in batches:
+            for record in _records(batch):
+                key = record[place]
+                if not begun or key != at:
+                    if row:
+                        out.append((at, _dump(row), at, row["sequence"], None, None, None))
+                    at, row, begun = key, None, True
+                if record[-1]:
+                    row = json.loads(record[data])
+                    continue
+                row, failed = folder.aggregate(row, [_event(record)])
+                out += [(key, None, key, None, *f) for f in failed]
+            if out:
+                yield _batch(out, ROWS)
+                out = []
+        if row:
+            yield _batch([(at, _dump(row), at, row["sequence"], None, None, None)], ROWS)
+
+    return events.repartition("aggregate_id").sortWithinPartitions("aggregate_id", "sequence_number").mapInArrow(run, ROWS)
 
 
 # DataFrame forms.
 
 
 def live_events(log: DataFrame, is_tombstone: Column, key: str = "aggregate_id") -> DataFrame:
-    """Events after the last tombstone of their aggregate."""
-    last = F.max(F.when(is_tombstone, F.col("sequence_number"))).over(Window.partitionBy(key))
-    return log.withColumn("__last", last).where(F.col("__last").isNull() | (F.col("sequence_number") > F.col("__last"))).drop("__last")
+    """Events after the last tombstone of their aggregate, which is aggregated and joined: a hot key is combined map-side."""
+    last = log.groupBy(key).agg(F.max(F.when(is_tombstone, F.col("sequence_number"))).alias("__last"))
+    return log.join(last, key).where(F.col("__last").isNull() | (F.col("sequence_number") > F.col("__last"))).drop("__last")
 
 
 def aggregate_rows(log: DataFrame, is_tombstone: Column, values: dict[str, Column], key: str = "aggregate_id") -> DataFrame:
@@ -205,19 +280,22 @@ def aggregate_rows(log: DataFrame, is_tombstone: Column, values: dict[str, Colum
 def path_writes(log: DataFrame, is_tombstone: Column, key: str = "aggregate_id") -> DataFrame:
     """Deep merge without a fold: (key, path, value, sequence) of every leaf that is alive.
 
-    Payloads are flattened to writes of paths. The last write of a path holds, unless a later
+    Payloads are flattened to writes of paths, level by level, each level being written before the
+    next is read, so neither their number nor their depth is bounded. The last write of a path holds, unless a later
     write of something other than an object replaced one of the path's ancestors.
     """
-    payload = F.parse_json("data")
-    live = live_events(log, is_tombstone, key).select(key, "sequence_number", payload.alias("v"))
-    live.createOrReplaceTempView("__live_payloads")
     spark = log.sparkSession
-    writes = spark.sql(f"""
-        WITH RECURSIVE w({key}, sequence_number, path, value, is_object) AS (
-            SELECT {key}, sequence_number, array(x.key), x.value, schema_of_variant(x.value) LIKE 'OBJECT%' FROM __live_payloads, LATERAL variant_explode(v) x
-            UNION ALL
-            SELECT {key}, sequence_number, concat(path, array(x.key)), x.value, schema_of_variant(x.value) LIKE 'OBJECT%' FROM w, LATERAL variant_explode(value) x WHERE is_object)
-        SELECT {key}, path, sequence_number, is_object, to_json(value) AS value FROM w""")
+    level = live_events(log, is_tombstone, key).select(key, "sequence_number", F.array().cast("array<string>").alias("path"), F.parse_json("data").alias("v"))
+    writes = None
+    while True:  # one level of the payloads after another, until none holds an object
+        opened = spark.sql(f"SELECT {key}, sequence_number, concat(path, array(x.key)) AS path, x.value AS v, schema_of_variant(x.value) AS kind FROM {{level}}, LATERAL variant_explode(v) x", level=level)
+        is_object = F.col("kind").startswith("OBJECT")
+        value = F.when(~is_object, F.to_json("v")).when(F.col("kind") == "OBJECT<>", F.lit("{}"))
+        rows = written(opened.select(key, "sequence_number", "path", is_object.alias("is_object"), value.alias("value"), F.when(is_object & (F.col("kind") != "OBJECT<>"), F.col("v")).alias("v")))
+        writes = rows.drop("v") if writes is None else writes.union(rows.drop("v"))
+        level = rows.where("v is not null").select(key, "sequence_number", "path", "v")
+        if level.isEmpty():
+            break
     last = writes.groupBy(key, "path").agg(
         F.max("sequence_number").alias("written"),
         F.max(F.when(~F.col("is_object"), F.col("sequence_number"))).alias("replaced"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,24 +68,31 @@ def accept_deliveries(deliveries: DataFrame) -> DataFrame:
 
     In the order of arrival per channel: the next number that links to the last hash is accepted; the last number with
     its hash again is represented; a hash that isn't the content's is refused; anything else is out of sequence.
-    A channel's deliveries depend on what was accepted before, so each channel is walked in one task.
+    A channel's deliveries depend on what was accepted before: they are dealt by channel and sorted, and a task walks
+    its partition once, whatever a channel's share of it.
     """
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        number, digest, out = 0, None, []
-        for d in pdf.sort_values("arrival").itertuples():
-            if d.delivery_hash != d.computed_hash:
-                out.append("hash_mismatch")
-            elif d.delivery_number == number and d.delivery_hash == digest:
-                out.append("represented")
-            elif d.delivery_number == number + 1 and (d.previous_hash if pd.notna(d.previous_hash) else None) == digest:
-                number, digest = d.delivery_number, d.delivery_hash
-                out.append("accepted")
-            else:
-                out.append("out_of_sequence")
-        return pdf.sort_values("arrival").assign(outcome=out)[["channel", "arrival", "delivery_number", "outcome"]]
-
-    return deliveries.groupBy("channel").applyInPandas(walk, ACCEPTED)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, number, digest, begun = None, 0, None, False
+        for batch in batches:
+            out = []
+            for channel, own, sound, stated, before in zip(*(batch.column(c).to_pylist() for c in ("channel", "delivery_number", "sound", "delivery_hash", "previous_hash")), strict=True):
+                if not begun or channel != at:
+                    at, number, digest, begun = channel, 0, None, True
+                if not sound:
+                    out.append("hash_mismatch")
+                elif own == number and stated == digest:
+                    out.append("represented")
+                elif own == number + 1 and before == digest:
+                    number, digest = own, stated
+                    out.append("accepted")
+                else:
+                    out.append("out_of_sequence")
+            yield pa.RecordBatch.from_arrays([batch.column("channel"), batch.column("arrival"), batch.column("delivery_number"), pa.array(out, pa.string())], ["channel", "arrival", "delivery_number", "outcome"])
+
+    sound = F.coalesce(F.col("delivery_hash") == F.col("computed_hash"), F.lit(False))
+    dealt = deliveries.select("channel", "arrival", "delivery_number", "delivery_hash", "previous_hash", sound.alias("sound"))
+    return dealt.repartition("channel").sortWithinPartitions("channel", "arrival").mapInArrow(walk, ACCEPTED)
 
 
 def channels(accepted: DataFrame) -> DataFrame:

@@ -485,9 +485,6 @@ def finding_marks(spark, sf_dir):
     r AS (SELECT origin_db, origin_db AS member FROM s UNION SELECT r.origin_db, s.predecessor FROM r JOIN s ON r.member = s.origin_db WHERE s.predecessor IS NOT NULL)
     SELECT origin_db, member FROM r""")
 def succession_lineage(spark, sf_dir):
-    from fathomlog.streaming.folds import scratch
-
-    scratch(spark)  # names a checkpoint folder where the session has none
     rows = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("origin_db"), F.expr("if(n_nationkey % 5 > 0, n_nationkey - 1, null)").alias("predecessor"), F.col("n_nationkey").alias("sequence_number"))
     return findings.lineage(rows)
 

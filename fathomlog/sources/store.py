@@ -16,10 +16,11 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomlog.operators.folds import fold
+from fathomlog.operators.folds import asked_operations, fold, fold_operations
 from fathomlog.plans.promotion import Promotions
 from fathomlog.plans.specs import AggregateView, TableView, view_fingerprint
 from fathomlog.sources.event_log import with_positions
+from fathomlog.sources.scratch import written
 
 
 @dataclass
@@ -86,7 +87,12 @@ class LogStore:
         """Append rows in the order of (ts, tie) after all that is held."""
         at = self.manifest()
         folder = f"log/{uuid.uuid4().hex}"
-        with_positions(rows, ts, tie, base=at.head).write.parquet(f"{self.path}/{folder}")
+        placed = with_positions(rows, ts, tie, base=at.head)
+        # In the order of positions, so that a range of them is a few row groups; filters tell which hold an id.
+        writer = placed.repartitionByRange("sequence_number").sortWithinPartitions("sequence_number").write
+        for c in ("event_id", "aggregate_id"):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(f"{self.path}/{folder}")
         last = self.spark.read.parquet(f"{self.path}/{folder}").agg(F.max("sequence_number")).first()[0]
         if last is None:
             return at
@@ -106,9 +112,9 @@ class LogStore:
     def catch_up(self, view: AggregateView | TableView, *, promotions: Promotions | None = None, declared: dict | None = None, described: list | None = None) -> Manifest:
         """Bring a view to the head of the log.
 
-        Only keys that events past the copy's position touch are folded again, over their whole
-        histories; all other rows are carried over. A copy of another definition is marked and
-        rebuilt. Failures are kept beside the rows.
+        Only events past the copy's position are read, and they are folded on from the rows of the keys that they
+        touch; all other rows are carried over. A copy of another definition is marked and rebuilt. Failures are
+        kept beside the rows.
         """
         at = self.manifest()
         versions, described = declared or {}, described or []
@@ -119,14 +125,21 @@ class LogStore:
         if view.name in at.views and not held:
             at.marked.append(at.views[view.name]["folder"])
         folder = f"views/{view.name}/{uuid.uuid4().hex}"
-        if held and isinstance(view, AggregateView):
-            touched = log.where(F.col("sequence_number") > held["position"]).where(view.interest.condition(log)).select("aggregate_id").distinct()
-            fresh = fold(log.join(touched, "aggregate_id", "left_semi"), view, promotions, declared)
+        if held:
+            fresh = log.where(F.col("sequence_number") > held["position"])
             old, _ = self.view(view.name, at)
-            rows = old.join(touched.withColumnRenamed("aggregate_id", "source_aggregate_id"), "source_aggregate_id", "left_anti").select(*fresh.columns).unionByName(fresh)
+            rows, failures = old.where("row_json is not null"), old.where("row_json is null")
+            if isinstance(view, AggregateView):
+                touched = fresh.where(view.interest.condition(fresh)).select(F.col("aggregate_id").cast("string").alias("row_key")).distinct()
+                after = fold(fresh, view, promotions, declared, rows.join(touched, "row_key", "left_semi"))
+            else:
+                asked = written(asked_operations(fresh, view, promotions, declared))
+                touched = asked.where("row_key is not null").select("row_key").distinct()
+                after = fold_operations(asked, view, rows.join(touched, "row_key", "left_semi"))
+            result = rows.join(touched, "row_key", "left_anti").select(*after.columns).unionByName(failures.select(*after.columns)).unionByName(after)
         else:
-            rows = fold(log, view, promotions, declared)
-        rows.write.parquet(f"{self.path}/{folder}")
+            result = fold(log, view, promotions, declared)
+        result.write.parquet(f"{self.path}/{folder}")
         if held:
             at.marked.append(held["folder"])
         at.views[view.name] = {"fingerprint": view_fingerprint(view, versions, described), "folder": folder, "position": at.head}
