@@ -100,6 +100,29 @@ def event_hash(record: dict, fields: Iterable[str] = HASHED_FIELDS) -> str:
     return content_hash({f: record.get(f) for f in fields})
 
 
+def record_text(log_columns: Iterable[str]) -> Column:
+    """An event's record as JSON text, from the columns of a log; ``data`` and ``metadata`` are JSON texts, missing columns count as null."""
+    held = set(log_columns)
+    parsed = lambda f: F.parse_json(f) if f in ("data", "metadata") else F.col(f)
+    fields = [(parsed(f) if f in held else F.lit(None).cast("string")).alias(f) for f in HASHED_FIELDS]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def event_hashes(log_columns: Iterable[str]) -> Column:
+    """Hashes of the events of a log, in columns."""
+    return canonical_sha256(record_text(log_columns))
+
+
+def hash_findings(records: Column) -> Column:
+    """Per record (JSON text): array of (hop, stated, found) of what its hashes don't confirm; hop is null for its own."""
+
+    @F.pandas_udf("array<struct<hop:int,stated:string,found:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else verify_hash(json.loads(t)))
+
+    return run(records)
+
+
 def verify_hash(record: dict) -> list[dict]:
     """What an event's own hash and its hops' arrival hashes don't confirm, latest hop first.
 

@@ -159,3 +159,37 @@ def verify_chains(log: DataFrame, *, holder: str, expected_hash: Column | None =
     if stop is not None:
         out = out.where(F.col("sequence_number") <= stop)
     return out.orderBy("sequence_number", "kind", "event_id")
+
+
+def structure_findings(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """Findings of ``new`` events against those stored before them; a predecessor that isn't held is none here.
+
+    Kinds: ``predecessor_break`` (of another origin, or not earlier), ``position_reused`` and ``fork_unrecorded``.
+    """
+    held = stored.select(
+        F.col("event_id").alias("h_id"), F.col("sealed_hash").alias("h_hash"), F.col("origin_db").alias("h_db"), F.col("origin_position").alias("h_pos"), F.col("previous_event_hash").alias("h_prev")
+    )
+    before = new.join(held, F.col("previous_event_hash") == F.col("h_hash"))
+    why = F.when(~F.col("h_db").eqNullSafe(F.col("origin_db")), "other_origin").when(F.col("h_pos") >= F.col("origin_position"), "not_earlier")
+    broken = _found(before.withColumn("why", why).where("why is not null"), "predecessor_break", F.col("why"))
+    other = F.col("event_id") != F.col("h_id")
+    same_place = F.col("origin_db").eqNullSafe(F.col("h_db")) & (F.col("origin_position") == F.col("h_pos")) & other
+    reused = _found(new.join(held, same_place, "left_semi"), "position_reused", F.col("origin_position"))
+    same_before = F.col("origin_db").eqNullSafe(F.col("h_db")) & F.col("previous_event_hash").eqNullSafe(F.col("h_prev")) & (F.col("origin_position") != F.col("h_pos")) & other
+    forked = _found(new.join(held, same_before, "left_semi"), "fork_unrecorded", F.col("previous_event_hash"))
+    return broken.distinct().unionByName(reused).unionByName(forked)
+
+
+def verify_through(log: DataFrame, *, through: int = 0, step: int = 1_000_000, **arguments) -> tuple[int, DataFrame | None]:
+    """Verify on from position ``through`` in windows of ``step``: the last position found valid, and the findings that ended the walk.
+
+    The head is fixed at the start. A walk that breaks off is taken up again with the position it reached.
+    """
+    head = log.agg(F.max("sequence_number")).first()[0] or 0
+    while through < head:
+        stop = min(head, through + step)
+        found = verify_chains(log, start=through + 1, stop=stop, **arguments)
+        if not found.isEmpty():
+            return through, found
+        through = stop
+    return through, None

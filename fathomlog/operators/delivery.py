@@ -244,3 +244,110 @@ def deliver(stream: DataFrame, send, path: str, *, size: int = 500):
         send(batches(batch, size), epoch)
 
     return stream.writeStream.option("checkpointLocation", path).foreachBatch(run).trigger(availableNow=True).start()
+
+
+# Why a queue's head may be wedged.
+WEDGE_CAUSES = ("permanent_refusal", "retry_budget_exhausted", "operator_halt", "acknowledgement_invalid", "transform_failed")
+
+
+def transition_refused(status: Column, after: Column, attempts: Column) -> Column:
+    """``may_become`` in columns: whether a change of an item's status is to be refused."""
+    allowed = F.lit(False)
+    for held, then in TRANSITIONS.items():
+        allowed |= status.eqNullSafe(F.lit(held)) & after.isin(*then)
+    return ~F.coalesce(allowed, F.lit(False)) | (status.isNull() & (after == "tombstoned") & (F.coalesce(attempts, F.lit(0)) == 0))
+
+
+def pending_keyless(items: DataFrame) -> DataFrame:
+    """(destination_id): queues that hold a pending item without key."""
+    return items.where("final_status is null and block_key is null").select("destination_id").distinct()
+
+
+def register_destinations(schedules: DataFrame, asked: DataFrame, lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Schedules after registrations, and what became of each request (request_id, destination_id, outcome).
+
+    schedules: (destination_id, start, end, hard_delete, key_scheme); asked: (request_id, destination_id, hard_delete, key_scheme,
+    arrival); lists: (destination_id) of queues with held keys, whose keying must stay as it is. A new id begins dormant; a known one
+    keeps its dates; of several requests the last one's opt-in and keying hold.
+    """
+    held = schedules.select("destination_id", F.col("key_scheme").alias("__scheme"), F.lit(True).alias("__known"))
+    keyed = lists.select("destination_id").distinct().withColumn("__keyed", F.lit(True))
+    judged = asked.join(held, "destination_id", "left").join(keyed, "destination_id", "left")
+    bad = (F.coalesce(F.length("destination_id"), F.lit(0)) == 0) | F.col("destination_id").contains("|")
+    outcome = (
+        F.when(bad, "id_refused")
+        .when(F.col("key_scheme") == "", "key_scheme_refused")
+        .when(F.col("__keyed") & ~F.col("key_scheme").eqNullSafe(F.col("__scheme")), "keying_refused")
+        .when(F.col("__known"), "known").otherwise("registered")
+    )
+    judged = judged.withColumn("outcome", outcome)
+    taken = judged.where(F.col("outcome").isin("known", "registered"))
+    last = taken.groupBy("destination_id").agg(F.max_by(F.struct("hard_delete", "key_scheme"), "arrival").alias("n"))
+    after = schedules.join(last, "destination_id", "full").select(
+        "destination_id", "start", "end", F.when(F.col("n").isNotNull(), F.col("n.hard_delete")).otherwise(F.col("hard_delete")).alias("hard_delete"),
+        F.when(F.col("n").isNotNull(), F.col("n.key_scheme")).otherwise(F.col("key_scheme")).alias("key_scheme"),
+    )
+    return after, judged.select("request_id", "destination_id", "outcome")
+
+
+def delete_destinations(schedules: DataFrame, items: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items after deletions, and (destination_id, refusal, tombstoned, deleted) per queue asked for.
+
+    A deletion needs the opt-in and is refused while the head is pending. A wedged head is given up, pending items
+    behind it go, and what was sent or given up stays as the record.
+    """
+    heads = queue_heads(items).select("destination_id", F.col("sequence_in_queue").alias("__head"), F.col("final_status").alias("__status"))
+    judged = asked.select("destination_id").distinct().join(schedules.select("destination_id", "hard_delete"), "destination_id", "left").join(heads, "destination_id", "left")
+    refusal = F.when(F.col("hard_delete").isNull(), "unknown").when(~F.col("hard_delete"), "no_opt_in").when(F.col("__head").isNotNull() & F.col("__status").isNull(), "head_pending")
+    judged = judged.withColumn("refusal", refusal)
+    goes = judged.where("refusal is null").select("destination_id", "__head", F.lit(True).alias("__goes"))
+    marked = items.join(goes, "destination_id", "left")
+    is_head = F.col("__goes") & (F.col("sequence_in_queue") == F.col("__head"))
+    behind = F.coalesce(F.col("__goes") & F.col("final_status").isNull(), F.lit(False))
+    left = marked.where(~behind).withColumn("final_status", F.when(is_head, "tombstoned").otherwise(F.col("final_status"))).select(*items.columns)
+    counts = marked.where("__goes").groupBy("destination_id").agg(F.max(F.when(is_head, F.col("sequence_in_queue"))).alias("tombstoned"), F.count_if(behind).alias("deleted"))
+    return left, judged.select("destination_id", "refusal").join(counts, "destination_id", "left").select("destination_id", "refusal", "tombstoned", F.coalesce("deleted", F.lit(0)).cast("long").alias("deleted"))
+
+
+def open_halts(events: DataFrame) -> DataFrame:
+    """(destination_id, request_event_id) of halts that wait: asked for, and neither cancelled nor consumed by a wedge of any cause since.
+
+    events: (destination_id, sequence_number, event_id, kind), kind being halt_requested, halt_cancelled or wedged.
+    A request while one is open changes nothing, so the first since the last end counts.
+    """
+    asks = F.col("kind") == "halt_requested"
+    ends = events.groupBy("destination_id").agg(F.max(F.when(~asks, F.col("sequence_number"))).alias("__end"))
+    waits = events.where(asks).join(ends, "destination_id").where(F.col("__end").isNull() | (F.col("sequence_number") > F.col("__end")))
+    return waits.groupBy("destination_id").agg(F.min_by("event_id", "sequence_number").alias("request_event_id"))
+
+
+def wedge_refusals(heads: DataFrame) -> DataFrame:
+    """``heads`` with ``refusal``: null where the evidence supports wedging it for ``cause``.
+
+    Columns: final_status, cause, attempts (count), last_outcome, max_attempts and time_bound (null: none in effect), halt_request
+    (event id or null), transform_failed.
+    """
+    permanent = F.col("last_outcome").eqNullSafe(F.lit("permanent"))
+    spent = (F.col("attempts") >= 1) & (F.col("time_bound").isNotNull() | (F.col("attempts") >= F.col("max_attempts")))
+    cause = F.col("cause")
+    supported = (
+        F.when(cause == "permanent_refusal", permanent)
+        .when(cause == "retry_budget_exhausted", spent)
+        .when(cause == "operator_halt", F.col("halt_request").isNotNull() & ~permanent)
+        .when(cause == "transform_failed", F.col("transform_failed"))
+        .when(cause == "acknowledgement_invalid", F.lit(True))
+    )
+    refusal = F.when(F.col("final_status").isNotNull(), "not_pending").when(~cause.isin(*WEDGE_CAUSES), "cause_unknown").when(~F.coalesce(supported, F.lit(False)), "evidence")
+    return heads.withColumn("refusal", refusal)
+
+
+def relinked(deliveries: DataFrame) -> DataFrame:
+    """(destination_id, generation, delivery_number) of retained deliveries that don't link to the one before, so that only a new generation can follow.
+
+    deliveries: (destination_id, generation, delivery_number, delivery_hash, previous_hash).
+    """
+    before = deliveries.select("destination_id", "generation", (F.col("delivery_number") + 1).alias("delivery_number"), F.col("delivery_hash").alias("__before"))
+    joined = deliveries.join(before, ["destination_id", "generation", "delivery_number"], "left")
+    first = F.col("delivery_number") == 1
+    wrong = F.when(first, F.col("previous_hash").isNotNull()).otherwise(F.col("__before").isNotNull() & ~F.col("previous_hash").eqNullSafe(F.col("__before")))
+    return joined.where(wrong).select("destination_id", "generation", "delivery_number")

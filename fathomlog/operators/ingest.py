@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomlog.functions.canonical_json import content_hash
+from fathomlog.sources.event_log import with_positions
 
 
 def classify(incoming: DataFrame, log: DataFrame, *, order: str = "arrival", unstorable: Column | None = None) -> DataFrame:
@@ -121,3 +122,19 @@ def restore_order(events: DataFrame, lineage_rank: DataFrame) -> DataFrame:
     """
     lowest = events.groupBy("event_id", "sealed_hash").agg(F.min_by(F.struct(*[c for c in events.columns if c not in ("event_id", "sealed_hash")]), F.struct("registration", "generation", "delivery_number")).alias("e"))
     return lowest.select("event_id", "sealed_hash", "e.*").join(lineage_rank, "origin_db", "left").orderBy("rank", "origin_position")
+
+
+def stamp(incoming: DataFrame, *, base: int, hop: str, identifier: str, database_id: str, received_at: str, order: str = "arrival") -> DataFrame:
+    """Events as a receiver stores them: fresh positions from ``base + 1`` in the order of arrival, and one more hop in their provenance.
+
+    The hop keeps the hash and the position under which an event came; ``event_hash`` is left to be computed anew
+    over the whole (``event_hashes``). Hashes of the events before aren't linked here: they are known only as each is sealed.
+    """
+    ranked = with_positions(incoming.withColumn("__at", F.timestamp_seconds(F.col(order))), "__at", order, base=base, seconds=100_000, name="__place").drop("__at")
+    fields = {
+        "hop": F.lit(hop), "received_at": F.lit(received_at), "identifier": F.lit(identifier), "database_id": F.lit(database_id),
+        "ingest_sequence_number": F.col("__place"), "arrival_hash": F.col("event_hash"), "origin_sequence_number": F.col("sequence_number"),
+    }
+    kinds = incoming.schema["provenance"].dataType.elementType
+    added = F.struct(*(fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds))
+    return ranked.withColumn("provenance", F.array_append(F.coalesce("provenance", F.array().cast(incoming.schema["provenance"].dataType)), added)).withColumn("sequence_number", F.col("__place")).drop("__place", "event_hash")
