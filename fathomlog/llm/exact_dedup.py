@@ -1,11 +1,13 @@
 """Exact deduplication by a log-structured merge index of text digests.
 
-``DigestIndex`` takes rows in memtables: each flush groups a batch by digest,
-writes it as a run sorted by digest, and carries Parquet Bloom filters and
-min-max statistics as the run's filter. Compaction merges runs of a level into one
-run of the next, adding counts and keeping the smallest and largest identifiers.
-Digests that occur more than once are hits; their texts are compared byte for
-byte (grouped by the text itself), so a digest collision can't join two texts.
+Rows enter ``DigestIndex`` in memtables. A flush groups a memtable by digest and writes it as a
+run sorted by digest, together with the run's filter: a bitmap of hashed digests, a row to
+each ``bitmap_bucket_number``. Before that it probes the runs that are there already:
+digests that pass a run's filter are looked up in the run, and what is found, or occurs
+twice in the memtable, is a hit. Two runs of a level are compacted into one of the next,
+adding counts and keeping the smallest and largest identifiers. At the end the hits, and only
+they, are looked up for their identifiers; their texts are compared byte for byte (grouped by
+the text itself), so a digest collision can't join two texts.
 
 Only digests travel for all rows; texts travel for hits alone, collapsed
 map-side, so a text held by a third of all rows moves once per task. Everything
@@ -24,18 +26,23 @@ from pyspark.sql import functions as F
 from fathomlog.llm.common import BROADCAST_BYTES, broadcast_if_small, materialize, scratch_dir
 
 #: Runs in a level before it is merged into the next.
-FANOUT = 4
+FANOUT = 2
+#: Rows of a memtable, which is dealt over all executors; there are so many memtables at least that runs are compacted.
+MEMTABLE_ROWS = 500_000_000
+#: Bits of a run's filter per digest, and bytes of a row of it.
+FILTER_BITS, FILTER_ROW = 16, 4160
 #: Parts into which a hot digest is dealt when rows find their group by a shuffle.
 SALTS = 16
 
 
 class DigestIndex:
-    """Sorted runs of (digest, smallest id, largest id, rows), by level."""
+    """Sorted runs of (digest, smallest id, largest id, rows), by level, each a (folder, rows it was made of, bits of its filter)."""
 
     def __init__(self, spark: SparkSession, id_type: str = "long"):
         self.spark, self.path, self.id_type = spark, scratch_dir(spark), id_type
-        self.levels: list[list[str]] = [[]]
-        self.made = 0
+        self.levels: list[list[tuple[str, int, int]]] = [[]]
+        self.made = self.compactions = 0
+        self.found: list[str] = []
 
     @staticmethod
     def _merged(entries: DataFrame) -> DataFrame:
@@ -43,21 +50,29 @@ class DigestIndex:
             F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")
         )
 
-    def _write(self, entries: DataFrame) -> str:
+    def _write(self, entries: DataFrame, size: int) -> tuple[str, int, int]:
         path = f"{self.path}/run-{self.made}"
         self.made += 1
-        (
-            self._merged(entries)
-            .sortWithinPartitions("digest")
-            .write.option("compression", "zstd")
-            .option("parquet.bloom.filter.enabled#digest", "true")
-            .parquet(path)
-        )
-        return path
-
-    def flush(self, rows: DataFrame) -> None:
-        """Add a memtable of (digest, id) as a run of the first level."""
-        self.levels[0].append(self._write(rows.select("digest", F.col("id").alias("low"), F.col("id").alias("high"), F.lit(1).cast("long").alias("n"))))
+        self._merged(entries).sortWithinPartitions("digest").write.option("compression", "zstd").parquet(path)
+        run = self._read([path])
+        bits = 1 << max(15, (size * FILTER_BITS).bit_length())
+        bit = _bit(bits)
+        marks = run.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("marks"))
+        marks.write.option("compression", "zstd").parquet(f"{path}-filter")
+        return path, size, bits
+
+    def flush(self, rows: DataFrame, size: int) -> None:
+        """Add a memtable of (digest, id) as a run of the first level, and note the hits that it brings. size: its rows, about."""
+        older = [run for level in self.levels for run in level]
+        run = self._write(rows.select("digest", F.col("id").alias("low"), F.col("id").alias("high"), F.lit(1).cast("long").alias("n")), size)
+        fresh = self._read([run[0]])
+        hits = fresh.where("n > 1").select("digest")
+        for old in older:
+            passed = self._passed(fresh.select("digest"), old)
+            hits = hits.union(passed.join(self._read([old[0]]).select("digest"), "digest", "left_semi"))
+        self.found.append(f"{self.path}/hits-{len(self.found)}")
+        hits.write.option("compression", "zstd").parquet(self.found[-1])
+        self.levels[0].append(run)
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= FANOUT:
                 self.compact(k)
@@ -66,66 +81,79 @@ class DigestIndex:
         """Merge the runs of a level into one run of the next."""
         if level + 1 == len(self.levels):
             self.levels.append([])
-        self.levels[level + 1].append(self._write(self._read(self.levels[level])))
+        merged = self._read([path for path, _, _ in self.levels[level]])
+        self.levels[level + 1].append(self._write(merged, sum(size for _, size, _ in self.levels[level])))
         self.levels[level] = []
+        self.compactions += 1
+
+    def _passed(self, digests: DataFrame, run: tuple[str, int, int]) -> DataFrame:
+        """Digests that a run may hold by its filter, which is used where it can be broadcast."""
+        path, _, bits = run
+        if (bits >> 15) * FILTER_ROW > BROADCAST_BYTES:
+            return digests
+        marks = self.spark.read.schema("bucket long, marks binary").parquet(f"{path}-filter")
+        place = F.bitmap_bit_position(_bit(bits))
+        probed = digests.withColumn("bucket", F.bitmap_bucket_number(_bit(bits))).withColumn("place", place).join(F.broadcast(marks), "bucket")  # size checked above
+        byte = F.conv(F.hex(F.expr("substring(marks, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        return probed.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(place % 8 as int))")) != 0).select("digest")
 
     def _read(self, runs: list[str]) -> DataFrame:
         schema = f"digest binary, low {self.id_type}, high {self.id_type}, n bigint"
         return self.spark.read.schema(schema).parquet(*runs)
 
-    def entries(self) -> DataFrame:
-        """All runs as one."""
-        runs = [x for level in self.levels for x in level]
-        return self._read(runs) if len(runs) == 1 else self._merged(self._read(runs))
+    def hits(self) -> DataFrame:
+        """(digest): those of more than one row."""
+        return self.spark.read.schema("digest binary").parquet(*self.found).distinct()
+
+    def lookup(self, digests: DataFrame) -> DataFrame:
+        """The entries of these digests, merged over the runs."""
+        runs = [path for level in self.levels for path, _, _ in level]
+        return self._merged(self._read(runs).join(digests, "digest", "left_semi"))
+
 
-    def lookup(self, rows: DataFrame) -> DataFrame:
-        """Rows of (digest, ...) with the entry that the index holds; the runs' filters prune what is read."""
-        return rows.join(self.entries(), "digest", "left")
+def _bit(bits: int) -> Column:
+    """A digest's place in a filter, from 1."""
+    return F.pmod(F.xxhash64("digest"), F.lit(bits)) + 1
 
 
 def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digest=digest_of, memtables: int = 1) -> DataFrame:
+def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digest=digest_of, memtables: int | None = None) -> DataFrame:
     """(id, keep_id, group_size, kept, digest) per row of ``df``.
 
     keep: ``max`` or ``min``, the id of each group of equal texts that stays.
     digest: a Column function; any one gives right results, as hits are compared byte for byte.
-    memtables: flushes into which the input is dealt by its ids.
+    memtables: flushes into which the input is dealt by its ids; by default one more than a level holds, or more for more rows.
     """
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = df.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("digest", digest(F.col("text")))
-    rows = docs.select("id", "digest")
+    best = F.max("id") if keep == "max" else F.min("id")
+    held = df.count()
+    count = memtables or max(FANOUT + 1, -(-held // MEMTABLE_ROWS))
+    dealt = materialize(docs.select("id", "digest", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(count)).alias("memtable")), "memtable")
+    rows = dealt.select("id", "digest")
     index = DigestIndex(spark, df.schema[id_col].dataType.simpleString())
-    for k in range(memtables):
-        index.flush(rows if memtables == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(memtables)) == k))
-    hits = materialize(index.entries().where("n > 1").select("digest"))
+    for k in range(count):
+        index.flush(dealt.where(F.col("memtable") == k), held // count)
+    hits = materialize(index.hits())
     small = hits.count() * 64 <= BROADCAST_BYTES
-    found = docs.join(F.broadcast(hits) if small else hits, "digest", "left_semi")
+    seen = F.broadcast(hits) if small else hits
+    entries = materialize(index.lookup(seen))
+    found = docs.join(seen, "digest", "left_semi")
     # Byte verification: the group key is the text itself.
-    best = F.max("id") if keep == "max" else F.min("id")
-    groups = materialize(
-        found.groupBy("digest", "text").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
-        .groupBy("digest").agg(F.collect_list(F.struct("keep_id", "group_size", "text")).alias("g"))
-        .select(
-            "digest",
-            F.size("g").alias("texts"),
-            F.col("g")[0]["keep_id"].alias("keep_id"),
-            F.col("g")[0]["group_size"].alias("group_size"),
-            F.when(F.size("g") > 1, F.col("g")).alias("several"),
-        )
-    )
-    collided = groups.where("texts > 1")
-    plain = groups.where("texts = 1").select("digest", "keep_id", "group_size")
+    texts = materialize(found.groupBy("digest", "text").agg(best.alias("keep_id"), F.count("*").alias("group_size")))
+    several = texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
+    collided = materialize(several)
+    plain = entries.join(collided, "digest", "left_anti").select("digest", F.col("high" if keep == "max" else "low").alias("keep_id"), F.col("n").alias("group_size"))
     if collided.isEmpty():
         joined = _with_group(rows, plain, small)
     else:
         # Different texts under one digest: these few rows are matched by their texts too.
-        several = collided.select("digest", F.explode("several").alias("s")).select("digest", F.col("s.text").alias("text"), F.col("s.keep_id").alias("keep_id"), F.col("s.group_size").alias("group_size"))
-        odd = docs.join(collided.select("digest"), "digest", "left_semi").join(several, ["digest", "text"]).select("id", "digest", "keep_id", "group_size")
-        joined = _with_group(rows.join(collided.select("digest"), "digest", "left_anti"), plain, small).unionByName(odd)
+        odd = docs.join(collided, "digest", "left_semi").join(texts.join(collided, "digest", "left_semi"), ["digest", "text"]).select("id", "digest", "keep_id", "group_size")
+        joined = _with_group(rows.join(collided, "digest", "left_anti"), plain, small).unionByName(odd)
     keep_id = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         F.col("id").alias(id_col),
