@@ -2,14 +2,17 @@
 
 Texts are split at ASCII white space inside Spark tasks; a task's chunk of
 documents becomes a list of distinct words plus each document's word positions in it.
-The chunks' words are dealt by hash into the parts of one word table, where a word is
-encoded once however many chunks hold it. Its ids return to the chunks, and are joined
+The chunks' words are dealt by hash into the parts of one word table. A task has all chunks'
+lists of a part, makes one table of distinct words of them and encodes each once, however
+many chunks hold it. The ids return to the chunks, and are joined
 back into documents by position; ids become pieces by a join with the id-to-piece table,
 which the vocabulary bounds and every task holds.
 
 What moves is packed: a chunk's words of one part travel as one compressed column, most
 frequent first, and positions as compressed integers that are small for frequent words.
-A row per word would take about eight times the disk.
+A row per word would take about eight times the disk. Positions don't move at all: they are
+written bucketed by chunk, and the ids come to them. The numbers of parts and buckets follow
+the bytes of text.
 
 The split is exact for this kind of tokenizer: its pre-tokenizer drops white
 space and never joins across it, and normalisation composes nothing with it.
@@ -36,10 +39,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fathomlog.llm.common import materialize, pack, released, slices, unpack, with_text
+from fathomlog.llm.common import pack, release, released, scratch_dir, slices, unpack, with_text
 
 #: Text held by one chunk, whose dictionary is shared by its documents.
 CHUNK_TEXT = 32 << 20
+#: Text to a bucket of chunks and to a part of the word table, and parts at most, so that a chunk's list of a part stays a good number of words.
+BUCKET_TEXT, PART_TEXT, MOST_PARTS = 8 << 20, 8 << 20, 2048
+#: Distinct words that the table of a part holds; one that has more is begun anew, and words after that are encoded again.
+PART_WORDS = 1 << 20
+#: Positions that are joined with ids at once.
+_POSITIONS = 1 << 19
 #: Integers that are packed at once.
 _AT_ONCE = 1 << 20
 #: How hard the traffic is compressed.
@@ -234,15 +243,25 @@ def _chunks(parts: int, kind: pa.DataType):
 
 
 def encode_parts(words: DataFrame, path: str) -> DataFrame:
-    """(of, part, lengths, flat): the ids of each chunk's words, dealt so that a word is always in one part."""
+    """(of, part, lengths, flat): the ids of each chunk's words, of lists (chunk, part, words) that come sorted by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path)
+        part, table, stops, flat = None, {}, array("q", [0]), array("i")
         for batch in batches:
             for at in range(batch.num_rows):
                 own = batch.slice(at, 1)
-                starts, flat = encode.ids_of(unpack(own.column("words")[0].as_py()).decode().split("\n"))
-                packed = [pa.array([_numbers(x)], pa.binary()) for x in (np.diff(starts), flat)]
+                listed = unpack(own.column("words")[0].as_py()).decode().split("\n")
+                if own.column("part")[0].as_py() != part or len(table) > PART_WORDS:
+                    part, table, stops, flat = own.column("part")[0].as_py(), {}, array("q", [0]), array("i")
+                if new := [w for w in listed if w not in table]:
+                    starts, ids = encode.ids_of(new)
+                    table.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
+                    stops.frombytes((starts[1:] + len(flat)).astype(np.int64).tobytes())
+                    flat.frombytes(ids.astype(np.int32).tobytes())
+                rows = np.fromiter(map(table.__getitem__, listed), np.int64, len(listed))
+                starts = np.array(stops, np.int64)
+                packed = [pa.array([_numbers(x)], pa.binary()) for x in (starts[rows + 1] - starts[rows], gather(starts, np.array(flat, np.int32), rows))]
                 yield pa.RecordBatch.from_arrays([own.column("chunk"), own.column("part"), *packed], ["of", "part", "lengths", "flat"])
 
     return words.mapInArrow(released(run), "of string, part int, lengths binary, flat binary")
@@ -259,6 +278,18 @@ def pieces_of(path: str) -> list[str]:
     return out
 
 
+def _joined(offsets: np.ndarray, values: pa.Array) -> pa.Array:
+    """Texts from lists of texts, one space between."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), " ")
+
+
+def _bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
+    """``df`` written to the shared folder by hash of a column, so that a join on it leaves the rows where they are."""
+    name = f"chunks_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", scratch_dir(df.sparkSession)).bucketBy(buckets, column).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def encode_documents(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, decoded): decoded is the pieces with one space between, as of a tokenizer without decoder."""
     make = lambda ids, decoded: (ids, decoded)
@@ -277,43 +308,53 @@ def _assembled(df: DataFrame, path: str, id_col: str, text_col: str, columns: di
     spark = df.sparkSession
     kind = df.schema[id_col].dataType
     name = kind.simpleString()
-    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = with_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
-    split = materialize(docs.mapInArrow(released(_chunks(parts, to_arrow_type(kind))), _SPLIT.format(name)))
-    words = split.where("part is not null").select("chunk", "part", "words").repartition("part")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(4, min(MOST_PARTS, -(-size // PART_TEXT)))
+    split = _bucketed(docs.mapInArrow(released(_chunks(parts, to_arrow_type(kind))), _SPLIT.format(name)), max(1, -(-size // BUCKET_TEXT)), "chunk")
+    words = split.where("part is not null").select("chunk", "part", "words").repartition(parts, "part").sortWithinPartitions("part")
     texts = split.where("part is null").select("chunk", "ids", "counts", "positions")
     encoded = encode_parts(words, path)
-    table = spark.sparkContext.broadcast(pieces_of(path))  # as many entries as the vocabulary
+    table = spark.sparkContext.broadcast(pa.array(pieces_of(path)))  # as many entries as the vocabulary
 
     def join_back(texts: pa.Table, encoded: pa.Table) -> pa.Table:
         pieces = table.value
+        named = pa.array(list(map(str, range(len(pieces)))))
         held: list[tuple[int, np.ndarray, np.ndarray]] = [
             (p, _opened(n), _opened(f))
             for p, n, f in zip(encoded.column("part").to_pylist(), encoded.column("lengths").to_pylist(), encoded.column("flat").to_pylist(), strict=True)
         ]
-        size = max(((len(n) - 1) * parts + p + 1 for p, n, _ in held), default=0)
-        lengths, ids, decoded = np.zeros(size, np.int64), [""] * size, [""] * size
-        for p, n, flat in held:
-            ends = np.cumsum(n).tolist()
-            listed, start = flat.tolist(), 0
+        # A slot's ids are row ``place[slot]`` of the parts' lists end to end.
+        slots = max(((len(n) - 1) * parts + p + 1 for p, n, _ in held), default=0)
+        lengths, place, rows = np.zeros(slots, np.int64), np.zeros(slots, np.int64), 0
+        for p, n, _ in held:
             lengths[p::parts][: len(n)] = n
-            for i, end in enumerate(ends):
-                own, start = listed[start:end], end
-                ids[i * parts + p] = " ".join(map(str, own))
-                decoded[i * parts + p] = " ".join([pieces[k] for k in own])
-        keys, rows = [], []
+            place[p::parts][: len(n)] = np.arange(rows, rows + len(n))
+            rows += len(n)
+        flat = np.concatenate([f for _, _, f in held]) if held else np.zeros(0, np.int32)
+        bounds = np.concatenate(([0], np.cumsum(np.concatenate([n for _, n, _ in held]) if held else np.zeros(0, np.int64))))
+        del held
+        ids, decoded = (_joined(bounds, t.take(pa.array(flat))) for t in (named, pieces))
+        keys, out = [], []
         for own, counts, packed in zip(texts.column("ids").to_pylist(), texts.column("counts").to_pylist(), texts.column("positions").to_pylist(), strict=True):
-            places, at = _opened(packed), 0
-            for key, count in zip(own, counts, strict=True):
-                here = places[at : at + count]
-                at += count
-                listed = here[lengths[here] > 0].tolist()  # a word of control characters may have no ids
-                text = " ".join([ids[i] for i in listed])
-                back = " ".join([decoded[i] for i in listed])
-                keys.append(key)
-                rows.append(make(int(lengths[here].sum()), text, back) if as_text else make(list(map(int, text.split())), back))
-        out = list(zip(*rows, strict=True)) if rows else [[] for _ in columns]
-        return pa.table({"id": pa.array(keys, to_arrow_type(kind))} | {n: pa.array(v, t) for (n, (_, t)), v in zip(columns.items(), out, strict=True)})
+            places, ends, first = _opened(packed), np.cumsum(counts), 0
+            keys += own
+            while first < len(own):
+                begin = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, begin + _POSITIONS, "right")))
+                here = places[begin : ends[last - 1]]
+                of = np.repeat(np.arange(last - first), counts[first:last])
+                real = lengths[here] > 0  # a word of control characters may have no ids
+                held_words = np.concatenate(([0], np.cumsum(np.bincount(of[real], minlength=last - first))))
+                at = pa.array(place[here[real]])
+                tokens = np.bincount(of, lengths[here], minlength=last - first).astype(np.int64).tolist()
+                texts_of, back = _joined(held_words, ids.take(at)).to_pylist(), _joined(held_words, decoded.take(at)).to_pylist()
+                out += [make(*x) if as_text else make(list(map(int, x[1].split())), x[2]) for x in zip(tokens, texts_of, back, strict=True)]
+                first = last
+        listed = list(zip(*out, strict=True)) if out else [[] for _ in columns]
+        made = pa.table({"id": pa.array(keys, to_arrow_type(kind))} | {n: pa.array(v, t) for (n, (_, t)), v in zip(columns.items(), listed, strict=True)})
+        release()
+        return made
 
     schema = f"id {name}, " + ", ".join(f"{n} {t}" for n, (t, _) in columns.items())
     # A chunk holds CHUNK_TEXT of text at most (or one document), so a group's size is bounded.
