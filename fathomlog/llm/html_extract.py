@@ -4,9 +4,14 @@ A page is a sequence of tags and words. Words score positive, less so in links,
 tags negative, by weights fitted on labelled pages (``html_pages``): a tag's weight is
 the log-odds of being inside the main text rather than around it, so paragraphs cost
 next to nothing and leaving an article or a table cell costs much. One linear scan finds
-the region with the largest sum. What elements mark as no part of an article (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, reader comments) scores
-nothing and is left out even inside the region.
+the region with the largest sum.
+
+Within the region, too, there is what is no part of an article. Menus, headers, footers, forms
+and the like are told by their elements' names and roles. Elements told by class and id only
+(adverts, notices, reader comments) are scored: each word of theirs weighs its log-odds, learned
+from labelled elements, of being no part in such a place, an article being around it or not,
+with running text or without; an element goes if the mean is against it. Headings, and what
+holds most of the page, always stay. What goes scores nothing for the region.
 
 Blocks are what block-level tags separate; white space in a block, line breaks included,
 becomes one space.
@@ -29,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import slices
-from fathomlog.llm.html_pages import labelled_pages
+from fathomlog.llm.common import released, slices
+from fathomlog.llm.html_pages import NO_PART, PART, labelled_pages
 
 # HTML's element kinds.
 RAW = "script|style|textarea|title"  # nothing else runs to the end of the page where its end tag is missing
@@ -39,7 +44,7 @@ BLOCKS = frozenset(
     "header hgroup hr html head li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that hold no part of an article, by name, by ARIA role, and by words of class and id.
-SKIPPED = frozenset("nav aside footer form menu dialog button search fieldset label option svg template".split())
+SKIPPED = frozenset("nav aside footer form menu dialog button search fieldset option svg template".split())
 #: Skipped, too, but never within each other: one that another follows before an end tag is empty.
 EMBEDDED = frozenset("noscript iframe xmp select canvas audio video".split())
 #: Elements that end where one of these begins.
@@ -50,13 +55,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: What holds more of the page's text than this isn't left out for words of its class and id.
 MOST, MOST_COMMENTS = 0.5, 0.9
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banner|sidebar|side-bar|menu|navbar|nav|navigation|breadcrumbs?|"
-    r"footer|header|masthead|topbar|toolbar|cookies?|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"share|sharing|social|related|recommended|trending|widget|comments?|commentlist|respond|replies|disqus|discussion|pagination|pager|skip-link|legal|copyright)(?:$|[\s_-])",
-    re.I,
-)
-COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|disqus|discussion)(?:$|[\s_-])", re.I)
+#: Words in a row, none of a link, that are running text.
+RUNNING = 8
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 _TOKEN = re.compile(
@@ -69,24 +69,43 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\
 
 #: Words that say what an element goes with, not what it is.
 BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:has|with|no|without)[_-]+[\w-]+|(?:post|entry|article|story|content)[_-]+header)(?=$|[\s_])", re.I)
+_COMMENT = frozenset("comment comments commentlist respond replies disqus discussion".split())
+
+
+@lru_cache(1)
+def marks() -> dict[tuple[bool, bool, str], float]:
+    """Log-odds of words of classes and ids against an element, by (article around it, running text in it)."""
+    out = {}
+    for place in NO_PART:
+        against, speaks = NO_PART[place].split(), PART[place].split()
+        for word in {*against, *speaks}:
+            out[(*place, word)] = math.log((against.count(word) + 0.5) / (speaks.count(word) + 0.5))
+    return out
+
+
+def _against(value: str, in_article: bool, running: bool) -> tuple[float, bool]:
+    """(mean weight of a class or id against its element, whether it tells of comments); unknown words speak for running text."""
+    words = [w for w in re.split(r"[\s_-]+", BESIDE.sub("", value).lower()) if w]
+    known = [marks().get((in_article, running, w)) for w in words]
+    if all(w is None for w in known):
+        return -1.0, False
+    return sum((-0.5 if running else 0.0) if w is None else w for w in known) / len(words), any(w in _COMMENT for w in words)
 
 
-def _skips(name: str, rest: str, in_article: bool, share: Callable[[], float] = lambda: 0.0) -> str:
-    """Why an element is left out: "" if it isn't. share: of the page's text, what the element holds."""
+def _skips(name: str, rest: str, in_article: bool, held: Callable[[], tuple[float, int]] = lambda: (0.0, 0)) -> str:
+    """Why an element is left out: "" if it isn't. held: the share of the page's text and the words of running text that it holds."""
     if name in SKIPPED or name in EMBEDDED or (name == "header" and not in_article):
         return name
     if rest and name not in ("html", "body", "main"):
         for key, value in _ATTRIBUTE.findall(rest):
             key, value = key.lower(), value.strip("\"'")
             if key in ("class", "id"):
-                value = BESIDE.sub("", value)
-                if name in HEADINGS:
+                if name in HEADINGS or (name == "header" and in_article):
                     continue
-                if COMMENTS.search(value):
-                    if share() <= MOST_COMMENTS:
-                        return "comments"
-                elif MARKED.search(value) and not (name == "header" and in_article) and share() <= MOST:
-                    return "marked"
+                share, running = held()
+                score, comments = _against(value, in_article, running >= RUNNING)
+                if score >= 0 and share <= (MOST_COMMENTS if comments else MOST):
+                    return "comments" if comments else "marked"
             elif key == "role" and value.lower() in ROLES:
                 return "marked"
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
@@ -96,28 +115,33 @@ def _skips(name: str, rest: str, in_article: bool, share: Callable[[], float] =
     return ""
 
 
-def _shares(page: str) -> dict[int, float]:
-    """By the place of its tag, the share of the page's text that an element with an end tag holds, or one that ends with an ancestor."""
-    held, opened, stacks = 0, [], Counter()
+def _held(page: str) -> dict[int, tuple[float, int]]:
+    """By the place of its tag, what an element with an end tag, or one that ends with an ancestor, holds: its share of the page's text, and words of running text."""
+    words = running = links = 0
+    opened, stacks = [], Counter()
     out = {}
     for m in _TOKEN.finditer(page):
         name = m["name"]
         if name is None:
-            held += len((m["text"] or "").split())
+            n = len((m["text"] or "").split())
+            words += n
+            running += n if n >= RUNNING and not links else 0
             continue
         name = name.lower()
+        if name == "a":
+            links = 0 if m["close"] else 1
         if not m["close"]:
             if name not in VOID and not m["rest"].endswith("/"):
-                opened.append((name, m.start(), held))
+                opened.append((name, m.start(), words, running))
                 stacks[name] += 1
         elif stacks[name]:
             while opened:
-                one, at, before = opened.pop()
+                one, at, before, ran = opened.pop()
                 stacks[one] -= 1
-                out[at] = held - before if one == name else 0
+                out[at] = (words - before, running - ran) if one == name else (0, 0)
                 if one == name:
                     break
-    return {at: n / max(1, held) for at, n in out.items()}
+    return {at: (n / max(1, words), ran) for at, (n, ran) in out.items()}
 
 
 def tokens(page: str, whole: bool = True) -> Iterator[tuple[str, str, bool]]:
@@ -129,7 +153,7 @@ def tokens(page: str, whole: bool = True) -> Iterator[tuple[str, str, bool]]:
     links = 0
     article = 0
     opened, inside = Counter(), Counter()  # elements open around what is skipped, and within it
-    shares: dict[int, float] | None = None
+    shares: dict[int, tuple[float, int]] | None = None
     tags: dict[str, list[tuple[int, bool]]] = {}
 
     def closed(name: str, after: int) -> bool:
@@ -150,13 +174,13 @@ def tokens(page: str, whole: bool = True) -> Iterator[tuple[str, str, bool]]:
         closing = bool(m["close"])
         empty = not closing and (name in VOID or (name in ("svg", "math", "iframe") and m["rest"].endswith("/")))
 
-        def share(at: int = m.start()) -> float:
+        def share(at: int = m.start()) -> tuple[float, int]:
             nonlocal shares
             if not whole:
-                return 0.0
+                return 0.0, 0
             if shares is None:
-                shares = _shares(page)
-            return shares.get(at, 0.0)
+                shares = _held(page)
+            return shares.get(at, (0.0, 0))
 
         if skipping:
             # An element left open ends where the article begins, where its end is implied, or with an element around it.
@@ -252,4 +276,4 @@ def extract(df: DataFrame, *, html_col: str = "html", keep: tuple[str, ...] = ("
             columns = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
-    return df.select(*(F.col(c) for c in keep), F.col(html_col).cast("string").alias(html_col)).mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return df.select(*(F.col(c) for c in keep), F.col(html_col).cast("string").alias(html_col)).mapInArrow(released(run), f"{kinds}, text string, n_chars long")
