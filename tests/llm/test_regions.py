@@ -51,7 +51,7 @@ def test_region_is_the_best_of_all(seed):
         (f"<article><p>{WORDS}</p><section id=discussion><p>{MORE}</p></section></article>", f"{WORDS}\n{MORE}"),
         (f"<div><p>{WORDS}</p><p>{WORDS}</p></div><section id=discussion><p>{MORE}</p></section>", f"{WORDS}\n{WORDS}"),
         (f"<article><p>{WORDS}</p><div class=comments><p>{MORE}</p></div></article>", WORDS),
-        (f"<article><p>{WORDS}</p><div class='sponsored-post'><p>{MORE} for sale</p></div></article>", WORDS),
+        (f"<article><p>{WORDS}</p><p>{WORDS}</p><div class='sponsored-post'><p>{MORE} for sale</p></div></article>", f"{WORDS}\n{WORDS}"),
         (f"<article><p>{WORDS} <label>named</label></p></article>", f"{WORDS} named"),
         ("<div>just a line</div><p>two</p>", "just a line\ntwo"),
     ],
