@@ -1,8 +1,8 @@
 """Exact deduplication by a log-structured merge index of text digests.
 
 Rows enter ``DigestIndex`` in memtables. A flush groups a memtable by digest and writes it as a
-run sorted by digest, together with the run's filter: a bitmap of hashed digests, a row to
-each ``bitmap_bucket_number``. Before that it probes the runs that are there already:
+run sorted by digest; a run that is probed has a filter: a bitmap of hashed digests, a row to
+each ``bitmap_bucket_number``. A flush probes the runs that are there already:
 digests that pass a run's filter are looked up in the run, and what is found, or occurs
 twice in the memtable, is a hit. Two runs of a level are compacted into one of the next,
 adding counts and keeping the smallest and largest identifiers. At the end the hits, and only
@@ -33,6 +33,13 @@ MEMTABLE_ROWS = 500_000_000
 FILTER_BITS, FILTER_ROW = 16, 4160
 #: Parts into which a hot digest is dealt when rows find their group by a shuffle.
 SALTS = 16
+#: Rows of a file of the index, at least: a table of few digests takes few tasks and files, however many parts shuffles have.
+FILE_ROWS = 1 << 14
+
+
+def _in_files(entries: DataFrame, rows: int) -> DataFrame:
+    """``entries`` (about ``rows`` short rows) in parts of FILE_ROWS or more; never more parts than there are."""
+    return entries.coalesce(max(1, rows // FILE_ROWS))
 
 
 class DigestIndex:
@@ -43,6 +50,7 @@ class DigestIndex:
         self.levels: list[list[tuple[str, int, int]]] = [[]]
         self.made = self.compactions = 0
         self.found: list[str] = []
+        self.filtered: set[str] = set()
 
     @staticmethod
     def _merged(entries: DataFrame) -> DataFrame:
@@ -53,13 +61,18 @@ class DigestIndex:
     def _write(self, entries: DataFrame, size: int) -> tuple[str, int, int]:
         path = f"{self.path}/run-{self.made}"
         self.made += 1
-        self._merged(entries).sortWithinPartitions("digest").write.option("compression", "zstd").parquet(path)
-        run = self._read([path])
-        bits = 1 << max(15, (size * FILTER_BITS).bit_length())
-        bit = _bit(bits)
-        marks = run.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("marks"))
-        marks.write.option("compression", "zstd").parquet(f"{path}-filter")
-        return path, size, bits
+        _in_files(self._merged(entries), size).sortWithinPartitions("digest").write.option("compression", "zstd").parquet(path)
+        return path, size, 1 << max(15, (size * FILTER_BITS).bit_length())
+
+    def _filter(self, run: tuple[str, int, int]) -> DataFrame:
+        """The filter of a run, written when it is probed for the first time: the last run and those merged before never are."""
+        path, size, bits = run
+        if path not in self.filtered:
+            bit = _bit(bits)
+            marks = self._read([path]).groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("marks"))
+            _in_files(marks, size).write.option("compression", "zstd").parquet(f"{path}-filter")
+            self.filtered.add(path)
+        return self.spark.read.schema("bucket long, marks binary").parquet(f"{path}-filter")
 
     def flush(self, rows: DataFrame, size: int) -> None:
         """Add a memtable of (digest, id) as a run of the first level, and note the hits that it brings. size: its rows, about."""
@@ -71,7 +84,7 @@ class DigestIndex:
             passed = self._passed(fresh.select("digest"), old)
             hits = hits.union(passed.join(self._read([old[0]]).select("digest"), "digest", "left_semi"))
         self.found.append(f"{self.path}/hits-{len(self.found)}")
-        hits.write.option("compression", "zstd").parquet(self.found[-1])
+        _in_files(hits, size).write.option("compression", "zstd").parquet(self.found[-1])
         self.levels[0].append(run)
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= FANOUT:
@@ -88,10 +101,10 @@ class DigestIndex:
 
     def _passed(self, digests: DataFrame, run: tuple[str, int, int]) -> DataFrame:
         """Digests that a run may hold by its filter, which is used where it can be broadcast."""
-        path, _, bits = run
+        bits = run[2]
         if (bits >> 15) * FILTER_ROW > BROADCAST_BYTES:
             return digests
-        marks = self.spark.read.schema("bucket long, marks binary").parquet(f"{path}-filter")
+        marks = self._filter(run)
         place = F.bitmap_bit_position(_bit(bits))
         probed = digests.withColumn("bucket", F.bitmap_bucket_number(_bit(bits))).withColumn("place", place).join(F.broadcast(marks), "bucket")  # size checked above
         byte = F.conv(F.hex(F.expr("substring(marks, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
@@ -138,15 +151,16 @@ def exact_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     index = DigestIndex(spark, df.schema[id_col].dataType.simpleString())
     for k in range(count):
         index.flush(dealt.where(F.col("memtable") == k), held // count)
-    hits = materialize(index.hits())
-    small = hits.count() * 64 <= BROADCAST_BYTES
+    hits = materialize(_in_files(index.hits(), held))
+    hit = hits.count()
+    small = hit * 64 <= BROADCAST_BYTES
     seen = F.broadcast(hits) if small else hits
-    entries = materialize(index.lookup(seen))
+    entries = materialize(_in_files(index.lookup(seen), hit))
     found = docs.join(seen, "digest", "left_semi")
     # Byte verification: the group key is the text itself.
     texts = materialize(found.groupBy("digest", "text").agg(best.alias("keep_id"), F.count("*").alias("group_size")))
     several = texts.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
-    collided = materialize(several)
+    collided = materialize(_in_files(several, hit))
     plain = entries.join(collided, "digest", "left_anti").select("digest", F.col("high" if keep == "max" else "low").alias("keep_id"), F.col("n").alias("group_size"))
     if collided.isEmpty():
         joined = _with_group(rows, plain, small)
