@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from fathomlog.llm.common import materialize
 
+#: Edges of a file, at least: few edges take few tasks and files in a round, however many parts shuffles have.
+FILE_ROWS = 1 << 14
+
 
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -32,7 +35,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small, least = _star(large)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialize(small.union(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct())
+        after = small.union(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
+        after = materialize(after.coalesce(max(1, mark[0] // FILE_ROWS)))
         seen, mark = mark, _mark(after)
         edges = after
         if seen == mark:
