@@ -108,7 +108,9 @@ def shard_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         .join(F.broadcast(owners), "ring")  # RING rows
         .withColumn("first", F.coalesce(F.sum("rows").over(in_shard), F.lit(0)).cast("long"))
     )
-    arcs = cells.groupBy("arc", "shard").agg(F.min("first").alias("first"), F.sum("rows").alias("rows"))
+    # Arcs without rows of their own are walked too: they take what overflows.
+    counts = cells.groupBy("arc").agg(F.min("first").alias("first"), F.sum("rows").alias("rows"))
+    arcs = owners.select("arc", "shard").distinct().join(counts, "arc", "left").fillna(0, ["first", "rows"])
     placed = cells.join(F.broadcast(_walk(arcs, shards).withColumnRenamed("first", "arc_first")), "arc")  # shards * vnodes rows
     own = Window.partitionBy("ring", "salt").orderBy("h", "g", "id", "text_crc32", "size")
     take = F.expr("get(filter(takes, t -> t.at <= o and o < t.at + t.n), 0)")

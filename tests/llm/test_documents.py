@@ -51,6 +51,34 @@ def test_a_hot_text_is_spread_evenly(spark):
     assert sorted(set(counts.values())) == [187, 188]
 
 
+@pytest.mark.parametrize("shards", [1, 5, 16])
+@pytest.mark.parametrize("n, hot", [(3, 1), (40, 2), (3000, 3), (3000, 1)])
+def test_places_are_those_of_a_plain_walk(spark, shards, n, hot):
+    df = spark.range(n).selectExpr("id as doc_id", f"if(id % {hot} = 0, 'the same', concat('t', id)) as text")
+    owners = {slot: (arc, shard) for slot, arc, shard in sharding.ring_owners(shards, 32)}
+    own, over, places = collections.defaultdict(list), collections.defaultdict(list), {}
+    for i, h, g in df.selectExpr("doc_id", "xxhash64(text)", "xxhash64(doc_id)").collect():
+        ring = (h & (2**64 - 1)) >> 52
+        arc, shard = owners[ring]
+        own[shard].append((arc, ring, g % sharding.SALTS, h, g, i))
+    bound = [n // shards + (s < n % shards) for s in range(shards)]
+    for shard, rows in own.items():
+        for rank, (arc, *_, i) in enumerate(sorted(rows)):
+            if rank < bound[shard]:
+                places[i] = (shard, rank)
+            else:
+                over[arc].append(i)
+    load = [min(len(own[s]), bound[s]) for s in range(shards)]
+    waiting = collections.deque()
+    for lap in (0, 1):
+        for arc, shard in sorted(set(owners.values())):
+            waiting.extend(over[arc] if lap == 0 else ())
+            while waiting and load[shard] < bound[shard]:
+                places[waiting.popleft()] = (shard, load[shard])
+                load[shard] += 1
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard_rows(df, shards=shards).collect()} == places
+
+
 # Exact dedup.
 
 
