@@ -41,7 +41,7 @@ WINDOW, STRIDE = 32, 24
 #: Lengths of stems, and numbers of a stem's embedding.
 STEMS, STEM_DIM = (3, 4, 5, 6), 4
 #: Words (and stems) of the sample that have an embedding of their own: the most frequent ones, in this share of documents at least.
-VOCABULARY, RARE, WORD_DIM = 20_000, 0.01, 6
+VOCABULARY, RARE, WORD_DIM = 20_000, 0.002, 6
 #: Pull of the embeddings towards zero, and optimizer steps in a round, at least.
 DECAY, STEPS = 3e-4, 40
 GRAMS, GRAM_DIM = 1 << 11, 6
