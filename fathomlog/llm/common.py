@@ -53,6 +53,17 @@ def with_text(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores after them as far as ``df`` has columns so called."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``limit`` bytes, one row at least."""
     for batch in batches:

@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import materialize, released, slices, unpack, with_packed_text
+from fathomlog.llm.common import free_names, materialize, released, slices, unpack, with_packed_text
 
 LENGTH = 200
 KGRAM = 50
@@ -442,17 +442,18 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     keep_text: in their place, all columns of ``df`` with the remaining text; a character cut in two is left out.
     """
     spans = repeated_windows(df, id_col=id_col, text_col=text_col, length=length, kgram=kgram)
-    looked = spans.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.transform("spans", lambda x: x["first"]).alias("__first"), F.transform("spans", lambda x: x["stop"]).alias("__stop"))
     source = df if keep_text else df.select(id_col, text_col)
-    hashed = source.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    own, id_, th, first_, stop_ = free_names(source, "__own", "__id", "__th", "__first", "__stop")
+    looked = spans.select(F.col("id").alias(id_), F.col("th").alias(th), F.transform("spans", lambda x: x["first"]).alias(first_), F.transform("spans", lambda x: x["stop"]).alias(stop_))
+    hashed = source.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     packed = with_packed_text(hashed, text_col)
-    joined = packed.join(looked, packed[id_col].eqNullSafe(looked["__id"]) & (packed["__own"] == looked["__th"]), "left").drop("__id", "__th", "__own")
+    joined = packed.join(looked, packed[id_col].eqNullSafe(looked[id_]) & (packed[own] == looked[th]), "left").drop(id_, th, own)
     names = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            firsts, stops = batch.column("__first").to_pylist(), batch.column("__stop").to_pylist()
+            firsts, stops = batch.column(first_).to_pylist(), batch.column(stop_).to_pylist()
             for value, first, stop in zip(batch.column(text_col).to_pylist(), firsts, stops, strict=True):
                 raw = unpack(value) if value is not None else b""
                 gone = covered(list(zip(first, stop, strict=True)), length) if first else []
