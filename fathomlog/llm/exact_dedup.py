@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import BROADCAST_BYTES, broadcast_if_small, materialize, scratch_dir
+from fathomlog.llm.common import BROADCAST_BYTES, broadcast_if_small, free_names, materialize, scratch_dir
 
 #: Runs in a level before it is merged into the next.
 FANOUT = 2
@@ -100,13 +100,13 @@ class DigestIndex:
         self.compactions += 1
 
     def _passed(self, digests: DataFrame, run: tuple[str, int, int]) -> DataFrame:
-        """Digests that a run may hold by its filter, which is used where it can be broadcast."""
+        """Digests that a run may hold by its filter: broadcast as far as its size allows, else the digests come to its rows by their buckets."""
         bits = run[2]
-        if (bits >> 15) * FILTER_ROW > BROADCAST_BYTES:
-            return digests
         marks = self._filter(run)
+        if (bits >> 15) * FILTER_ROW <= BROADCAST_BYTES:
+            marks = F.broadcast(marks)
         place = F.bitmap_bit_position(_bit(bits))
-        probed = digests.withColumn("bucket", F.bitmap_bucket_number(_bit(bits))).withColumn("place", place).join(F.broadcast(marks), "bucket")  # size checked above
+        probed = digests.withColumn("bucket", F.bitmap_bucket_number(_bit(bits))).withColumn("place", place).join(marks, "bucket")
         byte = F.conv(F.hex(F.expr("substring(marks, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
         return probed.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(place % 8 as int))")) != 0).select("digest")
 
@@ -189,16 +189,17 @@ def _with_group(rows: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
 def drop_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """``df`` with one row of each text, all columns as they were; of rows that repeat the kept id, too, any one stays."""
     groups = exact_groups(df, id_col=id_col, text_col=text_col, keep=keep).where("group_size > 1")
-    marks = groups.groupBy(F.col(id_col).alias("__id"), F.col("digest").alias("__digest")).agg(F.first("kept").alias("__kept"), F.count("*").alias("n"))
-    marks = materialize(marks.where("not __kept or n > 1").drop("n"))
+    id_, digest, kept = free_names(df, "__id", "__digest", "__kept")
+    marks = groups.groupBy(F.col(id_col).alias(id_), F.col("digest").alias(digest)).agg(F.first("kept").alias(kept), F.count("*").alias("__n"))
+    marks = materialize(marks.where(~F.col(kept) | (F.col("__n") > 1)).drop("__n"))
     own = digest_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
     def marked(some: DataFrame, how: str) -> DataFrame:
-        return df.join(broadcast_if_small(some, 64), df[id_col].eqNullSafe(some["__id"]) & (own == some["__digest"]), how)
+        return df.join(broadcast_if_small(some, 64), df[id_col].eqNullSafe(some[id_]) & (own == some[digest]), how)
 
-    left, tied = marked(marks, "left_anti"), marks.where("__kept")
+    left, tied = marked(marks, "left_anti"), marks.where(F.col(kept))
     if tied.isEmpty():
         return left
     # Grouped map-side: a row that is repeated over and over moves once per task.
-    once = marked(tied, "inner").dropDuplicates(["__id", "__digest"])
+    once = marked(tied, "inner").dropDuplicates([id_, digest])
     return left.union(once.drop(*marks.columns))

@@ -50,3 +50,16 @@ def test_repeated_vectors_count_each(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as v", "1 as dim", "1 as q", "1 as n", "1 as copies")
     out = topk.top_k(df, F.col("vec_id") % 20 == 0, k=20).orderBy("rank").collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in out] == [(20, n + 1, 1, 64 * 64) for n in range(20)]
+
+
+def test_filters_are_read_at_every_size(spark, tricky, monkeypatch):
+    """Filters too large to broadcast are met by their buckets; results are the same, and strangers are still turned away."""
+    expected = sorted(map(str, exact_dedup.exact_groups(tricky, memtables=3).collect()))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, exact_dedup.exact_groups(tricky, memtables=3).collect())) == expected
+    digests = lambda a, b: spark.range(a, b).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"), "id")
+    index = exact_dedup.DigestIndex(spark)
+    index.flush(digests(0, 3000), 3000)
+    (run,) = [r for level in index.levels for r in level]
+    assert index._passed(digests(0, 3000).select("digest"), run).count() == 3000
+    assert index._passed(digests(10_000, 13_000).select("digest"), run).count() < 600
