@@ -40,10 +40,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import broadcast_if_small, materialize, released, slices, with_text
+from fathomlog.llm.common import broadcast_if_small, free_names, materialize, released, slices, with_text
 from fathomlog.llm.components import connected_components
 
 SEGMENTS = 16
@@ -135,8 +135,9 @@ def links(fps: DataFrame) -> DataFrame:
     cells = f"""concat(array(c), transform(filter(sequence(0, 15), i -> (shiftrightunsigned(c, 4 * i) & 15) > 0), i -> c - {unit}),
         transform(filter(sequence(0, 15), i -> (shiftrightunsigned(c, 4 * i) & 15) < 4), i -> c + {unit}))"""
     members = fps.select("fp", F.expr(_grid("fp")).alias("c")).select("fp", F.explode(F.expr(cells)).alias("cell"))
-    counted = members.withColumn("n", F.count("*").over(Window.partitionBy("cell")))
-    held = materialize(counted.where("n > 1"))
+    # Counted map-side and joined, so that a crowded cell is no one task.
+    counts = materialize(members.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+    held = materialize(members.join(counts, "cell"))
     few = (
         held.where(F.col("n") <= DENSE)
         .groupBy("cell").agg(F.array_sort(F.collect_list("fp")).alias("m"))
@@ -292,6 +293,7 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     gone = gone.union(nodes.where("copies > 1").select("o.text_hash", F.lit(False), "o.id"))
     gone = materialize(gone)
     lost = rows.select("id", "text_hash").join(broadcast_if_small(gone, 32), "text_hash").where(F.col("whole") | ~F.col("id").eqNullSafe(F.col("first")))
-    lost = materialize(lost.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    id_, hash_ = free_names(df, "__id", "__hash")
+    lost = materialize(lost.select(F.col("id").alias(id_), F.col("text_hash").alias(hash_)).distinct())
     own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return df.join(broadcast_if_small(lost, 32), df[id_col].eqNullSafe(lost["__id"]) & (own == lost["__hash"]), "left_anti")
+    return df.join(broadcast_if_small(lost, 32), df[id_col].eqNullSafe(lost[id_]) & (own == lost[hash_]), "left_anti")
