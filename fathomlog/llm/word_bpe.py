@@ -43,8 +43,11 @@ from fathomlog.llm.common import pack, release, released, scratch_dir, slices, u
 
 #: Text held by one chunk, whose dictionary is shared by its documents.
 CHUNK_TEXT = 32 << 20
-#: Text to a bucket of chunks and to a part of the word table, and parts at most, so that a chunk's list of a part stays a good number of words.
-BUCKET_TEXT, PART_TEXT, MOST_PARTS = 8 << 20, 8 << 20, 2048
+#: Text to a bucket of chunks and to a part of the word table.
+BUCKET_TEXT, PART_TEXT = 8 << 20, 8 << 20
+#: Buckets that Spark can write at most: of more text each holds more chunks, which are still joined one by one. And parts by words
+#: at most, so that a chunk's list of a part stays a good number of words; of more text the chunks fall into spans, each with a word table of as many parts.
+MOST_BUCKETS, MOST_PARTS = 100_000, 2048
 #: Distinct words that the table of a part holds; one that has more is begun anew, and words after that are encoded again.
 PART_WORDS = 1 << 20
 #: Positions that are joined with ids at once.
@@ -243,7 +246,7 @@ def _chunks(parts: int, kind: pa.DataType):
 
 
 def encode_parts(words: DataFrame, path: str) -> DataFrame:
-    """(of, part, lengths, flat): the ids of each chunk's words, of lists (chunk, part, words) that come sorted by part."""
+    """(of, part, lengths, flat): the ids of each chunk's words, of lists (chunk, part, words, span) that come sorted by span and part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(path)
@@ -252,8 +255,9 @@ def encode_parts(words: DataFrame, path: str) -> DataFrame:
             for at in range(batch.num_rows):
                 own = batch.slice(at, 1)
                 listed = unpack(own.column("words")[0].as_py()).decode().split("\n")
-                if own.column("part")[0].as_py() != part or len(table) > PART_WORDS:
-                    part, table, stops, flat = own.column("part")[0].as_py(), {}, array("q", [0]), array("i")
+                key = own.column("span")[0].as_py(), own.column("part")[0].as_py()
+                if key != part or len(table) > PART_WORDS:
+                    part, table, stops, flat = key, {}, array("q", [0]), array("i")
                 if new := [w for w in listed if w not in table]:
                     starts, ids = encode.ids_of(new)
                     table.update(zip(new, range(len(table), len(table) + len(new)), strict=True))
@@ -285,9 +289,11 @@ def _joined(offsets: np.ndarray, values: pa.Array) -> pa.Array:
 
 def _bucketed(df: DataFrame, buckets: int, column: str) -> DataFrame:
     """``df`` written to the shared folder by hash of a column, so that a join on it leaves the rows where they are."""
-    name = f"chunks_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").option("path", scratch_dir(df.sparkSession)).bucketBy(buckets, column).saveAsTable(name)
-    return df.sparkSession.table(name)
+    spark, name = df.sparkSession, f"chunks_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", scratch_dir(spark)).bucketBy(min(buckets, MOST_BUCKETS), column).saveAsTable(name)
+    held = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files are its own and stay; only the catalog forgets it
+    return held
 
 
 def encode_documents(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,8 +317,10 @@ def _assembled(df: DataFrame, path: str, id_col: str, text_col: str, columns: di
     docs = with_text(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text")
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(4, min(MOST_PARTS, -(-size // PART_TEXT)))
+    spans = max(1, -(-size // (MOST_PARTS * PART_TEXT)))
     split = _bucketed(docs.mapInArrow(released(_chunks(parts, to_arrow_type(kind))), _SPLIT.format(name)), max(1, -(-size // BUCKET_TEXT)), "chunk")
-    words = split.where("part is not null").select("chunk", "part", "words").repartition(parts, "part").sortWithinPartitions("part")
+    span = F.pmod(F.xxhash64("chunk"), F.lit(spans))
+    words = split.where("part is not null").select("chunk", "part", "words", span.alias("span")).repartition(parts * spans, "span", "part").sortWithinPartitions("span", "part")
     texts = split.where("part is null").select("chunk", "ids", "counts", "positions")
     encoded = encode_parts(words, path)
     table = spark.sparkContext.broadcast(pa.array(pieces_of(path)))  # as many entries as the vocabulary

@@ -410,6 +410,15 @@ def test_bpe_digests_and_ids(docs, tokenizer):
     assert sorted_rows((r.doc_id, list(r.ids), r.decoded) for r in word_bpe.encode_documents(docs, tokenizer).collect()) == sorted_rows(whole)
 
 
+def test_bpe_of_more_text_than_buckets_and_parts(spark, tricky, tokenizer, monkeypatch):
+    """Buckets beyond what Spark writes hold more chunks each, parts beyond the most are made of spans of chunks; nothing stays in the catalog."""
+    expected = sorted_rows(collected(word_bpe.encode_digests(tricky, tokenizer)))
+    for name, value in {"BUCKET_TEXT": 1, "PART_TEXT": 2000, "MOST_PARTS": 4, "CHUNK_TEXT": 5000, "MOST_BUCKETS": 20}.items():
+        monkeypatch.setattr(word_bpe, name, value)
+    assert sorted_rows(collected(word_bpe.encode_digests(tricky, tokenizer))) == expected
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
+
+
 def test_encoder_forgets_and_stays_right(tokenizer, monkeypatch):
     monkeypatch.setattr(word_bpe, "REMEMBERED", 20)
     encode = word_bpe.WordEncoder(tokenizer)
