@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import materialize, released, slices, with_text
+from fathomlog.llm.common import broadcast_if_small, materialize, released, slices, with_text
 from fathomlog.llm.word_bpe import gather, split_words, word_encoder
 
-SALTS = 64
+#: Parts of a length at least, and rows of a part of one that has all: full pieces may be most of them.
+SALTS, SALT_ROWS = 64, 1 << 20
 CHUNK_TEXT = 8 << 20
 #: Parts of words whose ids a worker remembers from batch to batch.
 REMEMBERED = 1 << 19
@@ -127,7 +128,8 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def pack(cut: DataFrame, *, capacity: int = 2048, keys: tuple[str, ...] = ("id", "piece")) -> DataFrame:
     """``cut`` (with ``length``, 1 to capacity) and each row's sequence_id and offset."""
     spark = cut.sparkSession
-    dealt = cut.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int"))
+    salts = max(SALTS, -(-cut.count() // SALT_ROWS))
+    dealt = cut.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))
     cells = dealt.groupBy("length", "salt").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = materialize(cells.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))))
@@ -139,7 +141,7 @@ def pack(cut: DataFrame, *, capacity: int = 2048, keys: tuple[str, ...] = ("id",
     own = Window.partitionBy("length", "salt").orderBy(*keys, *(c for c in cut.columns if c not in keys))
     ranked = (
         dealt.withColumn("rn", F.row_number().over(own))
-        .join(F.broadcast(cells.select("length", "salt", "before")), ["length", "salt"])  # capacity * SALTS rows
+        .join(broadcast_if_small(cells.select("length", "salt", "before"), 32), ["length", "salt"])
         .withColumn("rank", F.col("before") + F.col("rn") - 1)
     )
     inside = (F.col("rank") >= F.col("rank0")) & (F.col("rank") < F.col("rank0") + F.col("count"))

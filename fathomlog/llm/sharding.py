@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RING = 4096
-SALTS = 64
+#: Parts of a ring slot at least, and rows of a part of one that holds all: a text held by most rows is still many tasks.
+SALTS, SALT_ROWS = 64, 1 << 20
 
 
 def ring_owners(shards: int, vnodes: int) -> list[tuple[int, int, int]]:
@@ -93,13 +94,14 @@ def shard_rows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """(id, size, text_crc32, shard, slot): every row in a shard, slots gapless from 0 in each."""
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    salts = max(SALTS, -(-df.count() // SALT_ROWS))
     rows = df.select(
         F.col(id_col).alias("id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
         F.xxhash64(F.col(id_col)).alias("g"),
-    ).select("*", F.shiftrightunsigned("h", 52).cast("int").alias("ring"), F.pmod("g", F.lit(SALTS)).cast("int").alias("salt"))
+    ).select("*", F.shiftrightunsigned("h", 52).cast("int").alias("ring"), F.pmod("g", F.lit(salts)).cast("int").alias("salt"))
 
     owners = spark.sql("SELECT * FROM VALUES " + ",".join(str(x) for x in ring_owners(shards, vnodes)) + " AS t(ring, arc, shard)")
     in_shard = Window.partitionBy("shard").orderBy("arc", "ring", "salt").rowsBetween(Window.unboundedPreceding, -1)
