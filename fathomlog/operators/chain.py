@@ -25,19 +25,38 @@ def hash_mismatch(log: DataFrame, expected: Column) -> DataFrame:
     return _found(log.where(~F.col("event_hash").eqNullSafe(expected)), "hash_mismatch", expected)
 
 
-def sequence_missing(log: DataFrame, *, chain: list[str] | None = None, position: str = "sequence_number") -> DataFrame:
-    """(*chain, missing): every position that is absent between two that are held.
+def missing_ranges(log: DataFrame, *, chain: list[str] | None = None, position: str = "sequence_number") -> DataFrame:
+    """(*chain, first, last): the stretches of positions that are absent between two that are held.
 
     Neighbours are found within blocks of positions, which run in parallel whatever a chain's share of the log;
-    only the blocks' ends, one row to a block, are put in order per chain.
+    only the blocks' ends, one row to a block, are put in order per chain. A hole is one row, however long.
     """
     keys = chain or []
-    held = log.select(*keys, F.col(position).alias("p")).where("p is not null").withColumn("b", F.floor(F.col("p") / F.lit(BLOCK)))
+    held = log.select(*keys, F.col(position).cast("long").alias("p")).where("p is not null").withColumn("b", F.floor(F.col("p") / F.lit(BLOCK)))
     within = held.select(*keys, "p", F.lead("p").over(Window.partitionBy(*keys, "b").orderBy("p")).alias("q"))
     ends = held.groupBy(*keys, "b").agg(F.min("p").alias("first"), F.max("p").alias("last"))
     across = ends.select(*keys, F.col("last").alias("p"), F.lead("first").over(Window.partitionBy(*keys).orderBy("b")).alias("q"))
-    holes = within.union(across).where("q > p + 1")
-    return holes.select(*keys, F.explode(F.expr("sequence(p + 1, q - 1)")).alias("missing"))
+    return within.union(across).where("q > p + 1").select(*keys, (F.col("p") + 1).alias("first"), (F.col("q") - 1).alias("last"))
+
+
+def positions_in(ranges: DataFrame, name: str = "missing") -> DataFrame:
+    """Every position (from 0) of ranges (first, last).
+
+    A range is cut into ever shorter stretches, which are dealt out before they are opened: no array and
+    no task holds a whole long one.
+    """
+    others = [c for c in ranges.columns if c not in ("first", "last")]
+    for width in (BLOCK**3, BLOCK**2, BLOCK):
+        cut = ranges.withColumn("__k", F.explode(F.expr(f"sequence(first div {width}L, last div {width}L)")))
+        first = F.when(F.expr(f"first div {width}L") == F.col("__k"), F.col("first")).otherwise(F.col("__k") * F.lit(width))
+        last = F.when(F.expr(f"last div {width}L") == F.col("__k"), F.col("last")).otherwise(F.col("__k") * F.lit(width) + F.lit(width - 1))
+        ranges = cut.select(*others, first.alias("first"), last.alias("last"))
+    return ranges.repartition("first").select(*others, F.explode(F.sequence("first", "last")).alias(name))
+
+
+def sequence_missing(log: DataFrame, *, chain: list[str] | None = None, position: str = "sequence_number") -> DataFrame:
+    """(*chain, missing): every position that is absent between two that are held."""
+    return positions_in(missing_ranges(log, chain=chain, position=position))
 
 
 def storage_link_break(log: DataFrame, *, chain: list[str] | None = None) -> DataFrame:
@@ -60,17 +79,22 @@ def storage_link_break(log: DataFrame, *, chain: list[str] | None = None) -> Dat
     return _found(joined.where(wrong_place | wrong_hash), "storage_link_break", detail)
 
 
+def predecessors_judged(refs: DataFrame, held: DataFrame) -> DataFrame:
+    """Findings of events whose predecessor is held but belongs to another origin or stands no earlier."""
+    sealed = held.select(F.col("sealed_hash").alias("p_hash"), F.col("origin_db").alias("p_db"), F.col("origin_position").alias("p_pos"))
+    joined = refs.where("previous_event_hash is not null").join(sealed, F.col("previous_event_hash") == F.col("p_hash"))
+    why = F.when(~F.col("p_db").eqNullSafe(F.col("origin_db")), "other_origin").when(F.col("p_pos") >= F.col("origin_position"), "not_earlier")
+    return _found(joined.withColumn("why", why).where("why is not null"), "predecessor_break", F.col("why")).distinct()
+
+
 def predecessor_break(log: DataFrame, holder: str | None = None) -> DataFrame:
     """Events whose predecessor belongs to another origin, stands no earlier, or is missing though ``holder`` wrote them."""
-    sealed = log.select(F.col("sealed_hash").alias("p_hash"), F.col("origin_db").alias("p_db"), F.col("origin_position").alias("p_pos"))
-    joined = log.where("previous_event_hash is not null").join(sealed, F.col("previous_event_hash") == F.col("p_hash"), "left")
-    missing = F.col("p_hash").isNull()
-    why = (
-        F.when(missing & F.col("held_as_authored_by").eqNullSafe(F.lit(holder)), "dangling" if holder else None)
-        .when(~missing & ~F.col("p_db").eqNullSafe(F.col("origin_db")), "other_origin")
-        .when(~missing & (F.col("p_pos") >= F.col("origin_position")), "not_earlier")
-    )
-    return _found(joined.withColumn("why", why).where("why is not null"), "predecessor_break", F.col("why"))
+    broken = predecessors_judged(log, log)
+    if holder is None:
+        return broken
+    held = log.select(F.col("sealed_hash").alias("previous_event_hash")).distinct()
+    lost = log.where("previous_event_hash is not null").where(F.col("held_as_authored_by") == holder).join(held, "previous_event_hash", "left_anti")
+    return broken.unionByName(_found(lost, "predecessor_break", F.lit("dangling")))
 
 
 def unresolved_predecessors(log: DataFrame, holder: str | None = None) -> DataFrame:
@@ -98,54 +122,104 @@ def forks(log: DataFrame) -> DataFrame:
     )
 
 
-def parent_invalid(log: DataFrame) -> DataFrame:
-    """Events with a held parent that can't be one; the first reason counts, and parents not held are passed over."""
-    held = log.select(F.col("event_id").cast("string").alias("p_id"), F.col("sealed_hash").alias("p_hash"), F.col("aggregate_id").alias("p_agg"), F.col("causal").alias("p_causal"))
-    parents = log.select("*", F.explode("causal.parents").alias("__parent"))
-    joined = parents.join(held, F.col("__parent.event_id") == F.col("p_id"))
+def named_parents(log: DataFrame) -> DataFrame:
+    """(sequence_number, event_id, aggregate_id, parent_id, parent_hash): a row for each parent that an event names."""
+    rows = log.select("sequence_number", "event_id", "aggregate_id", F.explode("causal.parents").alias("p"))
+    return rows.select("sequence_number", "event_id", "aggregate_id", F.col("p.event_id").cast("string").alias("parent_id"), F.col("p.event_hash").alias("parent_hash"))
+
+
+def judged_parents(named: DataFrame, log: DataFrame) -> DataFrame:
+    """Findings of named parents that ``log`` holds and that can't be parents; the first reason counts."""
+    held = log.select(F.col("event_id").cast("string").alias("parent_id"), F.col("sealed_hash").alias("p_hash"), F.col("aggregate_id").alias("p_agg"), F.col("causal.kind").alias("p_kind"), F.col("causal.eligible").alias("p_eligible"))
     why = (
-        F.when(~F.col("p_hash").eqNullSafe(F.col("__parent.event_hash")), "held_under_other_hash")
+        F.when(~F.col("p_hash").eqNullSafe(F.col("parent_hash")), "held_under_other_hash")
         .when(F.col("p_agg") != F.col("aggregate_id"), "other_aggregate")
-        .when(F.col("p_causal.kind") == "annotation", "annotation")
-        .when(~F.col("p_causal.eligible"), "ineligible")
+        .when(~F.col("p_kind").eqNullSafe("version"), "annotation")
+        .when(~F.coalesce("p_eligible", F.lit(False)), "ineligible")
     )
-    return _found(joined.withColumn("why", why).where("why is not null"), "parent_invalid", F.concat_ws(":", "p_id", "why"))
+    return _found(named.join(held, "parent_id").withColumn("why", why).where("why is not null"), "parent_invalid", F.concat_ws(":", "parent_id", "why"))
+
+
+def parent_invalid(log: DataFrame) -> DataFrame:
+    """Events with a held parent that can't be one; the first reason counts, and parents not held are passed over."""
+    return judged_parents(named_parents(log), log)
 
 
 def stamped_parent(eligible: Column, value: Column, key: str = "aggregate_id") -> Column:
-    """The latest eligible version of the aggregate before each event."""
+    """The latest eligible version of the aggregate before each event, for aggregates of few events."""
     before = Window.partitionBy(key).orderBy("sequence_number").rowsBetween(Window.unboundedPreceding, -1)
     return F.last(F.when(eligible, value), ignorenulls=True).over(before)
 
 
+def with_last_before(log: DataFrame, value: Column, name: str, key: str = "aggregate_id") -> DataFrame:
+    """Adds ``name``: the last ``value`` that isn't null of the same key before each event.
+
+    Looked for within blocks of positions; a block's first events take what the key's blocks before carry on, one
+    row to a block. So a key that holds much of the log is many tasks.
+    """
+    blocked = log.withColumn("__value", value).withColumn("__block", F.floor(F.col("sequence_number") / F.lit(BLOCK)))
+    own = Window.partitionBy(key, "__block").orderBy("sequence_number").rowsBetween(Window.unboundedPreceding, -1)
+    ends = blocked.groupBy(F.col(key).alias("__key"), F.col("__block").alias("__b")).agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.col("sequence_number"))).alias("__end"))
+    earlier = Window.partitionBy("__key").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("__key", "__b", F.last("__end", ignorenulls=True).over(earlier).alias("__carried"))
+    within = blocked.withColumn("__within", F.last("__value", ignorenulls=True).over(own))
+    joined = within.join(carried, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__block") == F.col("__b")), "left")
+    return joined.select(*log.columns, F.coalesce("__within", "__carried").alias(name))
+
+
 def parents_not_stamped(log: DataFrame, holder: Column) -> DataFrame:
     """Events that ``holder`` admits and whose parents aren't exactly the latest eligible version before them, or none."""
     eligible = (F.col("causal.kind") == "version") & F.col("causal.eligible")
-    due = stamped_parent(eligible, F.struct(F.col("event_id").cast("string").alias("event_id"), F.col("sealed_hash").alias("event_hash")))
-    marked = log.withColumn("due", due).withColumn("expected", F.when(F.col("due").isNull(), F.array().cast("array<struct<event_id:string,event_hash:string>>")).otherwise(F.array("due")))
+    version = F.when(eligible, F.struct(F.col("event_id").cast("string").alias("event_id"), F.col("sealed_hash").alias("event_hash")))
+    none = F.array().cast("array<struct<event_id:string,event_hash:string>>")
+    marked = with_last_before(log, version, "due").withColumn("expected", F.when(F.col("due").isNull(), none).otherwise(F.array("due")))
     return _found(marked.where(holder & ~F.col("causal.parents").eqNullSafe(F.col("expected"))), "parents_not_stamped", F.col("due.event_id"))
 
 
+def _arises(log: DataFrame, keys: list[str], value: str, kind: str, detail: str) -> DataFrame:
+    """A finding for each key with several values, at the first event whose value isn't that of the key's first event.
+
+    What comes later in the log doesn't move it.
+    """
+    first = log.groupBy(*(F.col(c).alias(f"k_{c}") for c in keys)).agg(F.min_by(F.struct(value), "sequence_number").alias("first"), F.countDistinct(F.struct(value)).alias("values")).where("values > 1")
+    on = F.lit(True)
+    for c in keys:
+        on &= F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    other = log.join(first, on).where(~F.struct(value).eqNullSafe(F.col("first")))
+    at = other.groupBy(*keys).agg(F.min("sequence_number").alias("sequence_number"), F.min_by("event_id", "sequence_number").alias("event_id"))
+    return _found(at, kind, F.col(detail))
+
+
+def position_reuses(log: DataFrame) -> DataFrame:
+    """A finding for each position of an origin that several events claim, where the second one stands."""
+    return _arises(log.where("origin_db is not null and origin_position is not null"), ["origin_db", "origin_position"], "event_id", "position_reused", "origin_position")
+
+
+def fork_points(log: DataFrame) -> DataFrame:
+    """A finding for each event, or nothing, with successors of one origin at several positions, where the second such stands."""
+    return _arises(log.where("origin_db is not null"), ["origin_db", "previous_event_hash"], "origin_position", "fork_unrecorded", "previous_event_hash")
+
+
+def missing_findings(log: DataFrame) -> DataFrame:
+    missing = F.col("missing").alias("sequence_number")
+    return sequence_missing(log).select(F.lit("sequence_missing").alias("kind"), missing, F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("string").alias("detail"))
+
+
 def verify_chains(log: DataFrame, *, holder: str, expected_hash: Column | None = None, start: int | None = None, stop: int | None = None) -> DataFrame:
     """Findings of all checks with positions in [start, stop], in order; a log without any is valid.
 
-    A bound below zero or a start past the stop is an error. Neighbours outside the bounds are looked at.
+    A bound below zero or a start past the stop is an error. Neighbours outside the bounds are looked at; positions
+    are expected from 1.
     """
     if (start is not None and start < 0) or (start is not None and stop is not None and start > stop):
         raise ValueError("bounds must not be negative, nor start lie past stop")
-    missing = sequence_missing(log).select(F.lit("sequence_missing").alias("kind"), F.col("missing").alias("sequence_number"), F.lit(None).cast("string").alias("event_id"), F.lit(None).cast("string").alias("detail"))
-    reused = positions_reused(log)
-    again = log.join(reused, (log["origin_db"].eqNullSafe(reused["origin_db"])) & (log["origin_position"] == reused["origin_position"])).drop(reused["origin_db"]).drop(reused["origin_position"])
-    again = again.groupBy("origin_db", "origin_position").agg(F.max("sequence_number").alias("sequence_number"), F.max_by("event_id", "sequence_number").alias("event_id"))
-    forked = forks(log)
-    split = log.join(forked, log["origin_db"].eqNullSafe(forked["origin_db"]) & log["previous_event_hash"].eqNullSafe(forked["previous_event_hash"]), "left_semi")
-    split = split.groupBy("origin_db", "previous_event_hash").agg(F.max("sequence_number").alias("sequence_number"), F.max_by("event_id", "sequence_number").alias("event_id"))
+    positions = log.select(F.col("sequence_number").cast("long").alias("sequence_number"))
     checks = [
-        missing,
+        missing_findings(positions.union(log.sparkSession.range(1))),
         storage_link_break(log),
         predecessor_break(log, holder),
-        _found(again, "position_reused", F.col("origin_position")),
-        _found(split, "fork_unrecorded", F.col("previous_event_hash")),
+        position_reuses(log),
+        fork_points(log),
         parent_invalid(log),
         parents_not_stamped(log, F.coalesce(F.col("held_as_authored_by") == holder, F.lit(False))),
     ]
@@ -178,18 +252,3 @@ def structure_findings(new: DataFrame, stored: DataFrame) -> DataFrame:
     same_before = F.col("origin_db").eqNullSafe(F.col("h_db")) & F.col("previous_event_hash").eqNullSafe(F.col("h_prev")) & (F.col("origin_position") != F.col("h_pos")) & other
     forked = _found(new.join(held, same_before, "left_semi"), "fork_unrecorded", F.col("previous_event_hash"))
     return broken.distinct().unionByName(reused).unionByName(forked)
-
-
-def verify_through(log: DataFrame, *, through: int = 0, step: int = 1_000_000, **arguments) -> tuple[int, DataFrame | None]:
-    """Verify on from position ``through`` in windows of ``step``: the last position found valid, and the findings that ended the walk.
-
-    The head is fixed at the start. A walk that breaks off is taken up again with the position it reached.
-    """
-    head = log.agg(F.max("sequence_number")).first()[0] or 0
-    while through < head:
-        stop = min(head, through + step)
-        found = verify_chains(log, start=through + 1, stop=stop, **arguments)
-        if not found.isEmpty():
-            return through, found
-        through = stop
-    return through, None

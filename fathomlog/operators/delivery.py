@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomlog.operators.chain import BLOCK
 from fathomlog.sources.event_log import EVERY_VIEW
+from fathomlog.sources.scratch import written
 
 # Which status may follow which; null is pending.
 TRANSITIONS = {None: ("sent", "wedged", "tombstoned"), "wedged": ("tombstoned",)}
@@ -40,27 +46,135 @@ def admit(log: DataFrame, interest: Column, *, start, upper, own: Column | None
     return decided if stop is None else decided.where(F.col("sequence_number") < stop)
 
 
-def gap_replay(log: DataFrame, interest: Column, *, cursor: int, start, gap_upper) -> DataFrame:
-    """Events at or before the cursor whose client time lies in [start, gap_upper)."""
+def gap_replay(log: DataFrame, interest: Column, *, cursor: int, start, gap_upper, own: Column | None = None, channel_wide: bool = False, queued: DataFrame | None = None) -> DataFrame:
+    """Own events at or before the cursor that are of interest and whose client time lies in [start, gap_upper).
+
+    channel_wide: a native sink gets the types every view folds whatever their time and the interest,
+    unless ``queued`` (event_id) has them already.
+    """
     ts = F.col("client_timestamp")
-    return log.where((F.col("sequence_number") <= cursor) & interest & (ts >= F.lit(start)) & (ts < F.lit(gap_upper)))
+    mine = log.where((F.col("sequence_number") <= cursor) & (own if own is not None else F.lit(True)))
+    due = interest & (ts >= F.lit(start)) & (ts < F.lit(gap_upper))
+    wide = F.col("entry_type").isin(*EVERY_VIEW)
+    if not channel_wide:
+        return mine.where(due)
+    always = mine.where(wide)
+    if queued is not None:
+        always = always.join(queued.select("event_id").distinct(), "event_id", "left_anti").select(*mine.columns)
+    return mine.where(~wide & due).unionByName(always)
+
+
+def _blocks(rows: DataFrame, **ends: Column) -> DataFrame:
+    """One row for each block of positions."""
+    return rows.groupBy("__block").agg(*(c.alias(n) for n, c in ends.items()))
+
+
+def batches(admitted: DataFrame, size: int | None = None, key: str | None = None, *, weight: Column | None = None, most: int | None = None) -> DataFrame:
+    """Adds ``batch`` (from 0): consecutive events, each joining the batch before it as long as that may take it.
+
+    A batch takes an event while it holds fewer than ``size``, their ``weight`` (not negative) stays within ``most``, and its
+    first event has the same ``key``, no key being one of its own. Its first event joins whatever it weighs. All is counted within
+    blocks of positions; between them go a row to a block and, with weights, the prefix sums of its first batch's length.
+    """
+    if weight is not None and most is not None:
+        return _weighed(admitted, size, key, weight, most)
+    rows = admitted.withColumn("__block", F.floor(F.col("sequence_number") / F.lit(BLOCK))).withColumn("__key", F.struct((F.col(key) if key else F.lit(0)).alias("k")))
+    own, before = Window.partitionBy("__block").orderBy("sequence_number"), Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    counted = _blocks(rows, n=F.count("*"), last=F.max_by("__key", "sequence_number")).select("__block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__n"), F.lag("last").over(Window.orderBy("__block")).alias("__last"))
+    rows = rows.withColumn("__i", F.row_number().over(own)).withColumn("__prior", F.lag("__key").over(own)).join(counted, "__block")
+    rows = rows.withColumn("__i", F.col("__n") + F.col("__i") - 1).withColumn("__wall", F.when(~F.coalesce("__prior", "__last").eqNullSafe(F.col("__key")), F.col("__i")))
+    # Where each event's run of one key began: in its block, or as the blocks before carry it on.
+    runs = _blocks(rows, wall=F.max("__wall")).select("__block", F.max("wall").over(before).alias("__carried"))
+    rows = rows.withColumn("__run", F.max("__wall").over(own)).join(runs, "__block").withColumn("__run", F.coalesce("__run", "__carried"))
+    place = F.col("__i") - F.col("__run")
+    rows = rows.withColumn("__begins", (place % F.lit(size) == 0 if size else place == 0).cast("long"))
+    begun = _blocks(rows, begins=F.sum("__begins")).select("__block", F.coalesce(F.sum("begins").over(before), F.lit(0)).alias("__begun"))
+    rows = rows.withColumn("__begins", F.sum("__begins").over(own)).join(begun, "__block")
+    return rows.select(*admitted.columns, (F.col("__begun") + F.col("__begins") - 1).cast("long").alias("batch"))
+
+
+def _ends(weights: np.ndarray, keys: list, size: int | None, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Prefix sums of a block, where the batch that begins at each event ends, and where its first key ends."""
+    n = len(weights)
+    sums = np.concatenate([[0], np.cumsum(weights)])
+    ends = np.maximum(np.searchsorted(sums, sums[:-1] + most, side="right") - 1, np.arange(1, n + 1))
+    walls = [i for i in range(1, n) if keys[i] != keys[i - 1]] + [n]
+    ends = np.minimum(ends, np.array(walls)[np.searchsorted(walls, np.arange(n), side="right")])
+    return sums, np.minimum(ends, np.arange(n) + size) if size else ends, walls[0]
+
+
+def _taken(sums: np.ndarray, wall: int, held: int, count: int, size: int | None, most: int) -> int:
+    """Events of a block that an open batch of ``count`` events weighing ``held`` still takes, its key being the block's first."""
+    fits = int(np.searchsorted(sums, most - held, side="right")) - 1
+    return max(0, min(wall, fits, *([size - count] if size else [])))
+
+
+_TABLE = "block long, n long, total long, wall long, first string, last string, sums array<long>, left array<long>, rest array<long>, begun array<long>"
+_OPEN = "block long, held long, count long, key string, done long"
+
+
+def _named(schema: str, rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
+
+
+def _none(value):
+    return None if value is None or value != value else value
 
 
-def batches(admitted: DataFrame, size: int, key: str | None = None) -> DataFrame:
-    """Adds ``batch`` (from 0): consecutive events, ``size`` to a batch at most.
+def _weighed(admitted: DataFrame, size: int | None, key: str | None, weight: Column, most: int) -> DataFrame:
+    """Greedy batches by weight.
 
-    With a block key a batch holds one key's run only. Keyless batching needs the events' rank;
-    it is counted by blocks of positions, so no task orders the whole log.
+    What a block does to the batch that is open when it is entered depends on how much of the block that batch still takes; from
+    there on all is decided within the block. So each block is worked off on its own to a table by that number (as many entries as an
+    empty batch takes events); the tables are walked in order, which tells each block what is open at its beginning.
     """
-    if key is None:
-        block = F.floor(F.col("sequence_number") / F.lit(100_000))
-        blocked = admitted.withColumn("__block", block)
-        before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-        counts = blocked.groupBy("__block").agg(F.count("*").alias("__n")).select("__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-        rank = F.row_number().over(Window.partitionBy("__block").orderBy("sequence_number")) - 1
-        return blocked.withColumn("__rank", rank).join(counts, "__block").withColumn("batch", F.floor((F.col("__before") + F.col("__rank")) / F.lit(size)).cast("long")).drop("__block", "__rank", "__before")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("sequence_number")) - 1
-    return admitted.withColumn("batch", F.floor(rank / F.lit(size)).cast("long"))
+    block = F.floor(F.col("sequence_number") / F.lit(BLOCK)).cast("long")
+    rows = admitted.select("sequence_number", block.alias("block"), (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"), weight.cast("long").alias("weight"))
+
+    def sorted_block(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, list]:
+        pdf = pdf.sort_values("sequence_number")
+        return pdf, pdf["weight"].to_numpy(), [_none(k) for k in pdf["key"]]
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, weights, keys = sorted_block(pdf)
+        sums, ends, wall = _ends(weights, keys, size, most)
+        n = len(keys)
+        begins, begun = np.arange(n), np.ones(n, np.int64)
+        for i in range(n - 1, -1, -1):  # the last batch that follows from one that begins here, and their number
+            if ends[i] < n:
+                begins[i], begun[i] = begins[ends[i]], 1 + begun[ends[i]]
+        takes = min(_taken(sums, wall, 0, 0, size, most), n - 1)
+        begins, begun = begins[: takes + 1], begun[: takes + 1]
+        return _named(_TABLE, [(int(pdf["block"].iloc[0]), n, int(sums[-1]), wall, keys[0], keys[-1], sums[: takes + 2], n - begins, sums[-1] - sums[begins], begun)])
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, count, open_key, done = 0, 0, None, 0
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                out.append((r.block, held, count, open_key, done))
+                at = _taken(np.asarray(r.sums), r.wall, held, count, size, most) if done and open_key == _none(r.first) else 0
+                if at >= r.n:
+                    held, count = held + r.total, count + r.n
+                else:
+                    held, count, open_key, done = int(r.rest[at]), int(r.left[at]), _none(r.last), done + int(r.begun[at])
+            yield _named(_OPEN, out)
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, weights, keys = sorted_block(pdf)
+        sums, ends, wall = _ends(weights, keys, size, most)
+        held, count, done, open_key = (pdf[c].iloc[0] for c in ("held", "count", "done", "open_key"))
+        at = _taken(sums, wall, held, count, size, most) if done and _none(open_key) == keys[0] else 0
+        out = np.full(len(keys), done - 1, np.int64)
+        while at < len(keys):
+            out[at : ends[at]] = done
+            at, done = ends[at], done + 1
+        return pd.DataFrame({"sequence_number": pdf["sequence_number"], "batch": out})
+
+    tables = written(rows.groupBy("block").applyInPandas(table, _TABLE))
+    opened = tables.repartition(1).sortWithinPartitions("block").mapInPandas(walk, _OPEN).withColumnRenamed("key", "open_key")
+    numbered = rows.join(opened, "block").groupBy("block").applyInPandas(number, "sequence_number long, batch long")
+    return admitted.join(numbered, "sequence_number").select(*admitted.columns, "batch")
 
 
 def queue_heads(items: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from fathomlog.plans.promotion import Default, Drop, Promotions, Rename
 from fathomlog.plans.queries import _CONTEXT, _CUT, _LINES, _MARKED, _context, _cut, _full_log, _lines, _t, query
 from fathomlog.plans.specs import AggregateId, AggregateView, Combined, Composite, Constant, ConstantFields, Derived, EventTimestamp, FirstEventTimestamp, Interest, ListedKeys, ListLength, PayloadField, SelectedFields, TableView
 from fathomlog.sources import event_log as el
+from fathomlog.sources.scratch import scratch_dir
+from fathomlog.sources.store import LogStore
 
 # Where events come from.
 
@@ -99,31 +101,58 @@ def event_hop_walk(spark, sf_dir):
     return whole.select(i.alias("event_id"), F.explode(cj.hash_findings(F.col("record"))).alias("f")).select("event_id", "f.hop", "f.stated")
 
 
-_CHAIN = """{LOG}, c AS (SELECT seq, CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 103 = 0 THEN 'gone' WHEN seq > 1 THEN 'h' || CAST(seq - 1 AS VARCHAR) END AS prev FROM log)"""
+_CHAIN = """{LOG}, c0 AS (SELECT seq, event_id AS i, user_id, CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 103 = 0 THEN 'gone' WHEN seq > 1 THEN 'h' || CAST(seq - 1 AS VARCHAR) END AS prev,
+        CASE WHEN event_id % 109 = 0 THEN seq - 2 ELSE seq END AS place, event_id % 3 = 0 AS eligible,
+        max(CASE WHEN event_id % 3 = 0 THEN seq END) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS due_seq FROM log),
+    c AS (SELECT c0.*, d.event_id AS due, CASE WHEN c0.i % 113 = 0 THEN o.event_id WHEN c0.i % 127 = 0 THEN NULL ELSE d.event_id END AS parent FROM c0 LEFT JOIN c0 d ON c0.due_seq = d.seq LEFT JOIN c0 o ON o.i = c0.i - 1),
+    found AS (SELECT 'storage_link_break' AS kind, seq AS sequence_number, event_id FROM c WHERE i % 101 = 0
+        UNION ALL SELECT 'hash_mismatch', seq, event_id FROM c WHERE i % 107 = 0
+        UNION ALL SELECT 'predecessor_break', c.seq, c.event_id FROM c LEFT JOIN c p ON c.prev = 'h' || CAST(p.seq AS VARCHAR) WHERE c.prev = 'gone' OR p.place >= c.place
+        UNION ALL SELECT * FROM (SELECT 'fork_unrecorded', min(seq) FILTER (place <> first), arg_min(event_id, seq) FILTER (place <> first)
+            FROM (SELECT *, arg_min(place, seq) OVER (PARTITION BY prev) AS first FROM c) GROUP BY prev HAVING count(DISTINCT place) > 1)
+        UNION ALL SELECT * FROM (SELECT 'position_reused', min(seq) FILTER (event_id <> first), arg_min(event_id, seq) FILTER (event_id <> first)
+            FROM (SELECT *, arg_min(event_id, seq) OVER (PARTITION BY place) AS first FROM c) GROUP BY place HAVING count(DISTINCT event_id) > 1)
+        UNION ALL SELECT 'parents_not_stamped', seq, event_id FROM c WHERE parent IS DISTINCT FROM due
+        UNION ALL SELECT 'parent_invalid', c.seq, c.event_id FROM c JOIN c p ON c.parent = p.event_id WHERE p.user_id <> c.user_id OR NOT p.eligible)"""
 
 
 def _chained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One database's log: links broken at some events, predecessors lost at others, wrong hashes at others still."""
-    i, s = F.col("event_id"), F.col("sequence_number")
-    own = F.concat(F.lit("h"), s.cast("string"))
+    """One database's log: links broken at some events, predecessors lost, places taken twice, parents wrong or left out at others, wrong hashes at others still."""
+    i, s = F.col("i"), F.col("sequence_number")
+    log = el.events_log(spark, sf_dir).withColumn("i", F.col("event_id"))
+    eligible = i % 3 == 0
+    hashed = F.concat(F.lit("h"), s.cast("string"))
+    log = chain.with_last_before(log, F.when(eligible, F.struct(i.cast("string").alias("event_id"), hashed.alias("event_hash"))), "due")
     before = F.when(s > 1, F.concat(F.lit("h"), (s - 1).cast("string")))
     none = F.array().cast("array<struct<event_id:string,event_hash:string>>")
-    return el.events_log(spark, sf_dir).select(
-        "sequence_number", i.cast("string").alias("event_id"), "aggregate_id", own.alias("event_hash"), own.alias("sealed_hash"), F.lit("db").alias("origin_db"), s.alias("origin_position"), F.lit("db").alias("held_as_authored_by"),
+    # The event of that id may be any; its hash is looked up.
+    other = log.select((i + 1).alias("i"), F.array(F.struct(i.cast("string").alias("event_id"), hashed.alias("event_hash"))).alias("other"))
+    parents = F.when(i % 113 == 0, F.coalesce("other", none)).when((i % 127 == 0) | F.col("due").isNull(), none).otherwise(F.array("due"))
+    return log.join(other, "i", "left").select(
+        "sequence_number", i.cast("string").alias("event_id"), F.col("aggregate_id").cast("string").alias("aggregate_id"), hashed.alias("event_hash"), hashed.alias("sealed_hash"), F.lit("db").alias("origin_db"),
+        F.when(i % 109 == 0, s - 2).otherwise(s).alias("origin_position"), F.lit("db").alias("held_as_authored_by"),
         s.alias("ingest_sequence_number"), F.when(i % 101 == 0, "bad").otherwise(before).alias("previous_ingest_hash"), F.when(i % 103 == 0, "gone").otherwise(before).alias("previous_event_hash"),
-        F.struct(F.lit("annotation").alias("kind"), F.lit(False).alias("eligible"), none.alias("parents")).alias("causal"), F.when(i % 107 == 0, "other").otherwise(own).alias("expected"),
+        F.struct(F.lit("version").alias("kind"), eligible.alias("eligible"), parents.alias("parents")).alias("causal"), F.when(i % 107 == 0, "other").otherwise(hashed).alias("expected"), "client_timestamp",
     )
 
 
-@query(f"""WITH {_CHAIN} SELECT 'storage_link_break' AS kind, seq AS sequence_number, event_id FROM c WHERE CAST(event_id AS BIGINT) % 101 = 0
-    UNION ALL SELECT 'hash_mismatch', seq, event_id FROM c WHERE CAST(event_id AS BIGINT) % 107 = 0
-    UNION ALL SELECT 'predecessor_break', seq, event_id FROM c WHERE prev = 'gone'
-    UNION ALL SELECT 'fork_unrecorded', max(seq), arg_max(event_id, seq) FROM c GROUP BY prev HAVING count(*) > 1""")
+@query(f"WITH {_CHAIN} SELECT * FROM found")
 def chain_verified(spark, sf_dir):
     """All checks of one log together."""
     return chain.verify_chains(_chained(spark, sf_dir), holder="db", expected_hash=F.col("expected")).select("kind", "sequence_number", "event_id")
 
 
+@query(f"WITH {_CHAIN} SELECT * FROM found")
+def chain_verified_in_stretches(spark, sf_dir):
+    """The same by a store that goes on from its frontier, half of the log at a time."""
+    store = LogStore(spark, scratch_dir(spark, "store"))
+    store.append(_chained(spark, sf_dir).drop("sequence_number").withColumn("tie", F.col("event_id").cast("long")), tie="tie")
+    head, reached = store.manifest().head, 0
+    while reached < head:
+        reached = store.verify(holder="db", expected_hash=F.col("expected"), stop=reached + head // 2 + 1)
+    return store.findings("db").select("kind", "sequence_number", "event_id")
+
+
 @query(f"""WITH {_LINES}, n AS (SELECT * FROM lines WHERE partkey % 4 = 0), s AS (SELECT * FROM lines WHERE partkey % 4 <> 0)
     SELECT DISTINCT 'predecessor_break' AS kind, n.event_id FROM n JOIN s ON n.previous_event_hash = s.event_hash WHERE n.origin_db <> s.origin_db OR s.origin_position >= n.origin_position
     UNION ALL SELECT 'position_reused', event_id FROM n WHERE EXISTS (SELECT 1 FROM s WHERE s.origin_db = n.origin_db AND s.origin_position = n.origin_position AND s.event_id <> n.event_id)

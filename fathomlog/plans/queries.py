@@ -613,15 +613,40 @@ def delivery_batches(spark, sf_dir):
     return delivery.batches(_admitted(spark, sf_dir).where("decision = 'admitted'"), 25).select(_seq(), "event_id", "batch")
 
 
-@query(f"WITH {_ADMIT} SELECT seq, user_id, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY seq) - 1) / 3) AS BIGINT) AS batch FROM w WHERE decision = 'admitted'")
+# Runs of one type, three events to a batch at most: a batch ends at the first event of another type.
+@query(f"""WITH {_ADMIT}, a AS (SELECT w.seq, e.event_type AS t, row_number() OVER (ORDER BY w.seq) AS i, lag(e.event_type) OVER (ORDER BY w.seq) AS before FROM w JOIN log e ON e.seq = w.seq WHERE decision = 'admitted'),
+    r AS (SELECT *, max(CASE WHEN before IS DISTINCT FROM t THEN i END) OVER (ORDER BY i) AS run FROM a)
+    SELECT seq, t AS event_type, CAST(sum(CASE WHEN (i - run) % 3 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY i) - 1 AS BIGINT) AS batch FROM r""")
 def delivery_batches_by_key(spark, sf_dir):
-    return delivery.batches(_admitted(spark, sf_dir).where("decision = 'admitted'"), 3, "aggregate_id").select(_seq(), F.col("aggregate_id").alias("user_id"), "batch")
-
-
-@query("""WITH {LOG} SELECT seq, event_id FROM log WHERE seq <= 4000 AND event_type = 'view' AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-08'""")
+    return delivery.batches(_admitted(spark, sf_dir).where("decision = 'admitted'"), 3, "event_type").select(_seq(), "event_type", "batch")
+
+
+@query(f"""WITH RECURSIVE {_ADMIT}, a AS (SELECT w.seq, e.event_type AS t, row_number() OVER (ORDER BY w.seq) AS i, CAST(length(e.event_type) + e.event_id % 50 AS BIGINT) AS size FROM w JOIN log e ON e.seq = w.seq WHERE decision = 'admitted'),
+    p AS MATERIALIZED (SELECT *, sum(size) OVER (ORDER BY i) AS total, coalesce(max(CASE WHEN t = 'purchase' THEN i END) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS last_purchase,
+        coalesce(max(CASE WHEN t = 'click' THEN i END) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS last_click FROM a),
+    b AS (SELECT CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS start
+        UNION ALL SELECT b.batch + 1, (SELECT min(x.i) FROM p x, p s WHERE s.i = b.start AND x.i > b.start
+            AND (x.total - s.total + s.size > 400 OR CASE s.t WHEN 'purchase' THEN x.last_click ELSE x.last_purchase END > b.start))
+        FROM b WHERE b.start IS NOT NULL)
+    SELECT p.seq, p.t AS event_type, (SELECT max(b.batch) FROM b WHERE b.start <= p.i) AS batch FROM p""")
+def delivery_batches_by_size(spark, sf_dir):
+    """Batches of one type that weigh 400 at most."""
+    weight = F.length("event_type") + F.col("event_id") % 50
+    return delivery.batches(_admitted(spark, sf_dir).where("decision = 'admitted'"), key="event_type", weight=weight, most=400).select(_seq(), "event_type", "batch")
+
+
+@query("""WITH {LOG}, typed AS (SELECT *, CASE WHEN event_id % 19 = 0 THEN 'system.security_finding' WHEN event_id % 23 = 0 THEN 'system.sender_succession' ELSE 'item' END AS entry_type FROM log)
+    SELECT seq, event_id, entry_type FROM typed WHERE seq <= 4000 AND event_id % 3 <> 1
+    AND CASE WHEN entry_type <> 'item' THEN event_id % 2 <> 0 ELSE event_type = 'view' AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-08' END""")
 def delivery_gap_replay(spark, sf_dir):
-    log = el.events_log(spark, sf_dir)
-    return delivery.gap_replay(log, F.col("event_type") == "view", cursor=4000, start=datetime(2024, 1, 3), gap_upper=datetime(2024, 1, 8)).select(_seq(), "event_id")
+    """Own events alone; what every native sink gets is there whatever its time, unless it is queued."""
+    i = F.col("event_id")
+    log = el.events_log(spark, sf_dir).withColumn("entry_type", F.when(i % 19 == 0, "system.security_finding").when(i % 23 == 0, "system.sender_succession").otherwise("item"))
+    queued = log.where(i % 2 == 0).select("event_id")
+    gap = delivery.gap_replay(
+        log, F.col("event_type") == "view", cursor=4000, start=datetime(2024, 1, 3), gap_upper=datetime(2024, 1, 8), own=i % 3 != 1, channel_wide=True, queued=queued
+    )
+    return gap.select(_seq(), "event_id", "entry_type")
 
 
 _ITEMS = """i AS (SELECT o_custkey AS destination_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n, o_orderkey AS first_sequence, o_orderdate,

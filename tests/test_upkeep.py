@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_views import ITEMS, LOG, NOTES, event, plain_aggregate, plain_table, random_log
 
 from fathomlog.functions import canonical_json as cj
-from fathomlog.operators import chain, commands, delivery, findings, folds, ingest
+from fathomlog.operators import chain, commands, delivery, findings, folds, frontier, ingest
 from fathomlog.plans.specs import AggregateView, Interest, TableView
 from fathomlog.sources.store import LogStore
 
@@ -141,9 +141,10 @@ def test_verification_goes_on_where_it_stopped(spark):
         "id as ingest_sequence_number", "if(id = 1, null, if(id = 77, 'bad', concat('h', id - 1))) as previous_ingest_hash", "if(id = 1, null, concat('h', id - 1)) as previous_event_hash",
         f"named_struct('kind', 'annotation', 'eligible', false, 'parents', {none}) as causal",
     )
-    through, found = chain.verify_through(log, holder="db", step=40)
+    through, found, _ = frontier.verify_through(log, holder="db", step=40)
     assert through == 40 and [(x.kind, x.sequence_number) for x in found.collect()] == [("storage_link_break", 77)]
-    assert chain.verify_through(log.where("sequence_number <= 70"), holder="db", through=40)[0] == 70
+    through, found, at = frontier.verify_through(log.where("sequence_number <= 70"), holder="db", through=40)
+    assert (through, found) == (70, None) and frontier.verify_through(log, holder="db", frontier=at)[0] == 70
 
 
 def test_destinations_are_deleted_with_their_queues(spark):
