@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomlog.functions.timestamps import iso_of
-from fathomlog.functions.values import deep_merge
+from fathomlog.functions.values import deep_merge, shallow_merge
+from fathomlog.plans import columns
 from fathomlog.plans.promotion import Promotions
 from fathomlog.plans.specs import AggregateView, FoldFailure, TableView
 from fathomlog.sources.scratch import written
@@ -67,7 +68,7 @@ def table_step(view: TableView, row: dict | None, key: str, kind: str, data: dic
         return None
     if view.match_field and row.get(view.match_field, None) != event["data"].get(view.match_field, None):
         return row
-    return row | data | stamps if kind == "update" else None
+    return shallow_merge(row, data) | stamps if kind == "update" else None
 
 
 def check_versions(log: DataFrame, declared: dict[str, tuple[int, int]]) -> None:
@@ -156,7 +157,23 @@ def _dump(value) -> str:
 
 
 def asked_operations(log: DataFrame, view: TableView, promotions: Promotions | None = None, declared: dict | None = None) -> DataFrame:
-    """What each event asks of a table view's rows (row_key, kind, row_data, matched, source, sequence_number), and failures (reason, detail) without key."""
+    """What each event asks of a table view's rows (row_key, kind, row_data, matched, source, sequence_number), and failures (reason, detail) without key.
+
+    By columns, where the definition has such a form; events whose values have none, if there are any, go through the step function.
+    """
+    events = log.where(view.interest.condition(log))
+    if log.isStreaming:
+        return _asked_by_steps(events, view, promotions, declared)
+    try:
+        rows, odd = columns.asked(events, view, promotions, declared)
+    except columns.NoColumns:
+        return _asked_by_steps(events, view, promotions, declared)
+    if odd is None or rows.where(odd).isEmpty():
+        return columns.asked_rows(rows)
+    return columns.asked_rows(rows.where(~odd)).union(_asked_by_steps(rows.where(odd).select(*log.columns), view, promotions, declared))
+
+
+def _asked_by_steps(events: DataFrame, view: TableView, promotions: Promotions | None = None, declared: dict | None = None) -> DataFrame:
     folder = Folder(view, promotions, declared)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,17 +183,23 @@ def asked_operations(log: DataFrame, view: TableView, promotions: Promotions | N
                 event = _event(record)
                 source, place = event["aggregate_id"], event["sequence_number"]
                 operations, failed = folder.operations(event)
-                matched = json.dumps(event["data"].get(view.match_field)) if view.match_field else None
+                # Guards see the payload as promoted, as the step does.
+                matched = json.dumps(folder.promoted(event, None)["data"].get(view.match_field)) if view.match_field and operations else None
                 out += [(key, kind, json.dumps(data, ensure_ascii=False), matched, source, place, None, None) for key, kind, data in operations]
                 out += [(None, None, None, None, source, s, reason, detail) for s, reason, detail in failed]
             if out:
                 yield _batch(out, ASKED)
 
-    return _plain_events(log.where(view.interest.condition(log))).mapInArrow(spread, ASKED)
+    return _plain_events(events).mapInArrow(spread, ASKED)
 
 
 def fold_operations(asked: DataFrame, view: TableView, held: DataFrame | None = None) -> DataFrame:
-    """View rows and failures from ``asked_operations``, going on from rows ``held``."""
+    """View rows and failures from ``asked_operations``, going on from rows ``held``.
+
+    Aggregates do for all but views with a match field, whose rows are walked in order.
+    """
+    if not view.match_field:
+        return columns.table_rows(asked, held)
     if held is not None:
         rows = held.select("row_key", F.lit("held").alias("kind"), F.col("row_json").alias("row_data"), F.lit(None).cast("string").alias("matched"), F.col("source_aggregate_id").alias("source"), F.lit(-1).cast("long").alias("sequence_number"))
         asked = asked.unionByName(rows, allowMissingColumns=True)

@@ -186,6 +186,29 @@ def view_row_data(spark, sf_dir):
     return folds.fold(log, view).where("row_json is not null").select(F.col("row_key").cast("long").alias("user_id"), get("field_id", "long"), get("picked", "int"), get("origin", "string"), get("items", "long"), get("at", "string"), get("sequence", "long"))
 
 
+@query("""WITH {LOG}, b AS (SELECT user_id, max(seq) AS seq FROM log WHERE event_type IN ('purchase', 'error') GROUP BY user_id), i AS (SELECT log.* FROM b JOIN log ON b.seq = log.seq WHERE event_type = 'purchase'),
+    u AS (SELECT log.user_id, max(log.seq) AS seq, arg_max(CASE WHEN log.event_id % 2 = 0 THEN 0 ELSE coalesce(log.k, -1) END, log.seq) AS amount, arg_max(CASE WHEN log.event_id % 2 = 0 THEN 'none' ELSE 'given' END, log.seq) AS unit
+        FROM log JOIN i ON log.user_id = i.user_id AND log.seq > i.seq WHERE log.event_type IN ('click', 'view') GROUP BY log.user_id)
+    SELECT i.user_id, coalesce(u.amount, CASE WHEN i.event_id % 2 = 0 THEN 0 ELSE coalesce(i.k, -1) END) AS amount, coalesce(u.unit, CASE WHEN i.event_id % 2 = 0 THEN 'none' ELSE 'given' END) AS unit,
+        i.event_id AS kept, coalesce(u.seq, i.seq) AS sequence FROM i LEFT JOIN u ON i.user_id = u.user_id""")
+def view_promoted_table(spark, sf_dir):
+    """Payloads of two versions in one table view: a minor step adds a default, a major one renames, the next minor adds again; updates replace what they carry."""
+    registry = Promotions()
+    registry.register("promoted", "user_activity", (1, 0), (1, 1), (Default("value", 0),))
+    registry.register("promoted", "user_activity", (1, 1), (2, 0), (Rename("value", "amount"), Drop("old")))
+    registry.register("promoted", "user_activity", (2, 0), (2, 1), (Default("unit", "none"),))
+    i, k = F.col("event_id").cast("long"), F.coalesce(F.get_json_object("data", "$.k").cast("int"), F.lit(-1))
+    first = F.to_json(F.struct(i.alias("id"), F.lit(1).alias("old")))
+    last = F.to_json(F.struct(i.alias("id"), k.alias("amount"), F.lit("given").alias("unit")))
+    version = lambda major, minor: F.struct(F.lit(major).alias("major"), F.lit(minor).alias("minor"))
+    log = _full_log(spark, sf_dir).withColumns({"data": F.when(i % 2 == 0, first).otherwise(last), "entry_type_version": F.when(i % 2 == 0, version(1, 0)).otherwise(version(2, 1))})
+    view = TableView("promoted", Interest(), frozenset({"purchase"}), frozenset({"error"}), AggregateId(), SelectedFields(("id", "amount", "unit")), updates=frozenset({"click", "view"}), update_data=SelectedFields(("amount", "unit")))
+    v = F.parse_json("row_json")
+    get = lambda name, kind, alias=None: F.try_variant_get(v, f"$.{name}", kind).alias(alias or name)
+    rows = folds.fold(log, view, registry, {"user_activity": (2, 1)}).where("row_json is not null")
+    return rows.select(F.col("row_key").cast("long").alias("user_id"), get("amount", "int"), get("unit", "string"), get("id", "long", "kept"), get("sequence", "long"))
+
+
 @query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS seq FROM orders),
     w AS (SELECT CAST(o_custkey AS VARCHAR) || '|' || CAST(o_orderkey % 5 AS VARCHAR) AS row_key, seq, o_orderkey, 1 AS op FROM o WHERE o_orderstatus <> 'F'
         UNION ALL SELECT CAST(o_custkey AS VARCHAR) || '|' || CAST(x.g AS VARCHAR), seq, o_orderkey, 2 FROM o, (SELECT unnest(range(0, 3)) AS g) x WHERE o_orderstatus = 'F' AND x.g < o_orderkey % 4),
