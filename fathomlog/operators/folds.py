@@ -22,9 +22,11 @@ from fathomlog.functions.timestamps import iso_of
 from fathomlog.functions.values import deep_merge, shallow_merge
 from fathomlog.plans import columns
 from fathomlog.plans.promotion import Promotions
-from fathomlog.plans.specs import AggregateView, FoldFailure, TableView
+from fathomlog.plans.specs import AggregateView, Combined, ConstantFields, EventTimestamp, FoldFailure, ListLength, SelectedFields, TableView, WholePayload
 from fathomlog.sources.scratch import written
 
+#: Positions whose operations of a key are walked together.
+BLOCK = 100_000
 #: Columns of an event that a fold reads.
 EVENT = "sequence_number event_id aggregate_id aggregate_type entry_type entry_type_version event_type data client_timestamp".split()
 
@@ -121,7 +123,7 @@ def event_dict(values: dict) -> dict:
 
 ROWS = "row_key string, row_json string, source_aggregate_id string, position long, sequence_number long, reason string, detail string"
 ASKED = "row_key string, kind string, row_data string, matched string, source string, sequence_number long, reason string, detail string"
-_KINDS = {"string": pa.string(), "long": pa.int64()}
+_KINDS = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
 _START = datetime(1970, 1, 1, tzinfo=UTC)
 
 
@@ -196,41 +198,117 @@ def _asked_by_steps(events: DataFrame, view: TableView, promotions: Promotions |
 def fold_operations(asked: DataFrame, view: TableView, held: DataFrame | None = None) -> DataFrame:
     """View rows and failures from ``asked_operations``, going on from rows ``held``.
 
-    Aggregates do for all but views with a match field, whose rows are walked in order.
+    Aggregates do for all but views with a match field. Of those a key's operations are walked by blocks of positions
+    that run in parallel, each to what it does to a row that enters it: an insert or a listed removal settles the row whatever came before;
+    else only rows of one of the block's match values change, which stay of that value. The blocks' summaries are then walked in order.
+    Where updates may change the match field itself, a key is walked as a whole.
     """
     if not view.match_field:
         return columns.table_rows(asked, held)
     if held is not None:
         rows = held.select("row_key", F.lit("held").alias("kind"), F.col("row_json").alias("row_data"), F.lit(None).cast("string").alias("matched"), F.col("source_aggregate_id").alias("source"), F.lit(-1).cast("long").alias("sequence_number"))
         asked = asked.unionByName(rows, allowMissingColumns=True)
+    block = F.floor(F.col("sequence_number") / F.lit(BLOCK)).cast("long") if keeps_match(view.update_data, view.match_field) else F.lit(0).cast("long")
+    # Failures have no key; they are dealt by their positions.
+    dealt = asked.withColumn("block", block).withColumn("dealt", F.when(F.col("row_key").isNull(), F.pmod("sequence_number", F.lit(64))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, row, source, out = None, None, None, []
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, segment = None, None
+        for batch in batches:
+            out = []
+            for key, kind, data, matched, own, place, reason, detail, where, _ in _records(batch):
+                if key is None:
+                    out.append((None, where, None, None, None, None, own, None, place, reason, detail))
+                    continue
+                if (key, where) != at:
+                    out += segment.rows() if segment else []
+                    at, segment = (key, where), Segment(view, key, where)
+                segment.add(kind, json.loads(data), json.loads(matched) if matched is not None else None, own, place)
+            if out:
+                yield _batch(out, SEGMENTS)
+        if segment:
+            yield _batch(segment.rows(), SEGMENTS)
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, row, source = None, None, None
         for batch in batches:
-            for key, kind, data, matched, own, place, reason, detail, _ in _records(batch):
+            out = []
+            for key, _, settled, matched, alive, data, own, place, failed_at, reason, detail in _records(batch):
                 if key is None:
-                    out.append((None, None, own, None, place, reason, detail))
+                    out.append((None, None, own, None, failed_at, reason, detail))
                     continue
                 if key != at:
                     if row:
                         out.append((at, _dump(row), source, row["sequence"], None, None, None))
                     at, row, source = key, None, None
-                if kind == "held":
-                    row, source = json.loads(data), own
-                    continue
-                event = {"data": {view.match_field: json.loads(matched)} if matched is not None else {}, "sequence_number": place}
-                after = table_step(view, row, key, kind, json.loads(data), event)
-                if after is not row:
-                    row, source = after, own
+                if settled:
+                    row, source = json.loads(data) if alive else None, own
+                elif row is not None and equal_key(row.get(view.match_field)) == matched:
+                    row, source = (row | json.loads(data) | {"aggregateId": key, "sequence": place}, own) if alive else (None, None)
             if out:
                 yield _batch(out, ROWS)
-                out = []
         if row:
             yield _batch([(at, _dump(row), source, row["sequence"], None, None, None)], ROWS)
 
-    # Failures have no key; they are dealt by position.
-    dealt = asked.withColumn("dealt", F.when(F.col("row_key").isNull(), F.pmod("sequence_number", F.lit(64))))
-    return dealt.repartition("row_key", "dealt").sortWithinPartitions("row_key", "sequence_number").mapInArrow(run, ROWS)
+    segments = dealt.repartition("row_key", "dealt", "block").sortWithinPartitions("row_key", "block", "sequence_number").mapInArrow(summed, SEGMENTS)
+    return segments.repartition("row_key", "sequence_number").sortWithinPartitions("row_key", "block").mapInArrow(joined, ROWS)
+
+
+SEGMENTS = "row_key string, block long, settled boolean, matched string, alive boolean, row_data string, source string, position long, sequence_number long, reason string, detail string"
+
+
+def keeps_match(spec, name: str) -> bool:
+    """Whether row data leave a field as the payload has it, or out."""
+    if isinstance(spec, WholePayload | SelectedFields):
+        return True
+    if isinstance(spec, ConstantFields):
+        return name not in dict(spec.values)
+    if isinstance(spec, ListLength | EventTimestamp):
+        return spec.name != name
+    return isinstance(spec, Combined) and all(keeps_match(part, name) for part in spec.parts)
+
+
+def equal_key(value) -> str:
+    """A text that two JSON values share exactly if they are equal: true is 1 and 1.0 is 1."""
+
+    def plain(x):
+        if isinstance(x, dict):
+            return {k: plain(v) for k, v in x.items()}
+        if isinstance(x, list):
+            return [plain(v) for v in x]
+        return int(x) if isinstance(x, bool) or (isinstance(x, float) and x.is_integer()) else x
+
+    return json.dumps(plain(value), sort_keys=True)
+
+
+class Segment:
+    """What some consecutive operations of one key do to the row that stands before them."""
+
+    def __init__(self, view: TableView, key: str, block: int):
+        self.view, self.key, self.block = view, key, block
+        self.settled, self.row, self.source = False, None, None
+        #: By match value: fields to set, their origin and place; None once such a row is removed.
+        self.changes: dict[str, tuple[dict, str | None, int] | None] = {}
+
+    def add(self, kind: str, data: dict, matched, source: str | None, place: int) -> None:
+        if kind == "held":
+            self.settled, self.row, self.source = True, data, source
+        elif kind in ("insert", "drop") or self.settled:
+            event = {"data": {self.view.match_field: matched}, "sequence_number": place}
+            after = table_step(self.view, self.row, self.key, kind, data, event)
+            if after is not self.row or kind == "drop":
+                self.row, self.source = after, source
+            self.settled = True
+        else:
+            value = equal_key(matched)
+            before = self.changes.get(value, ({}, None, place))
+            if before is not None:
+                self.changes[value] = (before[0] | data, source, place) if kind == "update" else None
+
+    def rows(self) -> list[tuple]:
+        if self.settled:
+            return [(self.key, self.block, True, None, self.row is not None, _dump(self.row), self.source, None, None, None, None)]
+        return [(self.key, self.block, False, value, change is not None, *((_dump(change[0]), change[1], change[2]) if change else (None,) * 3), None, None, None) for value, change in self.changes.items()]
 
 
 def fold(log: DataFrame, view: AggregateView | TableView, promotions: Promotions | None = None, declared: dict | None = None, held: DataFrame | None = None) -> DataFrame:

@@ -104,3 +104,40 @@ def test_other_definitions_go_through_steps(spark):
         columns.asked(log, view)
     assert [r.row_key for r in folds.fold(log, view).collect()] == ["key"]
     assert columns.table_rows(folds.asked_operations(log.where(F.lit(False)), view_of("whole"))).count() == 0
+
+
+GUARDS = {
+    "selected": (SelectedFields(("v", "a", "list")), True),
+    "whole": (Combined((WholePayload(), ConstantFields((("c", 1),)))), True),
+    "changing": (Combined((SelectedFields(("a",)), ConstantFields((("v", 7),)))), False),
+}
+
+
+@pytest.mark.parametrize("name", sorted(GUARDS))
+@pytest.mark.parametrize("block", [3, 100_000])
+def test_guarded_rows_by_blocks_equal_steps(spark, monkeypatch, name, block):
+    """Few keys and match values, equal ones written differently among them, over blocks that split every key."""
+    monkeypatch.setattr(folds, "BLOCK", block)
+    update, keeps = GUARDS[name]
+    assert folds.keeps_match(update, "v") == keeps
+    view = TableView("guarded", Interest(), frozenset({"added"}), frozenset({"removed"}), AggregateId(), WholePayload(), updates=frozenset({"changed"}), update_data=update, match_field="v", listed=ListedKeys(frozenset({"cleared"}), "list", ("item.k",)))
+    r = random.Random(block)
+    events = []
+    for i in range(1, 301):
+        kind = r.choices(["added", "changed", "removed", "cleared"], [2, 6, 1, 0.3])[0]
+        data = {"a": r.choice([1, "x", None]), "v": r.choice([1, 1.0, True, 7, "s", None, {"z": 1}, {"z": 1.0}]), "list": [{"k": "g1"}]}
+        if r.random() < 0.2:
+            del data["v"]
+        events.append(event(i, f"g{r.choice([0, 0, 0, 1, 2])}", kind, data, "item"))
+    steps, sources, rows = folds.Folder(view), {}, {}
+    for e in map(as_dict, events):
+        for key, kind, data in steps.operations(e)[0]:
+            after = folds.table_step(view, rows.get(key), key, kind, data, e)
+            if after is not rows.get(key):
+                rows[key], sources[key] = after, e["aggregate_id"]
+    expected = {k: (v, sources[k], v["sequence"]) for k, v in rows.items() if v is not None}
+    log = spark.createDataFrame(events, LOG).repartition(3)
+    as_rows = lambda df: {r.row_key: (json.loads(r.row_json), r.source_aggregate_id, r.position) for r in df.where("reason is null").collect()}
+    assert as_rows(folds.fold(log, view)) == expected and expected
+    held = folds.fold(log.where("sequence_number <= 130"), view).where("row_json is not null")
+    assert as_rows(folds.fold(log.where("sequence_number > 130"), view, held=held)) == expected
