@@ -88,6 +88,33 @@ def lowest_fork(log: DataFrame) -> DataFrame:
     return log.groupBy("origin_db", "previous_event_hash").agg(F.min("origin_position").alias("lowest_position"))
 
 
+def _stretches(through: Column) -> Column:
+    """Positions 0 to ``through`` as stretches (level, place), each 2**level long and beginning at a multiple of that."""
+    stop = through + F.lit(1)
+    levels = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.call_function("getbit", stop, k) == 1)
+    return F.transform(levels, lambda k: F.struct(k.alias("level"), (F.call_function("shiftright", stop, k) - 1).alias("place")))
+
+
+def mark_rows(findings: DataFrame, authors: DataFrame, members: DataFrame) -> DataFrame:
+    """(aggregate_id, finding_id), each once: see ``marks``.
+
+    A threshold meets the positions that reach it in an equi-join: the positions up to an aggregate's last are some stretches of
+    a power of two, of which exactly one holds the threshold. So rows are made in proportion to marks, and no
+    origin's findings or aggregates come together in one row.
+    """
+    by_position = F.col("kind").isin(*THRESHOLD_KINDS)
+    wrote = authors.select("aggregate_id", F.col("origin_db").alias("member"), F.col("max_position").cast("long").alias("max_position"))
+    named = (
+        findings.where(~by_position).select("finding_id", "origin_db", "aggregate_id").join(members, "origin_db")
+        .join(wrote.select("aggregate_id", "member"), ["aggregate_id", "member"]).select("aggregate_id", "finding_id")
+    )
+    from_zero = F.greatest(F.lit(0).cast("long"), F.col("threshold").cast("long"))
+    placed = F.transform(F.sequence(F.lit(0), F.lit(62)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", from_zero, k).alias("place")))
+    thresholds = findings.where(by_position & F.col("threshold").isNotNull()).select("finding_id", F.col("origin_db").alias("member"), F.explode(placed).alias("s"))
+    reached = wrote.where("max_position >= 0").select("aggregate_id", "member", F.explode(_stretches(F.col("max_position"))).alias("s"))
+    return named.union(reached.join(thresholds, ["member", "s"]).select("aggregate_id", "finding_id")).distinct()
+
+
 def marks(findings: DataFrame, authors: DataFrame, lineage: DataFrame | None = None) -> DataFrame:
     """(aggregate_id, finding_ids): sorted ids of the findings that mark each aggregate.
 
@@ -97,17 +124,19 @@ def marks(findings: DataFrame, authors: DataFrame, lineage: DataFrame | None = N
     lineage: (origin_db, member), each origin being a member of its own.
     """
     members = lineage if lineage is not None else authors.select("origin_db", F.col("origin_db").alias("member")).distinct()
-    by_position = F.col("kind").isin(*THRESHOLD_KINDS)
-    wrote = authors.select("aggregate_id", F.col("origin_db").alias("member"), "max_position")
-    named = (
-        findings.where(~by_position).select("finding_id", "origin_db", "aggregate_id").join(members, "origin_db")
-        .join(wrote.select("aggregate_id", "member"), ["aggregate_id", "member"]).select("aggregate_id", "finding_id")
-    )
-    # An origin's thresholds are one array, of which each aggregate takes what its last position reaches.
-    by_origin = findings.where(by_position).groupBy(F.col("origin_db").alias("member")).agg(F.array_sort(F.collect_set(F.struct("threshold", "finding_id"))).alias("held"))
-    reached = wrote.join(by_origin, "member").select("aggregate_id", F.expr("transform(filter(held, x -> x.threshold <= max_position), x -> x.finding_id)").alias("ids")).where("size(ids) > 0")
-    every = named.select("aggregate_id", F.array("finding_id").alias("ids")).union(reached)
-    return every.groupBy("aggregate_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("finding_ids"))
+    return mark_rows(findings, authors, members).groupBy("aggregate_id").agg(F.array_sort(F.collect_list("finding_id")).alias("finding_ids"))
+
+
+def added_marks(held: DataFrame, *, findings: DataFrame, new_findings: DataFrame, authors: DataFrame, new_authors: DataFrame, members: DataFrame, new_members: DataFrame) -> DataFrame:
+    """(aggregate_id, finding_id) that arrivals add to the marks ``held``; marks never go.
+
+    Only what is new is looked at: new findings; findings held of aggregates that were written further (``new_authors``); and
+    findings held of origins that got members (``new_members``). ``findings`` are those held before, ``authors`` and ``members`` as of now.
+    """
+    added = mark_rows(new_findings, authors, members).union(mark_rows(findings, new_authors, members))
+    # Members matter to findings that name an aggregate alone.
+    by_member = mark_rows(findings.where(~F.col("kind").isin(*THRESHOLD_KINDS)), authors, new_members)
+    return added.union(by_member).distinct().join(held, ["aggregate_id", "finding_id"], "left_anti")
 
 
 def with_marks(view_rows: DataFrame, marked: DataFrame, key: str = "aggregate_id") -> DataFrame:

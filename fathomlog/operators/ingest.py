@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fathomlog.functions.canonical_json import content_hash
 from fathomlog.sources.event_log import with_positions
+from fathomlog.sources.scratch import written
 
 
 def classify(incoming: DataFrame, log: DataFrame, *, order: str = "arrival", unstorable: Column | None = None) -> DataFrame:
@@ -62,6 +63,77 @@ def foreign(sender: Column, provenance: str = "provenance") -> Column:
 
 
 ACCEPTED = "channel string, arrival long, delivery_number long, outcome string"
+#: Arrivals of a channel that are walked together.
+BLOCK = 100_000
+_STATE = "channel string, block long, number long, digest string"
+_STEP = f"{_STATE}, to_number long, to_digest string, marker boolean"
+
+
+def _columns(batch: pa.RecordBatch, names: str) -> Iterator[tuple]:
+    return zip(*(batch.column(c).to_pylist() for c in names.split()), strict=True)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where each state that a block goes on from leads to, from its sound deliveries, latest first: what arrives earlier comes before."""
+    at, leads = None, {}
+
+    def steps() -> list[tuple]:
+        return [(*at, *state, *to, False) for state, to in leads.items()] + [(*at, None, None, None, None, True)]
+
+    for batch in batches:
+        out = []
+        for channel, block, own, stated, before, sound in _columns(batch, "channel block delivery_number delivery_hash previous_hash sound"):
+            if at is None or at != (channel, block):
+                out += steps() if at is not None else []
+                at, leads = (channel, block), {}
+            if sound:
+                leads[own - 1, before] = leads.get((own, stated), (own, stated))
+        if out:
+            yield _batch(out, _STEP)
+    if at is not None:
+        yield _batch(steps(), _STEP)
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state in which each block of a channel is entered, from the steps of its blocks in order, a block's marker last."""
+    at, begun, state, after = None, False, (0, None), None
+    for batch in batches:
+        out = []
+        for channel, block, number, digest, to_number, to_digest, marker in _columns(batch, "channel block number digest to_number to_digest marker"):
+            if not begun or channel != at:
+                at, begun, state, after = channel, True, (0, None), None
+            if marker:
+                out.append((channel, block, *state))
+                state, after = after or state, None
+            elif (number, digest) == state:
+                after = to_number, to_digest
+        if out:
+            yield _batch(out, _STATE)
+
+
+def _outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at, number, digest = None, 0, None
+    for batch in batches:
+        out = []
+        for channel, block, entered, left, own, sound, stated, before in _columns(batch, "channel block number digest delivery_number sound delivery_hash previous_hash"):
+            if at is None or (channel, block) != at:
+                at, number, digest = (channel, block), entered, left
+            if not sound:
+                out.append("hash_mismatch")
+            elif own == number and stated == digest:
+                out.append("represented")
+            elif own == number + 1 and before == digest:
+                number, digest = own, stated
+                out.append("accepted")
+            else:
+                out.append("out_of_sequence")
+        yield pa.RecordBatch.from_arrays([batch.column("channel"), batch.column("arrival"), batch.column("delivery_number"), pa.array(out, pa.string())], ["channel", "arrival", "delivery_number", "outcome"])
 
 
 def accept_deliveries(deliveries: DataFrame) -> DataFrame:
@@ -69,31 +141,23 @@ def accept_deliveries(deliveries: DataFrame) -> DataFrame:
 
     In the order of arrival per channel: the next number that links to the last hash is accepted; the last number with
     its hash again is represented; a hash that isn't the content's is refused; anything else is out of sequence.
-    A channel's deliveries depend on what was accepted before: they are dealt by channel and sorted, and a task walks
-    its partition once, whatever a channel's share of it.
-    """
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, number, digest, begun = None, 0, None, False
-        for batch in batches:
-            out = []
-            for channel, own, sound, stated, before in zip(*(batch.column(c).to_pylist() for c in ("channel", "delivery_number", "sound", "delivery_hash", "previous_hash")), strict=True):
-                if not begun or channel != at:
-                    at, number, digest, begun = channel, 0, None, True
-                if not sound:
-                    out.append("hash_mismatch")
-                elif own == number and stated == digest:
-                    out.append("represented")
-                elif own == number + 1 and before == digest:
-                    number, digest = own, stated
-                    out.append("accepted")
-                else:
-                    out.append("out_of_sequence")
-            yield pa.RecordBatch.from_arrays([batch.column("channel"), batch.column("arrival"), batch.column("delivery_number"), pa.array(out, pa.string())], ["channel", "arrival", "delivery_number", "outcome"])
 
+    A channel is worked off by blocks of arrivals in parallel. A block takes few states any further: those that one of its deliveries
+    links to and that an earlier block may have left, which is only where the delivery that makes the state arrived earlier. Where those lead is walked
+    block by block, a handful of rows each; then every block is walked from the state that it is entered in.
+    """
     sound = F.coalesce(F.col("delivery_hash") == F.col("computed_hash"), F.lit(False))
-    dealt = deliveries.select("channel", "arrival", "delivery_number", "delivery_hash", "previous_hash", sound.alias("sound"))
-    return dealt.repartition("channel").sortWithinPartitions("channel", "arrival").mapInArrow(walk, ACCEPTED)
+    block = F.floor(F.col("arrival") / F.lit(BLOCK)).cast("long")
+    dealt = written(deliveries.select(F.col("channel").cast("string").alias("channel"), "arrival", F.col("delivery_number").cast("long").alias("delivery_number"), "delivery_hash", "previous_hash", sound.alias("sound"), block.alias("block")))
+    steps = dealt.repartition("channel", "block").sortWithinPartitions("channel", "block", F.desc("arrival")).mapInArrow(_steps, _STEP)
+    born = dealt.where("sound").groupBy(F.col("channel").alias("b_channel"), F.col("delivery_number").alias("b_number"), F.col("delivery_hash").alias("b_digest")).agg(F.min("block").alias("born"))
+    made = F.col("channel").eqNullSafe(F.col("b_channel")) & (F.col("number") == F.col("b_number")) & F.col("digest").eqNullSafe(F.col("b_digest"))
+    possible = F.col("marker") | (F.col("born") < F.col("block")) | ((F.col("number") == 0) & F.col("digest").isNull())
+    few = steps.join(born, made, "left").where(possible).select(*[x.split()[0] for x in _STEP.split(", ")])
+    entered = few.repartition("channel").sortWithinPartitions("channel", "block", "marker").mapInArrow(_entries, _STATE)
+    entered = entered.select(F.col("channel").alias("e_channel"), F.col("block").alias("e_block"), "number", "digest")
+    joined = dealt.join(entered, F.col("channel").eqNullSafe(F.col("e_channel")) & (F.col("block") == F.col("e_block"))).drop("e_channel", "e_block")
+    return joined.repartition("channel", "block").sortWithinPartitions("channel", "block", "arrival").mapInArrow(_outcomes, ACCEPTED)
 
 
 def channels(accepted: DataFrame) -> DataFrame:

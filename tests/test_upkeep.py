@@ -107,6 +107,62 @@ def test_marks_by_position(spark):
     assert {x.aggregate_id: x.finding_ids for x in marked.collect()} == {a: f for a, f in expected.items() if f}
 
 
+def test_marks_that_arrivals_add(spark):
+    """Findings, events and successions that come later add what marking everything anew would."""
+    r = random.Random(9)
+    kinds = ["position_reused", "fork_unrecorded", "hash_mismatch"]
+    found = [(f"f{i}", r.choice(kinds), f"d{r.randrange(4)}", f"a{r.randrange(12)}", r.choice([0, 1, 5, 2**40, r.randrange(60)])) for i in range(40)]
+    before = [(f"a{i}", f"d{d}", r.randrange(40)) for i in range(12) for d in range(4) if r.random() < 0.4]
+    later = [(a, d, p + r.randrange(30)) for a, d, p in before if r.random() < 0.5] + [("a99", "d1", 2**41)]
+    now = list(({(a, d): (a, d, p) for a, d, p in before} | {(a, d): (a, d, p) for a, d, p in later}).values())
+    own = [(f"d{d}", f"d{d}") for d in range(4)]
+    more = [("d1", "d2"), ("d1", "d3")]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    F_, A, M = "finding_id string, kind string, origin_db string, aggregate_id string, threshold long", "aggregate_id string, origin_db string, max_position long", "origin_db string, member string"
+    held = findings.mark_rows(df(found[:25], F_), df(before, A), df(own, M))
+    added = findings.added_marks(held, findings=df(found[:25], F_), new_findings=df(found[25:], F_), authors=df(now, A), new_authors=df(later, A), members=df(own + more, M), new_members=df(more, M))
+    got = [tuple(x) for x in held.union(added).collect()]
+    expected = set()
+    for f, kind, origin, named, threshold in found:
+        for a, d, p in now:
+            if (d == origin and threshold <= p) if kind in findings.THRESHOLD_KINDS else (a == named and (origin, d) in own + more):
+                expected.add((a, f))
+    assert sorted(got) == sorted(expected) and len(got) > 30
+
+
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_channels_by_blocks_equal_a_plain_walk(spark, monkeypatch, block):
+    """Repeats, forks, gaps, bad hashes and beginnings anew, over blocks that are entered in every state."""
+    monkeypatch.setattr(ingest, "BLOCK", block)
+    r = random.Random(4)
+    rows, expected, state = [], {}, {}
+    for n in range(400):
+        channel = r.choice(["a", "a", "a", "b", None])
+        number, digest = state.get(channel, (0, None))
+        kind = r.random()
+        if kind < 0.55:
+            own, before, stated = number + 1, digest, f"{channel}{number + 1}{r.choice('xy')}"
+        elif kind < 0.75:
+            own, stated = max(1, number - r.randrange(3)), f"{channel}{max(1, number)}x"
+            before = r.choice([digest, None])
+        else:
+            own, before, stated = r.choice([1, number + 1, number + 2]), r.choice([None, "zz", f"{channel}{number}x"]), f"{channel}{number}{r.choice('xy')}"
+        computed = "bad" if r.random() < 0.1 else stated
+        rows.append((channel, n, own, stated, before, computed))
+        if computed != stated:
+            expected[n] = "hash_mismatch"
+        elif own == number and stated == digest:
+            expected[n] = "represented"
+        elif own == number + 1 and before == digest:
+            state[channel] = own, stated
+            expected[n] = "accepted"
+        else:
+            expected[n] = "out_of_sequence"
+    df = spark.createDataFrame(rows, "channel string, arrival long, delivery_number long, delivery_hash string, previous_hash string, computed_hash string").repartition(3)
+    got = ingest.accept_deliveries(df).collect()
+    assert {x.arrival: x.outcome for x in got} == expected and len(got) == 400 and set(expected.values()) == {"accepted", "represented", "hash_mismatch", "out_of_sequence"}
+
+
 def test_a_hot_channel_is_walked_in_order(spark):
     rows, number = [], 0
     for n in range(3000):
