@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,7 +30,46 @@ def scratch_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="fathomlog-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/fathomlog-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/fathomlog-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+#: Folders written within each open ``scratch_scope``.
+_scopes: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the scratch folders that are written within it, but for those of the materialized frames put on the list that it yields.
+
+    For steps whose result is materialized: what led there is read no more. Shuffles of frames that are gone are dropped, too, which Spark
+    does as the driver collects garbage.
+    """
+    kept: list[DataFrame] = []
+    _scopes.append([])
+    try:
+        yield kept
+    finally:
+        own, stays = _scopes.pop(), {df._scratch for df in kept}
+        if _scopes:
+            _scopes[-1].extend(stays)
+        _delete(spark, [p for p in own if p not in stays])
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of materialized frames that nothing reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, [df._scratch])
 
 
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -40,7 +80,9 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._scratch = path
+    return held
 
 
 def broadcast_if_small(df: DataFrame, bytes_per_row: int, limit: int = BROADCAST_BYTES) -> DataFrame:

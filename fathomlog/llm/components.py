@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import materialize
+from fathomlog.llm.common import discard, materialize
 
 #: Edges of a file, at least: few edges take few tasks and files in a round, however many parts shuffles have.
 FILE_ROWS = 1 << 14
@@ -38,6 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         after = small.union(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
         after = materialize(after.coalesce(max(1, mark[0] // FILE_ROWS)))
         seen, mark = mark, _mark(after)
+        discard(edges)
         edges = after
         if seen == mark:
             break

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import BROADCAST_BYTES, broadcast_if_small, free_names, materialize, scratch_dir
+from fathomlog.llm.common import BROADCAST_BYTES, broadcast_if_small, free_names, materialize, scratch_dir, scratch_scope
 
 #: Runs in a level before it is merged into the next.
 FANOUT = 2
@@ -188,10 +188,12 @@ def _with_group(rows: DataFrame, groups: DataFrame, small: bool) -> DataFrame:
 
 def drop_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
     """``df`` with one row of each text, all columns as they were; of rows that repeat the kept id, too, any one stays."""
-    groups = exact_groups(df, id_col=id_col, text_col=text_col, keep=keep).where("group_size > 1")
     id_, digest, kept = free_names(df, "__id", "__digest", "__kept")
-    marks = groups.groupBy(F.col(id_col).alias(id_), F.col("digest").alias(digest)).agg(F.first("kept").alias(kept), F.count("*").alias("__n"))
-    marks = materialize(marks.where(~F.col(kept) | (F.col("__n") > 1)).drop("__n"))
+    with scratch_scope(df.sparkSession) as held:
+        groups = exact_groups(df, id_col=id_col, text_col=text_col, keep=keep).where("group_size > 1")
+        marks = groups.groupBy(F.col(id_col).alias(id_), F.col("digest").alias(digest)).agg(F.first("kept").alias(kept), F.count("*").alias("__n"))
+        marks = materialize(marks.where(~F.col(kept) | (F.col("__n") > 1)).drop("__n"))
+        held.append(marks)
     own = digest_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
     def marked(some: DataFrame, how: str) -> DataFrame:

@@ -20,7 +20,7 @@ Two bits are a narrow net: documents that share 0.8 of their shingles differ in
 bits, where neither counts nor bits tell them from strangers. ``keep_one`` therefore looks
 among all distinct texts for that similarity (of the sets of their shingles, intersection
 over union) with candidates from ``BANDS`` bands of ``ROWS`` min-hashes, which share one but
-for 7 in a million such pairs; every candidate is verified on the shingles of both texts. A
+for 8 in a million such pairs, while texts that share a passage of a third of them meet in one of 30; every candidate is verified on the shingles of both texts. A
 bucket of candidates isn't compared pair by pair, but with some leaders at a time: who is
 similar to a smaller leader leaves the bucket, a leader has met all of it and leaves too,
 and the others meet twice as many leaders next. Who left without meeting others of the
@@ -43,14 +43,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import broadcast_if_small, free_names, materialize, released, slices, with_text
+from fathomlog.llm.common import broadcast_if_small, discard, free_names, materialize, released, scratch_scope, slices, with_text
 from fathomlog.llm.components import connected_components
 
 SEGMENTS = 16
 #: Cells of more members are resolved by single-bit neighbours in place of pairs.
 DENSE = 48
 #: Bands of min-hashes and min-hashes in one; leaders of a bucket in the first round.
-BANDS, ROWS, LEADERS = 30, 5, 8
+BANDS, ROWS, LEADERS = 50, 7, 8
 
 _rng = np.random.default_rng(11)
 _FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,8 +86,8 @@ def bands_of(distinct: np.ndarray) -> np.ndarray:
     if not len(distinct):
         return np.zeros(0, np.int64)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(distinct), 1024):
-        least = np.minimum(least, (distinct[at : at + 1024, None] * _FACTORS + _TERMS).min(axis=0))
+    for at in range(0, len(distinct), 256):
+        least = np.minimum(least, (distinct[at : at + 256, None] * _FACTORS + _TERMS).min(axis=0))
     keys = ((least.reshape(BANDS, ROWS) ^ (least.reshape(BANDS, ROWS) >> np.uint64(29))) * _MIXERS).sum(axis=1, dtype=np.uint64)
     return (keys ^ (keys >> np.uint64(32))).view(np.int64)
 
@@ -210,7 +210,9 @@ def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def _crowded(members: DataFrame) -> DataFrame:
     """Members (bucket, o) of buckets that hold more than one."""
     counts = materialize(members.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket"))
-    return materialize(members.join(counts, "bucket"))
+    held = materialize(members.join(broadcast_if_small(counts, 16), "bucket"))
+    discard(counts)
+    return held
 
 
 def _close(one: str, other: str, similarity: float) -> Column:
@@ -227,7 +229,11 @@ def similar_links(nodes: DataFrame, known: DataFrame, texts: DataFrame, *, words
 
     ``o`` is (none, id, text_hash, n), in the order in which texts stay.
     """
-    members = _crowded(materialize(nodes.select("o", F.explode(F.array_distinct("bands")).alias("bucket"))))
+    placed = nodes.select("o", F.explode(F.array_distinct("bands")).alias("bucket"))
+    # Counted first, as few buckets hold more than one: only members of those are written.
+    counts = materialize(placed.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket"))
+    members = materialize(placed.join(broadcast_if_small(counts, 16), "bucket"))
+    discard(counts)
     leaders, tried = LEADERS, None
     if members.isEmpty():
         return known
@@ -245,8 +251,10 @@ def similar_links(nodes: DataFrame, known: DataFrame, texts: DataFrame, *, words
         now = materialize(_compared(pairs.where(close), sets, similarity).union(apart))
         tried = now if tried is None else tried.union(now)
         below = met.where(F.col("leader") < F.col("o")).select("bucket", F.col("leader").alias("a"), F.col("o").alias("b"))
-        done = below.join(tried.where("similar"), ["a", "b"]).select("bucket", F.col("b").alias("o")).union(led.select("bucket", "leader")).distinct()
-        members = _crowded(members.join(materialize(done), ["bucket", "o"], "left_anti"))
+        done = materialize(below.join(tried.where("similar"), ["a", "b"]).select("bucket", F.col("b").alias("o")).union(led.select("bucket", "leader")).distinct())
+        left = _crowded(members.join(done, ["bucket", "o"], "left_anti"))
+        discard(led, pairs, done, members)
+        members = left
         leaders *= 2
     found = known.union(tried.where("similar").select("a", "b"))
     missed = _missed(tried, found, similarity)
@@ -277,23 +285,25 @@ def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
 
     Near copies are of 2 bits or fewer, or of ``similarity`` or more. Rows that repeat both the id and the text stay together.
     """
-    rows = materialize(fingerprints(df, id_col=id_col, text_col=text_col, words=words, banded=True))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")
-    nodes = rows.groupBy("text_hash", "fp", "n").agg(first, F.count("*").alias("copies"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.select(F.struct("first.none", "first.id", "text_hash", "n").alias("o"), "fp", "copies", "bands"))
-    # Texts of one class of fingerprints are linked to the smallest of it.
-    classes = _classes(rows)
-    shared = materialize(classes.join(classes.groupBy("root").agg(F.sum("n").alias("rows")).where("rows > 1"), "root").select("fp", "root"))
-    classed = materialize(nodes.select("o", "fp").join(broadcast_if_small(shared, 24), "fp").select("o", "root"))
-    least = materialize(classed.groupBy("root").agg(F.min("o").alias("a")))
-    known = materialize(classed.join(broadcast_if_small(least, 64), "root").where("a <> o").select("a", F.col("o").alias("b")))
-    links = similar_links(nodes, known, _rows(df, id_col, text_col), words=words, similarity=similarity)
-    # Of a text that goes all rows go; of one that stays, those under other ids.
-    gone = connected_components(links).where(F.col("node") != F.col("root")).select("node.text_hash", F.lit(True).alias("whole"), F.col("node.id").alias("first"))
-    gone = gone.union(nodes.where("copies > 1").select("o.text_hash", F.lit(False), "o.id"))
-    gone = materialize(gone)
-    lost = rows.select("id", "text_hash").join(broadcast_if_small(gone, 32), "text_hash").where(F.col("whole") | ~F.col("id").eqNullSafe(F.col("first")))
     id_, hash_ = free_names(df, "__id", "__hash")
-    lost = materialize(lost.select(F.col("id").alias(id_), F.col("text_hash").alias(hash_)).distinct())
+    with scratch_scope(df.sparkSession) as kept:
+        rows = materialize(fingerprints(df, id_col=id_col, text_col=text_col, words=words, banded=True))
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first")
+        nodes = rows.groupBy("text_hash", "fp", "n").agg(first, F.count("*").alias("copies"), F.first("bands").alias("bands"))
+        nodes = materialize(nodes.select(F.struct("first.none", "first.id", "text_hash", "n").alias("o"), "fp", "copies", "bands"))
+        # Texts of one class of fingerprints are linked to the smallest of it.
+        classes = _classes(rows)
+        shared = materialize(classes.join(classes.groupBy("root").agg(F.sum("n").alias("rows")).where("rows > 1"), "root").select("fp", "root"))
+        classed = materialize(nodes.select("o", "fp").join(broadcast_if_small(shared, 24), "fp").select("o", "root"))
+        least = materialize(classed.groupBy("root").agg(F.min("o").alias("a")))
+        known = materialize(classed.join(broadcast_if_small(least, 64), "root").where("a <> o").select("a", F.col("o").alias("b")))
+        links = similar_links(nodes, known, _rows(df, id_col, text_col), words=words, similarity=similarity)
+        # Of a text that goes all rows go; of one that stays, those under other ids.
+        gone = connected_components(links).where(F.col("node") != F.col("root")).select("node.text_hash", F.lit(True).alias("whole"), F.col("node.id").alias("first"))
+        gone = gone.union(nodes.where("copies > 1").select("o.text_hash", F.lit(False), "o.id"))
+        gone = materialize(gone)
+        lost = rows.select("id", "text_hash").join(broadcast_if_small(gone, 32), "text_hash").where(F.col("whole") | ~F.col("id").eqNullSafe(F.col("first")))
+        lost = materialize(lost.select(F.col("id").alias(id_), F.col("text_hash").alias(hash_)).distinct())
+        kept.append(lost)
     own = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return df.join(broadcast_if_small(lost, 32), df[id_col].eqNullSafe(lost[id_]) & (own == lost[hash_]), "left_anti")

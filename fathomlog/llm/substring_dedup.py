@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import free_names, materialize, released, slices, unpack, with_packed_text
+from fathomlog.llm.common import discard, free_names, materialize, released, scratch_scope, slices, unpack, with_packed_text
 
 LENGTH = 200
 KGRAM = 50
@@ -394,33 +394,37 @@ def merge_shards(windows: DataFrame) -> DataFrame:
 
 def repeated_windows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, kgram: int = KGRAM) -> DataFrame:
     """(id, th, spans): for every document with repeats, the runs (first, stop) of windows that occur elsewhere."""
-    docs = _documents(df, id_col, text_col)
-    every = materialize(candidate_slices(docs, length, kgram))
-    # Aggregates are written before they are joined: only a join of plain shuffles has its hot keys split.
-    anchors = every.groupBy("fp").agg(F.count("*").alias("c"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("c > 1")
-    anchors = materialize(anchors.select("fp", (F.col("lo") != F.col("hi")).alias("several")))
-    shared = materialize(every.join(anchors, "fp"))
-    plain = shared.where("not several").select("id", "th", F.col("s0").alias("first"), F.expr("s0 + ns").alias("stop"))
-
-    mixed = shared.where("several")
-    kinds = mixed.groupBy("fp", "h").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "s0", "ns")).alias("r"))
-    kinds = materialize(kinds.select("fp", "h", "n", "r.*"))
-    sizes = materialize(kinds.groupBy("fp").agg(F.count("*").alias("different"), F.min("n").alias("least")))
-    shards = F.ceil(F.col("different") / F.lit(SHARD_SLICES)).cast("int")
-    wanted = kinds.join(sizes.where("least = 1").select("fp", shards.alias("shards")), "fp")
-    wanted = wanted.groupBy(F.col("id").alias("rid"), F.col("th").alias("rth")).agg(F.collect_list(F.struct("fp", "h", "ns", "s0", "shards")).alias("wanted"))
-    dealt = fetched_slices(docs, wanted, length).repartition("fp", "shard").sortWithinPartitions("fp", "shard", "h")
-    verdicts = materialize(shard_verdicts(dealt, length))
-    windows = verdicts.where("kind = 'window'")
-    spread = windows.select("fp", "h", "a", "b", "shard", "range", "w1", "w2")
-    found = (
-        verdicts.where("kind = 'run'").select("fp", "h", "a", "b")
-        .union(merge_shards(spread))
-        .union(kinds.where("n > 1").select("fp", "h", F.lit(0).alias("a"), F.col("ns").alias("b")))
-    )
-    found = materialize(found.distinct())
-    placed = mixed.join(found, ["fp", "h"]).select("id", "th", F.expr("s0 + a").alias("first"), F.expr("s0 + b").alias("stop"))
-    return materialize(plain.union(placed).groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("first", "stop"))).alias("spans")))
+    with scratch_scope(df.sparkSession) as kept:
+        docs = _documents(df, id_col, text_col)
+        every = materialize(candidate_slices(docs, length, kgram))
+        # Aggregates are written before they are joined: only a join of plain shuffles has its hot keys split.
+        anchors = every.groupBy("fp").agg(F.count("*").alias("c"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("c > 1")
+        anchors = materialize(anchors.select("fp", (F.col("lo") != F.col("hi")).alias("several")))
+        shared = materialize(every.join(anchors, "fp"))
+        discard(every, anchors)
+        plain = shared.where("not several").select("id", "th", F.col("s0").alias("first"), F.expr("s0 + ns").alias("stop"))
+
+        mixed = shared.where("several")
+        kinds = mixed.groupBy("fp", "h").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "s0", "ns")).alias("r"))
+        kinds = materialize(kinds.select("fp", "h", "n", "r.*"))
+        sizes = materialize(kinds.groupBy("fp").agg(F.count("*").alias("different"), F.min("n").alias("least")))
+        shards = F.ceil(F.col("different") / F.lit(SHARD_SLICES)).cast("int")
+        wanted = kinds.join(sizes.where("least = 1").select("fp", shards.alias("shards")), "fp")
+        wanted = wanted.groupBy(F.col("id").alias("rid"), F.col("th").alias("rth")).agg(F.collect_list(F.struct("fp", "h", "ns", "s0", "shards")).alias("wanted"))
+        dealt = fetched_slices(docs, wanted, length).repartition("fp", "shard").sortWithinPartitions("fp", "shard", "h")
+        verdicts = materialize(shard_verdicts(dealt, length))
+        windows = verdicts.where("kind = 'window'")
+        spread = windows.select("fp", "h", "a", "b", "shard", "range", "w1", "w2")
+        found = (
+            verdicts.where("kind = 'run'").select("fp", "h", "a", "b")
+            .union(merge_shards(spread))
+            .union(kinds.where("n > 1").select("fp", "h", F.lit(0).alias("a"), F.col("ns").alias("b")))
+        )
+        found = materialize(found.distinct())
+        placed = mixed.join(found, ["fp", "h"]).select("id", "th", F.expr("s0 + a").alias("first"), F.expr("s0 + b").alias("stop"))
+        out = materialize(plain.union(placed).groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("first", "stop"))).alias("spans")))
+        kept.append(out)
+    return out
 
 
 def covered(spans: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
