@@ -202,3 +202,62 @@ def stamp(incoming: DataFrame, *, base: int, hop: str, identifier: str, database
     kinds = incoming.schema["provenance"].dataType.elementType
     added = F.struct(*(fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds))
     return ranked.withColumn("provenance", F.array_append(F.coalesce("provenance", F.array().cast(incoming.schema["provenance"].dataType)), added)).withColumn("sequence_number", F.col("__place")).drop("__place", "event_hash")
+
+
+def delivery_faults(deliveries: DataFrame) -> DataFrame:
+    """``deliveries`` (channel, delivery_number from 1, delivery_hash, previous_hash, computed_hash) with ``fault`` and ``served``.
+
+    fault: ``hash_mismatch``, its hash isn't that of its content; ``missing_before``, the number before isn't held; ``link_break``, it
+    doesn't name that one's hash (nothing, for the first); null if it is sound. served: every delivery of its channel up to it is sound. A delivery's
+    neighbour is found by an equi-join, so a channel that holds much of the table is many tasks.
+    """
+    before = deliveries.select(F.col("channel").alias("b_channel"), (F.col("delivery_number") + 1).alias("b_next"), F.col("delivery_hash").alias("b_hash")).dropDuplicates(["b_channel", "b_next"])
+    joined = deliveries.join(before, F.col("channel").eqNullSafe(F.col("b_channel")) & (F.col("delivery_number") == F.col("b_next")), "left")
+    first = F.col("delivery_number") == 1
+    fault = (
+        F.when(~F.col("delivery_hash").eqNullSafe(F.col("computed_hash")), "hash_mismatch")
+        .when(~first & F.col("b_next").isNull(), "missing_before")
+        .when(~F.col("previous_hash").eqNullSafe(F.when(~first, F.col("b_hash"))), "link_break")
+    )
+    marked = joined.withColumn("fault", fault).select(*deliveries.columns, "fault")
+    ends = marked.where("fault is not null").groupBy(F.col("channel").alias("e_channel")).agg(F.min("delivery_number").alias("broken"))
+    out = marked.join(ends, F.col("channel").eqNullSafe(F.col("e_channel")), "left")
+    return out.select(*marked.columns, (F.col("broken").isNull() | (F.col("delivery_number") < F.col("broken"))).alias("served"))
+
+
+def restore_choice(occurrences: DataFrame) -> DataFrame:
+    """What becomes of each distinct event of a restore: ``stored``, ``other_hash`` or ``unkeyed``, one row each.
+
+    occurrences: (event_id, event_hash, registration, generation, delivery_number, storable, ...). Of one id and hash the lowest (registration,
+    generation, delivery_number) counts. Of an id's hashes one that can be stored comes first, then the lowest; the others
+    are told apart as ``other_hash``. Rows without id can't be told apart and stay, each. Aggregates choose, map-side, so an id that is
+    served over and over is no hot key.
+    """
+    names = occurrences.columns
+    lowest = F.struct("registration", "generation", "delivery_number")
+    keyed = occurrences.where("event_id is not null")
+    once = keyed.groupBy("event_id", "event_hash").agg(F.min_by(F.struct(*names), lowest).alias("e")).select("e.*")
+    order = F.struct((~F.coalesce("storable", F.lit(False))).alias("odd"), "registration", "generation", "delivery_number", "event_hash")
+    best = once.groupBy(F.col("event_id").alias("c_id")).agg(F.min_by(F.struct("event_hash"), order).alias("c"))
+    chosen = once.join(best, F.col("event_id") == F.col("c_id")).withColumn("place", F.when(F.col("event_hash").eqNullSafe(F.col("c.event_hash")), "stored").otherwise("other_hash"))
+    unkeyed = occurrences.where("event_id is null").withColumn("place", F.lit("unkeyed"))
+    return chosen.select(*names, "place").unionByName(unkeyed)
+
+
+def restore(deliveries: DataFrame, occurrences: DataFrame, lineage_rank: DataFrame, predecessor: Column) -> DataFrame:
+    """The events that a restore takes, in the order in which they are stored, with ``place`` and ``finding``.
+
+    Only deliveries that are served count (``delivery_faults``); events that neither come from the channel's sender (``predecessor``) nor from one of its
+    lineage (origin_db, rank) are ``foreign``; what can't be stored is ``event_unstorable``, an id's further hash ``identity_mismatch``. Stored events
+    come first, by lineage and origin position, then what is kept in findings alone.
+    """
+    served = delivery_faults(deliveries).where("served").select("channel", "delivery_number").distinct()
+    taken = restore_choice(occurrences.join(served, ["channel", "delivery_number"], "left_semi"))
+    ranked = taken.join(lineage_rank, "origin_db", "left").withColumn("from_sender", predecessor)
+    finding = (
+        F.when(F.col("rank").isNull() & ~F.coalesce("from_sender", F.lit(False)), "foreign")
+        .when(F.col("place") == "other_hash", "identity_mismatch")
+        .when(~F.coalesce("storable", F.lit(False)), "event_unstorable")
+    )
+    kept = ranked.withColumn("finding", finding).withColumn("place", F.when(finding.isNotNull() & (F.col("place") == "stored"), "kept_in_finding").otherwise(F.col("place")))
+    return kept.select(*taken.columns, "rank", "finding").orderBy(F.col("place") != "stored", "rank", "origin_position", "event_id", "event_hash")

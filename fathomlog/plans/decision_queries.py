@@ -469,3 +469,54 @@ def restore_deduplicated(spark, sf_dir):
         (F.col("l_suppkey") % 4).alias("origin_db"), F.col("l_partkey").alias("origin_position"),
     )
     return ingest.restore_order(events, spark.sql("SELECT * FROM VALUES (0, 3), (1, 2), (2, 1), (3, 0) AS t(origin_db, rank)")).select("event_id", "generation")
+
+
+_RESTORE = """d AS (SELECT o_custkey AS channel, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS n, o_orderkey FROM orders),
+    h AS (SELECT channel, n, o_orderkey, 'h' || CAST(o_orderkey AS VARCHAR) AS hash, CASE WHEN n > 1 THEN 'h' || CAST(lag(o_orderkey) OVER (PARTITION BY channel ORDER BY n) AS VARCHAR) END AS before FROM d),
+    g AS (SELECT channel, n, o_orderkey, hash, CASE WHEN o_orderkey % 41 = 0 THEN 'bad' ELSE before END AS previous, CASE WHEN o_orderkey % 37 = 0 THEN 'other' ELSE hash END AS computed FROM h WHERE o_orderkey % 43 <> 0),
+    f AS (SELECT g.*, CASE WHEN g.computed <> g.hash THEN 'hash_mismatch' WHEN g.n > 1 AND p.n IS NULL THEN 'missing_before' WHEN g.previous IS DISTINCT FROM p.hash THEN 'link_break' END AS fault
+        FROM g LEFT JOIN g p ON p.channel = g.channel AND p.n = g.n - 1),
+    s AS (SELECT *, coalesce(n < min(CASE WHEN fault IS NOT NULL THEN n END) OVER (PARTITION BY channel), true) AS served FROM f)"""
+
+
+def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deliveries of channels: some gone, some with another hash than their content's, some that link elsewhere."""
+    from pyspark.sql import Window
+
+    by_place = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    key = F.col("o_orderkey")
+    hashed = F.concat(F.lit("h"), key.cast("string"))
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("channel"), key, F.row_number().over(by_place).cast("long").alias("delivery_number"), hashed.alias("delivery_hash"), F.lag(hashed).over(by_place).alias("before"))
+    return rows.where(key % 43 != 0).select(
+        "channel", "delivery_number", "delivery_hash", F.when(key % 41 == 0, "bad").otherwise(F.col("before")).alias("previous_hash"), F.when(key % 37 == 0, "other").otherwise(F.col("delivery_hash")).alias("computed_hash"), "o_orderkey"
+    )
+
+
+@query(f"WITH {_RESTORE} SELECT channel, n AS delivery_number, fault, served FROM s")
+def restore_deliveries(spark, sf_dir):
+    return ingest.delivery_faults(_restored(spark, sf_dir)).select("channel", "delivery_number", "fault", "served")
+
+
+@query(f"""WITH {_RESTORE}, o AS (SELECT l_partkey AS event_id, CASE WHEN l_suppkey % 5 = 0 THEN 'y' ELSE 'x' END AS event_hash, s.channel AS generation, s.n AS delivery_number, l_linenumber AS line, l_suppkey % 7 <> 3 AS storable, l_suppkey % 4 AS origin_db
+        FROM lineitem JOIN s ON l_orderkey = s.o_orderkey WHERE served),
+    k AS (SELECT event_id, event_hash, arg_min(storable, (generation, delivery_number, line)) AS storable, arg_min(origin_db, (generation, delivery_number, line)) AS origin_db, min((generation, delivery_number, line)) AS lowest FROM o GROUP BY event_id, event_hash),
+    c AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY NOT storable, lowest, event_hash) AS nth FROM k),
+    m AS (SELECT event_id, event_hash, storable, CASE origin_db WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 END AS rank, CASE WHEN nth = 1 THEN 'stored' ELSE 'other_hash' END AS place FROM c),
+    w AS (SELECT *, CASE WHEN rank IS NULL AND event_id % 3 <> 0 THEN 'foreign' WHEN place = 'other_hash' THEN 'identity_mismatch' WHEN NOT storable THEN 'event_unstorable' END AS finding FROM m),
+    r AS (SELECT event_id, event_hash, rank, finding, CASE WHEN finding IS NOT NULL AND place = 'stored' THEN 'kept_in_finding' ELSE place END AS place FROM w)
+    SELECT event_id, event_hash, CAST(rank AS INTEGER) AS rank, finding, place, CAST(row_number() OVER (ORDER BY place <> 'stored', rank NULLS FIRST, event_id, event_hash) AS BIGINT) AS n FROM r""")
+def restore_verified(spark, sf_dir):
+    """Events of sound deliveries, each once, with what keeps some from being stored, and the order of storing."""
+    deliveries = _restored(spark, sf_dir)
+    lines = _t(spark, sf_dir, "lineitem").join(deliveries.select(F.col("o_orderkey").alias("l_orderkey"), "channel", "delivery_number"), "l_orderkey")
+    supplier = F.col("l_suppkey")
+    occurrences = lines.select(
+        "channel", "delivery_number", F.col("l_partkey").alias("event_id"), F.when(supplier % 5 == 0, "y").otherwise("x").alias("event_hash"), F.col("channel").alias("registration"), F.col("delivery_number").alias("generation"),
+        F.col("l_linenumber").alias("line"), (supplier % 7 != 3).alias("storable"), (supplier % 4).alias("origin_db"), F.col("l_partkey").alias("origin_position"),
+    )
+    # Several events of one delivery are told apart by their lines.
+    occurrences = occurrences.withColumnRenamed("generation", "of_delivery").withColumn("generation", F.struct("of_delivery", "line"))
+    ranks = spark.sql("SELECT * FROM VALUES (0L, 3), (1L, 2), (2L, 1) AS t(origin_db, rank)")
+    rows = ingest.restore(deliveries, occurrences, ranks, F.col("event_id") % 3 == 0)
+    numbered = el.with_positions(rows.withColumn("at", F.timestamp_seconds(F.when(F.col("place") != "stored", 10**9).otherwise(0) + F.coalesce("rank", F.lit(0)) * 10**7)), "at", F.struct("event_id", "event_hash"), name="n")
+    return numbered.select("event_id", "event_hash", "rank", "finding", "place", "n")
