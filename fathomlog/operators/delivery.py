@@ -250,6 +250,43 @@ def missing_deliveries(items: DataFrame, destination_id: str, generation: int, a
     return due.join(sent.select("delivery_number").distinct().withColumn("retained", F.lit(True)), "delivery_number", "left").select("delivery_number", F.coalesce("retained", F.lit(False)).alias("retained"))
 
 
+def recover(items: DataFrame, senders: DataFrame, acts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All queues at once that resume or begin a new generation: the items after, and a row for each such queue.
+
+    senders: (destination_id, generation, number, receiver, cursor); acts: (destination_id, act, record_number, responding), act being ``resume``, from
+    the number at which the receiver stands, or ``new_generation``. Pending items are retired: deleted without an attempt, tombstoned
+    with one. A queue that resumes fills again from below the lowest event that they carried, and sends the numbers above the record again; a new generation
+    fills from the start and numbers from 1.
+    Queues: (destination_id, act, generation, number, receiver, cursor, resend_first, resend_last, lacking): what is sent again is a range,
+    ``lacking`` its numbers of which no sent item is held.
+    """
+    pending = F.col("final_status").isNull()
+    tried = F.coalesce(F.size("attempts"), F.lit(0)) > 0
+    marked = items.join(acts.select("destination_id", F.lit(True).alias("__acts")), "destination_id", "left")
+    goes = pending & F.coalesce("__acts", F.lit(False))
+    after = marked.where(~goes | tried).withColumn("final_status", F.when(goes, "tombstoned").otherwise(F.col("final_status"))).select(*items.columns)
+    lowest = marked.where(goes).groupBy("destination_id").agg(F.min("first_sequence").alias("lowest"))
+    queues = acts.join(senders, "destination_id").join(lowest, "destination_id", "left")
+    resumes = F.col("act") == "resume"
+    behind = resumes & (F.col("record_number") < F.col("number"))
+    queues = queues.select(
+        "destination_id", "act", F.when(resumes, F.col("generation")).otherwise(F.col("generation") + 1).alias("generation"), F.when(resumes, F.col("record_number")).otherwise(F.lit(0)).cast("long").alias("number"),
+        F.col("responding").alias("receiver"), F.when(~resumes, F.lit(-1)).otherwise(F.least("cursor", F.col("lowest") - 1)).cast("long").alias("cursor"),
+        F.when(behind, F.col("record_number") + 1).cast("long").alias("resend_first"), F.when(behind, F.col("number")).cast("long").alias("resend_last"),
+    )
+    held = resends(items, queues).groupBy("destination_id").agg(F.countDistinct("delivery_number").alias("held"))
+    due = F.coalesce(F.col("resend_last") - F.col("resend_first") + 1, F.lit(0))
+    return after, queues.join(held, "destination_id", "left").withColumn("lacking", due - F.coalesce("held", F.lit(0))).drop("held")
+
+
+def resends(items: DataFrame, queues: DataFrame) -> DataFrame:
+    """The items that ``queues`` (of ``recover``) send again, each with its new place behind all of its queue, in ascending numbers."""
+    due = queues.where("resend_first is not null").select("destination_id", F.col("generation").alias("delivery_generation"), "resend_first", "resend_last")
+    last = items.groupBy("destination_id").agg(F.max("sequence_in_queue").alias("behind"))
+    sent = items.where("final_status = 'sent'").join(due, ["destination_id", "delivery_generation"]).where("delivery_number between resend_first and resend_last").join(last, "destination_id")
+    return sent.select(*(c for c in items.columns if c != "sequence_in_queue"), (F.col("behind") + F.col("delivery_number") - F.col("resend_first") + 1).cast("long").alias("sequence_in_queue"))
+
+
 def hold_key(items: DataFrame, destination_id: str, key: str, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Put a key on hold: its refused head is given up, its pending items go, and their events join the key's list.
 

@@ -520,3 +520,47 @@ def restore_verified(spark, sf_dir):
     rows = ingest.restore(deliveries, occurrences, ranks, F.col("event_id") % 3 == 0)
     numbered = el.with_positions(rows.withColumn("at", F.timestamp_seconds(F.when(F.col("place") != "stored", 10**9).otherwise(0) + F.coalesce("rank", F.lit(0)) * 10**7)), "at", F.struct("event_id", "event_hash"), name="n")
     return numbered.select("event_id", "event_hash", "rank", "finding", "place", "n")
+
+
+_QUEUES = """q AS (SELECT o_custkey AS destination_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS n, o_orderkey,
+        CASE WHEN o_orderstatus = 'F' THEN 'sent' WHEN o_orderkey % 11 = 0 THEN 'tombstoned' END AS final_status, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS attempts FROM orders),
+    s AS (SELECT destination_id, coalesce(max(CASE WHEN final_status = 'sent' THEN n END), 0) AS number, max(o_orderkey) AS cursor FROM q GROUP BY destination_id),
+    a AS (SELECT destination_id, CASE destination_id % 3 WHEN 0 THEN 'resume' WHEN 1 THEN 'new_generation' END AS act, CAST(floor(number / 2) AS BIGINT) AS record_number, number, cursor FROM s WHERE destination_id % 3 < 2),
+    p AS (SELECT q.destination_id, min(o_orderkey) AS lowest FROM q JOIN a USING (destination_id) WHERE final_status IS NULL GROUP BY q.destination_id)"""
+
+
+def _queues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items of customers' queues, their senders, and which resume (at half of what was sent) or begin anew."""
+    from pyspark.sql import Window
+
+    key, place = F.col("o_orderkey"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long")
+    items = _t(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("destination_id"), place.alias("sequence_in_queue"), key.alias("first_sequence"), F.when(F.col("o_orderstatus") == "F", "sent").when(key % 11 == 0, "tombstoned").alias("final_status"),
+        F.when(key % 3 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("attempts"), F.lit(1).alias("delivery_generation"), place.alias("delivery_number"),
+    )
+    senders = items.groupBy("destination_id").agg(F.lit(1).alias("generation"), F.coalesce(F.max(F.when(F.col("final_status") == "sent", F.col("delivery_number"))), F.lit(0)).alias("number"), F.lit("r").alias("receiver"), F.max("first_sequence").alias("cursor"))
+    third = F.col("destination_id") % 3
+    acts = senders.where(third < 2).select("destination_id", F.when(third == 0, "resume").otherwise("new_generation").alias("act"), F.floor(F.col("number") / 2).cast("long").alias("record_number"), F.lit("r2").alias("responding"))
+    return items, senders, acts
+
+
+@query(f"""WITH {_QUEUES}, h AS (SELECT q.destination_id, count(*) AS held FROM q JOIN a USING (destination_id) WHERE act = 'resume' AND final_status = 'sent' AND n > record_number AND n <= number GROUP BY q.destination_id)
+    SELECT a.destination_id, act, CASE act WHEN 'resume' THEN 1 ELSE 2 END AS generation, CASE act WHEN 'resume' THEN record_number ELSE 0 END AS number,
+        CASE act WHEN 'resume' THEN least(cursor, coalesce(lowest - 1, cursor)) ELSE -1 END AS cursor, CASE WHEN act = 'resume' AND record_number < number THEN record_number + 1 END AS resend_first,
+        CASE WHEN act = 'resume' AND record_number < number THEN number END AS resend_last, CASE WHEN act = 'resume' THEN number - record_number ELSE 0 END - coalesce(held, 0) AS lacking
+    FROM a LEFT JOIN p USING (destination_id) LEFT JOIN h USING (destination_id)""")
+def queue_recovery(spark, sf_dir):
+    """Every queue that resumes or begins a new generation, in one plan."""
+    return delivery.recover(*_queues(spark, sf_dir))[1].drop("receiver")
+
+
+@query(f"""WITH {_QUEUES}, m AS (SELECT destination_id, max(n) AS behind FROM q GROUP BY destination_id)
+    SELECT destination_id, n AS sequence_in_queue, o_orderkey AS first_sequence, CASE WHEN final_status IS NULL AND act IS NOT NULL THEN 'tombstoned' ELSE final_status END AS final_status
+    FROM q LEFT JOIN a USING (destination_id) WHERE final_status IS NOT NULL OR act IS NULL OR attempts > 0
+    UNION ALL SELECT destination_id, behind + n - record_number, o_orderkey, NULL FROM q JOIN a USING (destination_id) JOIN m USING (destination_id) WHERE act = 'resume' AND final_status = 'sent' AND n > record_number AND n <= number""")
+def queue_recovered_items(spark, sf_dir):
+    """Items after the recovery, with those that are sent again."""
+    items, senders, acts = _queues(spark, sf_dir)
+    after, queues = delivery.recover(items, senders, acts)
+    again = delivery.resends(items, queues).withColumn("final_status", F.lit(None).cast("string"))
+    return after.unionByName(again).select("destination_id", "sequence_in_queue", "first_sequence", "final_status")
