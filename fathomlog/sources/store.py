@@ -69,6 +69,8 @@ class Copy:
     deltas: list[dict] = field(default_factory=list)
     failures: list[str] = field(default_factory=list)
     made: int = 0
+    #: The last delta, which subscribers are told of, compacted or not.
+    latest: dict | None = None
 
     def pending(self, bucket: str) -> list[dict]:
         """The deltas that a bucket's base doesn't include."""
@@ -76,7 +78,8 @@ class Copy:
         return [d for d in self.deltas if d["number"] > through and bucket in d["rows"]]
 
     def folders(self) -> set[str]:
-        return {b["folder"] for b in self.bases.values()} | {d["folder"] for d in self.deltas} | set(self.failures)
+        last = {self.latest["folder"]} if self.latest else set()
+        return {b["folder"] for b in self.bases.values()} | {d["folder"] for d in self.deltas} | set(self.failures) | last
 
 
 class Conflict(Exception):
@@ -256,6 +259,7 @@ class LogStore:
         counts = self._write_buckets(alive.unionByName(gone).withColumn("number", F.lit(copy.made).cast("long")), copy, folder)
         if counts:
             copy.deltas.append({"number": copy.made, "folder": folder, "rows": counts})
+            copy.latest = {"number": copy.made, "folder": folder}
         self._compact(copy, view.name)
 
     def _compact(self, copy: Copy, name: str) -> None:
