@@ -56,6 +56,46 @@ def unstorable(data: str = "data", provenance: str = "provenance") -> Column:
     return F.coalesce(F.exists(F.json_object_keys(data), lambda k: k.startswith("$")), F.lit(False)) | (F.coalesce(F.size(provenance), F.lit(0)) < 1)
 
 
+def misplaced(provenance: str = "provenance") -> Column:
+    """Whether provenance doesn't place an event in an origin chain and a storage chain.
+
+    It is none, or a receiver's hop lacks the arrival hash, the first receiver's the origin's position, or one before the last its own position.
+    """
+    p = F.col(provenance)
+
+    def lacks(hop: Column, k: Column) -> Column:
+        first, inner = (k == 1) & hop["origin_sequence_number"].isNull(), (k < F.size(p) - 1) & hop["ingest_sequence_number"].isNull()
+        return (k > 0) & (hop["arrival_hash"].isNull() | first | inner)
+
+    return p.isNull() | F.exists(F.transform(p, lacks), lambda x: x)
+
+
+def unstorable_reason(originator: Column, shapes: dict[str, tuple[frozenset[str], frozenset[str]]], audits: frozenset[str] = frozenset(), data: str = "data", provenance: str = "provenance") -> Column:
+    """Why a record isn't stored as an event, null where it is: ``record_malformed``, ``reserved_type_undeclared`` or ``audit_identity_invalid``, the first that holds.
+
+    shapes: of each reserved entry type that is declared, its aggregate and event types. audits: those of them that are destination audits, whose
+    ``id`` and ``database_id`` must be texts, not empty and without bars, and the latter the originator's. Other reserved types are stored as they come.
+    """
+    reserved = F.coalesce(F.exists(F.json_object_keys(data), lambda k: k.startswith("$")), F.lit(False))
+    shaped = F.lit(None).cast("boolean")
+    for entry_type, (aggregates, events) in sorted(shapes.items()):
+        shaped = F.when(F.col("entry_type") == entry_type, F.col("aggregate_type").isin(*sorted(aggregates)) & F.col("event_type").isin(*sorted(events))).otherwise(shaped)
+    fields = F.from_json(data, "map<string,variant>")
+
+    def named(name: str) -> Column:
+        v = F.try_element_at(fields, F.lit(name))
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    sound = lambda text: F.coalesce((F.length(text) > 0) & ~text.contains("|"), F.lit(False))
+    audit = F.col("entry_type").isin(*sorted(audits)) if audits else F.lit(False)
+    identified = sound(named("id")) & sound(named("database_id")) & named("database_id").eqNullSafe(originator)
+    return (
+        F.when(reserved | misplaced(provenance), "record_malformed")
+        .when(~F.coalesce(shaped, F.lit(True)), "reserved_type_undeclared")
+        .when(audit & ~identified, "audit_identity_invalid")
+    )
+
+
 def foreign(sender: Column, provenance: str = "provenance") -> Column:
     """Whether neither end of an event's provenance is the channel's sender."""
     p = F.col(provenance)

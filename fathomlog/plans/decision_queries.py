@@ -564,3 +564,23 @@ def queue_recovered_items(spark, sf_dir):
     after, queues = delivery.recover(items, senders, acts)
     again = delivery.resends(items, queues).withColumn("final_status", F.lit(None).cast("string"))
     return after.unionByName(again).select("destination_id", "sequence_in_queue", "first_sequence", "final_status")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 OR (event_id % 3 > 0 AND event_id % 17 = 0) OR (event_id % 3 > 0 AND event_id % 19 = 0) OR (event_id % 3 = 2 AND event_id % 23 = 0) THEN 'record_malformed'
+    WHEN event_id % 4 = 1 AND event_type = 'error' THEN 'reserved_type_undeclared'
+    WHEN event_id % 4 = 1 AND (event_id % 29 = 0 OR event_id % 31 = 0 OR event_id % 5 = 0) THEN 'audit_identity_invalid' END AS reason FROM events""")
+def ingest_unstorable_reasons(spark, sf_dir):
+    """Reserved keys, hops that lack something, reserved types in other shapes, and audits whose identities are no good; a type that isn't declared is stored."""
+    i = F.col("event_id")
+    hop = lambda k: F.struct(
+        F.lit(f"hop{k}").alias("hop"), F.when((i % 17 != 0) if k == 1 else F.lit(True), "h").alias("arrival_hash"), F.when((i % 19 != 0) & F.lit(k == 1), i).alias("origin_sequence_number"),
+        F.when((i % 23 != 0) & F.lit(k == 1), i).alias("ingest_sequence_number"),
+    )
+    provenance = F.when(i % 13 != 0, F.slice(F.array(hop(0), hop(1), hop(2)), 1, (i % 3 + 1).cast("int")))
+    text = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    ids = F.concat_ws(",", text("id", F.when(i % 29 == 0, "7").otherwise('"d"')), text("database_id", F.when(i % 31 == 0, '"a|b"').when(i % 5 == 0, '"other"').otherwise('"db"')), F.when(i % 11 == 0, F.lit('"$x":1')))
+    rows = _t(spark, sf_dir, "events").select(
+        "event_id", "event_type", F.lit("destination").alias("aggregate_type"), F.when(i % 4 == 1, "system.audit").when(i % 4 == 2, "system.unknown").otherwise("note").alias("entry_type"), F.concat(F.lit("{"), ids, F.lit("}")).alias("data"), provenance.alias("provenance"),
+    )
+    shapes = {"system.audit": (frozenset({"destination"}), frozenset({"purchase", "view", "click", "signup"}))}
+    return rows.select("event_id", ingest.unstorable_reason(F.lit("db"), shapes, frozenset(shapes)).alias("reason"))
