@@ -38,7 +38,7 @@ from fathomlog.llm.common import discard, free_names, materialize, released, scr
 LENGTH = 200
 KGRAM = 50
 #: Bytes hashed at once, and the places that a key can hold beside 40 bits of hash.
-BLOCK, PLACE_BITS = 1 << 20, 24
+BLOCK, PLACE_BITS = 1 << 19, 24
 #: Different slices of one anchor that a shard takes.
 SHARD_SLICES = 4096
 #: Bytes of slices sorted at once.
