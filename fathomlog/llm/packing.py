@@ -31,9 +31,9 @@ from fathomlog.llm.word_bpe import gather, split_words, word_encoder
 
 #: Parts of a length at least, and rows of a part of one that has all: full pieces may be most of them.
 SALTS, SALT_ROWS = 64, 1 << 20
-CHUNK_TEXT = 2 << 20
+CHUNK_TEXT = 4 << 20
 #: Parts of words whose ids a worker remembers from batch to batch.
-REMEMBERED = 1 << 18
+REMEMBERED = 3 << 17
 
 
 def pieces(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, separator: int = 0) -> DataFrame:
