@@ -131,3 +131,13 @@ def test_seeds_assignments_and_watching(spark):
     values = spark.createDataFrame([("x",)], "value string")
     assert access.resolve_up(values, classes, {"i": index}, "b").count() == 1 and access.expand_down(values, classes, {"i": index}, "b", "a").count() == 0
     assert access.resolve_up(values, classes, {"i": spark.createDataFrame([("x", "")], "key string, parent string")}, "b").select(F.max("class")).first()[0] == "b"
+
+
+def test_watching_meets_each_session_once_per_key(spark):
+    """Changes of one role are summed up before they are joined, and one that can't be told apart closes."""
+    changes = spark.range(400).select(F.lit("role_assigned").alias("event_type"), F.col("id").alias("user_id"), F.lit("r").alias("role")).union(spark.sql("SELECT null, 7L, 'r'"))
+    sessions = spark.range(400).select(F.col("id").alias("session_id"), F.col("id").alias("user_id"), F.lit("r").alias("role"))
+    watched = access.watch(changes, sessions)
+    assert " OR " not in watched._jdf.queryExecution().optimizedPlan().toString()
+    got = dict(watched.collect())
+    assert len(got) == 400 and {k for k, v in got.items() if v == "close"} == {7}
