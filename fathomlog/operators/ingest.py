@@ -265,16 +265,16 @@ def delivery_faults(deliveries: DataFrame) -> DataFrame:
     return out.select(*marked.columns, (F.col("broken").isNull() | (F.col("delivery_number") < F.col("broken"))).alias("served"))
 
 
-def restore_choice(occurrences: DataFrame) -> DataFrame:
+def restore_choice(occurrences: DataFrame, place: tuple[str, ...] = ()) -> DataFrame:
     """What becomes of each distinct event of a restore: ``stored``, ``other_hash`` or ``unkeyed``, one row each.
 
     occurrences: (event_id, event_hash, registration, generation, delivery_number, storable, ...). Of one id and hash the lowest (registration,
-    generation, delivery_number) counts. Of an id's hashes one that can be stored comes first, then the lowest; the others
+    generation, delivery_number) counts; ``place``: columns that tell apart occurrences with the same of these, of which the lowest counts. Of an id's hashes one that can be stored comes first, then the lowest; the others
     are told apart as ``other_hash``. Rows without id can't be told apart and stay, each. Aggregates choose, map-side, so an id that is
     served over and over is no hot key.
     """
     names = occurrences.columns
-    lowest = F.struct("registration", "generation", "delivery_number")
+    lowest = F.struct("registration", "generation", "delivery_number", *place)
     keyed = occurrences.where("event_id is not null")
     once = keyed.groupBy("event_id", "event_hash").agg(F.min_by(F.struct(*names), lowest).alias("e")).select("e.*")
     order = F.struct((~F.coalesce("storable", F.lit(False))).alias("odd"), "registration", "generation", "delivery_number", "event_hash")
@@ -284,15 +284,15 @@ def restore_choice(occurrences: DataFrame) -> DataFrame:
     return chosen.select(*names, "place").unionByName(unkeyed)
 
 
-def restore(deliveries: DataFrame, occurrences: DataFrame, lineage_rank: DataFrame, predecessor: Column) -> DataFrame:
+def restore(deliveries: DataFrame, occurrences: DataFrame, lineage_rank: DataFrame, predecessor: Column, place: tuple[str, ...] = ()) -> DataFrame:
     """The events that a restore takes, in the order in which they are stored, with ``place`` and ``finding``.
 
     Only deliveries that are served count (``delivery_faults``); events that neither come from the channel's sender (``predecessor``) nor from one of its
     lineage (origin_db, rank) are ``foreign``; what can't be stored is ``event_unstorable``, an id's further hash ``identity_mismatch``. Stored events
-    come first, by lineage and origin position, then what is kept in findings alone.
+    come first, by lineage and origin position, then what is kept in findings alone. place: see ``restore_choice``.
     """
     served = delivery_faults(deliveries).where("served").select("channel", "delivery_number").distinct()
-    taken = restore_choice(occurrences.join(served, ["channel", "delivery_number"], "left_semi"))
+    taken = restore_choice(occurrences.join(served, ["channel", "delivery_number"], "left_semi"), place)
     ranked = taken.join(lineage_rank, "origin_db", "left").withColumn("from_sender", predecessor)
     finding = (
         F.when(F.col("rank").isNull() & ~F.coalesce("from_sender", F.lit(False)), "foreign")
