@@ -8,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from fathomlog.functions.canonical_json import canonical, content_hash, event_hash, verify_hash
+from fathomlog.functions.canonical_json import canonical, content_hash, event_hash, loaded_text, verify_hash
 from fathomlog.functions.timestamps import iso_of, iso_text, parse_iso
 from fathomlog.functions.values import MISSING, at_path, clean_error, composite_key, deep_merge, truncate_ip
 
@@ -109,3 +109,13 @@ def test_columns(spark):
     assert df.where("ip is not null").select(composite_key(F.col("k"), F.lit(1))).first()[0] == "x|1"
     with pytest.raises(Exception, match="row key"):
         df.select(composite_key(F.col("ip"), F.col("k"))).collect()
+
+
+def test_loaded_text_is_the_canonical_text():
+    """By the encoder where that prints the same; fractions and keys beyond U+FFFF go the long way."""
+    texts = ['{"b":[1,-2,true,null],"a":{"\\u00e9":"x:1.5","c":""}}', '{"a":1.0,"b":[2e30,-0.0,1e-7]}', '"[1.5"', "7", "-2.50", '{"\\ud800\\udc00":1,"\\uffff":2}', '{"k":123456789012345678901234567890}']
+    for text in texts:
+        value = json.loads(text)
+        assert loaded_text(value) == canonical(value)
+    with pytest.raises(ValueError):
+        loaded_text(json.loads('{"a":NaN}'))
