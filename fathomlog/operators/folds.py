@@ -162,6 +162,7 @@ def asked_operations(log: DataFrame, view: TableView, promotions: Promotions | N
     """What each event asks of a table view's rows (row_key, kind, row_data, matched, source, sequence_number), and failures (reason, detail) without key.
 
     By columns, where the definition has such a form; events whose values have none, if there are any, go through the step function.
+    What is read more than once is written first, so that payloads are opened once.
     """
     events = log.where(view.interest.condition(log))
     if log.isStreaming:
@@ -170,9 +171,11 @@ def asked_operations(log: DataFrame, view: TableView, promotions: Promotions | N
         rows, odd = columns.asked(events, view, promotions, declared)
     except columns.NoColumns:
         return _asked_by_steps(events, view, promotions, declared)
+    if odd is not None or not view.match_field:
+        rows = written(rows.select(*(EVENT if odd is not None else ("aggregate_id", "sequence_number")), "failed", "ops", "matched", "odd"))
     if odd is None or rows.where(odd).isEmpty():
         return columns.asked_rows(rows)
-    return columns.asked_rows(rows.where(~odd)).union(_asked_by_steps(rows.where(odd).select(*log.columns), view, promotions, declared))
+    return columns.asked_rows(rows.where(~odd)).union(_asked_by_steps(rows.where(odd).select(*EVENT), view, promotions, declared))
 
 
 def _asked_by_steps(events: DataFrame, view: TableView, promotions: Promotions | None = None, declared: dict | None = None) -> DataFrame:

@@ -119,12 +119,31 @@ def _data(spec) -> _Part:
     if isinstance(spec, EventTimestamp):
         moment = F.parse_json(F.concat(F.lit('"'), iso_text(F.col("client_timestamp")), F.lit('"')))
         return _Part(_named(F.lit(True), spec.name, moment))
-    if isinstance(spec, Combined):
-        parts = [_data(p) for p in spec.parts]
-        return _Part(reduce(_merged, (p.value for p in parts), _variants({})), F.coalesce(*(p.detail for p in parts), _text(None)))
     raise NoColumns(spec)
 
 
+def _parts(spec) -> list[_Part]:
+    """The fields that an extractor makes, later parts over earlier ones."""
+    return [x for p in spec.parts for x in _parts(p)] if isinstance(spec, Combined) else [_data(spec)]
+
+
+def _with_data(events: DataFrame, name: str, spec, wanted: Column) -> tuple[DataFrame, Column]:
+    """Adds ``name``, the fields that an extractor makes where they are ``wanted``; and why they can't be made.
+
+    Parts are columns of their own: a lambda over the fields of one looks at those of the others, and must not make them anew for each field.
+    """
+    parts = _parts(spec)
+    names = [f"{name}_{n}" for n in range(len(parts))]
+    out = events.withColumns({n: F.when(wanted, p.value) for n, p in zip(names, parts, strict=True)})
+
+    def own(n: int) -> Column:
+        return F.map_filter(names[n], lambda k, _: ~reduce(lambda a, b: a | b, (F.map_contains_key(c, k) for c in names[n + 1 :])))
+
+    left = [own(n) if n + 1 < len(names) else F.col(names[n]) for n in range(len(names))]
+    value = F.map_concat(*left) if len(left) > 1 else left[0] if left else _variants({})
+    return out.withColumn(name, value).drop(*names), F.coalesce(*(p.detail for p in parts), _text(None))
+
+
 def json_of(fields: Column) -> Column:
     """A map of fields to JSON texts as one JSON object."""
     quoted = lambda k: F.substring(F.to_json(F.array(k)), F.lit(2), F.length(F.to_json(F.array(k))) - 2)
@@ -178,13 +197,14 @@ def asked(log: DataFrame, view: TableView, promotions: Promotions | None = None,
     kind = reduce(lambda out, k: F.when(F.col("event_type").isin(*sorted(k[1])), k[0]).otherwise(out) if k[1] else out, reversed(kinds), F.lit("none"))
     events = _promoted(log, view, promotions, declared).withColumn("__kind", kind)
     key = _key(view.row_key)
-    made = {"insert": _data(view.row_data), "update": _data(view.update_data)}
     is_ = lambda k: F.col("__kind") == k
-    data = F.when(is_("insert"), made["insert"].value).when(is_("update"), made["update"].value).otherwise(_variants({}))
-    data_detail = F.when(is_("insert"), made["insert"].detail).when(is_("update"), made["update"].detail)
+    events, insert_detail = _with_data(events, "__insert", view.row_data, is_("insert"))
+    events, update_detail = _with_data(events, "__update", view.update_data, is_("update"))
+    texts = F.when(is_("insert"), F.to_json("__insert")).when(is_("update"), F.to_json("__update")).otherwise("{}")
+    data_detail = F.when(is_("insert"), insert_detail).when(is_("update"), update_detail)
     failed = F.struct(F.lit("row_key_failed").alias("reason"), key.detail.alias("detail"))
     data_failed = F.struct(F.lit("row_data_failed").alias("reason"), data_detail.alias("detail"))
-    one = F.array(F.struct(key.value.alias("row_key"), F.col("__kind").alias("kind"), json_of(texts_of(data)).alias("row_data")))
+    one = F.array(F.struct(key.value.alias("row_key"), F.col("__kind").alias("kind"), texts.alias("row_data")))
     empty = F.expr("cast(array() as array<struct<row_key:string,kind:string,row_data:string>>)")
     keyed = F.col("__kind").isin("insert", "update", "remove")
     odd = F.when(keyed, key.odd).otherwise(F.lit(False))
@@ -215,11 +235,12 @@ def asked(log: DataFrame, view: TableView, promotions: Promotions | None = None,
 
 def asked_rows(rows: DataFrame) -> DataFrame:
     """(row_key, kind, row_data, matched, source, sequence_number, reason, detail) of what ``asked`` gives."""
-    source = F.col("aggregate_id").cast("string").alias("source")
-    place, none = F.col("sequence_number").cast("long").alias("sequence_number"), _text(None)
-    operations = rows.select("matched", source, place, F.explode("ops").alias("o")).select("o.row_key", "o.kind", "o.row_data", "matched", "source", "sequence_number", none.alias("reason"), none.alias("detail"))
-    failures = rows.where("failed is not null").select(none.alias("row_key"), none.alias("kind"), none.alias("row_data"), none.alias("matched"), source, place, "failed.reason", "failed.detail")
-    return operations.union(failures)
+    source, place = F.col("aggregate_id").cast("string").alias("source"), F.col("sequence_number").cast("long").alias("sequence_number")
+    none = _text(None)
+    done = F.transform("ops", lambda o: F.struct(o["row_key"].alias("row_key"), o["kind"].alias("kind"), o["row_data"].alias("row_data"), none.alias("reason"), none.alias("detail")))
+    lost = F.array(F.struct(none.alias("row_key"), none.alias("kind"), none.alias("row_data"), F.col("failed.reason").alias("reason"), F.col("failed.detail").alias("detail")))
+    every = F.when(F.col("failed").isNull(), done).otherwise(F.concat(done, lost))
+    return rows.select("matched", source, place, F.explode(every).alias("o")).select("o.row_key", "o.kind", "o.row_data", F.when(F.col("o.reason").isNull(), F.col("matched")).alias("matched"), "source", "sequence_number", "o.reason", "o.detail")
 
 
 def table_rows(operations: DataFrame, held: DataFrame | None = None) -> DataFrame:

@@ -97,6 +97,12 @@ def test_plans_have_no_python(spark, sf_dir, name):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+@pytest.mark.parametrize("name", ["view_row_data", "view_listed_keys", "view_promoted_table"])
+def test_payloads_are_opened_once(spark, sf_dir, name):
+    """Rows and failures read what was asked as written, not the log again."""
+    assert "Window" not in getattr(decision_queries, name)(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_other_definitions_go_through_steps(spark):
     log = spark.createDataFrame([event(1, "a", "added", {"k": 1})], LOG)
     view = TableView("own", Interest(), frozenset({"added"}), frozenset(), lambda e: "key", WholePayload())
