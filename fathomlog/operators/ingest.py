@@ -184,19 +184,24 @@ def accept_deliveries(deliveries: DataFrame) -> DataFrame:
 
     A channel is worked off by blocks of arrivals in parallel. A block takes few states any further: those that one of its deliveries
     links to and that an earlier block may have left, which is only where the delivery that makes the state arrived earlier. Where those lead is walked
-    block by block, a handful of rows each; then every block is walked from the state that it is entered in.
+    block by block, a handful of rows each; then every block is walked from the state that it is entered in. Only channels of several blocks need that.
     """
     sound = F.coalesce(F.col("delivery_hash") == F.col("computed_hash"), F.lit(False))
     block = F.floor(F.col("arrival") / F.lit(BLOCK)).cast("long")
     dealt = written(deliveries.select(F.col("channel").cast("string").alias("channel"), "arrival", F.col("delivery_number").cast("long").alias("delivery_number"), "delivery_hash", "previous_hash", sound.alias("sound"), block.alias("block")))
-    steps = dealt.repartition("channel", "block").sortWithinPartitions("channel", "block", F.desc("arrival")).mapInArrow(_steps, _STEP)
-    born = dealt.where("sound").groupBy(F.col("channel").alias("b_channel"), F.col("delivery_number").alias("b_number"), F.col("delivery_hash").alias("b_digest")).agg(F.min("block").alias("born"))
+    # Most channels are one block, which is entered in the first state.
+    spans = dealt.groupBy(F.col("channel").alias("l_channel")).agg(F.min("block").alias("low"), F.max("block").alias("high"))
+    several = written(spans.where("low < high").select("l_channel"))
+    long = dealt.join(several, F.col("channel").eqNullSafe(F.col("l_channel")), "left_semi")
+    steps = long.repartition("channel", "block").sortWithinPartitions("channel", "block", F.desc("arrival")).mapInArrow(_steps, _STEP)
+    born = long.where("sound").groupBy(F.col("channel").alias("b_channel"), F.col("delivery_number").alias("b_number"), F.col("delivery_hash").alias("b_digest")).agg(F.min("block").alias("born"))
     made = F.col("channel").eqNullSafe(F.col("b_channel")) & (F.col("number") == F.col("b_number")) & F.col("digest").eqNullSafe(F.col("b_digest"))
     possible = F.col("marker") | (F.col("born") < F.col("block")) | ((F.col("number") == 0) & F.col("digest").isNull())
     few = steps.join(born, made, "left").where(possible).select(*[x.split()[0] for x in _STEP.split(", ")])
     entered = few.repartition("channel").sortWithinPartitions("channel", "block", "marker").mapInArrow(_entries, _STATE)
-    entered = entered.select(F.col("channel").alias("e_channel"), F.col("block").alias("e_block"), "number", "digest")
-    joined = dealt.join(entered, F.col("channel").eqNullSafe(F.col("e_channel")) & (F.col("block") == F.col("e_block"))).drop("e_channel", "e_block")
+    entered = written(entered.select(F.col("channel").alias("e_channel"), F.col("block").alias("e_block"), "number", "digest"))
+    joined = dealt.join(entered, F.col("channel").eqNullSafe(F.col("e_channel")) & (F.col("block") == F.col("e_block")), "left").drop("e_channel", "e_block")
+    joined = joined.withColumn("number", F.coalesce("number", F.lit(0)))
     return joined.repartition("channel", "block").sortWithinPartitions("channel", "block", "arrival").mapInArrow(_outcomes, ACCEPTED)
 
 

@@ -209,3 +209,11 @@ def test_restore_tells_occurrences_of_one_line_apart(spark):
     for order in (rows, rows[::-1]):
         chosen = ingest.restore_choice(spark.createDataFrame(order, schema).repartition(3), ("at",))
         assert {(r.event_id, r.event_hash): (r.origin_db, r.place) for r in chosen.collect()} == {(1, "x"): (1, "stored"), (2, "a"): (2, "stored"), (2, "b"): (1, "other_hash")}
+
+
+def test_channels_of_one_block_are_walked_once(spark):
+    """No steps and entries are worked out for them in the plan of the outcomes; a null channel is one too."""
+    rows = [(c, n, n, f"{n}", f"{n - 1}" if n > 1 else None, f"{n}") for c in ("a", None) for n in (1, 2, 3)]
+    out = ingest.accept_deliveries(spark.createDataFrame(rows, "channel string, arrival long, delivery_number long, delivery_hash string, previous_hash string, computed_hash string"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert [r.outcome for r in out.collect()] == ["accepted"] * 6
