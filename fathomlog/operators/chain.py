@@ -88,13 +88,21 @@ def predecessors_judged(refs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def predecessor_break(log: DataFrame, holder: str | None = None) -> DataFrame:
-    """Events whose predecessor belongs to another origin, stands no earlier, or is missing though ``holder`` wrote them."""
-    broken = predecessors_judged(log, log)
+    """Events whose predecessor belongs to another origin, stands no earlier, or is missing though ``holder`` wrote them; one join tells all three."""
     if holder is None:
-        return broken
-    held = log.select(F.col("sealed_hash").alias("previous_event_hash")).distinct()
-    lost = log.where("previous_event_hash is not null").where(F.col("held_as_authored_by") == holder).join(held, "previous_event_hash", "left_anti")
-    return broken.unionByName(_found(lost, "predecessor_break", F.lit("dangling")))
+        return predecessors_judged(log, log)
+    sealed = log.select(F.col("sealed_hash").alias("p_hash"), F.col("origin_db").alias("p_db"), F.col("origin_position").alias("p_pos"))
+    joined = log.where("previous_event_hash is not null").join(sealed, F.col("previous_event_hash") == F.col("p_hash"), "left")
+    held = F.col("p_hash").isNotNull()
+    why = (
+        F.when(~held, F.when(F.col("held_as_authored_by") == holder, "dangling"))
+        .when(~F.col("p_db").eqNullSafe(F.col("origin_db")), "other_origin")
+        .when(F.col("p_pos") >= F.col("origin_position"), "not_earlier")
+    )
+    found = _found(joined.withColumn("why", why).where("why is not null"), "predecessor_break", F.col("why"))
+    # Several held events may share a hash, and say the same of one event; those that lack theirs are one row each.
+    once = found.groupBy(*FINDING).agg(F.count("*").alias("__n"))
+    return once.select(*FINDING, F.explode(F.array_repeat(F.lit(True), F.when(F.col("detail") == "dangling", F.col("__n")).otherwise(1).cast("int"))).alias("__each")).drop("__each")
 
 
 def unresolved_predecessors(log: DataFrame, holder: str | None = None) -> DataFrame:
