@@ -21,11 +21,12 @@ bits, where neither counts nor bits tell them from strangers. ``keep_one`` there
 among all distinct texts for that similarity (of the sets of their shingles, intersection
 over union) with candidates from ``BANDS`` bands of ``ROWS`` min-hashes, which share one but
 for 8 in a million such pairs, while texts that share a passage of a third of them meet in one of 30; every candidate is verified on the shingles of both texts. A
-bucket of candidates isn't compared pair by pair, but with some leaders at a time: who is
-similar to a smaller leader leaves the bucket, a leader has met all of it and leaves too,
-and the others meet twice as many leaders next. Who left without meeting others of the
-bucket meets them in the end, unless links join the two already or their gaps to the leader
-rule the pair out. So the links have the components of all similar candidates, and a group
+bucket of candidates isn't compared pair by pair, but with a leader at a time (first who meets most others) as long as many leave, and with some then: who is
+similar to an earlier leader leaves the bucket, a leader has met all of it and leaves too,
+and the others meet twice as many leaders next. A bucket whose texts the links of the first
+round join already is done. Who left without meeting others of the
+bucket meets them in the end, unless links join the two already or what sets both apart from the leader
+rules the pair out. So the links have the components of all similar candidates, and a group
 of copies costs a few rows each.
 
 Defined results: a null text is empty; a text without words has fingerprint zero,
@@ -49,8 +50,10 @@ from fathomlog.llm.components import connected_components
 SEGMENTS = 16
 #: Cells of more members are resolved by single-bit neighbours in place of pairs.
 DENSE = 48
-#: Bands of min-hashes and min-hashes in one; leaders of a bucket in the first round.
+#: Bands of min-hashes and min-hashes in one; leaders of a bucket in the first round with several.
 BANDS, ROWS, LEADERS = 50, 7, 8
+#: Longs that mark the shingles by which two texts differ.
+MARKS = 16
 
 _rng = np.random.default_rng(11)
 _FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -190,26 +193,35 @@ def _shingle_sets(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, gap, similar) for pairs (a, b): how many shingles only one of them has, and whether they are similar."""
+    """(a, b, gap, marks, extra, similar) for pairs (a, b): how many shingles only one of them has, and whether they are similar.
+
+    marks: the bits on which those shingles fall, as longs; extra: how many fall on a bit that another has set.
+    """
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gaps, similar = [], []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+            gaps, marks, similar = [], np.zeros((batch.num_rows, MARKS * 64), np.uint8), []
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
                 one, other = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(one, other, assume_unique=True))
-                gaps.append(len(one) + len(other) - 2 * both)
+                apart = np.setxor1d(one, other, assume_unique=True)
+                both = (len(one) + len(other) - len(apart)) // 2
+                gaps.append(len(apart))
+                marks[i, (apart % np.uint64(MARKS * 64)).astype(np.int64)] = 1
                 similar.append(both >= similarity * (len(one) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(gaps, pa.int64()), pa.array(similar, pa.bool_())], ["a", "b", "gap", "similar"])
+            extra = np.array(gaps, np.int64) - marks.sum(axis=1, dtype=np.int64)
+            packed = pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(marks, axis=1).reshape(-1).view(np.int64)), MARKS).cast(pa.list_(pa.int64()))
+            columns = [batch.column("a"), batch.column("b"), pa.array(gaps, pa.int64()), packed, pa.array(extra), pa.array(similar, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "gap", "marks", "extra", "similar"])
 
     kind = pairs.schema["a"].dataType.simpleString()
     joined = pairs.join(sets.select(F.col("o").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("o").alias("b"), F.col("s").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(released(compared), f"a {kind}, b {kind}, gap long, similar boolean")
+    return joined.select("a", "b", "x", "y").mapInArrow(released(compared), f"a {kind}, b {kind}, gap long, marks array<long>, extra long, similar boolean")
 
 
-def _crowded(members: DataFrame) -> DataFrame:
-    """Members (bucket, o) of buckets that hold more than one."""
-    counts = materialize(members.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket"))
+def _crowded(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (bucket, o) of buckets that hold more than one component of ``roots`` (node, root)."""
+    own = members.select("bucket", _plain("o").alias("node")).join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("root"))
+    counts = materialize(own.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("bucket"))
     held = materialize(members.join(broadcast_if_small(counts, 16), "bucket"))
     discard(counts)
     return held
@@ -224,6 +236,17 @@ def _ordered(one: str, other: str) -> list[Column]:
     return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
 
 
+def _plain(o: str) -> Column:
+    """A member as the node that it is, without what orders leaders."""
+    return F.struct(*(F.col(f"{o}.{c}").alias(c) for c in ("none", "id", "text_hash", "n")))
+
+
+def _links(tried: DataFrame) -> DataFrame:
+    """(a, b) of similar pairs, in the order of nodes."""
+    one, other = _plain("a"), _plain("b")
+    return tried.where("similar").select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b"))
+
+
 def similar_links(nodes: DataFrame, known: DataFrame, texts: DataFrame, *, words: int, similarity: float) -> DataFrame:
     """(a, b) between texts (o, bands), a being the smaller: with ``known`` links, they connect what all similar pairs connect.
 
@@ -231,10 +254,13 @@ def similar_links(nodes: DataFrame, known: DataFrame, texts: DataFrame, *, words
     """
     placed = nodes.select("o", F.explode(F.array_distinct("bands")).alias("bucket"))
     # Counted first, as few buckets hold more than one: only members of those are written.
-    counts = materialize(placed.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1").select("bucket"))
-    members = materialize(placed.join(broadcast_if_small(counts, 16), "bucket"))
-    discard(counts)
-    leaders, tried = LEADERS, None
+    counts = materialize(placed.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1"))
+    held = materialize(placed.join(broadcast_if_small(counts, 24), "bucket"))
+    # Who meets most others in all its buckets leads first: the text that others were made of, if it is there.
+    degrees = held.groupBy("o").agg((-F.sum("held")).alias("d"))
+    members = materialize(held.select("bucket", "o").join(degrees, "o").select("bucket", F.struct("d", "o.*").alias("o")))
+    discard(counts, held)
+    leaders, single, tried, roots = 1, True, None, None
     if members.isEmpty():
         return known
     sets = _shingle_sets(members.select("o").distinct(), texts, words)
@@ -246,37 +272,50 @@ def similar_links(nodes: DataFrame, known: DataFrame, texts: DataFrame, *, words
         pairs = met.select(*_ordered("o", "leader")).distinct()
         # Pairs that have met in another bucket before aren't compared again.
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        close = _close("a", "b", similarity)
-        apart = pairs.where(~close).select("a", "b", F.abs(F.col("a.n") - F.col("b.n")).alias("gap"), F.lit(False).alias("similar"))
-        now = materialize(_compared(pairs.where(close), sets, similarity).union(apart))
+        now = materialize(_compared(pairs, sets, similarity))
         tried = now if tried is None else tried.union(now)
         below = met.where(F.col("leader") < F.col("o")).select("bucket", F.col("leader").alias("a"), F.col("o").alias("b"))
         done = materialize(below.join(tried.where("similar"), ["a", "b"]).select("bucket", F.col("b").alias("o")).union(led.select("bucket", "leader")).distinct())
-        left = _crowded(members.join(done, ["bucket", "o"], "left_anti"))
+        left = members.join(done, ["bucket", "o"], "left_anti")
+        if roots is None:
+            # The first leaders have found most of each group: buckets within one are done.
+            roots = materialize(connected_components(known.union(_links(tried))))
+        left = _crowded(left, roots)
+        # One leader at a time, which makes a row for a member, as long as a quarter of them leaves.
+        if single:
+            single = 4 * left.count() <= 3 * members.count()
+            leaders = 1 if single else LEADERS
+        else:
+            leaders *= 2
         discard(led, pairs, done, members)
         members = left
-        leaders *= 2
-    found = known.union(tried.where("similar").select("a", "b"))
+    found = known.union(_links(tried))
     missed = _missed(tried, found, similarity)
-    return found if missed.isEmpty() else found.union(materialize(_compared(missed, sets, similarity)).where("similar").select("a", "b"))
+    return found if missed.isEmpty() else found.union(_links(materialize(_compared(missed, sets, similarity))))
 
 
 def _missed(tried: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) that haven't met as one left a bucket before, and may join components of the links ``found``.
 
-    Who left was similar to a leader whom the other one met, so the gaps to that leader bound the gap of the pair from below.
+    Who left was similar to a leader whom the other one met. The gap of the pair is that of both to the leader, less twice the
+    shingles that are in both of these gaps; their marks bound those from above.
     """
     share, slack = (1 - similarity) / (1 + similarity), 1e-6  # similar pairs have a gap of ``share`` of their sizes' sum at most
-    left = tried.where("similar").select(F.col("a").alias("leader"), F.col("b").alias("o"), "gap")
+    left = tried.where("similar").select(F.col("a").alias("leader"), F.col("b").alias("o"), "gap", F.col("marks").alias("m"), F.col("extra").alias("e"))
     reach = materialize(left.groupBy("leader").agg(F.max(F.col("gap") + share * F.col("o.n")).alias("reach")))
-    met = tried.select(F.col("a").alias("leader"), F.col("b").alias("x"), F.col("gap").alias("far"))
-    met = met.union(tried.select(F.col("b").alias("leader"), F.col("a").alias("x"), F.col("gap").alias("far")))
+    met = tried.select(F.col("a").alias("leader"), F.col("b").alias("x"), F.col("gap").alias("far"), "marks", "extra")
+    met = met.union(tried.select(F.col("b").alias("leader"), F.col("a").alias("x"), F.col("gap").alias("far"), "marks", "extra"))
     met = materialize(met.join(reach, "leader").where(F.col("far") <= F.col("reach") + share * F.col("x.n") + slack).drop("reach"))
     roots = materialize(connected_components(found))
-    own = roots.select(F.col("node").alias("leader"), F.col("root").alias("one"))
-    other = roots.select(F.col("node").alias("x"), F.col("root").alias("other"))
-    met = materialize(met.join(own, "leader").join(other, "x", "left").where("other is null or one <> other").select("leader", "x", "far"))
-    pairs = left.join(met, "leader").where(F.abs(F.col("far") - F.col("gap")) <= share * (F.col("o.n") + F.col("x.n")) + slack).where(_close("o", "x", similarity))
+    own = roots.select(F.col("node").alias("n1"), F.col("root").alias("one"))
+    other = roots.select(F.col("node").alias("n2"), F.col("root").alias("other"))
+    met = met.withColumn("n1", _plain("leader")).withColumn("n2", _plain("x")).join(own, "n1").join(other, "n2", "left")
+    met = materialize(met.where("other is null or one <> other").select("leader", "x", "far", "marks", "extra"))
+    most = share * (F.col("o.n") + F.col("x.n")) + slack
+    shared = F.least("e", "extra")
+    for i in range(MARKS):
+        shared += F.bit_count(F.col("m")[i].bitwiseAND(F.col("marks")[i]))
+    pairs = left.join(met, "leader").where(_close("o", "x", similarity)).where(F.abs(F.col("far") - F.col("gap")) <= most).where(F.col("gap") + F.col("far") - 2 * shared <= most)
     return materialize(pairs.select(*_ordered("o", "x")).distinct().join(tried, ["a", "b"], "left_anti"))
 
 

@@ -287,6 +287,29 @@ def test_keep_one_of_groups_held_together_by_one_member(spark, monkeypatch, lead
     assert kept == brute_force_kept(rows)
 
 
+def test_keep_one_compares_copies_of_one_text_with_few(spark, monkeypatch):
+    """Copies similar to their base only, and texts that are no copies but share much with it: neither meet in pairs."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+
+    def changed(step):
+        return [word() if i % step == at else w for at in [r.randrange(step)] for i, w in enumerate(base)]
+
+    texts = [changed(50) for _ in range(150)] + [base] + [changed(23) for _ in range(40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    compared, seen = simhash._compared, []
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_compared", counted)
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == brute_force_kept(rows)
+    assert sum(seen) < 2500
+
+
 # Substrings.
 
 
