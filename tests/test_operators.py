@@ -226,3 +226,42 @@ def test_predecessors_are_joined_once(spark):
     found = chain.predecessor_break(spark.createDataFrame(rows, schema), "d")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     assert sorted((r.event_id, r.detail) for r in found.collect()) == [("c", "other_origin"), ("x", "dangling"), ("x", "dangling"), ("z", "not_earlier")]
+
+
+def test_links_over_blocks(spark, monkeypatch):
+    """Neighbours across the blocks' ends, gaps, positions held twice; a log dealt by its chains isn't dealt again."""
+    monkeypatch.setattr(chain, "BLOCK", 3)
+    rows = []
+    for db in (None, "a", "b"):
+        for p in [1, 2, 3, 4, 5, 6, 6, 7, 8, 11, 12, 13]:
+            place = p + (p == 5)
+            rows.append((db, p, f"{db}-{len(rows)}", f"h{db}{p}{len(rows) % 2}", place, None if p == 1 else f"h{db}{p - 1}{p % 2}"))
+    rows += [("c", 1, "c-1", "x", 1, "y"), ("c", None, "c-0", "x", None, "y")]
+    log = spark.createDataFrame(rows, "db string, sequence_number long, event_id string, event_hash string, ingest_sequence_number long, previous_ingest_hash string")
+    expected = []
+    for db, p, event, _, place, before in rows:
+        held = [r[3] for r in rows if r[0] == db and p is not None and r[1] == p - 1]
+        for h in held or [None]:
+            if place != p:
+                expected.append((event, "ingest_sequence_number"))
+            elif before is not None if p == 1 else held and before != h:
+                expected.append((event, "previous_ingest_hash"))
+    dealt = chain.storage_link_break(log.repartition(4, "db"), chain=["db"])
+    assert sorted((r.event_id, r.detail) for r in dealt.collect()) == sorted(expected)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") <= 2 and "Join" not in plan
+
+
+def test_chains_read_the_log_once(spark, tmp_path):
+    """Every check reads what was written first, not the log's own sources."""
+    rows = [(n, str(n), "a", f"h{n}", f"h{n}", "db", n, f"h{n - 1}" if n > 1 else None, "db", n, f"h{n - 1}" if n > 1 else None) for n in range(1, 6)]
+    log = spark.createDataFrame(
+        rows, "sequence_number long, event_id string, aggregate_id string, event_hash string, sealed_hash string, origin_db string, origin_position long, previous_event_hash string, held_as_authored_by string, "
+        "ingest_sequence_number long, previous_ingest_hash string",
+    )
+    log.write.parquet(f"{tmp_path}/own-source")
+    causal = "named_struct('kind', 'version', 'eligible', false, 'parents', cast(array() as array<struct<event_id:string,event_hash:string>>)) as causal"
+    log = spark.read.parquet(f"{tmp_path}/own-source").selectExpr("*", causal, "if(sequence_number = 4, 'bad', event_hash) as expected")
+    found = chain.verify_chains(log, holder="db", expected_hash=F.col("expected"))
+    assert [(r.kind, r.sequence_number) for r in found.collect()] == [("hash_mismatch", 4)]
+    assert not any("own-source" in f for f in found.inputFiles())
