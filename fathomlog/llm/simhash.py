@@ -21,10 +21,12 @@ bits, where neither counts nor bits tell them from strangers. ``keep_one`` there
 among all distinct texts for that similarity (of the sets of their shingles, intersection
 over union) with candidates from ``BANDS`` bands of ``ROWS`` min-hashes, which share one but
 for 8 in a million such pairs, while texts that share a passage of a third of them meet in one of 30; every candidate is verified on the shingles of both texts. A
-bucket of candidates isn't compared pair by pair, but with a leader at a time (first who meets most others) as long as many leave, and with some then: who is
-similar to an earlier leader leaves the bucket, a leader has met all of it and leaves too,
-and the others meet twice as many leaders next. A bucket whose texts the links of the first
-round join already is done. Who left without meeting others of the
+bucket of candidates isn't compared pair by pair, but with a leader at a time (first who meets most others) as long as many leave: who is
+similar to a leader leaves the bucket, and a leader has met all of it and leaves too. A bucket whose texts the links of the first
+round join already is done. What leaders no longer thin out are texts that share a passage without being copies: they are dealt anew, by their
+rarest shingles, so many of them that two similar texts share one (whatever the order of shingles, so a bounded sketch of
+their counts may set it), meet some leaders in those buckets as long as many leave, and then each other where the shingle's place among those of either allows them to be similar.
+Texts that links of the first round join don't meet. Who left without meeting others of the
 bucket meets them in the end, unless links join the two already or what sets both apart from the leader
 rules the pair out. So the links have the components of all similar candidates, and a group
 of copies costs a few rows each.
@@ -44,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomlog.llm.common import broadcast_if_small, discard, free_names, materialize, released, scratch_scope, slices, with_text
+from fathomlog.llm.common import broadcast_if_small, discard, free_names, materialize, pack, released, scratch_scope, slices, unpack, with_text
 from fathomlog.llm.components import connected_components
 
 SEGMENTS = 16
@@ -54,6 +56,8 @@ DENSE = 48
 BANDS, ROWS, LEADERS = 50, 7, 8
 #: Longs that mark the shingles by which two texts differ.
 MARKS = 16
+#: Counters of the sketch that tells rare shingles, and the parts in which it is summed up.
+SLOTS, PARTS = 1 << 18, 16
 
 _rng = np.random.default_rng(11)
 _FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -219,14 +223,75 @@ def _compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _crowded(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (bucket, o) of buckets that hold more than one component of ``roots`` (node, root)."""
-    own = members.select("bucket", _plain("o").alias("node")).join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("root"))
-    counts = materialize(own.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other").select("bucket"))
-    held = materialize(members.join(broadcast_if_small(counts, 16), "bucket"))
+    """Members (bucket, o, place, lead) of buckets that hold more than one component of ``roots`` (node, root), and someone who may lead; with their roots."""
+    own = members.drop("root").withColumn("node", _plain("o")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+    counts = materialize(own.groupBy("bucket").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.max("lead").alias("led")).where("one <> other and led").select("bucket"))
+    held = materialize(own.join(broadcast_if_small(counts, 16), "bucket"))
     discard(counts)
     return held
 
 
+def _shingle_counts(sets: DataFrame) -> np.ndarray:
+    """Of shingles of (o, s), by their hash modulo ``SLOTS``, in how many sets they are; other shingles of the slot count, too."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for s in batch.column("s"):
+                np.add.at(counts, (np.frombuffer(s.as_buffer(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), 1)
+        parts = [(i, pack(part.tobytes())) for i, part in enumerate(np.split(counts, PARTS)) if part.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], ["part", "counts"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(unpack(c.as_py()), np.int64) for c in table.column("counts"))
+        return pa.table([table.column("part")[:1], pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
+
+    schema = "part int, counts binary"
+    out = np.zeros((PARTS, SLOTS // PARTS), np.int64)
+    for r in sets.select("s").mapInArrow(released(counted), schema).groupBy("part").applyInArrow(summed, schema).collect():  # the sketch's parts
+        out[r.part] = np.frombuffer(r.counts, np.int64)
+    return out.reshape(-1)
+
+
+def _by_rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, o, place, lead) of sets (o, s): their rarest shingles that others may have, of which two similar sets share one, and the shorter may lead.
+
+    Similar sets share ``similarity`` of either at least, and twice that over 1 more than it of the shorter. So, in any order of shingles, one that
+    both have is among the first of either when those are all but that share, and one more; and among the first so reckoned that lead of the shorter.
+    """
+    counts = np.minimum(_shingle_counts(sets), np.iinfo(np.int32).max).astype(np.int32)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found, place, lead = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+            for i, s in enumerate(batch.column("s")):
+                h = np.frombuffer(s.as_buffer(), np.uint64)
+                held = counts[(h % np.uint64(SLOTS)).astype(np.int64)]
+                first = np.lexsort((h, held))[: len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1]
+                # What one text alone has leads to no other.
+                shared = held[first] > 1
+                found.append(h[first[shared]])
+                place.append(np.flatnonzero(shared))
+                lead.append(place[-1] <= len(h) - int(np.ceil(2 * similarity / (1 + similarity) * len(h) - 1e-6)))
+                at.append(np.full(len(found[-1]), i))
+            rows = pa.array(np.concatenate([np.zeros(0, np.int64), *at]), pa.int64())
+            columns = [pa.array(np.concatenate(found).view(np.int64)), batch.column("o").take(rows), pa.array(np.concatenate(place)), pa.array(np.concatenate(lead))]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "o", "place", "lead"])
+
+    kind = sets.schema["o"].dataType.simpleString()
+    return materialize(sets.select("o", "s").mapInArrow(released(rarest), f"bucket long, o {kind}, place long, lead boolean"))
+
+
+def _met_by_places(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of members (bucket, o, place, lead, root) that can be similar with the bucket's shingle as the first that both have."""
+    one = members.where("lead").select("bucket", F.col("o").alias("leader"), F.col("place").alias("at"), F.col("root").alias("own"))
+    # Of either no more are shared than come from there on.
+    most = F.least(F.col("leader.n") - F.col("at"), F.col("o.n") - F.col("place"))
+    allowed = most >= F.lit(similarity / (1 + similarity)) * (F.col("leader.n") + F.col("o.n")) - 1e-6
+    met = members.join(one, "bucket").where((F.col("root") != F.col("own")) & (F.col("leader.n") <= F.col("o.n")) & allowed & (F.col("leader") != F.col("o")))
+    return met.select(*_ordered("o", "leader")).distinct()
+
+
 def _close(one: str, other: str, similarity: float) -> Column:
     """Whether two sizes allow the similarity."""
     return F.least(f"{one}.n", f"{other}.n") >= F.lit(similarity) * F.greatest(f"{one}.n", f"{other}.n")
@@ -258,17 +323,18 @@ def similar_links(nodes: DataFrame, known: DataFrame, texts: DataFrame, *, words
     held = materialize(placed.join(broadcast_if_small(counts, 24), "bucket"))
     # Who meets most others in all its buckets leads first: the text that others were made of, if it is there.
     degrees = held.groupBy("o").agg((-F.sum("held")).alias("d"))
-    members = materialize(held.select("bucket", "o").join(degrees, "o").select("bucket", F.struct("d", "o.*").alias("o")))
+    members = materialize(held.select("bucket", "o").join(degrees, "o").select("bucket", F.struct("d", "o.*").alias("o"), F.lit(0).cast("long").alias("place"), F.lit(True).alias("lead"), F.col("o").alias("root")))
     discard(counts, held)
-    leaders, single, tried, roots = 1, True, None, None
+    leaders, dealt, tried, roots = 1, False, None, None
     if members.isEmpty():
         return known
     sets = _shingle_sets(members.select("o").distinct(), texts, words)
     while not members.isEmpty():
         salt = F.pmod(F.xxhash64("o"), F.lit(leaders))
-        led = materialize(members.groupBy("bucket", salt.alias("salt")).agg(F.min("o").alias("leader")).select("bucket", "leader"))
+        led = members.where("lead").groupBy("bucket", salt.alias("salt")).agg(F.min(F.struct("o", "root")).alias("l"))
+        led = materialize(led.select("bucket", F.col("l.o").alias("leader"), F.col("l.root").alias("own")))
         # Sizes further apart than the square of the similarity leave no text that is similar to both.
-        met = members.join(led, "bucket").where(F.col("o") != F.col("leader")).where(_close("o", "leader", similarity * similarity - 1e-9))
+        met = members.join(led, "bucket").where((F.col("o") != F.col("leader")) & (F.col("root") != F.col("own"))).where(_close("o", "leader", similarity * similarity - 1e-9))
         pairs = met.select(*_ordered("o", "leader")).distinct()
         # Pairs that have met in another bucket before aren't compared again.
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
@@ -281,14 +347,19 @@ def similar_links(nodes: DataFrame, known: DataFrame, texts: DataFrame, *, words
             # The first leaders have found most of each group: buckets within one are done.
             roots = materialize(connected_components(known.union(_links(tried))))
         left = _crowded(left, roots)
-        # One leader at a time, which makes a row for a member, as long as a quarter of them leaves.
-        if single:
-            single = 4 * left.count() <= 3 * members.count()
-            leaders = 1 if single else LEADERS
-        else:
-            leaders *= 2
+        # Leaders, which make a row for a member each, as long as a quarter of the members leaves.
+        thinned = 4 * left.count() <= 3 * members.count()
         discard(led, pairs, done, members)
         members = left
+        if not thinned and dealt:
+            pairs = materialize(_met_by_places(members, similarity).join(tried, ["a", "b"], "left_anti"))
+            tried = tried.union(materialize(_compared(pairs, sets, similarity)))
+            break
+        if not thinned:
+            rest = materialize(sets.join(materialize(members.select("o").distinct()), "o", "left_semi"))
+            members = _crowded(_by_rare_shingles(rest, similarity), roots)
+            leaders, dealt = LEADERS, True
+            discard(left)
     found = known.union(_links(tried))
     missed = _missed(tried, found, similarity)
     return found if missed.isEmpty() else found.union(_links(materialize(_compared(missed, sets, similarity))))

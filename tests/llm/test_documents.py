@@ -310,6 +310,37 @@ def test_keep_one_compares_copies_of_one_text_with_few(spark, monkeypatch):
     assert sum(seen) < 2500
 
 
+def test_keep_one_deals_texts_with_a_common_passage_by_rare_shingles(spark, monkeypatch):
+    """Texts that share a passage and meet in bands, without being copies, are not compared in pairs; copies among them are found."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(150)]
+    texts = [passage + [word() for _ in range(50)] for _ in range(120)]
+    texts += [[*t[:170], word(), *t[171:]] for t in texts[10:15]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    compared, seen = simhash._compared, []
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_compared", counted)
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == brute_force_kept(rows) == set(range(120))
+    assert sum(seen) < 2000
+
+
+@pytest.mark.parametrize("size", [1, 4, 5, 9, 40])
+def test_similar_sets_share_a_rare_shingle(spark, size):
+    """Sets that are similar to the very bound meet by their rarest shingles."""
+    r = random.Random(size)
+    common = [r.getrandbits(64) for _ in range(4 * size)]
+    rows = [(i, np.array(sorted([*common, *(r.getrandbits(64) for _ in range(own))]), np.uint64).tobytes()) for i, own in enumerate((size, 0))]
+    rows += [(i, np.array(sorted(r.getrandbits(64) for _ in range(50)), np.uint64).tobytes()) for i in range(2, 12)]
+    got = simhash._by_rare_shingles(spark.createDataFrame(rows, "o long, s binary"), 0.8).collect()
+    assert {x.bucket for x in got if x.o == 0} & {x.bucket for x in got if x.o == 1}
+
+
 # Substrings.
 
 
