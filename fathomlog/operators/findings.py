@@ -100,18 +100,17 @@ def mark_rows(findings: DataFrame, authors: DataFrame, members: DataFrame) -> Da
 
     A threshold meets the positions that reach it in an equi-join: the positions up to an aggregate's last are some stretches of
     a power of two, of which exactly one holds the threshold. So rows are made in proportion to marks, and no
-    origin's findings or aggregates come together in one row.
+    origin's findings or aggregates come together in one row. Aggregates of origins without findings are left out first.
     """
     by_position = F.col("kind").isin(*THRESHOLD_KINDS)
     wrote = authors.select("aggregate_id", F.col("origin_db").alias("member"), F.col("max_position").cast("long").alias("max_position"))
-    named = (
-        findings.where(~by_position).select("finding_id", "origin_db", "aggregate_id").join(members, "origin_db")
-        .join(wrote.select("aggregate_id", "member"), ["aggregate_id", "member"]).select("aggregate_id", "finding_id")
-    )
+    own = lambda rows: wrote.join(rows.select("member").distinct(), "member", "left_semi")
+    named = findings.where(~by_position).select("finding_id", "origin_db", "aggregate_id").join(members, "origin_db").select("finding_id", "aggregate_id", "member")
+    named = named.join(own(named).select("aggregate_id", "member"), ["aggregate_id", "member"]).select("aggregate_id", "finding_id")
     from_zero = F.greatest(F.lit(0).cast("long"), F.col("threshold").cast("long"))
     placed = F.transform(F.sequence(F.lit(0), F.lit(62)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", from_zero, k).alias("place")))
     thresholds = findings.where(by_position & F.col("threshold").isNotNull()).select("finding_id", F.col("origin_db").alias("member"), F.explode(placed).alias("s"))
-    reached = wrote.where("max_position >= 0").select("aggregate_id", "member", F.explode(_stretches(F.col("max_position"))).alias("s"))
+    reached = own(thresholds).where("max_position >= 0").select("aggregate_id", "member", F.explode(_stretches(F.col("max_position"))).alias("s"))
     return named.union(reached.join(thresholds, ["member", "s"]).select("aggregate_id", "finding_id")).distinct()
 
 
