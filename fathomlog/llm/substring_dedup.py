@@ -208,15 +208,17 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """Sorted suffixes of ``text`` (symbols under 512).
 
     Larsson-Sadakane: sorted by 7 symbols first; then only groups that are still tied are sorted
-    again, by the rank of the suffix that follows the sorted part, which doubles it.
+    again, by the rank of the suffix that follows the sorted part, which doubles it. Places and ranks
+    take 4 bytes each: a task's memory is that of a shard's arrays.
     """
     n = len(text)
-    padded = np.concatenate((text.astype(np.int64), np.zeros(8, np.int64)))
+    padded = np.concatenate((text.astype(np.int16), np.zeros(8, np.int16)))
     key = np.zeros(n, np.int64)
     for k in range(7):
-        key = (key << 9) | padded[k : k + n]
-    sa = np.argsort(key, kind="stable")
-    ranks = np.zeros(n + 1, np.int64)  # a group's rank is its first place, from 1; 0 is past the end
+        key <<= 9
+        key |= padded[k : k + n]
+    sa = np.argsort(key, kind="stable").astype(np.int32)
+    ranks = np.zeros(n + 1, np.int32)  # a group's rank is its first place, from 1; 0 is past the end
 
     def name(places: np.ndarray, fresh: np.ndarray) -> np.ndarray:
         """Ranks for suffixes at SA places, given where groups begin; those still tied."""
@@ -226,10 +228,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         alone[:-1] &= fresh[1:]
         return places[~alone]
 
-    ordered = key[sa]
+    key = key[sa]
     fresh = np.ones(n, bool)
-    fresh[1:] = ordered[1:] != ordered[:-1]
-    tied = name(np.arange(n), fresh)
+    fresh[1:] = key[1:] != key[:-1]
+    del key
+    tied = name(np.arange(n, dtype=np.int32), fresh)
     done = 7
     while len(tied):
         group = ranks[sa[tied]]
@@ -251,10 +254,10 @@ def kasai(text: np.ndarray, sa: np.ndarray, strands: np.ndarray, depth: int) ->
     for all strands (stretches of the text, given by their bounds) together.
     """
     n = len(text)
-    place = np.empty(n, np.int64)
-    place[sa] = np.arange(n)
-    padded = np.concatenate((text.astype(np.int32), np.full(depth + 1, -1, np.int32)))
-    before = np.full(n, -1, np.int64)
+    place = np.empty(n, np.int32)
+    place[sa] = np.arange(n, dtype=np.int32)
+    padded = np.concatenate((text.astype(np.int16), np.full(depth + 1, -1, np.int16)))
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
     lcp = np.zeros(n, np.int32)
     i, stop = strands[:-1].astype(np.int64), strands[1:].astype(np.int64)
@@ -280,13 +283,14 @@ def repeats_in_shard(slices: list[bytes], windows: np.ndarray, length: int) -> t
     """(position, group, slice bounds): the shard's windows by their groups of equal content, in sorted order."""
     sizes = np.fromiter(map(len, slices), np.int64, len(slices))
     bounds = np.concatenate(([0], np.cumsum(sizes + 1)))
-    text = np.frombuffer(b"".join(x + b"\0" for x in slices), np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"".join(x + b"\0" for x in slices), np.uint8).astype(np.int16) + np.int16(1)
     text[bounds[1:] - 1] = 0
     sa = suffix_array(text)
-    lcp = kasai(text, sa, bounds, length)
-    group = np.cumsum(lcp < length)
-    own = np.searchsorted(bounds, sa, "right") - 1
-    real = sa - bounds[own] < windows[own]
+    group = np.cumsum(kasai(text, sa, bounds, length) < length, dtype=np.int32)
+    edges = np.zeros(len(text) + 1, np.int8)
+    np.add.at(edges, bounds[:-1], 1)
+    np.add.at(edges, bounds[:-1] + windows, -1)
+    real = np.cumsum(edges[:-1], dtype=np.int8).astype(bool)[sa]  # begins a window of its slice
     return sa[real], group[real], bounds
 
 
@@ -319,8 +323,9 @@ def shard_verdicts(slices: DataFrame, length: int) -> DataFrame:
         if not len(position):
             return
         own = np.searchsorted(bounds, position, "right") - 1
-        _, first, inverse, count = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
-        twice = position[count[inverse] > 1]
+        first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))  # groups stand in order
+        count = np.diff(first, append=len(group))
+        twice = position[np.repeat(count > 1, count)]
         if len(twice):
             twice = np.sort(twice)
             a, b = _runs(twice)

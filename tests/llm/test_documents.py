@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -382,6 +383,25 @@ def test_repeats_in_small_blocks_and_many_shards(tricky, monkeypatch):
     assert sorted_rows(collected(out)) == sorted_rows(plain_repeats(clean(tricky), 40))
 
 
+def test_a_shard_in_little_memory():
+    """Shards of two workers beside an executor's heap: a few tens of bytes to a byte sorted."""
+    rng = np.random.default_rng(5)
+    slices = [rng.integers(97, 101, 350, np.uint8).tobytes() for _ in range(1500)]
+    slices += [x[:-1] + b"!" for x in slices[:300]]
+    windows = np.full(len(slices), 151)
+    windows[7] = 1
+    substring_dedup.repeats_in_shard(slices[:10], windows[:10], 200)
+    tracemalloc.start()
+    position, group, bounds = substring_dedup.repeats_in_shard(slices, windows, 200)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 * bounds[-1]
+    held = [(int(np.searchsorted(bounds, p, "right")) - 1, int(p)) for p in position]
+    assert sorted(p for _, p in held) == [int(bounds[i]) + k for i, n in enumerate(windows) for k in range(n)]
+    content = [slices[i][p - bounds[i] : p - bounds[i] + 200] for i, p in held]
+    assert content == sorted(content) and [a != b for a, b in zip(content, content[1:], strict=False)] == list(np.diff(group) > 0)
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(2)
     for n, letters in [(1, 2), (50, 2), (300, 3), (400, 1)]:
