@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fathomlog.functions.coordinates import is_held_as_authored, is_locally_originated, not_received_from_own_identity, with_coordinates
 from fathomlog.operators import access, chain, commands, delivery, findings, ingest, retention, view_reads
+from fathomlog.plans import queries
 from fathomlog.sources import event_log as el
 
 CHAIN = (
@@ -265,3 +266,16 @@ def test_chains_read_the_log_once(spark, tmp_path):
     found = chain.verify_chains(log, holder="db", expected_hash=F.col("expected"))
     assert [(r.kind, r.sequence_number) for r in found.collect()] == [("hash_mismatch", 4)]
     assert not any("own-source" in f for f in found.inputFiles())
+
+
+def deals(df):
+    """The ways in which a plan deals rows out by keys."""
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+
+
+def test_lines_are_dealt_once_and_in_bounded_parts(spark, sf_dir, monkeypatch):
+    lines = queries._t(spark, sf_dir, "lineitem").count()
+    monkeypatch.setattr(queries, "PART_LINES", 100)
+    log = queries._lines(spark, sf_dir)
+    assert log.rdd.getNumPartitions() == -(-lines // 100) and log.count() == lines
+    assert len(deals(chain.positions_reused(log))) == 1
