@@ -252,20 +252,55 @@ def verify_chains(log: DataFrame, *, holder: str, expected_hash: Column | None =
     return out.orderBy("sequence_number", "kind", "event_id")
 
 
+def _short(text: Column) -> Column:
+    """A text as bytes that no other text has; hashes in hexadecimal take half their length."""
+    return F.when(text.rlike(r"\A[0-9a-f]+\z") & (F.length(text) % 2 == 0), F.concat(F.lit(b"\1"), F.unhex(text))).otherwise(F.concat(F.lit(b"\2"), F.encode(text, "UTF-8")))
+
+
 def structure_findings(new: DataFrame, stored: DataFrame) -> DataFrame:
     """Findings of ``new`` events against those stored before them; a predecessor that isn't held is none here.
 
     Kinds: ``predecessor_break`` (of another origin, or not earlier), ``position_reused`` and ``fork_unrecorded``.
     """
-    held = stored.select(
-        F.col("event_id").alias("h_id"), F.col("sealed_hash").alias("h_hash"), F.col("origin_db").alias("h_db"), F.col("origin_position").alias("h_pos"), F.col("previous_event_hash").alias("h_prev")
-    )
-    before = new.join(held, F.col("previous_event_hash") == F.col("h_hash"))
-    why = F.when(~F.col("h_db").eqNullSafe(F.col("origin_db")), "other_origin").when(F.col("h_pos") >= F.col("origin_position"), "not_earlier")
-    broken = _found(before.withColumn("why", why).where("why is not null"), "predecessor_break", F.col("why"))
-    other = F.col("event_id") != F.col("h_id")
-    same_place = F.col("origin_db").eqNullSafe(F.col("h_db")) & (F.col("origin_position") == F.col("h_pos")) & other
-    reused = _found(new.join(held, same_place, "left_semi"), "position_reused", F.col("origin_position"))
-    same_before = F.col("origin_db").eqNullSafe(F.col("h_db")) & F.col("previous_event_hash").eqNullSafe(F.col("h_prev")) & (F.col("origin_position") != F.col("h_pos")) & other
-    forked = _found(new.join(held, same_before, "left_semi"), "fork_unrecorded", F.col("previous_event_hash"))
+    columns = ["sequence_number", "event_id", "origin_db", "origin_position", "previous_event_hash", "sealed_hash"]
+    side = lambda df, is_new: df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns), F.lit(is_new).alias("__new"))
+    return structure_findings_marked(side(new, True).unionAll(side(stored, False)), F.col("__new"))
+
+
+def structure_findings_marked(log: DataFrame, new: Column) -> DataFrame:
+    """``structure_findings`` of one log, of which ``new`` tells the new events (true) from the stored ones (false).
+
+    What a new event has to know of those stored under its key (hash, position or predecessor) are bounds and counts; so each key's events
+    are looked at once, in the parts that a log dealt by its origins has already; by hash alone they move.
+    """
+    both = log.select("sequence_number", "event_id", "origin_db", "origin_position", "previous_event_hash", "sealed_hash", new.alias("__new")).where("__new is not null")
+    of_stored = lambda value: F.when(~F.col("__new"), value)
+    hashed = F.when(F.col("__new"), F.col("previous_event_hash")).otherwise(F.col("sealed_hash"))
+    moved = (F.when(F.col("__new"), F.col(c)).alias(c) for c in ("sequence_number", "event_id"))
+    met = both.select(_short(hashed).alias("__key"), "origin_db", "origin_position", *moved, "__new").where("__key is not null")
+    held, own = Window.partitionBy("__key"), Window.partitionBy("__key", "origin_db")
+    met = met.select(
+        "*", F.count(of_stored(F.lit(1))).over(held).alias("__all"), F.count(of_stored(F.lit(1))).over(own).alias("__own"), F.max(of_stored(F.col("origin_position"))).over(own).alias("__highest")
+    ).where("__new")
+    why = F.filter(F.array(F.when(F.col("__all") > F.col("__own"), "other_origin"), F.when(F.col("__highest") >= F.col("origin_position"), "not_earlier")), lambda x: x.isNotNull())
+    broken = _found(met.withColumn("why", F.explode(why)), "predecessor_break", F.col("why"))
+
+    # By position; events under one id are no two.
+    place = Window.partitionBy("origin_db", "origin_position")
+    ids = of_stored(F.col("event_id"))
+    placed = both.where("origin_position is not null").select("*", F.min(ids).over(place).alias("__a"), F.max(ids).over(place).alias("__b")).where("__new and (__a <> event_id or __b <> event_id)")
+    reused = _found(placed, "position_reused", F.col("origin_position"))
+
+    # By predecessor; a successor counts that differs in position and in id.
+    after = Window.partitionBy("origin_db", "previous_event_hash")
+    ids, places = of_stored(F.col("event_id")), of_stored(F.col("origin_position"))
+    known = both.where("event_id is not null and origin_position is not null")
+    known = known.select("*", F.min(ids).over(after).alias("__a"), F.max(ids).over(after).alias("__b"), F.min(places).over(after).alias("__p"), F.max(places).over(after).alias("__q"), F.max("__new").over(after).alias("__asked"))
+    # Where stored ones differ from each other in both, those alike in position or id are counted off.
+    mixed = F.col("__a").isNotNull() & (F.col("__a") != F.col("__b")) & (F.col("__p") != F.col("__q"))
+    known = known.where(F.when(mixed, F.col("__asked")).otherwise(F.col("__new") & ((F.col("__a") != F.col("event_id")) | (F.col("__b") != F.col("event_id"))) & ((F.col("__p") != F.col("origin_position")) | (F.col("__q") != F.col("origin_position")))))
+    alike = lambda *more: F.count(of_stored(F.lit(1))).over(Window.partitionBy("origin_db", "previous_event_hash", *more))
+    others = alike() - alike("origin_position") - alike("event_id") + alike("event_id", "origin_position")
+    known = known.withColumn("__others", others).where(F.col("__new") & (~mixed | (F.col("__others") > 0)))
+    forked = _found(known, "fork_unrecorded", F.col("previous_event_hash"))
     return broken.distinct().unionByName(reused).unionByName(forked)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fathomlog.functions.coordinates import is_held_as_authored, is_locally_originated, not_received_from_own_identity, with_coordinates
 from fathomlog.operators import access, chain, commands, delivery, findings, ingest, retention, view_reads
-from fathomlog.plans import queries
+from fathomlog.plans import decision_queries, queries
 from fathomlog.sources import event_log as el
 
 CHAIN = (
@@ -279,3 +279,40 @@ def test_lines_are_dealt_once_and_in_bounded_parts(spark, sf_dir, monkeypatch):
     log = queries._lines(spark, sf_dir)
     assert log.rdd.getNumPartitions() == -(-lines // 100) and log.count() == lines
     assert len(deals(chain.positions_reused(log))) == 1
+
+
+def test_structure_moves_lines_by_hash_alone(spark, sf_dir):
+    found = decision_queries.chain_structure(spark, sf_dir)
+    keys = {x.split("hashpartitioning(")[1].split("#")[0] for x in deals(found)}
+    assert keys == {"origin_db", "__key", "predecessor_break"}  # the last: findings, each once
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_structure_findings_against_pairs(spark, seed):
+    """Every new event with every stored one, with nulls, repeated ids and hashes of any form."""
+    r = random.Random(seed)
+    pick = lambda values, none: None if r.random() < none else r.choice(values)
+    hashes = ["", "ab", "abab", "ABAB", "abc", "ab\n", "\u00e9", "deadbeef" * 8, "cafe" * 16]
+    rows = [(s, pick([f"e{k}" for k in range(25)], 0.05), pick(["x", "y"], 0.2), pick(range(1, 6), 0.1), pick(hashes, 0.2), pick(hashes, 0.1), s % 3 == 0) for s in range(150 if seed else 60)]
+    schema = "sequence_number long, event_id string, origin_db string, origin_position int, previous_event_hash string, sealed_hash string, fresh boolean"
+    log = spark.createDataFrame(rows, schema).repartition(3)
+    differ = lambda a, b: a is not None and b is not None and a != b
+    broken, due = set(), []
+    for s, i, db, pos, prev, _, fresh in rows:
+        if not fresh:
+            continue
+        stored = [x for x in rows if not x[6]]
+        for x in stored:
+            if prev is not None and prev == x[5]:
+                if x[2] != db:
+                    broken.add(("predecessor_break", s, i, "other_origin"))
+                elif pos is not None and x[3] is not None and x[3] >= pos:
+                    broken.add(("predecessor_break", s, i, "not_earlier"))
+        if any(x[2] == db and pos is not None and x[3] == pos and differ(x[1], i) for x in stored):
+            due.append(("position_reused", s, i, str(pos)))
+        if any(x[2] == db and x[4] == prev and differ(x[3], pos) and differ(x[1], i) for x in stored):
+            due.append(("fork_unrecorded", s, i, prev))
+    due = sorted(map(str, [*broken, *due]))
+    for found in (chain.structure_findings(log.where("fresh"), log.where("not fresh")), chain.structure_findings_marked(log, F.col("fresh"))):
+        assert sorted(str(tuple(x)) for x in found.collect()) == due
