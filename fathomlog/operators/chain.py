@@ -85,6 +85,18 @@ def storage_link_break(log: DataFrame, *, chain: list[str] | None = None) -> Dat
     return _found(found, "storage_link_break", detail)
 
 
+def predecessors_met(refs: DataFrame, held: DataFrame) -> DataFrame:
+    """``refs``, each with every held event under its predecessor's hash, or none: ``p_hash``, and ``why`` it can't be (null where it can)."""
+    sealed = held.select(F.col("sealed_hash").alias("p_hash"), F.col("origin_db").alias("p_db"), F.col("origin_position").alias("p_pos"))
+    joined = refs.join(sealed, F.col("previous_event_hash") == F.col("p_hash"), "left")
+    why = F.when(F.col("p_hash").isNull(), None).when(~F.col("p_db").eqNullSafe(F.col("origin_db")), "other_origin").when(F.col("p_pos") >= F.col("origin_position"), "not_earlier")
+    return joined.withColumn("why", why).drop("p_db", "p_pos")
+
+
+def predecessors_found(met: DataFrame) -> DataFrame:
+    return _found(met.where("why is not null"), "predecessor_break", F.col("why")).distinct()
+
+
 def predecessors_judged(refs: DataFrame, held: DataFrame) -> DataFrame:
     """Findings of events whose predecessor is held but belongs to another origin or stands no earlier."""
     sealed = held.select(F.col("sealed_hash").alias("p_hash"), F.col("origin_db").alias("p_db"), F.col("origin_position").alias("p_pos"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomlog.operators import chain
-from fathomlog.sources.scratch import scratch_dir
+from fathomlog.sources.scratch import scratch_dir, written
 
 _CAUSAL = "struct<kind:string,eligible:boolean,parents:array<struct<event_id:string,event_hash:string>>>"
 #: An event as the index keeps it.
@@ -105,33 +105,41 @@ def advance(events: DataFrame, frontier: Frontier, stop: int, *, holder: str, ex
     linked = new.unionByName(prior, allowMissingColumns=True) if f.last_position else new
     found.append(chain.storage_link_break(linked).where(seq > f.last_position))
 
-    # Predecessors: in the stretch, at an origin's last event, or further back.
+    # Predecessors: in the stretch, at an origin's last event, or further back. One join of the stretch with itself, of which only
+    # what isn't answered there, or is found wrong, is kept for what follows.
     refs = new.where("previous_event_hash is not null")
     hashes = lambda df, column: df.select(F.col(column).alias("previous_event_hash")).distinct()
-    beyond = refs.join(hashes(new, "sealed_hash"), "previous_event_hash", "left_anti")
+    waits = [x.split()[0] for x in _columns(_WAITING)]
+    tied = written(chain.predecessors_met(_rows_like(new, waits), new).where("p_hash is null or why is not null"))
+    loose = tied.where("p_hash is null")
+    beyond = loose.where("previous_event_hash is not null").select(*waits)
     tips = origins.select(F.col("tip_hash").alias("sealed_hash"), "origin_db", F.col("max_position").alias("origin_position"))
     far = beyond.join(hashes(origins, "tip_hash"), "previous_event_hash", "left_anti")
     back = old.join(hashes(far, "previous_event_hash").withColumnRenamed("previous_event_hash", "sealed_hash"), "sealed_hash", "left_semi") if f.index and not far.isEmpty() else None
-    held = new.select("sealed_hash", "origin_db", "origin_position").unionByName(tips)
+    held = new.select("sealed_hash", "origin_db", "origin_position", F.lit(True).alias("fresh")).unionByName(tips.withColumn("fresh", F.lit(False)))
     if back is not None:
-        held = held.unionByName(back.select("sealed_hash", "origin_db", "origin_position"))
-    asked = _rows_like(refs, [x.split()[0] for x in _columns(_WAITING)]).unionByName(waiting.where("previous_event_hash is not null"))
-    found.append(chain.predecessors_judged(asked, held))
+        held = held.unionByName(back.select("sealed_hash", "origin_db", "origin_position", F.lit(False).alias("fresh")))
+    waited = waiting.where("previous_event_hash is not null")
+    asked = beyond.unionByName(waited)
+    held = written(held.join(asked.select(F.col("previous_event_hash").alias("sealed_hash")).distinct(), "sealed_hash", "left_semi"))
+    # What the stretch answers may be the hash of an origin's last event too.
+    found.append(chain.predecessors_found(tied).unionByName(chain.predecessors_judged(refs, tips)).unionByName(chain.predecessors_judged(asked, held)).distinct())
     still = [asked.join(hashes(held, "sealed_hash"), "previous_event_hash", "left_anti")]
 
     # Positions and forks: only keys that earlier events can hold too are looked up.
-    near = new.join(origins.select("origin_db", "max_position", "tip_hash", "followed"), "origin_db")
+    near = new.join(origins.select("origin_db", "max_position"), "origin_db")
     again = near.where("origin_position <= max_position").select("origin_db", "origin_position").distinct()
     earlier = old.join(again, ["origin_db", "origin_position"], "left_semi") if f.index and not again.isEmpty() else None
     found.append(chain.position_reuses(new if earlier is None else new.unionByName(earlier)).where(seq > f.through))
-    unmet = near.join(hashes(new, "sealed_hash").withColumn("met", F.lit(True)), "previous_event_hash", "left").where(F.col("met").isNull() & ~(F.col("previous_event_hash").eqNullSafe(F.col("tip_hash")) & ~F.col("followed")))
+    ends = origins.select("origin_db", "tip_hash", "followed")
+    unmet = loose.join(ends, "origin_db").where(~(F.col("previous_event_hash").eqNullSafe(F.col("tip_hash")) & ~F.col("followed")))
     split = unmet.select("origin_db", "previous_event_hash").distinct()
     mates = None
     if f.index and not split.isEmpty():
         on = (F.col("origin_db") == F.col("s_db")) & F.col("previous_event_hash").eqNullSafe(F.col("s_prev"))
         mates = old.join(split.select(F.col("origin_db").alias("s_db"), F.col("previous_event_hash").alias("s_prev")), on, "left_semi")
     # Events that waited for one of these are its successors too.
-    late = asked.where(seq <= f.through).join(hashes(new, "sealed_hash"), "previous_event_hash", "left_semi").select("sequence_number", "event_id", "origin_db", "origin_position", "previous_event_hash")
+    late = waited.where(seq <= f.through).join(hashes(held.where("fresh"), "sealed_hash"), "previous_event_hash", "left_semi").select("sequence_number", "event_id", "origin_db", "origin_position", "previous_event_hash")
     successors = new.select(*late.columns).unionByName(late)
     if mates is not None:
         successors = successors.unionByName(mates.select(*late.columns)).distinct()
@@ -145,7 +153,7 @@ def advance(events: DataFrame, frontier: Frontier, stop: int, *, holder: str, ex
     parents = new.select(*columns).unionByName(version_rows)
     if f.index and not own.isEmpty():
         parents = parents.unionByName(old.join(own.select(F.col("parent_id").alias("event_id")).distinct(), "event_id", "left_semi").select(*columns)).distinct()
-    every = _rows_like(named, [x.split()[0] for x in _columns(_WAITING)]).unionByName(waiting.where("parent_id is not null"))
+    every = _rows_like(named, waits).unionByName(waiting.where("parent_id is not null"))
     found.append(chain.judged_parents(every, parents))
     still.append(every.join(parents.select(F.col("event_id").alias("parent_id")).distinct(), "parent_id", "left_anti"))
 
@@ -159,11 +167,11 @@ def advance(events: DataFrame, frontier: Frontier, stop: int, *, holder: str, ex
     for more in found[1:]:
         out = out.unionByName(more)
     after = Frontier(f.folder, stop, f.last_position, f.last_hash, [*f.index, name], list(f.versions), [*f.found, f.write(out, _FINDING, "found")])
-    waits = [x.split()[0] for x in _columns(_WAITING)]
     after.waiting = f.write(still[0].select(*waits).unionByName(still[1].select(*waits)), _WAITING, "waiting")
     top = new.where("origin_db is not null").groupBy("origin_db").agg(F.max("origin_position").alias("max_position"), F.max_by("sealed_hash", "origin_position").alias("tip_hash")).withColumn("followed", F.lit(False))
-    ahead = origins.unionByName(top).groupBy("origin_db").agg(F.max_by(F.struct("max_position", "tip_hash", "followed"), "max_position").alias("o")).select("origin_db", "o.*")
-    follow = asked.select("origin_db", F.col("previous_event_hash").alias("tip_hash"), F.lit(True).alias("is_followed")).distinct()
+    ahead = written(origins.unionByName(top).groupBy("origin_db").agg(F.max_by(F.struct("max_position", "tip_hash", "followed"), "max_position").alias("o")).select("origin_db", "o.*"))
+    follow = refs.select("origin_db", F.col("previous_event_hash").alias("tip_hash")).unionByName(waited.select("origin_db", F.col("previous_event_hash").alias("tip_hash")))
+    follow = follow.join(ahead, ["origin_db", "tip_hash"], "left_semi").distinct().withColumn("is_followed", F.lit(True))
     after.origins = f.write(ahead.join(follow, ["origin_db", "tip_hash"], "left").withColumn("followed", F.col("followed") | F.coalesce("is_followed", F.lit(False))), _ORIGIN, "origins")
     eligible = new.where("causal.kind = 'version' and causal.eligible").groupBy("aggregate_id").agg(F.max_by(F.struct("sequence_number", "event_id", "sealed_hash"), "sequence_number").alias("v")).select("aggregate_id", "v.*")
     after.versions.append(f.write(eligible, _VERSION, "versions"))

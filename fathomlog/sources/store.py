@@ -138,7 +138,8 @@ class LogStore:
         """Append rows in the order of (ts, tie) after all that is held."""
         at = self.manifest()
         folder = f"log/{uuid.uuid4().hex}"
-        placed = with_positions(rows, ts, tie, base=at.head)
+        # Numbering reads its rows twice, dealing them out by ranges once more.
+        placed = with_positions(written(rows), ts, tie, base=at.head)
         # In the order of positions, so that a range of them is a few row groups; filters tell which hold an id.
         writer = placed.repartitionByRange("sequence_number").sortWithinPartitions("sequence_number").write
         for c in ("event_id", "aggregate_id"):

@@ -205,3 +205,17 @@ def test_a_gap_is_replayed_with_own_events_only(spark):
 def test_bad_rows_are_no_events(spark):
     """A fold over nothing but an event of no interest leaves a view without rows, and a delta without files."""
     assert folds.fold(spark.createDataFrame([event(1, "z", "added", {"v": 1}, "elsewhere")], LOG), ITEMS).count() == 0
+
+
+def test_an_append_makes_its_rows_once(spark, tmp_path):
+    """However often numbering and dealing out read them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(500).select(F.col("id").cast("string").alias("event_id"), F.lit("a").alias("aggregate_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60).alias("client_timestamp"))
+    LogStore(spark, str(tmp_path / "store")).append(rows.mapInArrow(run, rows.schema))
+    assert made.value == 500
