@@ -252,41 +252,65 @@ def stamp(incoming: DataFrame, *, base: int, hop: str, identifier: str, database
 def delivery_faults(deliveries: DataFrame) -> DataFrame:
     """``deliveries`` (channel, delivery_number from 1, delivery_hash, previous_hash, computed_hash) with ``fault`` and ``served``.
 
-    fault: ``hash_mismatch``, its hash isn't that of its content; ``missing_before``, the number before isn't held; ``link_break``, it
-    doesn't name that one's hash (nothing, for the first); null if it is sound. served: every delivery of its channel up to it is sound. A delivery's
-    neighbour is found by an equi-join, so a channel that holds much of the table is many tasks.
+    fault: ``hash_mismatch``, its hash isn't that of its content; ``missing_before``, the number before isn't held (without channel
+    none is); ``link_break``, it doesn't name that one's hash (nothing, for the first); null if it is sound. served: every delivery of its
+    channel up to it is sound. A delivery's neighbour is looked up within blocks of numbers, to each of which the last delivery of the block before is
+    added, so a channel that holds much of the table is many tasks, and deliveries that are dealt by their channels aren't dealt again for it.
     """
-    before = deliveries.select(F.col("channel").alias("b_channel"), (F.col("delivery_number") + 1).alias("b_next"), F.col("delivery_hash").alias("b_hash")).dropDuplicates(["b_channel", "b_next"])
-    joined = deliveries.join(before, F.col("channel").eqNullSafe(F.col("b_channel")) & (F.col("delivery_number") == F.col("b_next")), "left")
+    at = F.col("delivery_number").cast("long")
+    block = F.floor(at / F.lit(BLOCK))
+    blocks = F.when((at + 1) % F.lit(BLOCK) == 0, F.array(block, block + 1)).otherwise(F.array(block))
+    # Whether a hash is wrong is told before rows are sorted, so that the other hash needn't be.
+    odd = ~F.col("delivery_hash").eqNullSafe(F.col("computed_hash"))
+    placed = deliveries.withColumn("__odd", odd).withColumn("__at", at).withColumn("__block", F.explode(blocks))
+    at_before = Window.partitionBy("channel", "__block").orderBy("__at").rangeBetween(-1, -1)
+    held = F.col("channel").isNotNull() & F.col("__at").isNotNull() & (F.count("*").over(at_before) > 0)
+    known = placed.withColumn("__held", held).withColumn("__before", F.max("delivery_hash").over(at_before))
     first = F.col("delivery_number") == 1
     fault = (
-        F.when(~F.col("delivery_hash").eqNullSafe(F.col("computed_hash")), "hash_mismatch")
-        .when(~first & F.col("b_next").isNull(), "missing_before")
-        .when(~F.col("previous_hash").eqNullSafe(F.when(~first, F.col("b_hash"))), "link_break")
+        F.when(F.col("__odd"), "hash_mismatch")
+        .when(~first & ~F.col("__held"), "missing_before")
+        .when(~F.col("previous_hash").eqNullSafe(F.when(~first, F.col("__before"))), "link_break")
     )
-    marked = joined.withColumn("fault", fault).select(*deliveries.columns, "fault")
+    marked = known.where(F.col("__block").eqNullSafe(F.floor(F.col("__at") / F.lit(BLOCK)))).withColumn("fault", fault).select(*deliveries.columns, "fault")
     ends = marked.where("fault is not null").groupBy(F.col("channel").alias("e_channel")).agg(F.min("delivery_number").alias("broken"))
     out = marked.join(ends, F.col("channel").eqNullSafe(F.col("e_channel")), "left")
     return out.select(*marked.columns, (F.col("broken").isNull() | (F.col("delivery_number") < F.col("broken"))).alias("served"))
 
 
+def restore_once(occurrences: DataFrame, place: tuple[str, ...] = ()) -> DataFrame:
+    """``restore_choice`` of occurrences that all have an id; a null is one like any other.
+
+    What isn't the lowest of an id and hash is left out before rows move, so an id that is served over and over is no hot key; only what is left, one row to an
+    id and hash, moves again to be compared by id.
+    """
+    lowest = Window.partitionBy("event_id", "event_hash").orderBy("registration", "generation", "delivery_number", *place)
+    once = occurrences.withColumn("__nth", F.row_number().over(lowest)).where("__nth = 1").drop("__nth")
+    best = Window.partitionBy("event_id").orderBy(~F.coalesce("storable", F.lit(False)), "registration", "generation", "delivery_number", "event_hash")
+    return once.withColumn("place", F.when(F.row_number().over(best) == 1, "stored").otherwise("other_hash"))
+
+
 def restore_choice(occurrences: DataFrame, place: tuple[str, ...] = ()) -> DataFrame:
     """What becomes of each distinct event of a restore: ``stored``, ``other_hash`` or ``unkeyed``, one row each.
 
     occurrences: (event_id, event_hash, registration, generation, delivery_number, storable, ...). Of one id and hash the lowest (registration,
     generation, delivery_number) counts; ``place``: columns that tell apart occurrences with the same of these, of which the lowest counts. Of an id's hashes one that can be stored comes first, then the lowest; the others
-    are told apart as ``other_hash``. Rows without id can't be told apart and stay, each. Aggregates choose, map-side, so an id that is
-    served over and over is no hot key.
+    are told apart as ``other_hash``. Rows without id can't be told apart and stay, each.
     """
-    names = occurrences.columns
-    lowest = F.struct("registration", "generation", "delivery_number", *place)
-    keyed = occurrences.where("event_id is not null")
-    once = keyed.groupBy("event_id", "event_hash").agg(F.min_by(F.struct(*names), lowest).alias("e")).select("e.*")
-    order = F.struct((~F.coalesce("storable", F.lit(False))).alias("odd"), "registration", "generation", "delivery_number", "event_hash")
-    best = once.groupBy(F.col("event_id").alias("c_id")).agg(F.min_by(F.struct("event_hash"), order).alias("c"))
-    chosen = once.join(best, F.col("event_id") == F.col("c_id")).withColumn("place", F.when(F.col("event_hash").eqNullSafe(F.col("c.event_hash")), "stored").otherwise("other_hash"))
-    unkeyed = occurrences.where("event_id is null").withColumn("place", F.lit("unkeyed"))
-    return chosen.select(*names, "place").unionByName(unkeyed)
+    chosen = restore_once(occurrences.where("event_id is not null"), place)
+    return chosen.unionByName(occurrences.where("event_id is null").withColumn("place", F.lit("unkeyed")))
+
+
+def restore_findings(taken: DataFrame, lineage_rank: DataFrame, predecessor: Column) -> DataFrame:
+    """What ``restore_choice`` took with rank, ``finding`` and where it is kept, in no order; see ``restore``."""
+    ranked = taken.join(lineage_rank, "origin_db", "left").withColumn("from_sender", predecessor)
+    finding = (
+        F.when(F.col("rank").isNull() & ~F.coalesce("from_sender", F.lit(False)), "foreign")
+        .when(F.col("place") == "other_hash", "identity_mismatch")
+        .when(~F.coalesce("storable", F.lit(False)), "event_unstorable")
+    )
+    kept = ranked.withColumn("finding", finding).withColumn("place", F.when(finding.isNotNull() & (F.col("place") == "stored"), "kept_in_finding").otherwise(F.col("place")))
+    return kept.select(*taken.columns, "rank", "finding")
 
 
 def restore(deliveries: DataFrame, occurrences: DataFrame, lineage_rank: DataFrame, predecessor: Column, place: tuple[str, ...] = ()) -> DataFrame:
@@ -298,11 +322,4 @@ def restore(deliveries: DataFrame, occurrences: DataFrame, lineage_rank: DataFra
     """
     served = delivery_faults(deliveries).where("served").select("channel", "delivery_number").distinct()
     taken = restore_choice(occurrences.join(served, ["channel", "delivery_number"], "left_semi"), place)
-    ranked = taken.join(lineage_rank, "origin_db", "left").withColumn("from_sender", predecessor)
-    finding = (
-        F.when(F.col("rank").isNull() & ~F.coalesce("from_sender", F.lit(False)), "foreign")
-        .when(F.col("place") == "other_hash", "identity_mismatch")
-        .when(~F.coalesce("storable", F.lit(False)), "event_unstorable")
-    )
-    kept = ranked.withColumn("finding", finding).withColumn("place", F.when(finding.isNotNull() & (F.col("place") == "stored"), "kept_in_finding").otherwise(F.col("place")))
-    return kept.select(*taken.columns, "rank", "finding").orderBy(F.col("place") != "stored", "rank", "origin_position", "event_id", "event_hash")
+    return restore_findings(taken, lineage_rank, predecessor).orderBy(F.col("place") != "stored", "rank", "origin_position", "event_id", "event_hash")

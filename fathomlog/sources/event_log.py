@@ -11,6 +11,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathomlog.sources.scratch import written
+
 VERSION = "struct<major:int,minor:int>"
 HOP = (
     "struct<hop:string,received_at:string,identifier:string,software_version:string,transform_version:string,database_id:string,"
@@ -44,6 +46,17 @@ def with_positions(rows: DataFrame, ts: str, tie: str, *, base: int = 0, seconds
     return numbered.withColumn(name, (F.col("__before") + F.col("__rn") + F.lit(base)).cast("long")).drop("__bucket", "__rn", "__before")
 
 
+def numbered(rows: DataFrame, *order: Column, name: str = "sequence_number") -> DataFrame:
+    """Gapless positions from 1 in ``order``, whatever its columns: rows are dealt by ranges of it, sorted within these and written with their places; only the ranges' counts meet in one place."""
+    # The id holds the range's number in its upper bits and the place within the range in the lower 33.
+    ranged = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    placed = ranged.withColumn("__range", F.shiftright("__id", 33)).withColumn("__place", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    offsets = counts.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return placed.join(F.broadcast(offsets), "__range").withColumn(name, F.col("__before") + F.col("__place")).drop("__id", "__range", "__place", "__before")
+
+
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table as a log: one aggregate per user; payload fields beside the payload itself."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

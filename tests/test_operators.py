@@ -212,6 +212,96 @@ def test_restore_tells_occurrences_of_one_line_apart(spark):
         assert {(r.event_id, r.event_hash): (r.origin_db, r.place) for r in chosen.collect()} == {(1, "x"): (1, "stored"), (2, "a"): (2, "stored"), (2, "b"): (1, "other_hash")}
 
 
+def test_faults_over_blocks(spark, monkeypatch):
+    """Neighbours across the blocks' ends, gaps, no channel; deliveries dealt by their channels are dealt again for the breaks alone."""
+    monkeypatch.setattr(ingest, "BLOCK", 3)
+    r = random.Random(3)
+    rows = [(c, n, f"h{n}", None if n == 1 else f"h{n - 1}" if r.random() < 0.95 else "bad", f"h{n}" if r.random() < 0.95 else "other") for c in [None, *range(40)] for n in range(1, 14) if r.random() < 0.95]
+    numbers, expected, broken = {(c, n) for c, n, *_ in rows if c is not None}, {}, {}
+    for c, n, own, before, computed in rows:
+        fault = "hash_mismatch" if own != computed else "missing_before" if n > 1 and (c, n - 1) not in numbers else "link_break" if before != (f"h{n - 1}" if n > 1 else None) else None
+        broken.setdefault(c, n) if fault else None
+        expected[c, n] = fault, c not in broken
+    deliveries = spark.createDataFrame(rows, "channel long, delivery_number long, delivery_hash string, previous_hash string, computed_hash string")
+    found = ingest.delivery_faults(deliveries.repartition(4, "channel"))
+    assert {(x.channel, x.delivery_number): (x.fault, x.served) for x in found.collect()} == expected
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("hashpartitioning(") <= 4
+
+
+def test_ranges_are_numbered_without_gap(spark):
+    """In the order of several columns, nulls where it puts them, over several ranges; nothing for nothing."""
+    r = random.Random(4)
+    rows = [(r.choice([None, 1, 2]), k if k % 50 else None) for k in r.sample(range(2000), 2000)]
+    order = (F.asc_nulls_first("a"), F.asc_nulls_last("b"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranged = el.numbered(spark.createDataFrame(rows, "a int, b int").repartition(3), *order, name="n")
+        assert len(ranged.inputFiles()) > 1
+        out = ranged.orderBy("n").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [x.n for x in out] == list(range(1, 2001))
+    assert [(x.a, x.b) for x in out] == sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is None, x[1] or 0))
+    assert el.numbered(spark.createDataFrame([], "a int, b int"), *order).collect() == []
+
+
+def _shuffled(spark):
+    """Records that tasks have shuffled so far, over all stages."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    none = jvm.java.util.ArrayList()
+    stages = store.stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(n).shuffleWriteRecords() for n in range(stages.size()))
+
+
+def test_restore_deals_lines_out_twice(spark, sf_dir):
+    """By their orders and, those that are served, by their events; what the query works out isn't worked out again for the order of storing."""
+    size = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count()
+    lines, orders, before = size("lineitem"), size("orders"), _shuffled(spark)
+    # As with tables that are too large to be broadcast.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        decision_queries.restore_verified(spark, sf_dir).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert lines < _shuffled(spark) - before < 2 * lines + 6 * orders
+
+
+@pytest.mark.parametrize("name", ["restore_verified", "restore_deliveries"])
+def test_restore_of_rows_without_keys(spark, tmp_path, name):
+    """Orders without customer and lines without part or order, lines that are repeated, several files: as in the SQL."""
+    import duckdb
+
+    r = random.Random(5)
+    some = lambda key: key if r.random() > 0.03 else None
+    orders = [(k, some(r.choice([1, 2, r.randrange(60)])), datetime(2024, 1, 1) + timedelta(days=r.randrange(400))) for k in range(600)]
+    lines = [(some(r.randrange(600)), some(r.choice([7, r.randrange(-20, 150)])), r.randrange(100), r.randrange(1, 4)) for _ in range(4000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    for part in (lines[:2500], lines[2500:]):
+        spark.createDataFrame(part, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'; SET threads = 1")
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    ours = queries.queries()[name](spark, str(tmp_path))
+    columns = sorted(ours.columns)
+    theirs = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, ours.select(*columns).collect()))) == sorted(map(repr, theirs))
+
+
+def test_restore_takes_served_deliveries_in_order(spark):
+    """What comes after a break isn't taken; what is stored comes first, by lineage and origin position; without id each stays."""
+    deliveries = spark.createDataFrame([(1, 1, "h1", None, "h1"), (1, 2, "h2", "h1", "h2"), (1, 3, "h3", "bad", "h3"), (1, 4, "h4", "h3", "h4")], "channel int, delivery_number int, delivery_hash string, previous_hash string, computed_hash string")
+    events = [("a", "x", 2, True, 0, 5), ("a", "x", 1, True, 1, 5), ("a", "y", 1, True, 0, 5), ("b", "x", 1, False, 0, 1), ("c", "x", 2, True, 0, 9), ("d", "x", 4, True, 0, 1), ("e", "x", 1, True, 7, 1), (None, "x", 1, True, 0, 3), (None, "x", 1, True, 0, 3)]
+    occurrences = spark.createDataFrame([(1, n, i, h, 1, 1, ok, db, at) for i, h, n, ok, db, at in events], "channel int, delivery_number int, event_id string, event_hash string, registration int, generation int, storable boolean, origin_db int, origin_position int")
+    ranks = spark.createDataFrame([(0, 2), (1, 1)], "origin_db int, rank int")
+    out = [(x.event_id, x.event_hash, x.delivery_number, x.rank, x.place, x.finding) for x in ingest.restore(deliveries, occurrences, ranks, F.lit(False)).collect()]
+    assert out == [
+        ("a", "x", 1, 1, "stored", None), ("c", "x", 2, 2, "stored", None), ("e", "x", 1, None, "kept_in_finding", "foreign"), ("b", "x", 1, 2, "kept_in_finding", "event_unstorable"),
+        (None, "x", 1, 2, "unkeyed", None), (None, "x", 1, 2, "unkeyed", None), ("a", "y", 1, 2, "other_hash", "identity_mismatch"),
+    ]
+
+
 def test_channels_of_one_block_are_walked_once(spark):
     """No steps and entries are worked out for them in the plan of the outcomes; a null channel is one too."""
     rows = [(c, n, n, f"{n}", f"{n - 1}" if n > 1 else None, f"{n}") for c in ("a", None) for n in (1, 2, 3)]
